@@ -21,62 +21,116 @@ from faultlens.functions import constants as K
 from faultlens.functions.text import (
     WHOLE_NUMBER,
     draw,
-    draw_u32,
+    draw_key,
+    element,
     element_at1,
     lit_array,
     replace_first,
     splice_at,
-    swap_array,
 )
 
 Pairs = Sequence[tuple[str, str]]
 
 
-def _first_hit(text: Column, pairs: Pairs, seed, pid: Column, tag: str, ci: bool = False) -> Column:
-    """The drawn-first swap pair whose key occurs in ``text`` (NULL if none)."""
-    arr = swap_array(pairs)
-    hay = F.lower(text) if ci else text
+# Tags that key the per-swap priority draw of each injector.
+SWAP_TAGS = {
+    "wrong_type": "type",
+    "factual_error": "fact",
+    "off_by_one": "range",
+    "logic_inversion": "logic",
+    "cascade_dependency": "dep",
+}
+SWAP_BANKS = {
+    "wrong_type": K.TYPE_SWAPS,
+    "factual_error": K.FACTUAL_SWAPS,
+    "off_by_one": K.RANGE_SWAPS,
+    "logic_inversion": K.LOGIC_SWAPS,
+    "cascade_dependency": K.DEPENDENCY_SWAPS,
+}
+
+
+PRIO_HEX = 6  # hex digits of priority per swap pair (24 bits: ties ~ 2^-24)
+
+
+def perm_hex(seed, pid: Column, tag: str, n_pairs: int) -> Column:
+    """Random priorities for ``n_pairs`` swap pairs as one hex string:
+    ``md5(seed:pid:tag:0) || md5(seed:pid:tag:1) || ...``; pair ``i`` owns
+    hex digits ``[6i, 6i+6)``. One short string per row, reused by every
+    pair, keeps the per-pair code tiny."""
+    n_md5 = (PRIO_HEX * n_pairs + 31) // 32
+    return F.concat(*[F.md5(draw_key(seed, pid, tag, j)) for j in range(n_md5)])
+
+
+def hit_priority(text: Column, pairs: Pairs, seed, pid: Column, tag: str, ci: bool = False,
+                 low: Column | None = None, perm: Column | None = None) -> Column:
+    """``priority * 64 + index`` of the drawn-first pair whose key occurs in
+    ``text`` (NULL if none) - "shuffle the list, take the first pair that
+    occurs" as "smallest random priority among the pairs that occur".
+
+    Each pair contributes ``CASE WHEN instr(text, find) > 0 THEN priority``
+    and ``least`` (which skips NULLs) picks the smallest. Plain expressions
+    over the literal bank stay inside whole-stage codegen (no lambdas).
+    ``low``: an already lower-cased ``text`` (case-insensitive bank);
+    ``perm``: the materialized :func:`perm_hex` column.
+    """
+    hay = (low if low is not None else F.lower(text)) if ci else text
+    perm = perm if perm is not None else perm_hex(seed, pid, tag, len(pairs))
+    prios = [
+        F.when(
+            F.instr(hay, F.lit(a.lower() if ci else a)) > 0,
+            F.conv(F.substring(perm, PRIO_HEX * i + 1, PRIO_HEX), 16, 10).cast("bigint") * 64 + i,
+        )
+        for i, (a, _) in enumerate(pairs)
+    ]
+    return F.least(*prios) if len(prios) > 1 else prios[0]
+
+
+def hit_from_priority(best: Column, pairs: Pairs) -> Column:
+    """``STRUCT<find, repl>`` of the pair chosen by :func:`hit_priority`."""
+    idx = F.pmod(best, F.lit(64))
+    return F.when(
+        best.isNotNull(),
+        F.struct(element([a for a, _ in pairs], idx).alias("find"), element([b for _, b in pairs], idx).alias("repl")),
+    )
+
 
-    def hit(s):
-        return F.instr(hay, F.lower(s["find"]) if ci else s["find"]) > 0
+def first_hit(text: Column, pairs: Pairs, seed, pid: Column, tag: str, ci: bool = False,
+              low: Column | None = None, perm: Column | None = None) -> Column:
+    """The drawn-first swap pair that occurs, as ``STRUCT<find, repl>``."""
+    return hit_from_priority(hit_priority(text, pairs, seed, pid, tag, ci, low, perm), pairs)
 
-    best = F.array_min(F.transform(F.filter(arr, hit), lambda s: draw_u32(seed, pid, tag, s["i"]) * 64 + s["i"]))
-    return element_at1(arr, F.pmod(best, F.lit(64)) + 1)
 
+def whole_numbers(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WHOLE_NUMBER), 0)
 
-def inject_wrong_type(text: Column, seed, pid: Column, swaps: Pairs = K.TYPE_SWAPS) -> Column:
+
+def inject_wrong_type(text: Column, hit: Column) -> Column:
     """First drawn type swap that occurs (case-sensitive), replaced once;
     else the first ``.`` gets a note; no ``.`` leaves the text unchanged."""
-    hit = _first_hit(text, swaps, seed, pid, "type")
     return F.when(hit.isNotNull(), replace_first(text, hit["find"], hit["repl"])).otherwise(
         replace_first(text, ".", K.WRONG_TYPE_NOTE)
     )
 
 
-def inject_factual_error(text: Column, seed, pid: Column, swaps: Pairs = K.FACTUAL_SWAPS) -> Column:
+def inject_factual_error(text: Column, hit: Column, low: Column | None = None) -> Column:
     """I4: case-insensitive find, spliced at the position found in the
     lower-cased text; else a false claim is appended."""
-    hit = _first_hit(text, swaps, seed, pid, "fact", ci=True)
-    pos = F.instr(F.lower(text), F.lower(hit["find"]))
+    low = low if low is not None else F.lower(text)
+    pos = F.instr(low, F.lower(hit["find"]))
     return F.when(hit.isNotNull(), splice_at(text, pos, F.length(hit["find"]), hit["repl"])).otherwise(
         F.concat(text, F.lit(K.FACTUAL_FALLBACK))
     )
 
 
-def inject_off_by_one(text: Column, seed, pid: Column, swaps: Pairs = K.RANGE_SWAPS) -> Column:
+def inject_off_by_one(text: Column, hit: Column, nums: Column, k: Column, delta: Column) -> Column:
     """One drawn whole number moves by a drawn +-1 (arbitrary size via
     DECIMAL(38,0); leading zeros are lost as with int()); without numbers a
     drawn range swap, else a boundary note after the first ``.``."""
-    nums = F.regexp_extract_all(text, F.lit(WHOLE_NUMBER), 0)
     n = F.size(nums)
-    k = draw(seed, pid, "num", n=n)
-    delta = F.when(draw(seed, pid, "sign", n=2) == 0, F.lit(-1)).otherwise(F.lit(1))
-    moved = F.try_add(nums[k].try_cast("decimal(38,0)"), delta)
-    moved_s = moved.cast("string")
+    moved_s = F.try_add(nums[k].try_cast("decimal(38,0)"), delta).cast("string")
     pieces = F.split(text, WHOLE_NUMBER, -1)
     new_nums = F.transform(nums, lambda x, i: F.when(i == k, moved_s).otherwise(x))
     rebuilt = F.array_join(F.zip_with(pieces, new_nums, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
-    hit = _first_hit(text, swaps, seed, pid, "range")
     return (
         F.when((n > 0) & moved_s.isNotNull(), rebuilt)
         .when(n > 0, text)  # digit run beyond DECIMAL(38,0): left unchanged
@@ -85,10 +139,9 @@ def inject_off_by_one(text: Column, seed, pid: Column, swaps: Pairs = K.RANGE_SW
     )
 
 
-def inject_logic_inversion(text: Column, seed, pid: Column, swaps: Pairs = K.LOGIC_SWAPS) -> Column:
+def inject_logic_inversion(text: Column, hit: Column) -> Column:
     """Drawn-first comparison/term swap replaced once; else
     correctly -> incorrectly; else an inversion note is appended."""
-    hit = _first_hit(text, swaps, seed, pid, "logic")
     return (
         F.when(hit.isNotNull(), replace_first(text, hit["find"], hit["repl"]))
         .when(F.instr(text, F.lit("correctly")) > 0, replace_first(text, "correctly", "incorrectly"))
@@ -96,10 +149,9 @@ def inject_logic_inversion(text: Column, seed, pid: Column, swaps: Pairs = K.LOG
     )
 
 
-def inject_cascade_dependency(text: Column, seed, pid: Column, swaps: Pairs = K.DEPENDENCY_SWAPS) -> Column:
+def inject_cascade_dependency(text: Column, hit: Column) -> Column:
     """Drawn-first name swap replaced everywhere; else the first
     ``return`` becomes ``yield``; else a marker is appended."""
-    hit = _first_hit(text, swaps, seed, pid, "dep")
     return (
         F.when(hit.isNotNull(), F.replace(text, hit["find"], hit["repl"]))
         .when(F.instr(text, F.lit("return")) > 0, replace_first(text, "return", "yield"))
@@ -107,15 +159,72 @@ def inject_cascade_dependency(text: Column, seed, pid: Column, swaps: Pairs = K.
     )
 
 
-def inject(error_type: Column, text: Column, seed, pid: Column) -> Column:
-    """I8: dispatch by error type (NULL for an unknown type)."""
+def swap_perm(error_type: Column, seed, pid: Column) -> Column:
+    """:func:`perm_hex` for the swap bank of ``error_type``."""
+    out = None
+    for et, pairs in SWAP_BANKS.items():
+        h = perm_hex(seed, pid, SWAP_TAGS[et], len(pairs))
+        out = F.when(error_type == et, h) if out is None else out.when(error_type == et, h)
+    return out
+
+
+def _by_type(error_type: Column, make) -> Column:
+    out = None
+    for et, pairs in SWAP_BANKS.items():
+        v = make(et, pairs)
+        out = F.when(error_type == et, v) if out is None else out.when(error_type == et, v)
+    return out
+
+
+def swap_priority(error_type: Column, text: Column, seed, pid: Column, low: Column | None = None,
+                  perm: Column | None = None) -> Column:
+    """:func:`hit_priority` over the swap bank of ``error_type``."""
+    return _by_type(error_type, lambda et, pairs: hit_priority(
+        text, pairs, seed, pid, SWAP_TAGS[et], ci=(et == "factual_error"), low=low, perm=perm))
+
+
+def swap_hit(error_type: Column, best: Column) -> Column:
+    """``STRUCT<find, repl>`` for a materialized :func:`swap_priority`."""
+    return _by_type(error_type, lambda et, pairs: hit_from_priority(best, pairs))
+
+
+def inject(error_type: Column, text: Column, hit: Column, low: Column, nums: Column, k: Column,
+           delta: Column) -> Column:
+    """I8: dispatch by error type (NULL for an unknown type). ``hit`` comes
+    from :func:`swap_hit`, ``nums`` are the whole numbers of the text, ``k``
+    the drawn number index and ``delta`` the drawn +-1 - all materialized
+    columns (see :func:`inject_column`) so each is evaluated once per row."""
     return (
-        F.when(error_type == "wrong_type", inject_wrong_type(text, seed, pid))
-        .when(error_type == "factual_error", inject_factual_error(text, seed, pid))
-        .when(error_type == "off_by_one", inject_off_by_one(text, seed, pid))
-        .when(error_type == "logic_inversion", inject_logic_inversion(text, seed, pid))
-        .when(error_type == "cascade_dependency", inject_cascade_dependency(text, seed, pid))
+        F.when(error_type == "wrong_type", inject_wrong_type(text, hit))
+        .when(error_type == "factual_error", inject_factual_error(text, hit, low))
+        .when(error_type == "off_by_one", inject_off_by_one(text, hit, nums, k, delta))
+        .when(error_type == "logic_inversion", inject_logic_inversion(text, hit))
+        .when(error_type == "cascade_dependency", inject_cascade_dependency(text, hit))
+    )
+
+
+def inject_column(df: DataFrame, error_type: str, text: str, pid: str, out: str, seed: int = 42,
+                  keywords_out: str | None = None) -> DataFrame:
+    """Inject one fault into ``text`` by ``error_type`` (and optionally
+    extract the fix keywords of the clean text) as a narrow map.
+
+    Intermediate columns - the lower-cased text, the priority string, the
+    winning priority, the hit and the number list - are materialized in
+    their own projections: each is referenced several times downstream, so
+    the optimizer keeps them instead of inlining (and re-evaluating) them.
+    """
+    et, t, p = F.col(error_type), F.col(text), F.col(pid)
+    d = df.withColumn("_low", F.lower(t)).withColumn("_perm", swap_perm(et, seed, p))
+    d = d.withColumn("_best", swap_priority(et, t, seed, p, F.col("_low"), F.col("_perm"))).withColumn(
+        "_nums", F.when(et == "off_by_one", whole_numbers(t))
     )
+    d = d.withColumn("_hit", swap_hit(et, F.col("_best"))).withColumn(
+        "_k", draw(seed, p, "num", n=F.size("_nums"))
+    ).withColumn("_delta", F.when(draw(seed, p, "sign", n=2) == 0, F.lit(-1)).otherwise(F.lit(1)))
+    d = d.withColumn(out, inject(et, t, F.col("_hit"), F.col("_low"), F.col("_nums"), F.col("_k"), F.col("_delta")))
+    if keywords_out:
+        d = d.withColumn(keywords_out, fix_keywords(et, t, F.col("_low"), F.col("_nums")))
+    return d.drop("_low", "_perm", "_best", "_nums", "_hit", "_k", "_delta")
 
 
 def error_description(error_type: Column, step_id: Column, role: Column) -> Column:
@@ -128,39 +237,45 @@ def error_description(error_type: Column, step_id: Column, role: Column) -> Colu
 # ---------------------------------------------------------------------------
 
 
+def _present(terms: Sequence[str], text: Column, lower: bool = False) -> Column:
+    """The literal terms that occur in ``text``, in list order (terms are
+    lower-cased first when ``text`` is)."""
+    return F.array_compact(
+        F.array(*[F.when(F.instr(text, F.lit(t.lower() if lower else t)) > 0, F.lit(t)) for t in terms])
+    )
+
+
 def _or_default(found: Column, default: Sequence[str]) -> Column:
     return F.when(F.size(found) > 0, F.slice(found, 1, K.MAX_KEYWORDS)).otherwise(lit_array(default))
 
 
-def keywords_factual(original: Column, swaps: Pairs = K.FACTUAL_SWAPS) -> Column:
-    low = F.lower(original)
-    found = F.filter(lit_array([a for a, _ in swaps]), lambda t: F.contains(low, F.lower(t)))
-    return _or_default(found, K.KEYWORDS_FACTUAL_DEFAULT)
+def keywords_factual(original: Column, swaps: Pairs = K.FACTUAL_SWAPS, low: Column | None = None) -> Column:
+    low = low if low is not None else F.lower(original)
+    return _or_default(_present([a for a, _ in swaps], low, lower=True), K.KEYWORDS_FACTUAL_DEFAULT)
 
 
-def keywords_numeric(original: Column) -> Column:
-    nums = F.slice(F.regexp_extract_all(original, F.lit(WHOLE_NUMBER), 0), 1, 3)
+def keywords_numeric(original: Column, nums: Column | None = None) -> Column:
+    nums = F.slice(nums if nums is not None else whole_numbers(original), 1, 3)
     return F.slice(F.concat(nums, lit_array(K.KEYWORDS_NUMERIC_TAIL)), 1, K.MAX_KEYWORDS)
 
 
-def keywords_logic(original: Column) -> Column:
-    low = F.lower(original)
-    found = F.filter(lit_array(K.LOGIC_TERMS), lambda t: F.contains(low, F.lower(t)))
-    return _or_default(found, K.KEYWORDS_LOGIC_DEFAULT)
+def keywords_logic(original: Column, low: Column | None = None) -> Column:
+    low = low if low is not None else F.lower(original)
+    return _or_default(_present(K.LOGIC_TERMS, low, lower=True), K.KEYWORDS_LOGIC_DEFAULT)
 
 
 def keywords_dependency(original: Column) -> Column:
-    found = F.filter(lit_array(K.DEPENDENCY_TERMS), lambda t: F.contains(original, t))
-    return _or_default(found, K.KEYWORDS_DEPENDENCY_DEFAULT)
+    return _or_default(_present(K.DEPENDENCY_TERMS, original), K.KEYWORDS_DEPENDENCY_DEFAULT)
 
 
-def fix_keywords(error_type: Column, original: Column) -> Column:
+def fix_keywords(error_type: Column, original: Column, low: Column | None = None,
+                 nums: Column | None = None) -> Column:
     """K1-K5 by error type."""
     return (
         F.when(error_type == "wrong_type", lit_array(K.KEYWORDS_WRONG_TYPE))
-        .when(error_type == "factual_error", keywords_factual(original))
-        .when(error_type == "off_by_one", keywords_numeric(original))
-        .when(error_type == "logic_inversion", keywords_logic(original))
+        .when(error_type == "factual_error", keywords_factual(original, low=low))
+        .when(error_type == "off_by_one", keywords_numeric(original, nums))
+        .when(error_type == "logic_inversion", keywords_logic(original, low))
         .when(error_type == "cascade_dependency", keywords_dependency(original))
     )
 
@@ -180,10 +295,21 @@ def choose_error(level: Column, seed, pid: Column) -> Column:
 
 
 def patch_step(steps: Column, step_id: Column, text: Column) -> Column:
-    """P5: replace the output of exactly one step of a nested trace."""
-    return F.transform(
-        steps, lambda s: F.when(s["step_id"] == step_id, s.withField("output", text)).otherwise(s)
-    )
+    """P5: replace the output of exactly one step of a nested trace.
+
+    Built with ``slice``/``concat`` around the patched element rather than a
+    ``transform`` lambda: a lambda that references ``text`` would inline the
+    whole injector expression into every array element."""
+    pos = F.array_position(F.transform(steps, lambda s: s["step_id"]), step_id)
+    target = F.element_at(steps, pos.cast("int"))
+    return F.when(
+        pos > 0,
+        F.concat(
+            F.slice(steps, 1, (pos - 1).cast("int")),
+            F.array(target.withField("output", text)),
+            F.slice(steps, (pos + 1).cast("int"), F.size(steps)),
+        ),
+    ).otherwise(steps)
 
 
 def build_episodes(traces: DataFrame, per_trace: int = 5, seed: int = 42, prefix: str = "pipe") -> DataFrame:
@@ -209,7 +335,8 @@ def build_episodes(traces: DataFrame, per_trace: int = 5, seed: int = 42, prefix
     ).withColumn("error_type", choose_error(F.col("curriculum_level"), seed, pidc))
     target = element_at1(F.col("clean_pipeline"), F.col("injected_step"))
     ep = ep.withColumn("injected_role", target["role"]).withColumn("original_output", target["output"])
-    ep = ep.withColumn("corrupted_output", inject(F.col("error_type"), F.col("original_output"), seed, pidc))
+    ep = inject_column(ep, "error_type", "original_output", "pipeline_id", "corrupted_output", seed,
+                       keywords_out="expected_fix_keywords")
     return ep.select(
         "bank_pos",
         "pipeline_id",
@@ -228,5 +355,5 @@ def build_episodes(traces: DataFrame, per_trace: int = 5, seed: int = 42, prefix
         ),
         "original_output",
         "corrupted_output",
-        fix_keywords(F.col("error_type"), F.col("original_output")).alias("expected_fix_keywords"),
+        "expected_fix_keywords",
     )

@@ -60,14 +60,21 @@ def replace_first(t: str, f: str, r: str) -> str:
     )
 
 
+PRIO_HEX = 6
+
+
+def perm(pid: str, tag: str, n_pairs: int) -> str:
+    n_md5 = (PRIO_HEX * n_pairs + 31) // 32
+    return "(" + " || ".join(f"md5({key(pid, q(tag), q(str(j)))})" for j in range(n_md5)) + ")"
+
+
 def first_hit(t: str, pairs, pid: str, tag: str, ci: bool = False) -> str:
     arr = swaps(pairs)
     hay = f"lower({t})" if ci else t
     needle = "lower(s.find)" if ci else "s.find"
-    best = (
-        f"list_min(list_transform(list_filter({arr}, lambda s: strpos({hay}, {needle}) > 0), "
-        f"lambda s: {u32(pid, q(tag), 's.i')} * 64 + s.i))"
-    )
+    pm = perm(pid, tag, len(pairs))
+    prio = f"CAST('0x' || substr({pm}, {PRIO_HEX} * s.i + 1, {PRIO_HEX}) AS BIGINT) * 64 + s.i"
+    best = f"list_min(list_transform(list_filter({arr}, lambda s: strpos({hay}, {needle}) > 0), lambda s: {prio}))"
     return f"({arr})[({best}) % 64 + 1]"
 
 
