@@ -136,16 +136,21 @@ def conversation_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def lineitem_bank(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
+def lineitem_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materialized: bool = True) -> DataFrame:
+    """Episode bank from B1 traces, checkpointed (see ``plans.materialize``)."""
     from faultlens.operators.inject import build_episodes
+    from faultlens.plans.materialize import materialize
 
-    return build_episodes(lineitem_traces(spark, sf_dir), seed=seed, prefix="li")
+    bank = build_episodes(lineitem_traces(spark, sf_dir), seed=seed, prefix="li")
+    return materialize(bank) if materialized else bank
 
 
-def conversation_bank(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
+def conversation_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materialized: bool = True) -> DataFrame:
     from faultlens.operators.inject import build_episodes
+    from faultlens.plans.materialize import materialize
 
-    return build_episodes(conversation_traces(spark, sf_dir), seed=seed, prefix="cv")
+    bank = build_episodes(conversation_traces(spark, sf_dir), seed=seed, prefix="cv")
+    return materialize(bank) if materialized else bank
 
 
 # ---------------------------------------------------------------------------
