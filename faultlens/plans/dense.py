@@ -5,7 +5,10 @@ into one task. When a single run or level may hold a third of all rows that
 task is the whole job. ``dense_index`` instead
 
 1. range-partitions on ``(g, o)`` and sorts inside each range, so a hot
-   group is spread over many tasks;
+   group is spread over many tasks. The ranged frame is checkpointed
+   (reliably, into ``spark.checkpoint.dir``) because it is read twice and
+   the range bounds come from sampling seeded per RDD: two independent
+   evaluations would cut the ranges differently;
 2. numbers rows locally with ``monotonically_increasing_id`` (sequential
    within a sorted partition);
 3. aggregates one ``(partition, group) -> count, first id`` row per range
@@ -26,6 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.plans.materialize import materialize
+
 
 def dense_index(
     df: DataFrame,
@@ -37,7 +42,7 @@ def dense_index(
     spark = df.sparkSession
     n = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     keys = [*part_cols, *order_cols]
-    ranged = (
+    ranged = materialize(
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_rp", F.spark_partition_id())

@@ -2,9 +2,242 @@
 
 from __future__ import annotations
 
+from faultlens.functions import constants as K
 from oracle import sql as S
+from oracle.sql import D, q
+
+BANK = [S.LI_STEPS, S.bank_ctes("li", "li")]
+
+
+def W(*ctes: str) -> str:
+    return S.with_(*BANK, *ctes)
+
+
+def _score(variant: str) -> str:
+    fix, o, kw, c = "fix_content", "original_output", "expected_fix_keywords", "corrupted_output"
+    r1 = S.loc("fault_step_id", "injected_step", "curriculum_level")
+    r2 = S.blame("blame_role", "injected_role")
+    if variant == "server":
+        rule = S.gate_rule("fault_step_id", "blame_role", fix, "n_steps", c, kw)
+        acc = f"(action_type IN ('propose', 'revise') AND ({rule}) IS NULL)"
+        r3, r4 = S.fix_score(fix, o, kw, c, True), S.precision("1", acc)
+    elif variant == "train":
+        r3, r4 = S.fix_score(fix, o, kw, c, False), D(0.2)
+    elif variant == "grade":
+        r3, r4 = S.fix_simple(fix, kw, 0.3, True), D(K.GRADER_PRECISION)
+    else:
+        r3, r4 = S.fix_simple(fix, kw, 0.0, False), D(K.INFERENCE_PRECISION)
+    total = S.wtotal("localization", "blame", "fix", "precision")
+    if variant in ("server", "infer"):
+        total = S.round4(total)
+    return W(S.LI_ACT, f"""sc AS (SELECT pipeline_id, {r1} AS localization, {r2} AS blame, {r3} AS fix, {r4} AS precision
+                                 FROM li_acted)""") + f"\nSELECT pipeline_id, localization, blame, fix, precision, {total} AS total FROM sc"
+
+
+def _verify(fix: str, kw: str, role: str) -> dict:
+    low = f"lower({fix})"
+    n = f"coalesce(len({kw}), 0)"
+
+    def kwpart(w):
+        return f"(CASE WHEN {n} > 0 THEN {D(w)} * (CAST({S.hits(fix, kw)} AS DOUBLE) / CAST({n} AS DOUBLE)) ELSE {D(0.0)} END)"
+
+    def any_in(text, terms):
+        return "(" + " OR ".join(f"contains({text}, {q(t)})" for t in terms) + ")"
+
+    def count_in(text, terms):
+        return "(" + " + ".join(f"(CASE WHEN contains({text}, {q(t)}) THEN 1 ELSE 0 END)" for t in terms) + ")"
+
+    words = f"len({S.tokens(fix)})"
+    res = (f"least({kwpart(0.6)} + (CASE WHEN {any_in(low, K.EXPLANATION_INDICATORS)} THEN {D(0.2)} ELSE {D(0.0)} END) + "
+           f"(CASE WHEN {words} >= 10 AND {words} <= 200 THEN {D(0.2)} WHEN {words} > 5 THEN {D(0.1)} ELSE {D(0.0)} END), {D(1.0)})")
+    lines = f"len(string_split({S.utrim(fix)}, chr(10)))"
+    code = f"least(CAST({count_in(fix, K.CODE_INDICATORS)} AS DOUBLE) / {D(3.0)}, {D(1.0)})"
+    cod = (f"least({kwpart(0.5)} + {D(0.3)} * {code} + (CASE WHEN {lines} >= 2 AND {lines} <= 50 THEN {D(0.2)} "
+           f"WHEN {lines} = 1 AND length({fix}) > 20 THEN {D(0.1)} ELSE {D(0.0)} END), {D(1.0)})")
+    has_num = f"regexp_matches({fix}, '[0-9]')"
+    has_term = any_in(low, K.QUANT_TERMS)
+    ana = (f"least({kwpart(0.5)} + (CASE WHEN {has_num} AND {has_term} THEN {D(0.3)} WHEN {has_num} OR {has_term} "
+           f"THEN {D(0.15)} ELSE {D(0.0)} END) + (CASE WHEN {count_in(fix, K.REPORT_INDICATORS)} >= 2 THEN {D(0.2)} "
+           f"ELSE {D(0.0)} END), {D(1.0)})")
+    generic = f"(CASE WHEN {n} > 0 THEN CAST({S.hits(fix, kw)} AS DOUBLE) / CAST({n} AS DOUBLE) ELSE {D(0.0)} END)"
+    routed = (f"(CASE WHEN {S.is_blank(fix)} THEN {D(0.0)} WHEN {role} = 'Researcher' THEN {res} WHEN {role} = 'Coder' "
+              f"THEN {cod} WHEN {role} = 'Analyst' THEN {ana} ELSE {generic} END)")
+    return {"researcher": res, "coder": cod, "analyst": ana, "routed": routed}
+
+
+def _verify_fix() -> str:
+    v = _verify("fix_content", "expected_fix_keywords", "blame_role")
+    return W(S.LI_ACT) + (f"\nSELECT pipeline_id, {v['researcher']} AS researcher, {v['coder']} AS coder, "
+                          f"{v['analyst']} AS analyst, {v['routed']} AS routed FROM li_acted")
+
+
+def _logic_kw(t: str) -> str:
+    found = f"list_filter({S.lst(K.LOGIC_TERMS)}, lambda x: contains(lower({t}), lower(x)))"
+    return f"(CASE WHEN len({found}) > 0 THEN ({found})[1:{K.MAX_KEYWORDS}] ELSE {S.lst(K.KEYWORDS_LOGIC_DEFAULT)} END)"
+
+
+def _verify_documents() -> str:
+    role = S.elem(S.ROLES_BAD, "doc_id % 4")
+    v = _verify("text", "kw", "role")
+    return (f"WITH d AS (SELECT doc_id, text, {_logic_kw('text')} AS kw, {role} AS role FROM documents)\n"
+            f"SELECT doc_id, CAST(len({S.tokens('text')}) AS BIGINT) AS n_words, {S.share('text', 'kw', 0.5)} AS keyword_share, "
+            f"{v['researcher']} AS researcher, {v['coder']} AS coder, {v['analyst']} AS analyst, {v['routed']} AS routed "
+            f"FROM d")
+
+
+def _fix_components() -> str:
+    fix, o, kw, c = "fix_content", "original_output", "expected_fix_keywords", "corrupted_output"
+    return W(S.LI_ACT) + (
+        f"\nSELECT pipeline_id, {S.share(fix, kw, 0.5)} AS keyword_share, {S.not_corrupt(fix, c)} AS not_corrupt, "
+        f"{S.length_fit(fix, o)} AS length_fit, {S.word_overlap(fix, o)} AS word_overlap, "
+        f"{S.fix_score(fix, o, kw, c, True)} AS fix_server, {S.fix_score(fix, o, kw, c, False)} AS fix_train, "
+        f"{S.fix_simple(fix, kw, 0.3, True)} AS fix_grade, {S.fix_simple(fix, kw, 0.0, False)} AS fix_infer FROM li_acted")
+
+
+def _gate() -> str:
+    rule = S.gate_rule("fault_step_id", "blame_role", "fix_content", "n_steps", "corrupted_output", "expected_fix_keywords")
+    fb = S.gate_feedback("violated_rule", "fault_step_id", "blame_role", "n_steps", "expected_fix_keywords")
+    return W(S.LI_ACT, f"g AS (SELECT *, {rule} AS violated_rule FROM li_acted)") + (
+        f"\nSELECT pipeline_id, violated_rule IS NULL AS accepted, violated_rule, {fb} AS feedback FROM g")
+
+
+def _validate_actions() -> str:
+    roles = ", ".join(q(r) for r in K.ROLES)
+    types = ", ".join(q(t) for t in K.ACTION_TYPES)
+    parts = [
+        "CASE WHEN fault_step_id IS NULL OR fault_step_id < 1 OR fault_step_id > 6 THEN 'fault_step_id' END",
+        f"CASE WHEN blame_role IS NULL OR blame_role NOT IN ({roles}) THEN 'blame_role' END",
+        "CASE WHEN fix_content IS NULL OR length(fix_content) < 1 THEN 'fix_content' END",
+        f"CASE WHEN action_type IS NULL OR action_type NOT IN ({types}) THEN 'action_type' END",
+    ]
+    arr = "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
+    return W(S.LI_ACT) + f"\nSELECT pipeline_id, array_to_string({arr}, ',') AS violations FROM li_act"
+
+
+def _validate_observations() -> str:
+    arr = ("list_filter([CASE WHEN turn IS NULL OR turn < 1 THEN 'turn' END, CASE WHEN curriculum_level IS NULL OR "
+           "curriculum_level < 1 OR curriculum_level > 3 THEN 'curriculum_level' END], lambda x: x IS NOT NULL)")
+    return W(S.LI_ATT, """obs AS (SELECT a.episode_id, a.attempt_no, a.attempt_no - 1 AS turn, b.curriculum_level
+                               FROM li_att a JOIN li_bank b ON a.episode_id = b.pipeline_id)""") + (
+        f"\nSELECT episode_id, attempt_no, array_to_string({arr}, ',') AS violations FROM obs")
+
+
+def _parse(strict: bool) -> str:
+    p = S.parse_sql("text", strict)
+    cols = ", ".join(f"{v} AS {k}" for k, v in p.items())
+    return W(S.LI_ACT, S.LI_COMP) + f"\nSELECT pipeline_id, {cols} FROM li_comp"
+
+
+def _completion_text() -> str:
+    kind = S.draw("4", "pipeline_id", q("mform"))
+    return W(S.LI_ACT, S.LI_COMP) + (
+        f"\nSELECT pipeline_id, CASE {kind} WHEN 0 THEN text WHEN 1 THEN text ELSE '' END AS text FROM li_comp")
+
+
+def _pool(level: int) -> str:
+    """Level pool with a 0-based index in bank order (whole bank if empty)."""
+    return f"""pool AS (
+  SELECT *, row_number() OVER (ORDER BY bank_pos) - 1 AS level_idx FROM li_bank
+  WHERE curriculum_level = {level} OR NOT EXISTS (SELECT 1 FROM li_bank WHERE curriculum_level = {level})
+), pool_n AS (SELECT count(*) AS n FROM pool)"""
+
+
+def _sample_with_replacement() -> str:
+    d = S.draw("(SELECT n FROM pool_n)", "bank_pos", q("wr"))
+    return W(_pool(2), f"dr AS (SELECT bank_pos AS draw_no, {d} AS level_idx FROM li_bank)") + (
+        "\nSELECT dr.draw_no, dr.level_idx, pool.pipeline_id FROM dr JOIN pool ON dr.level_idx = pool.level_idx")
+
+
+def _sample_cyclic() -> str:
+    return W(_pool(3), "dr AS (SELECT bank_pos AS completion_no, (bank_pos + 7) % (SELECT n FROM pool_n) AS level_idx FROM li_bank)") + (
+        "\nSELECT dr.completion_no, dr.level_idx, pool.pipeline_id FROM dr JOIN pool ON dr.level_idx = pool.level_idx")
+
+
+def _sample_one() -> str:
+    return W() + (" SELECT curriculum_level, arg_min(pipeline_id, md5(concat_ws(':', '42', 'one', pipeline_id)) || pipeline_id) "
+                  "AS pipeline_id FROM li_bank GROUP BY curriculum_level")
+
+
+def _head_per_level() -> str:
+    return W() + (" SELECT curriculum_level, pipeline_id, bank_pos FROM (SELECT *, row_number() OVER (PARTITION BY "
+                  "curriculum_level ORDER BY bank_pos) AS rn FROM li_bank) WHERE rn <= 100")
+
+
+def _baseline(src: str, seed_sql: str, fix: str, tag: str) -> str:
+    step = S.draw(f"greatest(len(corrupted_pipeline), 1)", "pipeline_id", q(tag + "_step"))
+    role = S.elem(K.ROLES, S.draw("3", "pipeline_id", q(tag + "_role")))
+    return (f"SELECT *, CAST({step} + 1 AS BIGINT) AS fault_step_id, {role} AS blame_role, {q(fix)} AS fix_content "
+            f"FROM {src}")
+
+
+def _flagship() -> str:
+    fix, o, kw, c = "fix_content", "original_output", "expected_fix_keywords", "corrupted_output"
+    sc = (f"SELECT curriculum_level AS level, {S.loc('fault_step_id', 'injected_step', 'curriculum_level')} AS localization, "
+          f"{S.blame('blame_role', 'injected_role')} AS blame, {S.fix_score(fix, o, kw, c, False)} AS fix, {D(0.2)} AS precision "
+          f"FROM act")
+    return W(f"act AS ({_baseline('li_bank', '42', K.BASELINE_FIX_OFFLINE, 'base')})", f"sc AS ({sc})",
+             f"tot AS (SELECT *, {S.wtotal('localization', 'blame', 'fix', 'precision')} AS total FROM sc)") + (
+        f"\nSELECT level, CAST(count(*) AS BIGINT) AS n, {S.bp_mean('total')} AS mean_total, "
+        f"{S.bp_mean('localization')} AS mean_localization, {S.bp_mean('blame')} AS mean_blame, "
+        f"{S.bp_mean('fix')} AS mean_fix FROM tot GROUP BY level")
+
+
+def _baseline_report() -> str:
+    fix, o, kw, c = "fix_content", "original_output", "expected_fix_keywords", "corrupted_output"
+    head = ("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY curriculum_level ORDER BY bank_pos) AS rn "
+            "FROM li_bank) WHERE rn <= 100")
+    sc = (f"SELECT curriculum_level AS level, {S.loc('fault_step_id', 'injected_step', 'curriculum_level')} AS localization, "
+          f"{S.blame('blame_role', 'injected_role')} AS blame, {S.fix_score(fix, o, kw, c, False)} AS fix, {D(0.2)} AS precision "
+          f"FROM act")
+    return W(f"head AS ({head})", f"act AS ({_baseline('head', '42', K.BASELINE_FIX_OFFLINE, 'offline')})", f"sc AS ({sc})",
+             f"tot AS (SELECT *, {S.wtotal('localization', 'blame', 'fix', 'precision')} AS total FROM sc)") + (
+        f"\nSELECT level, CAST(count(*) AS BIGINT) AS n, {S.bp_mean('total')} AS mean_total FROM tot GROUP BY level")
+
+
+def _grade() -> str:
+    parts = []
+    for level, seed in K.GRADER_SEEDS.items():
+        pool = (f"SELECT *, row_number() OVER (ORDER BY bank_pos) - 1 AS level_idx FROM li_bank WHERE curriculum_level = {level} "
+                f"OR NOT EXISTS (SELECT 1 FROM li_bank WHERE curriculum_level = {level})")
+        pick = f"SELECT * FROM ({pool}) p WHERE level_idx = {seed} % (SELECT count(*) FROM ({pool}) z)"
+        saved = S.SEED
+        S.SEED = seed
+        act = _baseline(f"({pick})", str(seed), K.BASELINE_FIX_GRADER, "grade")
+        S.SEED = saved
+        fixs = S.fix_simple("fix_content", "expected_fix_keywords", 0.3, True)
+        sc = (f"SELECT {level} AS level, pipeline_id, {S.loc('fault_step_id', 'injected_step', 'curriculum_level')} AS localization, "
+              f"{S.blame('blame_role', 'injected_role')} AS blame, {fixs} AS fix, {D(K.GRADER_PRECISION)} AS precision "
+              f"FROM ({act}) a")
+        parts.append(sc)
+    u = " UNION ALL ".join(parts)
+    tgt = " UNION ALL ".join(f"SELECT {lv} AS level, {D(t)} AS target" for lv, t in K.TARGET_MEAN_BY_LEVEL.items())
+    return W(f"u AS ({u})", f"tot AS (SELECT *, {S.wtotal('localization', 'blame', 'fix', 'precision')} AS total FROM u)",
+             f"tg AS ({tgt})") + (
+        "\nSELECT tot.level, pipeline_id, localization, blame, fix, precision, total, target, total > target AS meets_target "
+        "FROM tot LEFT JOIN tg ON tot.level = tg.level")
+
 
 ORACLES: dict[str, str] = {
     "bank_lineitem": S.bank_query("li"),
     "bank_conversations": S.bank_query("cv"),
+    "flagship": _flagship(),
+    "score_server": _score("server"),
+    "score_train": _score("train"),
+    "score_grade": _score("grade"),
+    "score_infer": _score("infer"),
+    "fix_components": _fix_components(),
+    "verify_fix": _verify_fix(),
+    "verify_documents": _verify_documents(),
+    "gate": _gate(),
+    "validate_actions": _validate_actions(),
+    "validate_observations": _validate_observations(),
+    "parse_strict": _parse(True),
+    "parse_lenient": _parse(False),
+    "completion_text": _completion_text(),
+    "sample_one": _sample_one(),
+    "head_per_level": _head_per_level(),
+    "sample_with_replacement": _sample_with_replacement(),
+    "sample_cyclic": _sample_cyclic(),
+    "grade": _grade(),
+    "baseline_report": _baseline_report(),
 }

@@ -278,3 +278,264 @@ BANK_COLUMNS = """
 def bank_query(src: str) -> str:
     base = LI_BANK if src == "li" else CV_BANK
     return f"{base}\nSELECT {BANK_COLUMNS} FROM {src}_bank"
+
+
+# ---------------------------------------------------------------------------
+# Scoring fragments
+# ---------------------------------------------------------------------------
+
+def tokens(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, {q(WS + '+')}), lambda t: t <> '')"
+
+
+def utrim(x: str) -> str:
+    return f"regexp_replace({x}, {q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+
+
+def is_blank(x: str) -> str:
+    return f"({x} IS NULL OR {utrim(x)} = '')"
+
+
+def hits(fix: str, kw: str) -> str:
+    return f"len(list_filter({kw}, lambda k: contains(lower(coalesce({fix}, '')), lower(k))))"
+
+
+def share(fix: str, kw: str, empty: float) -> str:
+    return (f"(CASE WHEN coalesce(len({kw}), 0) > 0 THEN CAST({hits(fix, kw)} AS DOUBLE) / "
+            f"CAST(len({kw}) AS DOUBLE) ELSE {D(empty)} END)")
+
+
+def not_corrupt(fix: str, c: str) -> str:
+    return f"(CASE WHEN coalesce({c}, '') <> '' AND lower({fix}) = lower(coalesce({c}, '')) THEN {D(0.0)} ELSE {D(1.0)} END)"
+
+
+def length_fit(fix: str, o: str) -> str:
+    r = f"(CAST(length({fix}) AS DOUBLE) / CAST(length(coalesce({o}, '')) AS DOUBLE))"
+    return (f"(CASE WHEN coalesce({o}, '') = '' THEN {D(0.5)} WHEN {r} >= {D(0.3)} AND {r} <= {D(3.0)} THEN {D(1.0)} "
+            f"WHEN {r} < {D(0.3)} THEN {r} / {D(0.3)} ELSE greatest({D(0.0)}, {D(1.0)} - ({r} - {D(3.0)}) / {D(7.0)}) END)")
+
+
+def word_overlap(fix: str, o: str) -> str:
+    ow = f"list_distinct({tokens(f'lower(coalesce({o}, ' + chr(39) * 2 + '))')})"
+    return (f"(CASE WHEN len({ow}) > 0 THEN CAST(len(list_intersect({ow}, {tokens(f'lower({fix})')})) AS DOUBLE) / "
+            f"CAST(len({ow}) AS DOUBLE) ELSE {D(0.0)} END)")
+
+
+def round4(x: str) -> str:
+    return f"(floor({x} * {D(10000.0)} + {D(0.5)}) / {D(10000.0)})"
+
+
+def fix_score(fix: str, o: str, kw: str, c: str, rounded: bool) -> str:
+    total = (f"({D(K.FIX_W_KEYWORD)} * {share(fix, kw, 0.5)} + {D(K.FIX_W_NOT_CORRUPT)} * {not_corrupt(fix, c)} + "
+             f"{D(K.FIX_W_LENGTH)} * {length_fit(fix, o)} + {D(K.FIX_W_OVERLAP)} * {word_overlap(fix, o)})")
+    clipped = f"least(greatest({total}, {D(0.0)}), {D(1.0)})"
+    v = round4(clipped) if rounded else clipped
+    return f"(CASE WHEN {is_blank(fix)} THEN {D(0.0)} ELSE {v} END)"
+
+
+def fix_simple(fix: str, kw: str, empty: float, blank_zero: bool) -> str:
+    s_ = share(fix, kw, empty)
+    return f"(CASE WHEN {is_blank(fix)} THEN {D(0.0)} ELSE {s_} END)" if blank_zero else s_
+
+
+def loc(pred: str, true: str, level: str) -> str:
+    return (f"(CASE WHEN {pred} = {true} THEN {D(1.0)} WHEN {level} = 1 AND abs({pred} - {true}) = 1 THEN {D(0.3)} "
+            f"ELSE {D(0.0)} END)")
+
+
+def blame(pred: str, true: str) -> str:
+    return f"(CASE WHEN {pred} = {true} THEN {D(1.0)} ELSE {D(0.0)} END)"
+
+
+def precision(turn: str, acc: str) -> str:
+    a = f"coalesce({acc}, false)"
+    return (f"(CASE WHEN {turn} > {K.MAX_TURNS} THEN {D(0.0)} WHEN {a} AND {turn} = 1 THEN {D(1.0)} "
+            f"WHEN {a} THEN {D(0.6)} ELSE {D(0.2)} END)")
+
+
+def wtotal(r1: str, r2: str, r3: str, r4: str) -> str:
+    return (f"({D(K.W_LOCALIZATION)} * {r1} + {D(K.W_BLAME)} * {r2} + {D(K.W_FIX)} * {r3} + "
+            f"{D(K.W_PRECISION)} * {r4})")
+
+
+# ---------------------------------------------------------------------------
+# Gate fragments
+# ---------------------------------------------------------------------------
+
+def py_str(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), 'None')"
+
+
+def hint(kw: str) -> str:
+    k = f"coalesce({kw}, []::VARCHAR[])"
+    out = q(K.HINT_DEFAULT)
+    for frag, area in reversed(K.HINT_AREAS):
+        out = f"(CASE WHEN len(list_filter({k}, lambda x: contains(lower(x), {q(frag.lower())}))) > 0 THEN {q(area)} ELSE {out} END)"
+    return out
+
+
+def gate_rule(step: str, role: str, fix: str, n: str, c: str, kw: str) -> str:
+    has_kw = f"len(list_filter(coalesce({kw}, []::VARCHAR[]), lambda k: contains(lower(coalesce({fix}, '')), lower(k)))) > 0"
+    roles = ", ".join(q(r) for r in K.ROLES)
+    return (f"(CASE WHEN {is_blank(fix)} THEN 'empty_fix' "
+            f"WHEN {step} IS NULL OR {step} < 1 OR {step} > {n} THEN 'invalid_step_id' "
+            f"WHEN {role} IS NULL OR {role} NOT IN ({roles}) THEN 'invalid_role' "
+            f"WHEN lower({utrim(fix)}) = lower({utrim(f'coalesce({c}, {chr(39) * 2})')}) THEN 'identical_to_corrupt' "
+            f"WHEN coalesce(len({kw}), 0) > 0 AND NOT ({has_kw}) THEN 'missing_keywords' END)")
+
+
+def gate_feedback(rule: str, step: str, role: str, n: str, kw: str) -> str:
+    rh, rt = K.FEEDBACK_ROLE.split("{role}")
+    kh, kt = K.FEEDBACK_KEYWORDS.split("{hint}")
+    return (f"(CASE {rule} WHEN 'empty_fix' THEN {q(K.FEEDBACK_EMPTY)} "
+            f"WHEN 'invalid_step_id' THEN 'REJECTED: fault_step_id=' || {py_str(step)} || ' is out of range [1, ' || "
+            f"CAST({n} AS VARCHAR) || ']. Pick a valid step.' "
+            f"WHEN 'invalid_role' THEN {q(rh)} || {py_str(role)} || {q(rt)} "
+            f"WHEN 'identical_to_corrupt' THEN {q(K.FEEDBACK_IDENTICAL)} "
+            f"WHEN 'missing_keywords' THEN {q(kh)} || {hint(kw)} || {q(kt)} END)")
+
+
+# ---------------------------------------------------------------------------
+# Drawn actions / attempts / completions (B4-B6) and the reward log
+# ---------------------------------------------------------------------------
+
+ROLES_BAD = K.ROLES + ["Reviewer"]
+
+
+def drawn_fix(keyc: str, tag: str) -> str:
+    return (f"(CASE {draw('5', keyc, q(tag))} WHEN 0 THEN original_output WHEN 1 THEN corrupted_output "
+            f"WHEN 2 THEN substr(original_output, 1, 12) WHEN 3 THEN {q(K.BASELINE_FIX_GRADER)} ELSE '  ' END)")
+
+
+LI_ACT = f"""
+li_act AS (
+  SELECT pipeline_id, bank_pos,
+         {draw('len(corrupted_pipeline) + 2', 'pipeline_id', q('guess'))} AS fault_step_id,
+         {elem(ROLES_BAD, draw('4', 'pipeline_id', q('role')))} AS blame_role,
+         {drawn_fix('pipeline_id', 'fix')} AS fix_content,
+         {elem(K.ACTION_TYPES, draw('3', 'pipeline_id', q('atype')))} AS action_type
+  FROM li_bank
+),
+li_acted AS (
+  SELECT a.*, b.curriculum_level, CAST(len(b.corrupted_pipeline) AS INTEGER) AS n_steps, b.injected_step,
+         b.injected_role, b.error_type, b.original_output, b.corrupted_output, b.expected_fix_keywords
+  FROM li_act a JOIN li_bank b ON a.pipeline_id = b.pipeline_id
+)"""
+
+LI_ATT = f"""
+li_att0 AS (
+  SELECT *, unnest(range(1, CAST({draw('3', 'pipeline_id', q('n_att'))} + 2 AS BIGINT))) AS attempt_no FROM li_bank
+),
+li_att1 AS (SELECT *, pipeline_id || '#' || CAST(attempt_no AS VARCHAR) AS akey FROM li_att0),
+li_att AS (
+  SELECT pipeline_id AS episode_id, CAST(attempt_no AS INTEGER) AS attempt_no,
+         {draw('len(corrupted_pipeline)', 'akey', q('guess'))} + 1 AS fault_step_id,
+         {elem(ROLES_BAD, draw('4', 'akey', q('role')))} AS blame_role,
+         {drawn_fix('akey', 'fix')} AS fix_content,
+         {elem(K.ACTION_TYPES, draw('3', 'akey', q('atype')))} AS action_type
+  FROM li_att1
+)"""
+
+
+def json_str(x: str) -> str:
+    e = x
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        e = f"replace({e}, {q(a)}, {q(b)})"
+    return f"('\"' || {e} || '\"')"
+
+
+LI_COMP = f"""
+li_comp0 AS (
+  SELECT pipeline_id, bank_pos, fault_step_id, blame_role, fix_content, action_type,
+         CAST(fault_step_id AS VARCHAR) AS st,
+         {draw('6', 'pipeline_id', q('srep'))} AS srep, {draw('5', 'pipeline_id', q('rrep'))} AS rrep,
+         {draw('2', 'pipeline_id', q('hasat'))} AS hasat, {draw('5', 'pipeline_id', q('ctext'))} AS kind
+  FROM li_act
+),
+li_comp1 AS (
+  SELECT *, '{{"fault_step_id": ' ||
+         (CASE srep WHEN 1 THEN '"' || st || '"' WHEN 2 THEN st || '.7' WHEN 3 THEN 'true' WHEN 4 THEN 'null' ELSE st END)
+         || ', "blame_role": ' ||
+         (CASE rrep WHEN 3 THEN {json_str('lower(blame_role)')} WHEN 4 THEN '7' ELSE {json_str('blame_role')} END)
+         || ', "fix_content": ' || {json_str('fix_content')} ||
+         (CASE WHEN hasat = 0 THEN ', "action_type": ' || {json_str('action_type')} ELSE '' END) AS body
+  FROM li_comp0
+),
+li_comp AS (
+  SELECT pipeline_id, bank_pos,
+    CASE kind WHEN 0 THEN body || '}}'
+      WHEN 1 THEN 'Step ' || st || {q(' looks wrong.' + chr(10))} || body || {q('}' + chr(10) + 'That is my answer.')}
+      WHEN 2 THEN body
+      WHEN 3 THEN '{{''fault_step_id'': ' || st || ', ''blame_role'': ''' || blame_role || ''', ''fix_content'': ''see above''}}'
+      ELSE 'I could not decide; maybe step ' || st || ' by the ' || lower(blame_role) || '.' END AS text
+  FROM li_comp1
+)"""
+
+SEP = '["' + WS[1:-1] + ':]+'
+
+
+def parse_sql(t: str, strict: bool) -> dict:
+    raw = f"regexp_extract({t}, {q(chr(92) + '{[^{}]*' + chr(92) + '}')}, 0)"
+    ok_json = f"({raw} <> '' AND json_valid({raw}))"
+    obj = f"(CASE WHEN {ok_json} THEN {raw} END)"
+    keys = f"json_keys({obj})"
+    has = lambda k: f"list_contains({keys}, {q(k)})"
+    val = "json_extract(" + obj + ", '$.fault_step_id')"
+    typ = f"json_type({val})"
+    j_step = (f"(CASE {typ} WHEN 'BIGINT' THEN TRY_CAST(json_extract_string({obj}, '$.fault_step_id') AS BIGINT) "
+              f"WHEN 'UBIGINT' THEN TRY_CAST(json_extract_string({obj}, '$.fault_step_id') AS BIGINT) "
+              f"WHEN 'DOUBLE' THEN TRY_CAST(trunc(CAST(json_extract_string({obj}, '$.fault_step_id') AS DOUBLE)) AS BIGINT) "
+              f"WHEN 'VARCHAR' THEN TRY_CAST(trim(json_extract_string({obj}, '$.fault_step_id')) AS BIGINT) "
+              f"WHEN 'BOOLEAN' THEN CASE WHEN json_extract_string({obj}, '$.fault_step_id') = 'true' THEN 1 ELSE 0 END END)")
+    j_role = f"json_extract_string({obj}, '$.blame_role')"
+    j_fix = f"json_extract_string({obj}, '$.fix_content')"
+    j_type = f"(CASE WHEN {has('action_type')} THEN json_extract_string({obj}, '$.action_type') ELSE 'submit' END)"
+    roles = ", ".join(q(r) for r in K.ROLES)
+    json_ok = (f"({ok_json} AND coalesce({has('fault_step_id')} AND {has('blame_role')} AND {has('fix_content')}, false) "
+               f"AND {j_step} IS NOT NULL" + (f" AND coalesce({j_role} IN ({roles}), false))" if strict else ")"))
+    step_s = f"regexp_extract({t}, {q('fault_step_id' + SEP + '([0-9]+)')}, 1)"
+    role_s = f"regexp_extract({t}, {q('blame_role' + SEP + chr(91) + chr(34) + chr(39) + ']?(Researcher|Coder|Analyst)')}, 1)"
+    fix_s = f"regexp_extract({t}, {q('(?s)fix_content' + SEP + '[' + chr(34) + chr(39) + '](.+?)[' + chr(34) + chr(39) + ']')}, 1)"
+    default_fix = K.PARSE_FIX_STRICT if strict else K.PARSE_FIX_LENIENT
+    return {
+        "fault_step_id": f"(CASE WHEN {json_ok} THEN {j_step} WHEN {step_s} = '' THEN CAST(1 AS BIGINT) "
+                         f"ELSE coalesce(TRY_CAST({step_s} AS BIGINT), -1) END)",
+        "blame_role": f"(CASE WHEN {json_ok} THEN {j_role} WHEN {role_s} = '' THEN 'Researcher' ELSE {role_s} END)",
+        "fix_content": f"(CASE WHEN {json_ok} THEN {j_fix} WHEN {fix_s} = '' THEN {q(default_fix)} ELSE {fix_s} END)",
+        "action_type": f"(CASE WHEN {json_ok} THEN {j_type} ELSE 'submit' END)",
+        "parse_path": f"(CASE WHEN {json_ok} THEN 'json' WHEN {step_s} = '' AND {role_s} = '' AND {fix_s} = '' "
+                      f"THEN 'default' ELSE 'regex' END)",
+    }
+
+
+EV_LOG = f"""
+ev_src AS (SELECT event_id, ts, user_id, user_id % 8 AS run_id FROM events),
+ev_num AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS step FROM ev_src),
+ev_d AS (
+  SELECT *, CAST({draw('4', 'event_id', q('true'))} + 1 AS INTEGER) AS true_step,
+         CAST({draw('4', 'event_id', q('pred'))} + 1 AS INTEGER) AS pred_step,
+         least(10000, (event_id * 7919) % 4001 + step * 6) AS bp
+  FROM ev_num
+),
+rlog AS (
+  SELECT CAST(run_id AS BIGINT) AS run_id, CAST(step AS BIGINT) AS step,
+         CAST({draw('3', 'event_id', q('level'))} + 1 AS INTEGER) AS level,
+         'ev_' || CAST(event_id AS VARCHAR) AS pipeline_id,
+         CASE WHEN pred_step = true_step THEN {D(1.0)} ELSE {D(0.0)} END AS r_loc,
+         CASE WHEN {draw('3', 'event_id', q('blame'))} = 0 THEN {D(1.0)} ELSE {D(0.0)} END AS r_blame,
+         CAST((event_id * 31) % 10001 AS DOUBLE) / {D(10000.0)} AS r_fix,
+         {D(0.2)} AS r_prec,
+         CAST(bp AS DOUBLE) / {D(10000.0)} AS r_total,
+         pred_step AS predicted_step, true_step,
+         {elem(K.ROLES, draw('3', 'event_id', q('prole')))} AS predicted_role,
+         {elem(K.ROLES, draw('3', 'event_id', q('trole')))} AS true_role
+  FROM ev_d
+)"""
+
+
+def bp(x: str) -> str:
+    return f"CAST(floor({x} * {D(10000.0)} + {D(0.5)}) AS BIGINT)"
+
+
+def bp_mean(x: str) -> str:
+    return f"(CAST(sum({bp(x)}) AS DOUBLE) / CAST(count({x}) AS DOUBLE) / {D(10000.0)})"
