@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions import constants as K
@@ -234,6 +234,12 @@ def target_check(scores: DataFrame, level_col: str = "level", score_col: str = "
     )
 
 
+def _fmt4(b: Column) -> Column:
+    """``f"{x:.4f}"`` for a non-negative value given in basis points."""
+    return F.concat((b / 10000).cast("bigint").cast("string"), F.lit("."),
+                    F.lpad(F.pmod(b, F.lit(10000)).cast("string"), 4, "0"))
+
+
 def task_score(steps: DataFrame, task_col: str = "task", step_col: str = "step_no", reward_col: str = "reward") -> DataFrame:
     """Per task - mean reward (4 decimals), step count, success flag
     and the comma-joined 4-decimal reward list in step order.
@@ -253,14 +259,14 @@ def task_score(steps: DataFrame, task_col: str = "task", step_col: str = "step_n
         "steps",
         score.alias("score"),
         F.lit(True).alias("success"),
-        F.array_join(F.transform("_rs", lambda x: F.format_string("%.4f", x["r"])), ",").alias("rewards"),
+        F.array_join(F.transform("_rs", lambda x: _fmt4(bp(x["r"]))), ",").alias("rewards"),
     )
 
 
 def run_status(log: DataFrame, planned_total: int | None = None, tail: int = 30) -> DataFrame:
     """Per run - completions so far, planned total, mean of the last
     ``tail`` rewards (fewer when short), current level."""
-    n = F.count(F.lit(1)).over(__import__("pyspark.sql").sql.Window.partitionBy("run_id"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("run_id"))
     last = log.withColumn("_n", n).where(F.col("step") > F.col("_n") - tail)
     tail_mean = last.groupBy("run_id").agg(bp_mean(F.col("r_total")).alias("recent_mean"))
     base = log.groupBy("run_id").agg(

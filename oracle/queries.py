@@ -241,3 +241,380 @@ ORACLES: dict[str, str] = {
     "grade": _grade(),
     "baseline_report": _baseline_report(),
 }
+
+
+# ---------------------------------------------------------------------------
+# Batch 2: replay, audits, reward-log analytics, projections, eval logs
+# ---------------------------------------------------------------------------
+
+CV = [S.CV_STEPS, S.bank_ctes("cv", "cv")]
+BOTH = "allbank AS (SELECT * FROM li_bank UNION ALL SELECT * FROM cv_bank)"
+
+
+def WB(*ctes: str) -> str:
+    return S.with_(*BANK, *CV, BOTH, *ctes)
+
+
+def _replay_ctes() -> list[str]:
+    kw, c = "expected_fix_keywords", "corrupted_output"
+    rule = S.gate_rule("fault_step_id", "blame_role", "fix_content", "n_steps", c, kw)
+    fb = S.gate_feedback("violated_rule", "fault_step_id", "blame_role", "n_steps", kw)
+    gated = "action_type IN ('propose', 'revise')"
+    return [
+        S.LI_ATT,
+        "f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY attempt_no) AS rn FROM li_att) WHERE rn <= 2)",
+        f"""j AS (SELECT f2.*, b.curriculum_level, CAST(len(b.corrupted_pipeline) AS INTEGER) AS n_steps, b.injected_step,
+                b.injected_role, b.original_output, b.corrupted_output, b.expected_fix_keywords
+                FROM f2 JOIN li_bank b ON f2.episode_id = b.pipeline_id)""",
+        f"g0 AS (SELECT *, {rule} AS violated_rule FROM j)",
+        f"g1 AS (SELECT *, violated_rule IS NULL AS accepted, {fb} AS feedback FROM g0)",
+        f"""g2 AS (SELECT *, (rn = 1 AND {gated} AND NOT accepted) AS rej1 FROM g1)""",
+        """g3 AS (SELECT *, max(CASE WHEN rej1 THEN 1 ELSE 0 END) OVER (PARTITION BY episode_id) = 1 AS t1r,
+                max(CASE WHEN rej1 THEN feedback END) OVER (PARTITION BY episode_id) AS t1f FROM g2)""",
+        f"""g4 AS (SELECT *, CAST(rn AS INTEGER) AS turn, NOT (rn = 1 AND t1r) AS done, ({gated} AND accepted) AS gacc
+                FROM g3 WHERE rn = 1 OR t1r)""",
+        f"""g5 AS (SELECT *, {S.loc('fault_step_id', 'injected_step', 'curriculum_level')} AS loc,
+                {S.blame('blame_role', 'injected_role')} AS bl,
+                {S.fix_score('fix_content', 'original_output', kw, c, True)} AS fx,
+                {S.precision('turn', 'gacc')} AS pr FROM g4)""",
+        f"g6 AS (SELECT *, {S.round4(S.wtotal('loc', 'bl', 'fx', 'pr'))} AS tot FROM g5)",
+        f"""rep AS (SELECT episode_id, attempt_no, turn, action_type, gacc AS accepted,
+                CASE WHEN {gated} THEN violated_rule END AS violated_rule, t1f AS feedback, done,
+                CASE WHEN done THEN loc ELSE {D(0.0)} END AS r_loc, CASE WHEN done THEN bl ELSE {D(0.0)} END AS r_blame,
+                CASE WHEN done THEN fx ELSE {D(0.0)} END AS r_fix, CASE WHEN done THEN pr ELSE {D(0.0)} END AS r_prec,
+                CASE WHEN done THEN tot ELSE {D(0.0)} END AS reward FROM g6)""",
+    ]
+
+
+def _replay() -> str:
+    return W(*_replay_ctes()) + "\nSELECT * FROM rep"
+
+
+def _attempt_history() -> str:
+    return W(*_replay_ctes()) + """
+SELECT c.episode_id, c.step_count, e.effective_attempts, c.step_count - coalesce(e.effective_attempts, 0) AS ignored_attempts,
+       e.final_reward, CAST(e.history_len AS INTEGER) AS history_len
+FROM (SELECT episode_id, CAST(count(*) AS BIGINT) AS step_count FROM li_att GROUP BY episode_id) c
+LEFT JOIN (SELECT episode_id, CAST(count(*) AS BIGINT) AS effective_attempts, max(CASE WHEN done THEN reward END) AS final_reward,
+                  count(*) AS history_len FROM rep GROUP BY episode_id) e ON c.episode_id = e.episode_id"""
+
+
+def _level_or_all() -> str:
+    return S.with_(*CV) + """
+SELECT 3 AS requested, pipeline_id FROM cv_bank WHERE curriculum_level = 3 OR NOT EXISTS (SELECT 1 FROM cv_bank WHERE curriculum_level = 3)
+UNION ALL
+SELECT 4 AS requested, pipeline_id FROM cv_bank WHERE curriculum_level = 4 OR NOT EXISTS (SELECT 1 FROM cv_bank WHERE curriculum_level = 4)"""
+
+
+def _bank_stats() -> str:
+    dims = ["curriculum_level", "injected_step", "injected_role", "error_type", "domain"]
+    parts = [f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS n FROM li_bank GROUP BY {d}"
+             for d in dims]
+    parts.append("SELECT 'total' AS dimension, 'all' AS value, CAST(count(*) AS BIGINT) AS n FROM li_bank")
+    parts.append("SELECT 'unique_ids' AS dimension, 'all' AS value, CAST(count(DISTINCT pipeline_id) AS BIGINT) AS n FROM li_bank")
+    return W() + "\n" + " UNION ALL ".join(parts)
+
+
+def _uniformity_sql(src: str, include_zero: bool) -> str:
+    per = f"SELECT CAST(len(corrupted_pipeline) AS INTEGER) AS plen, injected_step, count(*) AS obs FROM {src} GROUP BY ALL"
+    if include_zero:
+        per = (f"SELECT s.plen, s.injected_step, coalesce(p.obs, 0) AS obs FROM "
+               f"(SELECT plen, unnest(range(1, plen + 1)) AS injected_step FROM (SELECT DISTINCT plen FROM ({per}))) s "
+               f"LEFT JOIN ({per}) p ON s.plen = p.plen AND s.injected_step = p.injected_step")
+    chi = "CAST(num AS DOUBLE) / CAST(plen * n_episodes AS DOUBLE)"
+    return f"""SELECT CAST(plen AS INTEGER) AS plen, CAST(n_episodes AS BIGINT) AS n_episodes, CAST(steps_seen AS BIGINT) AS steps_seen,
+       {chi} AS chi2, CASE WHEN {chi} < 20 THEN 'ok' WHEN {chi} < 50 THEN 'warn' ELSE 'fail' END AS status
+FROM (SELECT p.plen, t.n_episodes, sum(CAST(p.plen * p.obs - t.n_episodes AS HUGEINT) * CAST(p.plen * p.obs - t.n_episodes AS HUGEINT)) AS num,
+             count(*) AS steps_seen
+      FROM ({per}) p JOIN (SELECT plen, sum(obs) AS n_episodes FROM ({per}) GROUP BY plen) t ON p.plen = t.plen
+      GROUP BY p.plen, t.n_episodes)"""
+
+
+def _role_share_sql(src: str) -> str:
+    pct = f"CAST(count(*) AS DOUBLE) * {D(100.0)} / CAST((SELECT count(*) FROM {src}) AS DOUBLE)"
+    return (f"SELECT injected_role, CAST(count(*) AS BIGINT) AS n, {pct} AS pct, {pct} <= {D(60.0)} AS within_limit "
+            f"FROM {src} GROUP BY injected_role")
+
+
+def _guess_sql(src: str) -> str:
+    sh = f"CAST(count(*) AS DOUBLE) / CAST((SELECT count(*) FROM {src}) AS DOUBLE)"
+    return (f"SELECT CAST(injected_step AS VARCHAR) AS guess, CAST(count(*) AS BIGINT) AS n, {sh} AS share, "
+            f"{sh} < {D(0.4)} AS passes FROM {src} GROUP BY injected_step")
+
+
+KWQ = ("SELECT CAST(count(*) AS BIGINT) AS n_episodes, CAST(count_if(coalesce(len(expected_fix_keywords), 0) = 0) AS BIGINT) "
+       "AS empty_keywords, CAST(count_if(coalesce(len(expected_fix_keywords), 0) > 0 AND list_bool_and(list_transform("
+       "expected_fix_keywords, lambda k: length(k) <= 2))) AS BIGINT) AS trivial_keywords FROM {src}")
+NOOP = ("SELECT CAST(count(*) AS BIGINT) AS n_episodes, CAST(count_if(original_output IS NOT DISTINCT FROM corrupted_output) "
+        "AS BIGINT) AS identical FROM {src}")
+
+
+def _audit_bank() -> str:
+    u = _uniformity_sql("li_bank", False)
+    return W() + f"""
+SELECT 'step_uniformity' AS "check", 'plen=' || CAST(plen AS VARCHAR) AS subject, chi2 AS value, status FROM ({u})
+UNION ALL SELECT 'role_share', injected_role, pct, CASE WHEN within_limit THEN 'ok' ELSE 'warn' END FROM ({_role_share_sql('li_bank')})
+UNION ALL SELECT 'error_mix', 'level=' || CAST(curriculum_level AS VARCHAR) || ' ' || error_type, CAST(count(*) AS DOUBLE), 'info'
+          FROM li_bank GROUP BY curriculum_level, error_type
+UNION ALL SELECT 'keyword_quality', 'empty', CAST(empty_keywords AS DOUBLE), CASE WHEN empty_keywords = 0 THEN 'ok' ELSE 'warn' END
+          FROM ({KWQ.format(src='li_bank')})
+UNION ALL SELECT 'keyword_quality', 'trivial', CAST(trivial_keywords AS DOUBLE), CASE WHEN trivial_keywords = 0 THEN 'ok' ELSE 'warn' END
+          FROM ({KWQ.format(src='li_bank')})
+UNION ALL SELECT 'noop_corruptions', 'identical', CAST(identical AS DOUBLE), CASE WHEN identical = 0 THEN 'ok' ELSE 'warn' END
+          FROM ({NOOP.format(src='li_bank')})
+UNION ALL SELECT 'constant_guess', 'step=1', share, CASE WHEN passes THEN 'ok' ELSE 'fail' END FROM ({_guess_sql('li_bank')}) WHERE guess = '1'"""
+
+
+def _validate_bank() -> str:
+    return WB() + """
+SELECT pipeline_id, 'empty expected_fix_keywords' AS finding FROM allbank WHERE coalesce(len(expected_fix_keywords), 0) = 0
+UNION ALL
+SELECT NULL AS pipeline_id, 'Duplicate IDs found: ' || CAST(count(*) AS VARCHAR) || ' episodes but ' ||
+       CAST(count(DISTINCT pipeline_id) AS VARCHAR) || ' unique IDs' AS finding
+FROM allbank HAVING count(*) <> count(DISTINCT pipeline_id)"""
+
+
+LOG = S.with_(S.EV_LOG)
+
+
+def L(*ctes: str) -> str:
+    return S.with_(S.EV_LOG, *ctes)
+
+
+NRUN = "nr AS (SELECT run_id, CAST(count(*) AS BIGINT) AS n FROM rlog GROUP BY run_id)"
+
+
+def _cum(cols) -> str:
+    s_ = ", ".join(f"sum({S.bp(c)}) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS cum_{c}" for c in cols)
+    return f"cm AS (SELECT run_id, step, {s_} FROM rlog)"
+
+
+def _rolling(cols, policy: str, src_cols=None) -> str:
+    d5 = "least(50, CAST(floor(n / 5) AS BIGINT))"
+    w = {"c": f"CASE WHEN n > 20 THEN {d5} END",
+         "b": f"CASE WHEN n > 20 THEN {d5} WHEN n > 5 THEN 5 END",
+         "interim": "CASE WHEN n > 10 THEN least(30, CAST(floor(n / 3) AS BIGINT)) END"}[policy]
+    sel = ", ".join(
+        f"CAST(a.cum_{c} - coalesce(b.cum_{c}, 0) AS DOUBLE) / CAST(a.w AS DOUBLE) / {D(10000.0)} AS roll_{c}" for c in cols)
+    return (f"ww AS (SELECT run_id, {w} AS w FROM nr), "
+            f"aw AS (SELECT cm.*, ww.w FROM cm JOIN ww ON cm.run_id = ww.run_id WHERE ww.w > 1 AND cm.step >= ww.w)"
+            ) + f"|SELECT a.run_id, a.step, CAST(a.w AS INTEGER) AS w, {sel} FROM aw a LEFT JOIN cm b ON a.run_id = b.run_id AND b.step = a.step - a.w"
+
+
+def _rolling_q(cols, policy) -> str:
+    ctes, sel = _rolling(cols, policy).split("|")
+    return L(NRUN, _cum(cols), ctes) + "\n" + sel
+
+
+def _rolling_accuracy() -> str:
+    ctes, sel = _rolling(["correct"], "b").split("|")
+    acc = (f"acc AS (SELECT run_id, step, CASE WHEN predicted_step = true_step THEN {D(1.0)} ELSE {D(0.0)} END AS correct FROM rlog)")
+    cum = f"cm AS (SELECT run_id, step, sum({S.bp('correct')}) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS cum_correct FROM acc)"
+    return L(NRUN, acc, cum, ctes) + "\n" + sel.replace("FROM aw a", f", {D(1.0)} / {D(3.0)} AS chance FROM aw a")
+
+
+def _trailing(w: int) -> str:
+    return L() + f"""
+SELECT run_id, step, CASE WHEN step >= {w} THEN CAST(s AS DOUBLE) / CAST(c AS DOUBLE) / {D(10000.0)} END AS trailing_mean
+FROM (SELECT run_id, step, sum({S.bp('r_total')}) OVER wf AS s, count(*) OVER wf AS c FROM rlog
+      WINDOW wf AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW))"""
+
+
+def _curriculum(w: int, every: int) -> str:
+    t1, t2 = 4000 * w, 6000 * w
+    return L(f"""fr AS (SELECT run_id, step, sum({S.bp('r_total')}) OVER (PARTITION BY run_id ORDER BY step
+                  ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS s FROM rlog)""",
+             f"cand AS (SELECT * FROM fr WHERE step >= {w} AND step % {every} = 0)",
+             f"k1 AS (SELECT run_id, min(step) AS k1 FROM cand WHERE s > {t1} GROUP BY run_id)",
+             f"k2 AS (SELECT c.run_id, min(c.step) AS k2 FROM cand c JOIN k1 ON c.run_id = k1.run_id WHERE c.step > k1.k1 AND c.s > {t2} GROUP BY c.run_id)") + """
+SELECT r.run_id, r.step, CASE WHEN k1.k1 IS NULL OR r.step <= k1.k1 THEN 1 WHEN k2.k2 IS NULL OR r.step <= k2.k2 THEN 2 ELSE 3 END AS curriculum_level
+FROM rlog r LEFT JOIN k1 ON r.run_id = k1.run_id LEFT JOIN k2 ON r.run_id = k2.run_id"""
+
+
+def _final_mean() -> str:
+    return L(NRUN) + f"""
+SELECT r.run_id, CAST(sum({S.bp('r_total')}) AS DOUBLE) / CAST(count(*) AS DOUBLE) / {D(10000.0)} AS final_mean
+FROM rlog r JOIN nr ON r.run_id = nr.run_id WHERE r.step > nr.n - 50 GROUP BY r.run_id"""
+
+
+def _best_mean() -> str:
+    return L(NRUN, f"""fr AS (SELECT run_id, step, sum({S.bp('r_total')}) OVER (PARTITION BY run_id ORDER BY step
+                  ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS s FROM rlog)""") + f"""
+SELECT f.run_id, CAST(max(s) AS DOUBLE) / {D(50.0)} / {D(10000.0)} AS best_mean FROM fr f JOIN nr ON f.run_id = nr.run_id
+WHERE f.step >= least(50, nr.n) AND f.step <= greatest(least(50, nr.n), nr.n - 1) GROUP BY f.run_id"""
+
+
+def _early_late(policy: str) -> str:
+    ceil5 = "floor((n + 4) / 5)"
+    if policy == "floor_ceil":
+        ke, kl = "floor(n / 5)", ceil5
+    else:
+        ke = kl = "greatest(floor(n / 5), 1)"
+    v = S.bp("r_total")
+    hit = "CASE WHEN predicted_step = true_step THEN 1 ELSE 0 END"
+
+    def seg(cond):
+        return f"(CAST(sum(CASE WHEN {cond} THEN {v} END) AS DOUBLE) / CAST(count(CASE WHEN {cond} THEN 1 END) AS DOUBLE))"
+
+    e, l_ = f"step <= {ke}", f"step > n - {kl}"
+    ae, al = "step <= floor(n / 5)", f"step > n - {ceil5}"
+    return L(NRUN, "d AS (SELECT r.*, nr.n FROM rlog r JOIN nr ON r.run_id = nr.run_id)") + f"""
+SELECT run_id, n, early_mean, late_mean, late_mean - early_mean AS improvement,
+       CAST(coalesce(he, 0) AS DOUBLE) / CAST(greatest(ne, 1) AS DOUBLE) AS early_accuracy,
+       CAST(coalesce(hl, 0) AS DOUBLE) / CAST(greatest(nl, 1) AS DOUBLE) AS late_accuracy
+FROM (SELECT run_id, min(n) AS n, {seg(e)} / {D(10000.0)} AS early_mean, {seg(l_)} / {D(10000.0)} AS late_mean,
+             sum(CASE WHEN {ae} THEN {hit} END) AS he, count(CASE WHEN {ae} THEN 1 END) AS ne,
+             sum(CASE WHEN {al} THEN {hit} END) AS hl, count(CASE WHEN {al} THEN 1 END) AS nl
+      FROM d GROUP BY run_id)"""
+
+
+def _early_late_by_level() -> str:
+    v = S.bp("r_total")
+    return L(NRUN, "d AS (SELECT r.*, nr.n, greatest(floor(nr.n / 5), 10) AS n5 FROM rlog r JOIN nr ON r.run_id = nr.run_id)",
+             f"""g AS (SELECT run_id, level, sum(CASE WHEN step <= n5 THEN {v} END) AS sf, count(CASE WHEN step <= n5 THEN 1 END) AS cf,
+                   sum(CASE WHEN step > n - n5 THEN {v} END) AS sl, count(CASE WHEN step > n - n5 THEN 1 END) AS cl
+                   FROM d GROUP BY run_id, level)""",
+             "sp AS (SELECT run_id, unnest([1, 2, 3]) AS level FROM nr)") + f"""
+SELECT sp.run_id, CAST(sp.level AS INTEGER) AS level,
+       CASE WHEN coalesce(g.cf, 0) > 0 THEN CAST(g.sf AS DOUBLE) / CAST(g.cf AS DOUBLE) / {D(10000.0)} ELSE {D(0.0)} END AS first_mean,
+       CASE WHEN coalesce(g.cl, 0) > 0 THEN CAST(g.sl AS DOUBLE) / CAST(g.cl AS DOUBLE) / {D(10000.0)} ELSE {D(0.0)} END AS last_mean
+FROM sp LEFT JOIN g ON sp.run_id = g.run_id AND sp.level = g.level"""
+
+
+def _run_status() -> str:
+    return L(NRUN) + f"""
+SELECT nr.run_id, nr.n AS completions, b.level, coalesce(t.recent_mean, {D(0.0)}) AS recent_mean, CAST(2000 AS BIGINT) AS planned_total
+FROM nr JOIN (SELECT run_id, arg_max(level, step) AS level FROM rlog GROUP BY run_id) b ON nr.run_id = b.run_id
+LEFT JOIN (SELECT r.run_id, {S.bp_mean('r_total')} AS recent_mean FROM rlog r JOIN nr ON r.run_id = nr.run_id
+           WHERE r.step > nr.n - 30 GROUP BY r.run_id) t ON nr.run_id = t.run_id"""
+
+
+def fmt4(b: str) -> str:
+    return f"(CAST({b} // 10000 AS VARCHAR) || '.' || lpad(CAST({b} % 10000 AS VARCHAR), 4, '0'))"
+
+
+def py_str4(b: str) -> str:
+    frac = f"regexp_replace(lpad(CAST({b} % 10000 AS VARCHAR), 4, '0'), '0+$', '')"
+    return f"(CAST({b} // 10000 AS VARCHAR) || '.' || CASE WHEN {frac} = '' THEN '0' ELSE {frac} END)"
+
+
+TASKS = ("tk AS (SELECT 'run' || CAST(run_id AS VARCHAR) || '_' || CAST(CAST(floor((step - 1) / 10) AS BIGINT) AS VARCHAR) AS task, "
+         "(step - 1) % 10 + 1 AS step_no, step, predicted_step, predicted_role, r_total AS reward, "
+         + S.bp("r_total") + " AS b FROM rlog)")
+
+
+def _task_score() -> str:
+    return L(TASKS) + f"""
+SELECT task, CAST(count(*) AS BIGINT) AS steps,
+       CAST(floor(CAST(sum(b) AS DOUBLE) / CAST(count(*) AS DOUBLE) + {D(0.5)}) AS DOUBLE) / {D(10000.0)} AS score,
+       true AS success, string_agg({fmt4('b')}, ',' ORDER BY step) AS rewards
+FROM tk GROUP BY task"""
+
+
+def _eval_ctes() -> list[str]:
+    return [TASKS, f"""per AS (SELECT task, count(*) AS n, sum(b) AS sb, max(step_no) AS last,
+                 string_agg({fmt4('b')}, ',' ORDER BY step_no) AS rs FROM tk GROUP BY task)"""]
+
+
+def _eval_log() -> str:
+    sb = f"CAST(floor(CAST(sb AS DOUBLE) / CAST(n AS DOUBLE) + {D(0.5)}) AS BIGINT)"
+    return L(*_eval_ctes()) + f"""
+SELECT task, CAST(0 AS BIGINT) AS seq, '[START] task=' || task || ' env={K.DEFAULT_ENV_NAME} model=baseline_random' AS line FROM per
+UNION ALL
+SELECT tk.task, CAST(tk.step_no AS BIGINT), '[STEP]  step=' || CAST(tk.step_no AS VARCHAR) || ' action=fault_step=' ||
+       CAST(tk.predicted_step AS VARCHAR) || ',role=' || tk.predicted_role || ' reward=' || {fmt4('tk.b')} || ' done=' ||
+       CASE WHEN tk.step_no = per.last THEN 'true' ELSE 'false' END || ' error=null'
+FROM tk JOIN per ON tk.task = per.task
+UNION ALL
+SELECT task, CAST(last + 1 AS BIGINT), '[END]   success=true steps=' || CAST(n AS VARCHAR) || ' score=' || {py_str4(sb)} ||
+       ' rewards=' || rs FROM per"""
+
+
+def _parse_eval_log() -> str:
+    return L(*_eval_ctes()) + f"""
+SELECT tk.task, CAST(tk.step_no AS BIGINT) AS step_no, CAST(tk.predicted_step AS BIGINT) AS predicted_step, tk.predicted_role,
+       CAST({fmt4('tk.b')} AS DOUBLE) AS reward, tk.step_no = per.last AS done
+FROM tk JOIN per ON tk.task = per.task"""
+
+
+def _steps_text(col: str) -> str:
+    nl = "chr(10)"
+    return (f"array_to_string(list_transform({col}, lambda x: {nl} || '--- Step ' || CAST(x.step_id AS VARCHAR) || ' (' || "
+            f"x.role || ') ---' || {nl} || x.output || {nl}), '')")
+
+
+def _prompt(tmpl: str) -> str:
+    head, rest = tmpl.split("{brief}")
+    mid, tail = rest.split("{steps}")
+    return f"({q(head)} || task_brief || {q(mid)} || {_steps_text('corrupted_pipeline')} || {q(tail)})"
+
+
+def _render_prompt() -> str:
+    return W() + (f"\nSELECT pipeline_id, {_prompt(K.PROMPT_USER_LENIENT)} AS prompt_lenient, "
+                  f"{_prompt(K.PROMPT_USER_COMPACT)} AS prompt_compact FROM li_bank")
+
+
+def _messages() -> str:
+    system = K.SYSTEM_PROMPT_COMPACT.format(name=K.DEFAULT_AGENT_NAME)
+    return W() + (f"\nSELECT pipeline_id, 'system,user' AS roles, {q(system)} AS system, "
+                  f"{_prompt(K.PROMPT_USER_COMPACT)} AS user FROM li_bank")
+
+
+def _score_completions() -> str:
+    p = S.parse_sql("text", True)
+    cols = ", ".join(f"{v} AS {k}" for k, v in p.items())
+    fix, o, kw, c = "fix_content", "original_output", "expected_fix_keywords", "corrupted_output"
+    return W(S.LI_ACT, S.LI_COMP, _pool(1),
+             f"pc AS (SELECT bank_pos AS completion_no, {cols} FROM li_comp)",
+             "a AS (SELECT pc.*, pool.* FROM pc JOIN pool ON pc.completion_no % (SELECT n FROM pool_n) = pool.level_idx)",
+             f"""sc AS (SELECT completion_no, curriculum_level AS level, pipeline_id, {S.loc('fault_step_id', 'injected_step', 'curriculum_level')} AS loc,
+                 {S.blame('blame_role', 'injected_role')} AS bl, {S.fix_score(fix, o, kw, c, False)} AS fx, {D(0.2)} AS pr,
+                 fault_step_id, injected_step, blame_role, injected_role FROM a)""") + f"""
+SELECT CAST(0 AS BIGINT) AS run_id, CAST(row_number() OVER (ORDER BY completion_no) AS BIGINT) AS step, level, pipeline_id,
+       loc AS r_loc, bl AS r_blame, fx AS r_fix, pr AS r_prec, {S.wtotal('loc', 'bl', 'fx', 'pr')} AS r_total,
+       CAST(fault_step_id AS INTEGER) AS predicted_step, CAST(injected_step AS INTEGER) AS true_step,
+       blame_role AS predicted_role, injected_role AS true_role FROM sc"""
+
+
+ORACLES.update({
+    "replay": _replay(),
+    "attempt_history": _attempt_history(),
+    "level_or_all": _level_or_all(),
+    "validate_bank": _validate_bank(),
+    "bank_stats": _bank_stats(),
+    "step_uniformity": WB() + "\n" + _uniformity_sql("allbank", False),
+    "step_uniformity_zero": WB() + "\n" + _uniformity_sql("allbank", True),
+    "role_share": W() + "\n" + _role_share_sql("li_bank"),
+    "error_mix": W() + "\nSELECT curriculum_level, error_type, CAST(count(*) AS BIGINT) AS n FROM li_bank GROUP BY ALL",
+    "keyword_quality": WB() + "\n" + KWQ.format(src="allbank"),
+    "noop_corruptions": WB() + "\n" + NOOP.format(src="allbank"),
+    "constant_guess": W() + "\n" + _guess_sql("li_bank"),
+    "audit_bank": _audit_bank(),
+    "reward_log": LOG + "\nSELECT * FROM rlog",
+    "mean_by_level": LOG + (f"\nSELECT level, CAST(count(*) AS BIGINT) AS n, {S.bp_mean('r_total')} AS mean_r_total, "
+                            f"{S.bp_mean('r_loc')} AS mean_r_loc, {S.bp_mean('r_fix')} AS mean_r_fix FROM rlog GROUP BY level"),
+    "trailing_mean": _trailing(100),
+    "rolling_curve": _rolling_q(["r_total", "r_loc", "r_blame", "r_fix", "r_prec"], "c"),
+    "rolling_curve_interim": _rolling_q(["r_total"], "interim"),
+    "rolling_accuracy": _rolling_accuracy(),
+    "curriculum_env": _curriculum(100, 1),
+    "curriculum_trainer": _curriculum(30, 20),
+    "final_mean": _final_mean(),
+    "best_mean": _best_mean(),
+    "early_late": _early_late("floor_ceil"),
+    "early_late_floor": _early_late("floor_floor"),
+    "early_late_by_level": _early_late_by_level(),
+    "run_status": _run_status(),
+    "task_score": _task_score(),
+    "observation_view": W() + ("\nSELECT pipeline_id, task_brief, 1 AS turn, CAST(NULL AS VARCHAR) AS gatekeeper_feedback, "
+                               "curriculum_level, CAST(len(corrupted_pipeline) AS INTEGER) AS n_steps FROM li_bank"),
+    "truth_view": W() + ("\nSELECT pipeline_id, curriculum_level, CAST(len(corrupted_pipeline) AS INTEGER) AS n_steps, "
+                         "injected_step, injected_role, error_type FROM li_bank"),
+    "explode_steps": W() + ("\nSELECT pipeline_id, s.step_id, s.role, s.output FROM "
+                            "(SELECT pipeline_id, unnest(corrupted_pipeline) AS s FROM li_bank)"),
+    "render_prompt": _render_prompt(),
+    "messages": _messages(),
+    "eval_log": _eval_log(),
+    "parse_eval_log": _parse_eval_log(),
+    "score_completions": _score_completions(),
+})
