@@ -142,7 +142,7 @@ def lineitem_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materializ
     from faultlens.plans.materialize import materialize
 
     bank = build_episodes(lineitem_traces(spark, sf_dir), seed=seed, prefix="li")
-    return materialize(bank) if materialized else bank
+    return materialize(bank, "bank") if materialized else bank
 
 
 def conversation_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materialized: bool = True) -> DataFrame:
@@ -150,7 +150,7 @@ def conversation_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materi
     from faultlens.plans.materialize import materialize
 
     bank = build_episodes(conversation_traces(spark, sf_dir), seed=seed, prefix="cv")
-    return materialize(bank) if materialized else bank
+    return materialize(bank, "bank") if materialized else bank
 
 
 # ---------------------------------------------------------------------------

@@ -5,10 +5,11 @@ into one task. When a single run or level may hold a third of all rows that
 task is the whole job. ``dense_index`` instead
 
 1. range-partitions on ``(g, o)`` and sorts inside each range, so a hot
-   group is spread over many tasks. The ranged frame is checkpointed
-   (reliably, into ``spark.checkpoint.dir``) because it is read twice and
-   the range bounds come from sampling seeded per RDD: two independent
-   evaluations would cut the ranges differently;
+   group is spread over many tasks. The ranged frame (with its partition id
+   and local id as columns) is written to the shared checkpoint folder and
+   read back, because it is read twice and the range bounds come from
+   sampling seeded per RDD: two independent evaluations would cut the
+   ranges differently;
 2. numbers rows locally with ``monotonically_increasing_id`` (sequential
    within a sorted partition);
 3. aggregates one ``(partition, group) -> count, first id`` row per range
@@ -46,7 +47,8 @@ def dense_index(
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_rp", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn("_mid", F.monotonically_increasing_id()),
+        "ranged",
     )
     pieces = ranged.groupBy("_rp", *part_cols).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first")

@@ -1,10 +1,12 @@
 """Materialization points.
 
 The episode bank is built once and read by every downstream analytic
-(scoring, gating, replay, audits). It is cut out of the lineage with a
-reliable ``checkpoint()`` into the cluster's ``spark.checkpoint.dir``:
+(scoring, gating, replay, audits). It is written as a Parquet table into the
+cluster's shared ``spark.checkpoint.dir`` and read back:
 
-* lost executors re-read the checkpoint instead of re-running injection;
+* lost executors re-read the table instead of re-running injection;
+* downstream scans get column pruning and predicate pushdown (an audit
+  reading five columns does not touch the trace texts);
 * downstream plans start from a plain scan, so filters the optimizer infers
   (join keys, ``explode`` inputs) are not pushed back through the staged
   injection projections, where alias substitution would re-expand every
@@ -13,11 +15,16 @@ reliable ``checkpoint()`` into the cluster's ``spark.checkpoint.dir``:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from faultlens.session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/faultlens-{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
