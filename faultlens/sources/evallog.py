@@ -73,10 +73,14 @@ def format_eval_log(steps: DataFrame, model: str = "baseline_random", env: str =
 
 
 def write_eval_log(lines: DataFrame, path: str) -> None:
-    """One text file per task partition: a task's lines stay together and
-    in order (sorted within partitions)."""
-    (lines.repartition("task").sortWithinPartitions("task", "seq").select("line")
-     .write.mode("overwrite").text(path))
+    """Write the lines as text. Each task's lines (a bounded block: the loop
+    caps a task at 10 steps) are folded into one row in sequence order, so a
+    task never straddles two files whatever the partitioning."""
+    blocks = lines.groupBy("task").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]),
+                     "\n").alias("block")
+    )
+    blocks.select("block").write.mode("overwrite").text(path)
 
 
 STEP_RE = r"^\[STEP\]\s+step=(\d+) action=fault_step=(-?\d+),role=(\S*) reward=([0-9.]+) done=(true|false) error=(\S+)$"
@@ -109,5 +113,5 @@ def read_eval_log(spark, path: str) -> DataFrame:
     """Read eval-log files: one row per file (``wholetext``), exploded into
     ``(source, seq, line)`` - a file is one evaluation run, so the window
     in ``parse_eval_log`` stays inside one file."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("source", F.input_file_name())
+    files = spark.read.text(path, wholetext=True).withColumn("source", F.input_file_name())
     return files.select("source", F.posexplode(F.split("value", "\n")).alias("seq", "line")).where(F.col("line") != "")
