@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -23,11 +24,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: cuts
     lineage, and a lost executor re-reads the table instead of recomputing it."""
     path = f"{scratch_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{k: str(v) for k, v in (options or {}).items()}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,3 +63,24 @@ def slices(offsets: np.ndarray, limit: int):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh_name(df: DataFrame, want: str) -> str:
+    """A column name that ``df`` does not have."""
+    while want.lower() in {c.lower() for c in df.columns}:
+        want += "_"
+    return want
+
+
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, key, text)``: the key is the id and a hash of the text, so rows that
+    share an id but not the text are decided apart."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    return docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows whose key (see ``with_key``) is in ``rejected(key)``."""
+    gone = rejected.select(F.col("key.id").alias("gone_id"), F.col("key.hash").alias("gone_hash")).distinct()
+    same = docs[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["gone_hash"])
+    return docs.join(gone, same, "left_anti")
