@@ -3,8 +3,8 @@
 These turn the given parquet tables into the data model of this library so
 every registered query reads real tables and grows with them.
 
-B1 ``lineitem``      -> numeric ASCII traces (one trace per order, 3-6 lines)
-B2 ``conversations`` -> multilingual traces (one per conversation)
+B1 ``lineitem``      -> numeric ASCII traces (an order's lines, six at most)
+B2 ``conversations`` -> multilingual traces (a conversation's turns, eight at most)
 B4 episodes          -> one drawn action per episode
 B5 episodes          -> 1-3 drawn attempts per episode
 B6 actions           -> completion texts (valid JSON, JSON in prose, broken)
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from faultlens.functions import constants as K
 from faultlens.functions.text import draw, element
 from faultlens.operators.traces import nest_steps, role_for_step
+from faultlens.plans.dense import dense_index
+from faultlens.plans.materialize import kept
 
 SEED = 42
 
@@ -42,24 +44,24 @@ def _level_for_length(n: Column) -> Column:
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
 
 
-def lineitem_steps(lineitem: DataFrame, min_steps: int = 3, max_steps: int = 6) -> DataFrame:
-    """Long-form traces from ``lineitem``: trace = order, step = line.
+def lineitem_steps(lineitem: DataFrame, max_steps: int = 6) -> DataFrame:
+    """Long-form traces from ``lineitem``: every line is one step. An order's lines,
+    in line order, are cut into consecutive traces of ``max_steps``; a trace is
+    named by the position of its first line among all lines.
 
-    Plan: a partial count per order (map-side combine, so a huge order costs
-    one row per map task), a filter to 3-6 lines, then an equi-join back and
-    a row number inside each (now bounded) order. Join, window and the later
-    nesting all share the hash partitioning on ``l_orderkey``: one shuffle of
-    the projected lineitem columns.
+    Plan: lines are numbered through by range pieces (``dense_index``), so an
+    order of any size is spread over tasks; the first number and the count per
+    order are partial aggregates, joined back on the order.
     """
-    li = lineitem.select(*(["l_orderkey"] + LINE_ORDER))
-    sizes = (
-        li.groupBy("l_orderkey")
-        .agg(F.count(F.lit(1)).cast("int").alias("n_steps"))
-        .where(F.col("n_steps").between(min_steps, max_steps))
-    )
-    kept = li.join(sizes, "l_orderkey")
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    kept = kept.withColumn("step_id", F.row_number().over(w))
+    li = dense_index(lineitem.select("l_orderkey", *LINE_ORDER), [], ["l_orderkey", *LINE_ORDER], "_line")
+    orders = li.groupBy("l_orderkey").agg(F.min("_line").alias("_start"), F.count(F.lit(1)).alias("_lines"))
+    orders = orders.withColumnRenamed("l_orderkey", "_order")
+    kept = li.join(orders, F.col("l_orderkey").eqNullSafe(F.col("_order")))
+    at = F.col("_line") - F.col("_start")
+    before = at - F.pmod(at, F.lit(max_steps))
+    kept = kept.withColumn("step_id", F.pmod(at, F.lit(max_steps)) + 1)
+    kept = kept.withColumn("trace_id", F.col("_start") + before - 1)
+    kept = kept.withColumn("n_steps", F.least(F.lit(max_steps), F.col("_lines") - before).cast("int"))
     idx0 = F.col("step_id") - 1
     role = role_for_step(idx0)
     ok, pk, sk = _s(F.col("l_orderkey")), _s(F.col("l_partkey")), _s(F.col("l_suppkey"))
@@ -87,7 +89,7 @@ def lineitem_steps(lineitem: DataFrame, min_steps: int = 3, max_steps: int = 6)
     analyst = F.when(F.pmod(F.col("l_partkey"), F.lit(2)) == 0, analyst_b).otherwise(analyst_a)
     output = F.when(role == "Researcher", researcher).when(role == "Coder", coder).otherwise(analyst)
     return kept.select(
-        F.col("l_orderkey").alias("trace_id"),
+        "trace_id",
         F.col("step_id").cast("int").alias("step_id"),
         role.alias("role"),
         output.alias("output"),
@@ -109,48 +111,63 @@ def lineitem_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def conversation_steps(conversations: DataFrame) -> DataFrame:
-    """Long-form traces from ``conversations``: step = turn + 1, role cyclic."""
-    c = conversations.select("conv_id", "turn", "text")
-    sizes = c.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n_steps"))
-    c = c.join(sizes, "conv_id")
-    return c.select(
-        F.col("conv_id").alias("trace_id"),
-        (F.col("turn") + 1).cast("int").alias("step_id"),
+TURNS = 8
+
+
+def conversation_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2 in nested form: step = turn, role cyclic; a conversation is cut into
+    traces of ``TURNS`` turns, so none of any length meets in one row. The trace
+    length comes from the nested steps: one shuffle, no join."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    part = F.floor(F.col("turn") / F.lit(TURNS))
+    steps = c.select(
+        "conv_id",
+        (F.shiftleft(F.col("conv_id"), 20) + part).alias("trace_id"),
+        (F.pmod("turn", F.lit(TURNS)) + 1).cast("int").alias("step_id"),
         role_for_step(F.col("turn")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("output"),
-        F.concat(F.lit("Continue conversation "), _s(F.col("conv_id")), F.lit(" over "), _s(F.col("n_steps")),
-                 F.lit(" turns.")).alias("task_brief"),
+    )
+    nested = nest_steps(steps, ("trace_id", "conv_id"))
+    n = F.size("steps")
+    return nested.select(
+        "trace_id",
+        _level_for_length(n).alias("curriculum_level"),
+        F.concat(F.lit("Continue conversation "), _s(F.col("conv_id")), F.lit(" over "), _s(n), F.lit(" turns.")).alias("task_brief"),
         element(K.DOMAINS, F.pmod(F.col("conv_id"), F.lit(len(K.DOMAINS)))).alias("domain"),
-        F.col("n_steps"),
-        _level_for_length(F.col("n_steps")).alias("curriculum_level"),
+        "steps",
     )
 
 
-def conversation_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nest_steps(conversation_steps(table(spark, sf_dir, "conversations")))
-
-
 # ---------------------------------------------------------------------------
 # Episode banks
 # ---------------------------------------------------------------------------
 
 
-def lineitem_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materialized: bool = True) -> DataFrame:
-    """Episode bank from B1 traces, checkpointed (see ``plans.materialize``)."""
-    from faultlens.operators.inject import build_episodes
-    from faultlens.plans.materialize import materialize
+def _bank(spark: SparkSession, sf_dir: str, seed: int, source: str, traces, materialized: bool) -> DataFrame:
+    """Episodes of a trace table. The stored copy holds each trace once per episode;
+    the corrupted trace is the clean one with one step patched, formed on read."""
+    from faultlens.operators.inject import build_episodes, patch_step
 
-    bank = build_episodes(lineitem_traces(spark, sf_dir), seed=seed, prefix="li")
-    return materialize(bank, "bank") if materialized else bank
+    def built() -> DataFrame:
+        return build_episodes(traces(spark, sf_dir), seed=seed, prefix=source)
 
+    if not materialized:
+        return built()
+    stored = kept(spark, f"bank-{source}", (sf_dir, seed), lambda: built().drop("corrupted_pipeline"))
+    corrupted = patch_step(F.col("clean_pipeline"), F.col("injected_step"), F.col("corrupted_output"))
+    columns = stored.columns
+    at = columns.index("clean_pipeline") + 1
+    return stored.select(*columns[:at], corrupted.alias("corrupted_pipeline"), *columns[at:])
 
-def conversation_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materialized: bool = True) -> DataFrame:
-    from faultlens.operators.inject import build_episodes
-    from faultlens.plans.materialize import materialize
 
-    bank = build_episodes(conversation_traces(spark, sf_dir), seed=seed, prefix="cv")
-    return materialize(bank, "bank") if materialized else bank
+def lineitem_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materialized: bool = True) -> DataFrame:
+    """Episode bank from B1 traces, stored (see ``plans.materialize``)."""
+    return _bank(spark, sf_dir, seed, "li", lineitem_traces, materialized)
+
+
+def conversation_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materialized: bool = True) -> DataFrame:
+    """Episode bank from B2 traces, stored."""
+    return _bank(spark, sf_dir, seed, "cv", conversation_traces, materialized)
 
 
 # ---------------------------------------------------------------------------
@@ -158,7 +175,7 @@ def conversation_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materi
 # ---------------------------------------------------------------------------
 
 BAD_ROLE = "Reviewer"
-FIX_KINDS = 5  # original / corrupted / first 12 chars / constant / blank
+FIX_KINDS = 5  # original / corrupted / the first step's text / constant / blank
 
 
 def _drawn_fix(seed: int, key: Column, tag: str) -> Column:
@@ -166,7 +183,7 @@ def _drawn_fix(seed: int, key: Column, tag: str) -> Column:
     return (
         F.when(kind == 0, F.col("original_output"))
         .when(kind == 1, F.col("corrupted_output"))
-        .when(kind == 2, F.substring(F.col("original_output"), 1, 12))
+        .when(kind == 2, F.col("clean_pipeline")[0]["output"])
         .when(kind == 3, F.lit(K.BASELINE_FIX_GRADER))
         .otherwise(F.lit("  "))
     )
@@ -286,12 +303,15 @@ def completion_messages(comp: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def events_reward_log(spark: SparkSession, sf_dir: str, n_runs: int = 8, seed: int = SEED) -> DataFrame:
+    """B7, stored once per session."""
+    return kept(spark, "log", (sf_dir, n_runs, seed), lambda: _events_reward_log(spark, sf_dir, n_runs, seed))
+
+
+def _events_reward_log(spark: SparkSession, sf_dir: str, n_runs: int, seed: int) -> DataFrame:
     """run = user_id % 8, step = row number by (ts, event_id) within the
     run, reward in basis points ``least(10000, (event_id*7919) % 4001 + 6*step)``;
     predicted/true steps and roles drawn per event. Level and component
     columns are filled so every log consumer can run on it."""
-    from faultlens.plans.dense import dense_index
-
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     ev = ev.withColumn("run_id", F.pmod(F.col("user_id"), F.lit(n_runs)))
     ev = dense_index(ev, ["run_id"], ["ts", "event_id"], "step")

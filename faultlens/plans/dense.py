@@ -19,8 +19,9 @@ task is the whole job. ``dense_index`` instead
    AQE, which broadcasts the offsets only when their measured size is under
    the broadcast threshold and sort-merges otherwise.
 
-The result equals the plain window (tested against it); the order columns
-must make the order total, as they must for a plain row_number too.
+The result equals the plain window (tested against it, NULL groups included);
+the order columns must make the order total, as they must for a plain
+row_number too. Without part columns all rows form one group.
 """
 
 from __future__ import annotations
@@ -55,9 +56,13 @@ def dense_index(
     )
     w = Window.partitionBy(*part_cols).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select(
-        "_rp", *part_cols, "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off")
+        F.col("_rp").alias("_orp"), *[F.col(c).alias(f"_o_{c}") for c in part_cols], "_first",
+        F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
     )
-    joined = ranged.join(offsets, ["_rp", *part_cols])
-    return joined.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint")).drop(
-        "_rp", "_mid", "_first", "_off"
+    same = F.col("_rp") == F.col("_orp")
+    for c in part_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    joined = ranged.join(offsets, same)
+    return joined.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint")).select(
+        *df.columns, out
     )

@@ -1,8 +1,8 @@
 """Materialization points.
 
-The episode bank is built once and read by every downstream analytic
-(scoring, gating, replay, audits). It is written as a Parquet table into the
-cluster's shared ``spark.checkpoint.dir`` and read back:
+The episode bank and the reward log are built once and read by every
+downstream analytic (scoring, gating, replay, audits). They are written as
+Parquet tables into the cluster's shared ``spark.checkpoint.dir`` and read back:
 
 * lost executors re-read the table instead of re-running injection;
 * downstream scans get column pruning and predicate pushdown (an audit
@@ -11,20 +11,37 @@ cluster's shared ``spark.checkpoint.dir`` and read back:
   (join keys, ``explode`` inputs) are not pushed back through the staged
   injection projections, where alias substitution would re-expand every
   intermediate column into each predicate.
+
+Every table written here is deleted when the driver's JVM ends.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+from faultlens.session import delete_at_exit, ensure_checkpoint_dir
 
-from faultlens.session import ensure_checkpoint_dir
+_KEPT: dict[tuple, DataFrame] = {}
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/faultlens-{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultlens-{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(spark: SparkSession, name: str, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """One materialized copy of ``make()`` per session and key (its inputs and
+    parameters). A new session starts with none."""
+    session = spark._jsparkSession.sessionUUID()
+    for k in [k for k in _KEPT if k[0] != session]:
+        del _KEPT[k]
+    k = (session, name, *key)
+    if k not in _KEPT:
+        _KEPT[k] = materialize(make(), name)
+    return _KEPT[k]

@@ -44,16 +44,9 @@ def bank_columns(bank: DataFrame) -> DataFrame:
     )
 
 
-_BANKS: dict = {}
-
-
 def _bank(spark, sf_dir):
-    """The lineitem bank, materialized once per (session, directory)."""
-    key = (id(spark), sf_dir)
-    if key not in _BANKS:
-        _BANKS.clear()
-        _BANKS[key] = B.lineitem_bank(spark, sf_dir, SEED)
-    return _BANKS[key]
+    """The lineitem bank, stored once per session and directory."""
+    return B.lineitem_bank(spark, sf_dir, SEED)
 
 
 def _acted(spark, sf_dir, bank=None) -> DataFrame:

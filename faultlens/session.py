@@ -31,7 +31,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in SESSION_CONF.items():
         b = b.config(k, v)
     b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-    b = b.config("spark.driver.memory", os.environ.get("FAULTLENS_DRIVER_MEMORY", "16g"))
+    if "FAULTLENS_DRIVER_MEMORY" in os.environ:
+        b = b.config("spark.driver.memory", os.environ["FAULTLENS_DRIVER_MEMORY"])
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -39,11 +40,22 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) create a scratch folder for it."""
+    """The cluster's ``spark.checkpoint.dir``. Only a local master (tests, bench),
+    where driver and executors are one process, gets a scratch folder when it is
+    unset; anywhere else a machine-local folder would lose data, so it is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="faultlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        delete_at_exit(spark, d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path when the driver's JVM ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

@@ -165,15 +165,17 @@ LI_STEPS = f"""
 li_src AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate FROM lineitem
 ),
-li_sizes AS (
-  SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n_steps FROM li_src GROUP BY l_orderkey
-  HAVING count(*) BETWEEN 3 AND 6
+li_line AS (
+  SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity,
+              l_extendedprice) AS line FROM li_src
+),
+li_at AS (
+  SELECT *, min(line) OVER (PARTITION BY l_orderkey) AS start, count(*) OVER (PARTITION BY l_orderkey) AS n_lines FROM li_line
 ),
 li_num AS (
-  SELECT a.*, b.n_steps,
-         CAST(row_number() OVER (PARTITION BY a.l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-              l_shipdate, l_quantity, l_extendedprice) AS INTEGER) AS step_id
-  FROM li_src a JOIN li_sizes b ON a.l_orderkey = b.l_orderkey
+  SELECT *, CAST((line - start) % 6 + 1 AS INTEGER) AS step_id, (line - start) // 6 * 6 AS ahead,
+         start + (line - start) // 6 * 6 - 1 AS trace_id, CAST(least(6, n_lines - (line - start) // 6 * 6) AS INTEGER) AS n_steps
+  FROM li_at
 ),
 li_role AS (
   SELECT *, {role_sql('step_id - 1')} AS role,
@@ -182,7 +184,7 @@ li_role AS (
   FROM li_num
 ),
 li_steps AS (
-  SELECT l_orderkey AS trace_id, step_id, role,
+  SELECT trace_id, step_id, role,
     CASE role
       WHEN 'Researcher' THEN 'Line ' || ln || ' of order ' || ok || ': data for part ' || pk || ' from supplier ' || sk
            || ' arrives as sorted input in ascending order. The total quantity is ' || qq || ' units and the check is true.'
@@ -201,14 +203,14 @@ li_steps AS (
 )"""
 
 CV_STEPS = f"""
-cv_src AS (SELECT conv_id, turn, text FROM conversations),
-cv_sizes AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS n_steps FROM cv_src GROUP BY conv_id),
+cv_src AS (SELECT conv_id, turn, text, conv_id * 1048576 + turn // 8 AS trace_id FROM conversations),
+cv_sizes AS (SELECT trace_id, CAST(count(*) AS INTEGER) AS n_steps FROM cv_src GROUP BY trace_id),
 cv_steps AS (
-  SELECT a.conv_id AS trace_id, CAST(a.turn + 1 AS INTEGER) AS step_id, {role_sql('a.turn')} AS role,
+  SELECT a.trace_id, CAST(a.turn % 8 + 1 AS INTEGER) AS step_id, {role_sql('a.turn')} AS role,
          coalesce(a.text, '') AS output,
          'Continue conversation ' || {s('a.conv_id')} || ' over ' || {s('b.n_steps')} || ' turns.' AS task_brief,
          {domain_sql('a.conv_id')} AS domain, b.n_steps, {level_sql('b.n_steps')} AS curriculum_level
-  FROM cv_src a JOIN cv_sizes b ON a.conv_id = b.conv_id
+  FROM cv_src a JOIN cv_sizes b ON a.trace_id = b.trace_id
 )"""
 
 
@@ -404,7 +406,7 @@ ROLES_BAD = K.ROLES + ["Reviewer"]
 
 def drawn_fix(keyc: str, tag: str) -> str:
     return (f"(CASE {draw('5', keyc, q(tag))} WHEN 0 THEN original_output WHEN 1 THEN corrupted_output "
-            f"WHEN 2 THEN substr(original_output, 1, 12) WHEN 3 THEN {q(K.BASELINE_FIX_GRADER)} ELSE '  ' END)")
+            f"WHEN 2 THEN clean_pipeline[1].output WHEN 3 THEN {q(K.BASELINE_FIX_GRADER)} ELSE '  ' END)")
 
 
 LI_ACT = f"""
