@@ -277,3 +277,10 @@ DEFAULT_AGENT_NAME = "PipelineDebugger"
 # ---------------------------------------------------------------------------
 
 DEFAULT_ENV_NAME = "faultlens"
+
+# Fields every episode must carry (``domain`` is optional).
+REQUIRED_FIELDS = [
+    "pipeline_id", "curriculum_level", "task_brief", "clean_pipeline",
+    "corrupted_pipeline", "injected_step", "injected_role", "error_type",
+    "error_description", "original_output", "corrupted_output", "expected_fix_keywords",
+]

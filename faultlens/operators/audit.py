@@ -1,26 +1,25 @@
 """Aggregations, audits and reports.
 
-Means over rewards are computed from integer basis points
-(``floor(r * 10000 + 0.5)``): sums of integers are exact and independent of
-partitioning and merge order, and the single final division gives the same
-double on any engine. χ² is likewise formed from an exact integer numerator.
+Means over rewards are computed from integer units of 1e-12
+(``floor(r * 1e12 + 0.5)``, summed as DECIMAL(38,0)): finer than any reward the
+trainers log, sums are exact and independent of partitioning and merge order,
+and the single final division gives the same double on any engine. Printed
+rewards have four decimals and use basis points. χ² is likewise formed from an
+exact integer numerator.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.functions import constants as K
 from faultlens.functions.text import safe_size
 
-REQUIRED_FIELDS = [
-    "pipeline_id", "curriculum_level", "task_brief", "clean_pipeline",
-    "corrupted_pipeline", "injected_step", "injected_role", "error_type",
-    "error_description", "original_output", "corrupted_output", "expected_fix_keywords",
-]
+#: Units of exact reward sums.
+UNIT = 10**12
 
 
 def bp(c: Column) -> Column:
@@ -28,10 +27,19 @@ def bp(c: Column) -> Column:
     return F.floor(c * F.lit(10000.0) + F.lit(0.5)).cast("bigint")
 
 
-def bp_mean(c: Column) -> Column:
-    """Aggregate: mean of a reward column via exact basis-point sums (NULL
-    for an empty group)."""
-    return F.sum(bp(c)).cast("double") / F.count(c).cast("double") / F.lit(10000.0)
+def units(c: Column) -> Column:
+    """Reward in integer units of 1e-12."""
+    return F.floor(c * F.lit(float(UNIT)) + F.lit(0.5)).cast("bigint")
+
+
+def unit_sum(c: Column) -> Column:
+    """Aggregate: exact sum of a reward column in units, of any number of rows."""
+    return F.sum(units(c).cast("decimal(38,0)"))
+
+
+def unit_mean(c: Column) -> Column:
+    """Aggregate: mean of a reward column via exact sums (NULL for an empty group)."""
+    return unit_sum(c).cast("double") / F.count(c).cast("double") / F.lit(float(UNIT))
 
 
 # ---------------------------------------------------------------------------
@@ -74,7 +82,7 @@ def validate_bank(bank: DataFrame) -> DataFrame:
     fields (``domain`` is not required), empty keyword lists, and one
     aggregate row when ids are duplicated."""
     missing = F.filter(
-        F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in REQUIRED_FIELDS]), lambda x: x.isNotNull()
+        F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in K.REQUIRED_FIELDS]), lambda x: x.isNotNull()
     )
     per_row = bank.select(
         F.coalesce(F.col("pipeline_id"), F.lit("UNKNOWN")).alias("pipeline_id"),
@@ -177,39 +185,72 @@ def constant_guess_rate(bank: DataFrame, by: str = "injected_step", limit: float
 
 
 def audit_bank(bank: DataFrame) -> DataFrame:
-    """All checks as ``(check, subject, value, status)``."""
-    u = step_uniformity(bank).select(
-        F.lit("step_uniformity").alias("check"), F.concat(F.lit("plen="), F.col("plen").cast("string")).alias("subject"),
-        F.col("chi2").alias("value"), "status",
-    )
-    r = role_share(bank).select(
-        F.lit("role_share").alias("check"), F.col("injected_role").alias("subject"), F.col("pct").alias("value"),
-        F.when(F.col("within_limit"), "ok").otherwise("warn").alias("status"),
+    """All checks as ``(check, subject, value, status)``, from one pass over the
+    bank: a partial aggregate by trace length, step, role, level and error type
+    (a few hundred groups at most, whatever the bank's size) holds the counts
+    of every check."""
+    kw = F.col("expected_fix_keywords")
+    cells = bank.groupBy(
+        F.size("corrupted_pipeline").alias("plen"), "injected_step", "injected_role", "curriculum_level", "error_type"
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(safe_size(kw) == 0).alias("empty"),
+        F.count_if((safe_size(kw) > 0) & F.forall(kw, lambda k: F.length(k) <= 2)).alias("trivial"),
+        F.count_if(F.col("original_output").eqNullSafe(F.col("corrupted_output"))).alias("identical"),
     )
-    e = error_mix(bank).select(
-        F.lit("error_mix").alias("check"),
-        F.concat(F.lit("level="), F.col("curriculum_level").cast("string"), F.lit(" "), F.col("error_type")).alias(
-            "subject"
-        ),
-        F.col("n").cast("double").alias("value"), F.lit("info").alias("status"),
+    sets = [["plen", "injected_step"], ["plen"], ["injected_role"], ["curriculum_level", "error_type"], ["injected_step"], []]
+    dims = ["plen", "injected_step", "injected_role", "curriculum_level", "error_type"]
+    g = cells.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(d) for d in dims]).agg(
+        *[F.sum(c).alias(c) for c in ("n", "empty", "trivial", "identical")], F.grouping_id().alias("_gid")
     )
-    kq = keyword_quality(bank)
-    k1 = kq.select(F.lit("keyword_quality").alias("check"), F.lit("empty").alias("subject"),
-                   F.col("empty_keywords").cast("double").alias("value"),
-                   F.when(F.col("empty_keywords") == 0, "ok").otherwise("warn").alias("status"))
-    k2 = kq.select(F.lit("keyword_quality").alias("check"), F.lit("trivial").alias("subject"),
-                   F.col("trivial_keywords").cast("double").alias("value"),
-                   F.when(F.col("trivial_keywords") == 0, "ok").otherwise("warn").alias("status"))
-    nz = noop_corruptions(bank).select(
-        F.lit("noop_corruptions").alias("check"), F.lit("identical").alias("subject"),
-        F.col("identical").cast("double").alias("value"),
-        F.when(F.col("identical") == 0, "ok").otherwise("warn").alias("status"),
+    gid = {tuple(s): sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in s) for s in sets}
+    # all but the step cells are compared to a total: arrays of a few hundred structs in one row
+    row = F.struct(*dims, "n", "empty", "trivial", "identical", "_gid")
+    one = g.agg(F.collect_list(row).alias("c"))
+
+    def of(*s):
+        return F.filter("c", lambda x: x["_gid"] == gid[s])
+
+    def line(check, subject, value, status):
+        return F.struct(F.lit(check).alias("check"), subject.alias("subject"), value.cast("double").alias("value"), status.alias("status"))
+
+    total = of()[0]
+    s = lambda c: c.cast("string")
+
+    def uniformity(t):
+        here = F.filter(of("plen", "injected_step"), lambda x: x["plen"] == t["plen"])
+        num = F.aggregate(here, F.lit(0).cast("decimal(38,0)"), lambda acc, x: (
+            acc + ((t["plen"] * x["n"] - t["n"]).cast("decimal(19,0)") * (t["plen"] * x["n"] - t["n"]).cast("decimal(19,0)"))
+        ).cast("decimal(38,0)"))
+        chi2 = num.cast("double") / (t["plen"] * t["n"]).cast("double")
+        status = F.when(chi2 < 20, "ok").when(chi2 < 50, "warn").otherwise("fail")
+        return line("step_uniformity", F.concat(F.lit("plen="), s(t["plen"])), chi2, status)
+
+    def share(x):
+        pct = x["n"].cast("double") * F.lit(100.0) / total["n"].cast("double")
+        return line("role_share", x["injected_role"], pct, F.when(pct <= F.lit(60.0), "ok").otherwise("warn"))
+
+    def mix(x):
+        subject = F.concat(F.lit("level="), s(x["curriculum_level"]), F.lit(" "), x["error_type"])
+        return line("error_mix", subject, x["n"], F.lit("info"))
+
+    def guess(x):
+        part = x["n"].cast("double") / total["n"].cast("double")
+        return line("constant_guess", F.lit("step=1"), part, F.when(part < F.lit(0.40), "ok").otherwise("fail"))
+
+    def zero(check, subject, field):
+        return line(check, F.lit(subject), total[field], F.when(total[field] == 0, "ok").otherwise("warn"))
+
+    fixed = F.array(
+        zero("keyword_quality", "empty", "empty"), zero("keyword_quality", "trivial", "trivial"),
+        zero("noop_corruptions", "identical", "identical"),
     )
-    cg = constant_guess_rate(bank).where(F.col("guess") == "1").select(
-        F.lit("constant_guess").alias("check"), F.lit("step=1").alias("subject"), F.col("share").alias("value"),
-        F.when(F.col("passes"), "ok").otherwise("fail").alias("status"),
+    lines = F.concat(
+        F.transform(of("plen"), uniformity), F.transform(of("injected_role"), share),
+        F.transform(of("curriculum_level", "error_type"), mix), fixed,
+        F.transform(F.filter(of("injected_step"), lambda x: x["injected_step"] == 1), guess),
     )
-    return u.unionByName(r).unionByName(e).unionByName(k1).unionByName(k2).unionByName(nz).unionByName(cg)
+    return one.select(F.inline(lines))
 
 
 # ---------------------------------------------------------------------------
@@ -219,7 +260,7 @@ def audit_bank(bank: DataFrame) -> DataFrame:
 
 def mean_by_level(log: DataFrame, level_col: str = "level", cols: Sequence[str] = ("r_total",)) -> DataFrame:
     """Mean reward(s) per level."""
-    aggs = [F.count(F.lit(1)).cast("bigint").alias("n")] + [bp_mean(F.col(c)).alias(f"mean_{c}") for c in cols]
+    aggs = [F.count(F.lit(1)).cast("bigint").alias("n")] + [unit_mean(F.col(c)).alias(f"mean_{c}") for c in cols]
     return log.groupBy(level_col).agg(*aggs)
 
 
@@ -234,44 +275,60 @@ def target_check(scores: DataFrame, level_col: str = "level", score_col: str = "
     )
 
 
-def _fmt4(b: Column) -> Column:
+def fmt4(b: Column) -> Column:
     """``f"{x:.4f}"`` for a non-negative value given in basis points."""
     return F.concat((b / 10000).cast("bigint").cast("string"), F.lit("."),
                     F.lpad(F.pmod(b, F.lit(10000)).cast("string"), 4, "0"))
 
 
-def task_score(steps: DataFrame, task_col: str = "task", step_col: str = "step_no", reward_col: str = "reward") -> DataFrame:
-    """Per task - mean reward (4 decimals), step count, success flag
-    and the comma-joined 4-decimal reward list in step order.
+def task_score(steps: DataFrame, task_col: str = "task", step_col: str = "step_no", reward_col: str = "reward",
+               error_col: str | None = None) -> DataFrame:
+    """Per task - mean reward (4 decimals), step count, success flag, the
+    comma-joined 4-decimal reward list in step order, and the error text.
 
-    The list is the task's own rewards (bounded by the per-task step cap of
-    the evaluation loop), sorted by step inside the aggregate."""
+    With ``error_col``, a task with an error text has failed: no steps, score 0
+    and no rewards count, as the evaluation loop prints it; the text is that of
+    its first such step. The list is the task's own rewards (bounded by the
+    per-task step cap of the evaluation loop), sorted by step in the aggregate."""
+    err = F.col(error_col) if error_col else F.lit(None).cast("string")
     g = steps.groupBy(task_col).agg(
-        F.count(F.lit(1)).cast("bigint").alias("steps"),
+        F.count(F.lit(1)).cast("bigint").alias("_n"),
         F.sum(bp(F.col(reward_col))).alias("_bp"),
         F.array_sort(F.collect_list(F.struct(F.col(step_col).alias("s"), F.col(reward_col).alias("r")))).alias("_rs"),
+        F.min_by(err, F.when(err.isNotNull(), F.col(step_col))).alias("error"),
     )
-    score = F.floor(F.col("_bp").cast("double") / F.col("steps").cast("double") + F.lit(0.5)).cast("double") / F.lit(
-        10000.0
-    )
+    ok = F.col("error").isNull()
+    score = F.floor(F.col("_bp").cast("double") / F.col("_n").cast("double") + F.lit(0.5)).cast("double") / F.lit(10000.0)
     return g.select(
         task_col,
-        "steps",
-        score.alias("score"),
-        F.lit(True).alias("success"),
-        F.array_join(F.transform("_rs", lambda x: _fmt4(bp(x["r"]))), ",").alias("rewards"),
+        F.when(ok, F.col("_n")).otherwise(F.lit(0).cast("bigint")).alias("steps"),
+        F.when(ok, score).otherwise(F.lit(0.0)).alias("score"),
+        ok.alias("success"),
+        F.when(ok, F.array_join(F.transform("_rs", lambda x: fmt4(bp(x["r"]))), ",")).otherwise(F.lit("")).alias("rewards"),
+        "error",
     )
 
 
-def run_status(log: DataFrame, planned_total: int | None = None, tail: int = 30) -> DataFrame:
-    """Per run - completions so far, planned total, mean of the last
-    ``tail`` rewards (fewer when short), current level."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("run_id"))
-    last = log.withColumn("_n", n).where(F.col("step") > F.col("_n") - tail)
-    tail_mean = last.groupBy("run_id").agg(bp_mean(F.col("r_total")).alias("recent_mean"))
-    base = log.groupBy("run_id").agg(
+def run_status(log: DataFrame, planned_total: int | None = None, tail: int = 30, time_col: str | None = None,
+               run_col: str = "run_id") -> DataFrame:
+    """Per run - completions so far, planned total, mean of the last ``tail``
+    rewards (fewer when short), current level; with ``time_col`` also the minutes
+    from its first to its last row. A run's size is a partial aggregate joined
+    back, so no run meets in one task."""
+    from faultlens.operators.curves import with_run_size
+
+    last = with_run_size(log, run_col).where(F.col("step") > F.col("n") - tail)
+    tail_mean = last.groupBy(F.col(run_col).alias("_run")).agg(unit_mean(F.col("r_total")).alias("recent_mean"))
+    elapsed = []
+    if time_col:
+        seconds = F.max(time_col).cast("double") - F.min(time_col).cast("double")
+        elapsed = [(seconds / F.lit(60.0)).alias("elapsed_minutes")]
+    base = log.groupBy(run_col).agg(
         F.count(F.lit(1)).cast("bigint").alias("completions"),
         F.max_by("level", "step").alias("level"),
+        *elapsed,
+    )
+    out = base.join(tail_mean, F.col(run_col).eqNullSafe(F.col("_run")), "left").drop("_run")
+    return out.withColumn("recent_mean", F.coalesce("recent_mean", F.lit(0.0))).withColumn(
+        "planned_total", F.lit(planned_total).cast("bigint")
     )
-    out = base.join(tail_mean, "run_id", "left").withColumn("recent_mean", F.coalesce("recent_mean", F.lit(0.0)))
-    return out.withColumn("planned_total", F.lit(planned_total).cast("bigint"))

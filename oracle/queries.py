@@ -177,9 +177,9 @@ def _flagship() -> str:
           f"FROM act")
     return W(f"act AS ({_baseline('li_bank', '42', K.BASELINE_FIX_OFFLINE, 'base')})", f"sc AS ({sc})",
              f"tot AS (SELECT *, {S.wtotal('localization', 'blame', 'fix', 'precision')} AS total FROM sc)") + (
-        f"\nSELECT level, CAST(count(*) AS BIGINT) AS n, {S.bp_mean('total')} AS mean_total, "
-        f"{S.bp_mean('localization')} AS mean_localization, {S.bp_mean('blame')} AS mean_blame, "
-        f"{S.bp_mean('fix')} AS mean_fix FROM tot GROUP BY level")
+        f"\nSELECT level, CAST(count(*) AS BIGINT) AS n, {S.un_mean('total')} AS mean_total, "
+        f"{S.un_mean('localization')} AS mean_localization, {S.un_mean('blame')} AS mean_blame, "
+        f"{S.un_mean('fix')} AS mean_fix FROM tot GROUP BY level")
 
 
 def _baseline_report() -> str:
@@ -191,7 +191,7 @@ def _baseline_report() -> str:
           f"FROM act")
     return W(f"head AS ({head})", f"act AS ({_baseline('head', '42', K.BASELINE_FIX_OFFLINE, 'offline')})", f"sc AS ({sc})",
              f"tot AS (SELECT *, {S.wtotal('localization', 'blame', 'fix', 'precision')} AS total FROM sc)") + (
-        f"\nSELECT level, CAST(count(*) AS BIGINT) AS n, {S.bp_mean('total')} AS mean_total FROM tot GROUP BY level")
+        f"\nSELECT level, CAST(count(*) AS BIGINT) AS n, {S.un_mean('total')} AS mean_total FROM tot GROUP BY level")
 
 
 def _grade() -> str:
@@ -385,17 +385,18 @@ NRUN = "nr AS (SELECT run_id, CAST(count(*) AS BIGINT) AS n FROM rlog GROUP BY r
 
 
 def _cum(cols) -> str:
-    s_ = ", ".join(f"sum({S.bp(c)}) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS cum_{c}" for c in cols)
+    s_ = ", ".join(f"sum({S.un(c)}) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS cum_{c}" for c in cols)
     return f"cm AS (SELECT run_id, step, {s_} FROM rlog)"
 
 
 def _rolling(cols, policy: str, src_cols=None) -> str:
     d5 = "least(50, CAST(floor(n / 5) AS BIGINT))"
-    w = {"c": f"CASE WHEN n > 20 THEN {d5} END",
+    w = {"a": f"CASE WHEN n > 10 THEN {d5} END",
+         "c": f"CASE WHEN n > 20 THEN {d5} END",
          "b": f"CASE WHEN n > 20 THEN {d5} WHEN n > 5 THEN 5 END",
          "interim": "CASE WHEN n > 10 THEN least(30, CAST(floor(n / 3) AS BIGINT)) END"}[policy]
     sel = ", ".join(
-        f"CAST(a.cum_{c} - coalesce(b.cum_{c}, 0) AS DOUBLE) / CAST(a.w AS DOUBLE) / {D(10000.0)} AS roll_{c}" for c in cols)
+        f"CAST(a.cum_{c} - coalesce(b.cum_{c}, 0) AS DOUBLE) / CAST(a.w AS DOUBLE) / {D(1e12)} AS roll_{c}" for c in cols)
     return (f"ww AS (SELECT run_id, {w} AS w FROM nr), "
             f"aw AS (SELECT cm.*, ww.w FROM cm JOIN ww ON cm.run_id = ww.run_id WHERE ww.w > 1 AND cm.step >= ww.w)"
             ) + f"|SELECT a.run_id, a.step, CAST(a.w AS INTEGER) AS w, {sel} FROM aw a LEFT JOIN cm b ON a.run_id = b.run_id AND b.step = a.step - a.w"
@@ -409,20 +410,20 @@ def _rolling_q(cols, policy) -> str:
 def _rolling_accuracy() -> str:
     ctes, sel = _rolling(["correct"], "b").split("|")
     acc = (f"acc AS (SELECT run_id, step, CASE WHEN predicted_step = true_step THEN {D(1.0)} ELSE {D(0.0)} END AS correct FROM rlog)")
-    cum = f"cm AS (SELECT run_id, step, sum({S.bp('correct')}) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS cum_correct FROM acc)"
+    cum = f"cm AS (SELECT run_id, step, sum({S.un('correct')}) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS cum_correct FROM acc)"
     return L(NRUN, acc, cum, ctes) + "\n" + sel.replace("FROM aw a", f", {D(1.0)} / {D(3.0)} AS chance FROM aw a")
 
 
 def _trailing(w: int) -> str:
     return L() + f"""
-SELECT run_id, step, CASE WHEN step >= {w} THEN CAST(s AS DOUBLE) / CAST(c AS DOUBLE) / {D(10000.0)} END AS trailing_mean
-FROM (SELECT run_id, step, sum({S.bp('r_total')}) OVER wf AS s, count(*) OVER wf AS c FROM rlog
+SELECT run_id, step, CASE WHEN step >= {w} THEN CAST(s AS DOUBLE) / CAST(c AS DOUBLE) / {D(1e12)} END AS trailing_mean
+FROM (SELECT run_id, step, sum({S.un('r_total')}) OVER wf AS s, count(*) OVER wf AS c FROM rlog
       WINDOW wf AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW))"""
 
 
 def _curriculum(w: int, every: int) -> str:
-    t1, t2 = 4000 * w, 6000 * w
-    return L(f"""fr AS (SELECT run_id, step, sum({S.bp('r_total')}) OVER (PARTITION BY run_id ORDER BY step
+    t1, t2 = 400_000_000_000 * w, 600_000_000_000 * w
+    return L(f"""fr AS (SELECT run_id, step, sum({S.un('r_total')}) OVER (PARTITION BY run_id ORDER BY step
                   ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS s FROM rlog)""",
              f"cand AS (SELECT * FROM fr WHERE step >= {w} AND step % {every} = 0)",
              f"k1 AS (SELECT run_id, min(step) AS k1 FROM cand WHERE s > {t1} GROUP BY run_id)",
@@ -433,14 +434,14 @@ FROM rlog r LEFT JOIN k1 ON r.run_id = k1.run_id LEFT JOIN k2 ON r.run_id = k2.r
 
 def _final_mean() -> str:
     return L(NRUN) + f"""
-SELECT r.run_id, CAST(sum({S.bp('r_total')}) AS DOUBLE) / CAST(count(*) AS DOUBLE) / {D(10000.0)} AS final_mean
+SELECT r.run_id, CAST(sum({S.un('r_total')}) AS DOUBLE) / CAST(count(*) AS DOUBLE) / {D(1e12)} AS final_mean
 FROM rlog r JOIN nr ON r.run_id = nr.run_id WHERE r.step > nr.n - 50 GROUP BY r.run_id"""
 
 
 def _best_mean() -> str:
-    return L(NRUN, f"""fr AS (SELECT run_id, step, sum({S.bp('r_total')}) OVER (PARTITION BY run_id ORDER BY step
+    return L(NRUN, f"""fr AS (SELECT run_id, step, sum({S.un('r_total')}) OVER (PARTITION BY run_id ORDER BY step
                   ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS s FROM rlog)""") + f"""
-SELECT f.run_id, CAST(max(s) AS DOUBLE) / {D(50.0)} / {D(10000.0)} AS best_mean FROM fr f JOIN nr ON f.run_id = nr.run_id
+SELECT f.run_id, CAST(max(s) AS DOUBLE) / {D(50.0)} / {D(1e12)} AS best_mean FROM fr f JOIN nr ON f.run_id = nr.run_id
 WHERE f.step >= least(50, nr.n) AND f.step <= greatest(least(50, nr.n), nr.n - 1) GROUP BY f.run_id"""
 
 
@@ -450,7 +451,7 @@ def _early_late(policy: str) -> str:
         ke, kl = "floor(n / 5)", ceil5
     else:
         ke = kl = "greatest(floor(n / 5), 1)"
-    v = S.bp("r_total")
+    v = S.un("r_total")
     hit = "CASE WHEN predicted_step = true_step THEN 1 ELSE 0 END"
 
     def seg(cond):
@@ -462,22 +463,22 @@ def _early_late(policy: str) -> str:
 SELECT run_id, n, early_mean, late_mean, late_mean - early_mean AS improvement,
        CAST(coalesce(he, 0) AS DOUBLE) / CAST(greatest(ne, 1) AS DOUBLE) AS early_accuracy,
        CAST(coalesce(hl, 0) AS DOUBLE) / CAST(greatest(nl, 1) AS DOUBLE) AS late_accuracy
-FROM (SELECT run_id, min(n) AS n, {seg(e)} / {D(10000.0)} AS early_mean, {seg(l_)} / {D(10000.0)} AS late_mean,
+FROM (SELECT run_id, min(n) AS n, {seg(e)} / {D(1e12)} AS early_mean, {seg(l_)} / {D(1e12)} AS late_mean,
              sum(CASE WHEN {ae} THEN {hit} END) AS he, count(CASE WHEN {ae} THEN 1 END) AS ne,
              sum(CASE WHEN {al} THEN {hit} END) AS hl, count(CASE WHEN {al} THEN 1 END) AS nl
       FROM d GROUP BY run_id)"""
 
 
 def _early_late_by_level() -> str:
-    v = S.bp("r_total")
+    v = S.un("r_total")
     return L(NRUN, "d AS (SELECT r.*, nr.n, greatest(floor(nr.n / 5), 10) AS n5 FROM rlog r JOIN nr ON r.run_id = nr.run_id)",
              f"""g AS (SELECT run_id, level, sum(CASE WHEN step <= n5 THEN {v} END) AS sf, count(CASE WHEN step <= n5 THEN 1 END) AS cf,
                    sum(CASE WHEN step > n - n5 THEN {v} END) AS sl, count(CASE WHEN step > n - n5 THEN 1 END) AS cl
                    FROM d GROUP BY run_id, level)""",
              "sp AS (SELECT run_id, unnest([1, 2, 3]) AS level FROM nr)") + f"""
 SELECT sp.run_id, CAST(sp.level AS INTEGER) AS level,
-       CASE WHEN coalesce(g.cf, 0) > 0 THEN CAST(g.sf AS DOUBLE) / CAST(g.cf AS DOUBLE) / {D(10000.0)} ELSE {D(0.0)} END AS first_mean,
-       CASE WHEN coalesce(g.cl, 0) > 0 THEN CAST(g.sl AS DOUBLE) / CAST(g.cl AS DOUBLE) / {D(10000.0)} ELSE {D(0.0)} END AS last_mean
+       CASE WHEN coalesce(g.cf, 0) > 0 THEN CAST(g.sf AS DOUBLE) / CAST(g.cf AS DOUBLE) / {D(1e12)} ELSE {D(0.0)} END AS first_mean,
+       CASE WHEN coalesce(g.cl, 0) > 0 THEN CAST(g.sl AS DOUBLE) / CAST(g.cl AS DOUBLE) / {D(1e12)} ELSE {D(0.0)} END AS last_mean
 FROM sp LEFT JOIN g ON sp.run_id = g.run_id AND sp.level = g.level"""
 
 
@@ -485,7 +486,7 @@ def _run_status() -> str:
     return L(NRUN) + f"""
 SELECT nr.run_id, nr.n AS completions, b.level, coalesce(t.recent_mean, {D(0.0)}) AS recent_mean, CAST(2000 AS BIGINT) AS planned_total
 FROM nr JOIN (SELECT run_id, arg_max(level, step) AS level FROM rlog GROUP BY run_id) b ON nr.run_id = b.run_id
-LEFT JOIN (SELECT r.run_id, {S.bp_mean('r_total')} AS recent_mean FROM rlog r JOIN nr ON r.run_id = nr.run_id
+LEFT JOIN (SELECT r.run_id, {S.un_mean('r_total')} AS recent_mean FROM rlog r JOIN nr ON r.run_id = nr.run_id
            WHERE r.step > nr.n - 30 GROUP BY r.run_id) t ON nr.run_id = t.run_id"""
 
 
@@ -591,8 +592,8 @@ ORACLES.update({
     "constant_guess": W() + "\n" + _guess_sql("li_bank"),
     "audit_bank": _audit_bank(),
     "reward_log": LOG + "\nSELECT * FROM rlog",
-    "mean_by_level": LOG + (f"\nSELECT level, CAST(count(*) AS BIGINT) AS n, {S.bp_mean('r_total')} AS mean_r_total, "
-                            f"{S.bp_mean('r_loc')} AS mean_r_loc, {S.bp_mean('r_fix')} AS mean_r_fix FROM rlog GROUP BY level"),
+    "mean_by_level": LOG + (f"\nSELECT level, CAST(count(*) AS BIGINT) AS n, {S.un_mean('r_total')} AS mean_r_total, "
+                            f"{S.un_mean('r_loc')} AS mean_r_loc, {S.un_mean('r_fix')} AS mean_r_fix FROM rlog GROUP BY level"),
     "trailing_mean": _trailing(100),
     "rolling_curve": _rolling_q(["r_total", "r_loc", "r_blame", "r_fix", "r_prec"], "c"),
     "rolling_curve_interim": _rolling_q(["r_total"], "interim"),

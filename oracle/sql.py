@@ -539,5 +539,10 @@ def bp(x: str) -> str:
     return f"CAST(floor({x} * {D(10000.0)} + {D(0.5)}) AS BIGINT)"
 
 
-def bp_mean(x: str) -> str:
-    return f"(CAST(sum({bp(x)}) AS DOUBLE) / CAST(count({x}) AS DOUBLE) / {D(10000.0)})"
+def un(x: str) -> str:
+    """Reward in integer units of 1e-12."""
+    return f"CAST(floor({x} * {D(1e12)} + {D(0.5)}) AS BIGINT)"
+
+
+def un_mean(x: str) -> str:
+    return f"(CAST(sum({un(x)}) AS DOUBLE) / CAST(count({x}) AS DOUBLE) / {D(1e12)})"
