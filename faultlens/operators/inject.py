@@ -12,7 +12,7 @@ priority" - the same distribution, computed per row with array functions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +50,7 @@ SWAP_BANKS = {
 
 
 PRIO_HEX = 6  # hex digits of priority per swap pair (24 bits: ties ~ 2^-24)
+INDEX = 1 << 32  # room for the pair's index below its priority
 
 
 def perm_hex(seed, pid: Column, tag: str, n_pairs: int) -> Column:
@@ -63,7 +64,7 @@ def perm_hex(seed, pid: Column, tag: str, n_pairs: int) -> Column:
 
 def hit_priority(text: Column, pairs: Pairs, seed, pid: Column, tag: str, ci: bool = False,
                  low: Column | None = None, perm: Column | None = None) -> Column:
-    """``priority * 64 + index`` of the drawn-first pair whose key occurs in
+    """``priority * INDEX + index`` of the drawn-first pair whose key occurs in
     ``text`` (NULL if none) - "shuffle the list, take the first pair that
     occurs" as "smallest random priority among the pairs that occur".
 
@@ -74,20 +75,22 @@ def hit_priority(text: Column, pairs: Pairs, seed, pid: Column, tag: str, ci: bo
     ``perm``: the materialized :func:`perm_hex` column.
     """
     hay = (low if low is not None else F.lower(text)) if ci else text
-    perm = perm if perm is not None else perm_hex(seed, pid, tag, len(pairs))
+    perm = perm if perm is not None else perm_hex(seed, pid, tag, max(len(pairs), 1))
     prios = [
         F.when(
             F.instr(hay, F.lit(a.lower() if ci else a)) > 0,
-            F.conv(F.substring(perm, PRIO_HEX * i + 1, PRIO_HEX), 16, 10).cast("bigint") * 64 + i,
+            F.conv(F.substring(perm, PRIO_HEX * i + 1, PRIO_HEX), 16, 10).cast("bigint") * INDEX + i,
         )
         for i, (a, _) in enumerate(pairs)
     ]
+    if not prios:
+        return F.lit(None).cast("bigint")
     return F.least(*prios) if len(prios) > 1 else prios[0]
 
 
 def hit_from_priority(best: Column, pairs: Pairs) -> Column:
     """``STRUCT<find, repl>`` of the pair chosen by :func:`hit_priority`."""
-    idx = F.pmod(best, F.lit(64))
+    idx = F.pmod(best, F.lit(INDEX))
     return F.when(
         best.isNotNull(),
         F.struct(element([a for a, _ in pairs], idx).alias("find"), element([b for _, b in pairs], idx).alias("repl")),
@@ -159,33 +162,32 @@ def inject_cascade_dependency(text: Column, hit: Column) -> Column:
     )
 
 
-def swap_perm(error_type: Column, seed, pid: Column) -> Column:
+Banks = Mapping[str, Pairs]
+
+
+def swap_perm(error_type: Column, seed, pid: Column, banks: Banks = SWAP_BANKS) -> Column:
     """:func:`perm_hex` for the swap bank of ``error_type``."""
-    out = None
-    for et, pairs in SWAP_BANKS.items():
-        h = perm_hex(seed, pid, SWAP_TAGS[et], len(pairs))
-        out = F.when(error_type == et, h) if out is None else out.when(error_type == et, h)
-    return out
+    return _by_type(error_type, lambda et, pairs: perm_hex(seed, pid, SWAP_TAGS[et], max(len(pairs), 1)), banks)
 
 
-def _by_type(error_type: Column, make) -> Column:
+def _by_type(error_type: Column, make, banks: Banks) -> Column:
     out = None
-    for et, pairs in SWAP_BANKS.items():
+    for et, pairs in banks.items():
         v = make(et, pairs)
         out = F.when(error_type == et, v) if out is None else out.when(error_type == et, v)
     return out
 
 
 def swap_priority(error_type: Column, text: Column, seed, pid: Column, low: Column | None = None,
-                  perm: Column | None = None) -> Column:
+                  perm: Column | None = None, banks: Banks = SWAP_BANKS) -> Column:
     """:func:`hit_priority` over the swap bank of ``error_type``."""
     return _by_type(error_type, lambda et, pairs: hit_priority(
-        text, pairs, seed, pid, SWAP_TAGS[et], ci=(et == "factual_error"), low=low, perm=perm))
+        text, pairs, seed, pid, SWAP_TAGS[et], ci=(et == "factual_error"), low=low, perm=perm), banks)
 
 
-def swap_hit(error_type: Column, best: Column) -> Column:
+def swap_hit(error_type: Column, best: Column, banks: Banks = SWAP_BANKS) -> Column:
     """``STRUCT<find, repl>`` for a materialized :func:`swap_priority`."""
-    return _by_type(error_type, lambda et, pairs: hit_from_priority(best, pairs))
+    return _by_type(error_type, lambda et, pairs: hit_from_priority(best, pairs), banks)
 
 
 def inject(error_type: Column, text: Column, hit: Column, low: Column, nums: Column, k: Column,
@@ -204,7 +206,7 @@ def inject(error_type: Column, text: Column, hit: Column, low: Column, nums: Col
 
 
 def inject_column(df: DataFrame, error_type: str, text: str, pid: str, out: str, seed: int = 42,
-                  keywords_out: str | None = None) -> DataFrame:
+                  keywords_out: str | None = None, swaps: Banks | None = None) -> DataFrame:
     """Inject one fault into ``text`` by ``error_type`` (and optionally
     extract the fix keywords of the clean text) as a narrow map.
 
@@ -212,18 +214,20 @@ def inject_column(df: DataFrame, error_type: str, text: str, pid: str, out: str,
     winning priority, the hit and the number list - are materialized in
     their own projections: each is referenced several times downstream, so
     the optimizer keeps them instead of inlining (and re-evaluating) them.
+    ``swaps`` replaces the swap banks of some error types, of any size.
     """
+    banks = {**SWAP_BANKS, **(swaps or {})}
     et, t, p = F.col(error_type), F.col(text), F.col(pid)
-    d = df.withColumn("_low", F.lower(t)).withColumn("_perm", swap_perm(et, seed, p))
-    d = d.withColumn("_best", swap_priority(et, t, seed, p, F.col("_low"), F.col("_perm"))).withColumn(
+    d = df.withColumn("_low", F.lower(t)).withColumn("_perm", swap_perm(et, seed, p, banks))
+    d = d.withColumn("_best", swap_priority(et, t, seed, p, F.col("_low"), F.col("_perm"), banks)).withColumn(
         "_nums", F.when(et == "off_by_one", whole_numbers(t))
     )
-    d = d.withColumn("_hit", swap_hit(et, F.col("_best"))).withColumn(
+    d = d.withColumn("_hit", swap_hit(et, F.col("_best"), banks)).withColumn(
         "_k", draw(seed, p, "num", n=F.size("_nums"))
     ).withColumn("_delta", F.when(draw(seed, p, "sign", n=2) == 0, F.lit(-1)).otherwise(F.lit(1)))
     d = d.withColumn(out, inject(et, t, F.col("_hit"), F.col("_low"), F.col("_nums"), F.col("_k"), F.col("_delta")))
     if keywords_out:
-        d = d.withColumn(keywords_out, fix_keywords(et, t, F.col("_low"), F.col("_nums")))
+        d = d.withColumn(keywords_out, fix_keywords(et, t, F.col("_low"), F.col("_nums"), banks["factual_error"]))
     return d.drop("_low", "_perm", "_best", "_nums", "_hit", "_k", "_delta")
 
 
@@ -269,11 +273,11 @@ def keywords_dependency(original: Column) -> Column:
 
 
 def fix_keywords(error_type: Column, original: Column, low: Column | None = None,
-                 nums: Column | None = None) -> Column:
+                 nums: Column | None = None, factual: Pairs = K.FACTUAL_SWAPS) -> Column:
     """K1-K5 by error type."""
     return (
         F.when(error_type == "wrong_type", lit_array(K.KEYWORDS_WRONG_TYPE))
-        .when(error_type == "factual_error", keywords_factual(original, low=low))
+        .when(error_type == "factual_error", keywords_factual(original, factual, low=low))
         .when(error_type == "off_by_one", keywords_numeric(original, nums))
         .when(error_type == "logic_inversion", keywords_logic(original, low))
         .when(error_type == "cascade_dependency", keywords_dependency(original))
@@ -312,7 +316,8 @@ def patch_step(steps: Column, step_id: Column, text: Column) -> Column:
     ).otherwise(steps)
 
 
-def build_episodes(traces: DataFrame, per_trace: int = 5, seed: int = 42, prefix: str = "pipe") -> DataFrame:
+def build_episodes(traces: DataFrame, per_trace: int = 5, seed: int = 42, prefix: str = "pipe",
+                   swaps: Banks | None = None) -> DataFrame:
     """One episode per (trace, k), k in 0..per_trace-1.
 
     ``traces``: nested form ``trace_id, curriculum_level, task_brief, domain,
@@ -336,7 +341,7 @@ def build_episodes(traces: DataFrame, per_trace: int = 5, seed: int = 42, prefix
     target = element_at1(F.col("clean_pipeline"), F.col("injected_step"))
     ep = ep.withColumn("injected_role", target["role"]).withColumn("original_output", target["output"])
     ep = inject_column(ep, "error_type", "original_output", "pipeline_id", "corrupted_output", seed,
-                       keywords_out="expected_fix_keywords")
+                       keywords_out="expected_fix_keywords", swaps=swaps)
     return ep.select(
         "bank_pos",
         "pipeline_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.functions import constants as K
@@ -73,13 +73,17 @@ def render_steps(steps: Column) -> Column:
     )
 
 
-def render_prompt(bank: DataFrame, variant: str = "lenient") -> DataFrame:
-    """User prompt per episode in one of the two wordings."""
+def prompt_column(variant: str = "lenient") -> Column:
+    """User prompt of an episode row in one of the two wordings."""
     tmpl = K.PROMPT_USER_LENIENT if variant == "lenient" else K.PROMPT_USER_COMPACT
     head, rest = tmpl.split("{brief}")
     mid, tail = rest.split("{steps}")
-    prompt = F.concat(F.lit(head), F.col("task_brief"), F.lit(mid), render_steps(F.col("corrupted_pipeline")), F.lit(tail))
-    return bank.select("pipeline_id", prompt.alias("prompt"))
+    return F.concat(F.lit(head), F.col("task_brief"), F.lit(mid), render_steps(F.col("corrupted_pipeline")), F.lit(tail))
+
+
+def render_prompt(bank: DataFrame, variant: str = "lenient") -> DataFrame:
+    """One prompt per episode; a narrow map."""
+    return bank.select("pipeline_id", prompt_column(variant).alias("prompt"))
 
 
 def to_messages(bank: DataFrame, variant: str = "lenient", name: str = K.DEFAULT_AGENT_NAME) -> DataFrame:
@@ -96,16 +100,13 @@ def to_messages(bank: DataFrame, variant: str = "lenient", name: str = K.DEFAULT
 
 
 def to_reward_log(scored: DataFrame, run_col: str = "run_id", order_cols=("completion_no",)) -> DataFrame:
-    """Reward-log rows with a running step number per run.
+    """Reward-log rows with a running step number per run, numbered by
+    range pieces, so a run of any size is spread over tasks."""
+    from faultlens.plans.dense import dense_index
 
-    The step number is a row number within the run. Runs are the partition
-    key; a run larger than one task comfortably holds should be numbered with
-    ``plans.dense.dense_index`` instead, which splits it by range.
-    """
-    w = Window.partitionBy(run_col).orderBy(*order_cols)
-    return scored.select(
+    rows = scored.select(
         F.col(run_col),
-        F.row_number().over(w).cast("bigint").alias("step"),
+        *[F.col(c).alias(f"_by_{c}") for c in order_cols],
         F.col("level"),
         F.col("pipeline_id"),
         F.col("localization").alias("r_loc"),
@@ -118,3 +119,5 @@ def to_reward_log(scored: DataFrame, run_col: str = "run_id", order_cols=("compl
         F.col("blame_role").alias("predicted_role"),
         F.col("injected_role").alias("true_role"),
     )
+    numbered = dense_index(rows, [run_col], [f"_by_{c}" for c in order_cols], "step")
+    return numbered.select(run_col, "step", *[c for c in rows.columns if c != run_col and not c.startswith("_by_")])

@@ -170,6 +170,19 @@ def conversation_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materi
     return _bank(spark, sf_dir, seed, "cv", conversation_traces, materialized)
 
 
+def planted_bank(bank: DataFrame, seed: int = SEED) -> DataFrame:
+    """A bank with drawn faults for the checks to find: empty or trivial keyword
+    lists, missing fields, and episodes that occur twice."""
+    fault = draw(seed, F.col("pipeline_id"), "plant", n=40)
+    planted = bank.withColumns({
+        "expected_fix_keywords": F.when(fault == 0, F.array().cast("array<string>")).when(fault == 1, F.array(F.lit("a"), F.lit("of")))
+        .otherwise(F.col("expected_fix_keywords")),
+        "error_type": F.when(fault != 2, F.col("error_type")),
+        "injected_role": F.when(~fault.isin(2, 3), F.col("injected_role")),
+    })
+    return planted.unionByName(planted.where(fault == 4))
+
+
 # ---------------------------------------------------------------------------
 # Drawn actions and attempts
 # ---------------------------------------------------------------------------

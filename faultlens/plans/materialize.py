@@ -27,10 +27,16 @@ from faultlens.session import delete_at_exit, ensure_checkpoint_dir
 _KEPT: dict[tuple, DataFrame] = {}
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted at the end of the session."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultlens-{name}-{uuid.uuid4().hex}"
     delete_at_exit(spark, path)
+    return path
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

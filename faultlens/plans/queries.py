@@ -19,7 +19,13 @@ from faultlens.operators import negotiate as N
 from faultlens.operators import sampling as X
 from faultlens.operators import score as R
 from faultlens.operators import traces as P
+from faultlens.operators.grader import grade
+from faultlens.operators.training import score_with_curriculum
 from faultlens.plans import bindings as B
+from faultlens.plans.materialize import scratch_path
+from faultlens.sources import evallog as E
+from faultlens.sources import io
+from faultlens.streaming.stream import curriculum_stream, replay_stream, run_to_parquet, score_stream
 
 SEED = 42
 
@@ -41,6 +47,7 @@ def bank_columns(bank: DataFrame) -> DataFrame:
         "corrupted_output",
         F.array_join("expected_fix_keywords", "|").alias("keywords"),
         F.array_join(F.transform("corrupted_pipeline", lambda x: x["output"]), "\n<>\n").alias("corrupted_text"),
+        F.array_join(F.transform("clean_pipeline", lambda x: x["output"]), "\n<>\n").alias("clean_text"),
     )
 
 
@@ -49,6 +56,10 @@ def _bank(spark, sf_dir):
     return B.lineitem_bank(spark, sf_dir, SEED)
 
 
+def _both(spark, sf_dir) -> DataFrame:
+    return _bank(spark, sf_dir).unionByName(B.conversation_bank(spark, sf_dir, SEED))
+
+
 def _acted(spark, sf_dir, bank=None) -> DataFrame:
     """B4 actions joined to the truth view by episode id (as answers arrive
     separately from the bank)."""
@@ -166,10 +177,12 @@ def q_validate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_validate_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V2 on observations of both banks (conversation traces reach level 3
-    with up to 8 steps; turns come from the drawn attempt numbers)."""
-    att = B.drawn_attempts(_bank(spark, sf_dir), SEED)
-    bank = _bank(spark, sf_dir).select("pipeline_id", "curriculum_level")
+    """V2 on observations of both banks; turns come from the drawn attempt
+    numbers, and some levels are drawn out of range."""
+    both = _both(spark, sf_dir)
+    att = B.drawn_attempts(both, SEED)
+    level = F.when(B.draw(SEED, F.col("pipeline_id"), "badlevel", n=20) == 0, F.lit(4)).otherwise(F.col("curriculum_level"))
+    bank = both.select("pipeline_id", level.alias("curriculum_level"))
     obs = att.join(bank, F.col("episode_id") == F.col("pipeline_id")).select(
         "episode_id", "attempt_no", (F.col("attempt_no") - 1).alias("turn"), "curriculum_level"
     )
@@ -179,9 +192,8 @@ def q_validate_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_validate_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3 on the union of both banks: findings per episode."""
-    bank = _bank(spark, sf_dir).unionByName(B.conversation_bank(spark, sf_dir, SEED))
-    return G.validate_bank(bank)
+    """V3 on the union of both banks with planted faults: findings per episode."""
+    return G.validate_bank(B.planted_bank(_both(spark, sf_dir), SEED))
 
 
 # ---------------------------------------------------------------------------
@@ -212,16 +224,28 @@ def q_completion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return msgs.select("pipeline_id", A.completion_text(F.col("messages")).alias("text"))
 
 
+RUNS = 4
+
+
+def _run_completions(spark, sf_dir) -> DataFrame:
+    """Parsed B6 completions of ``RUNS`` runs, in bank order."""
+    comp = B.drawn_completions(B.drawn_actions(_bank(spark, sf_dir), SEED), SEED)
+    comp = comp.select(F.col("bank_pos").alias("completion_no"), "text", F.pmod("bank_pos", F.lit(RUNS)).alias("run_id"))
+    return A.parse_actions(comp, "text", strict=True)
+
+
 def q_score_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E3 chain: completion text -> strict parse -> cyclic episode of level
-    1 (X6) -> training reward -> reward-log rows (P8)."""
-    bank = _bank(spark, sf_dir)
-    comp = B.drawn_completions(B.drawn_actions(bank, SEED), SEED)
-    comp = comp.select((F.col("bank_pos")).alias("completion_no"), "text", F.lit(0).cast("bigint").alias("run_id"))
-    parsed = A.parse_actions(comp, "text", strict=True)
-    assigned = X.assign_episodes(parsed, bank, level=1)
-    scored = R.score_total(assigned, "train").withColumnRenamed("curriculum_level", "level")
-    return P.to_reward_log(scored, "run_id", ["completion_no"])
+    """E3 chain at a frozen level: completion text -> strict parse -> cyclic
+    episode of level 1 (X6) -> training reward at that level -> reward-log rows (P8)."""
+    parsed = _run_completions(spark, sf_dir).withColumn("level", F.lit(1))
+    assigned = X.assign_episodes(parsed, _bank(spark, sf_dir), level=1)
+    return P.to_reward_log(R.score_total(assigned, "train", level_col="level"), "run_id", ["completion_no"])
+
+
+def q_score_completions_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E3 chain with feedback: the run's level is re-read every 20 rewards."""
+    return score_with_curriculum(_run_completions(spark, sf_dir), _bank(spark, sf_dir), w=30, check_every=20,
+                                 thresholds=(0.2, 0.25))
 
 
 # ---------------------------------------------------------------------------
@@ -235,13 +259,20 @@ def q_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.replay(B.drawn_attempts(bank, SEED), bank)
 
 
+def q_replay_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts after the terminal one too, flagged."""
+    bank = _bank(spark, sf_dir)
+    return N.replay_all(B.drawn_attempts(bank, SEED), bank)
+
+
 def q_attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-episode attempt counts and final reward."""
+    """Per-episode attempt counts, final reward and history."""
     bank = _bank(spark, sf_dir)
     att = B.drawn_attempts(bank, SEED)
     h = N.attempt_history(att, N.replay(att, bank))
+    entry = lambda x: F.concat_ws(":", x["attempt_no"].cast("string"), x["turn"].cast("string"), x["action_type"], x["accepted"].cast("string"))
     return h.select("episode_id", "step_count", "effective_attempts", "ignored_attempts", "final_reward",
-                    F.size("history").cast("int").alias("history_len"))
+                    F.array_join(F.transform("history", entry), ",").alias("history"))
 
 
 # ---------------------------------------------------------------------------
@@ -261,16 +292,19 @@ def q_head_per_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_sample_with_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One draw per bank row (n = bank size) from level 2."""
+    """As many draws as the bank has rows, from level 2."""
     bank = _bank(spark, sf_dir)
-    draws = bank.select(F.col("bank_pos").alias("draw_no"))
-    pool, size = X._pool(bank, 2)
-    d = draws.withColumn("level_idx", B.draw(SEED, F.col("draw_no"), "wr", n=size))
-    return d.join(pool, ["level_idx"]).select("draw_no", "level_idx", "pipeline_id")
+    return X.sample_with_replacement(bank, 2, bank.count(), SEED).select("draw_no", "level_idx", "pipeline_id")
 
 
 def q_sample_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completions numbered by bank position cycle through level 3."""
+    """As many rows as the bank has, cycling through level 3."""
+    bank = _bank(spark, sf_dir)
+    return X.sample_cyclic(bank, 3, bank.count()).select("draw_no", "level_idx", "pipeline_id")
+
+
+def q_assign_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions numbered by bank position cycle through level 3."""
     bank = _bank(spark, sf_dir)
     comp = bank.select(F.col("bank_pos").alias("completion_no"))
     return X.assign_episodes(comp, bank, level=3, offset=7).select("completion_no", "level_idx", "pipeline_id")
@@ -285,18 +319,13 @@ def q_level_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G11 + X4 + G13: per level, episode ``seed % len`` with seeds 42/43/44,
-    scripted baseline action, grader reward, target check."""
-    bank = _bank(spark, sf_dir)
-    out = None
-    for level, seed in K.GRADER_SEEDS.items():
-        ep = X.pick_kth(bank, level, seed)
-        act = X.baseline_actions(ep, seed, K.BASELINE_FIX_GRADER, tag="grade")
-        s = R.score_total(act, "grade").select(
-            F.lit(level).alias("level"), "pipeline_id", *SCORE_COLS
-        )
-        out = s if out is None else out.unionByName(s)
-    return G.target_check(out, "level", "total").select("level", "pipeline_id", *SCORE_COLS, "target", "meets_target")
+    """G11 + X4 + G13 on the lineitem bank."""
+    return grade(_bank(spark, sf_dir))
+
+
+def q_grade_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G11's default rows: a bank whose filter keeps nothing."""
+    return grade(_bank(spark, sf_dir).where("curriculum_level > 3"))
 
 
 def q_baseline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,12 +347,12 @@ def q_bank_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_step_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bank = _bank(spark, sf_dir).unionByName(B.conversation_bank(spark, sf_dir, SEED))
+    bank = _both(spark, sf_dir)
     return G.step_uniformity(bank)
 
 
 def q_step_uniformity_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bank = _bank(spark, sf_dir).unionByName(B.conversation_bank(spark, sf_dir, SEED))
+    bank = _both(spark, sf_dir)
     return G.step_uniformity(bank, include_zero=True)
 
 
@@ -336,11 +365,11 @@ def q_error_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_keyword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.keyword_quality(_bank(spark, sf_dir).unionByName(B.conversation_bank(spark, sf_dir, SEED)))
+    return G.keyword_quality(B.planted_bank(_both(spark, sf_dir), SEED))
 
 
 def q_noop_corruptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.noop_corruptions(_bank(spark, sf_dir).unionByName(B.conversation_bank(spark, sf_dir, SEED)))
+    return G.noop_corruptions(_both(spark, sf_dir))
 
 
 def q_constant_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,6 +408,10 @@ def q_rolling_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.rolling_curve(_log(spark, sf_dir), ["r_total", "r_loc", "r_blame", "r_fix", "r_prec"], "c")
 
 
+def q_rolling_curve_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.rolling_curve(_log(spark, sf_dir), ["r_total"], "a")
+
+
 def q_rolling_curve_interim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.rolling_curve(_log(spark, sf_dir), ["r_total"], "interim")
 
@@ -397,6 +430,11 @@ def q_curriculum_trainer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.curriculum(_log(spark, sf_dir), w=30, check_every=20)
 
 
+def q_curriculum_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5 at batch ends of four: w = 50."""
+    return W.curriculum(_log(spark, sf_dir), w=50, check_every=4)
+
+
 def q_final_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.final_mean(_log(spark, sf_dir), 50)
 
@@ -405,6 +443,10 @@ def q_best_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.best_mean(_log(spark, sf_dir), 50)
 
 
+def q_best_mean_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.best_mean(_log(spark, sf_dir), 50, include_last=True)
+
+
 def q_early_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.early_late(_log(spark, sf_dir), "floor_ceil")
 
@@ -421,17 +463,21 @@ def q_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.run_status(_log(spark, sf_dir), planned_total=2000)
 
 
-def q_task_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks of at most 10 steps (the evaluation loop's cap) cut from
-    each run of the reward log."""
+def _tasks(spark, sf_dir) -> DataFrame:
+    """Tasks of at most 10 steps (the evaluation loop's cap) cut from each run of
+    the reward log; one in eight fails at a drawn step."""
     log = _log(spark, sf_dir)
-    steps = log.select(
-        F.concat(F.lit("run"), F.col("run_id").cast("string"), F.lit("_"),
-                 F.floor((F.col("step") - 1) / 10).cast("string")).alias("task"),
-        F.col("step").alias("step_no"),
-        F.col("r_total").alias("reward"),
+    task = F.concat(F.lit("run"), F.col("run_id").cast("string"), F.lit("_"), F.floor((F.col("step") - 1) / 10).cast("string"))
+    step_no = F.pmod(F.col("step") - 1, F.lit(10)) + 1
+    fails = (B.draw(SEED, F.col("task"), "fail", n=8) == 0) & (F.col("step_no") == B.draw(SEED, F.col("task"), "failat", n=3) + 1)
+    return log.select(task.alias("task"), step_no.alias("step_no"), "predicted_step", "predicted_role", F.col("r_total").alias("reward")).withColumn(
+        "error", F.when(fails, F.concat(F.lit("model gave no answer at step "), F.col("step_no").cast("string")))
     )
-    return G.task_score(steps)
+
+
+def q_task_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G12 over ``_tasks``."""
+    return G.task_score(_tasks(spark, sf_dir), error_col="error")
 
 
 # ---------------------------------------------------------------------------
@@ -443,12 +489,15 @@ def q_observation_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent view (no truth columns) of the lineitem bank."""
     o = P.observation_view(_bank(spark, sf_dir))
     return o.select("pipeline_id", "task_brief", "turn", "gatekeeper_feedback", "curriculum_level",
-                    F.size("pipeline").cast("int").alias("n_steps"))
+                    P.render_steps(F.col("pipeline")).alias("pipeline_text"))
 
 
 def q_truth_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = P.truth_view(_bank(spark, sf_dir))
-    return t.select("pipeline_id", "curriculum_level", "n_steps", "injected_step", "injected_role", "error_type")
+    return t.select("pipeline_id", "curriculum_level", "n_steps", "injected_step", "injected_role", "error_type",
+                    "error_description", "original_output", "corrupted_output",
+                    F.array_join("expected_fix_keywords", "|").alias("keywords"),
+                    P.render_steps(F.col("clean_pipeline")).alias("clean_text"))
 
 
 def q_explode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,10 +507,8 @@ def q_explode_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P6, both wordings."""
-    bank = _bank(spark, sf_dir)
-    a = P.render_prompt(bank, "lenient").withColumnRenamed("prompt", "prompt_lenient")
-    b = P.render_prompt(bank, "compact").withColumnRenamed("prompt", "prompt_compact")
-    return a.join(b, "pipeline_id")
+    return _bank(spark, sf_dir).select("pipeline_id", P.prompt_column("lenient").alias("prompt_lenient"),
+                                       P.prompt_column("compact").alias("prompt_compact"))
 
 
 def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -481,25 +528,127 @@ def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[START]/[STEP]/[END] lines per task (tasks as in q_task_score)."""
-    from faultlens.sources.evallog import format_eval_log
+    """[START]/[STEP]/[END] lines per task of ``_tasks``."""
+    return E.format_eval_log(_tasks(spark, sf_dir), model="baseline_random", error_col="error")
+
+
+def q_parse_eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The STEP lines of S5 parsed back into per-step rows."""
+    return E.parse_eval_log(q_eval_log(spark, sf_dir)).drop("line")
+
 
+def q_parse_eval_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The END lines of S5, as task rows."""
+    ends = E.parse_eval_ends(q_eval_log(spark, sf_dir))
+    return ends.withColumn("rewards", F.array_join(F.transform("rewards", lambda x: F.format_string("%.4f", x)), ","))
+
+
+def q_eval_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5/S6 through files: written as text, read line by line, END lines parsed."""
+    path = scratch_path(spark, "evallog")
+    E.write_eval_log(q_eval_log(spark, sf_dir), path)
+    ends = E.parse_eval_ends(E.read_eval_log(spark, path), group_col="source")
+    return ends.select("task", "success", "steps", "score", "error")
+
+
+# ---------------------------------------------------------------------------
+# Round trips: banks, reward logs, client payloads
+# ---------------------------------------------------------------------------
+
+
+def q_bank_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lineitem bank written as JSON lines and read back."""
+    path = scratch_path(spark, "bank-json")
+    io.write_bank(_bank(spark, sf_dir).select(*[f.name for f in io.EPISODE.fields]), path, fmt="json")
+    return bank_columns(io.read_bank(spark, path, fmt="json", multiline=False))
+
+
+def q_bank_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as Parquet by level, one level read back."""
+    path = scratch_path(spark, "bank-level")
+    io.write_bank(_bank(spark, sf_dir), path, partition_by_level=True)
+    return bank_columns(io.read_bank(spark, path, fmt="parquet").where("curriculum_level = 2"))
+
+
+LOG_LAYOUTS = (
+    ["step", "level", "pipeline_id", "r_loc", "r_blame", "r_fix", "r_prec", "r_total"],
+    ["step", "level", "r_loc", "r_blame", "r_fix", "r_prec", "r_total", "predicted_step", "true_step", "predicted_role", "true_role"],
+    ["step", "level", "pipeline_id", "r_loc", "r_blame", "r_fix", "r_prec", "r_total", "predicted_step", "true_step", "predicted_role", "true_role"],
+)
+
+
+def q_reward_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 -> G14: each run written as CSV in one of the three layouts, none of which
+    has a run id, then read as one log and summed up per run."""
     log = _log(spark, sf_dir)
-    steps = log.select(
-        F.concat(F.lit("run"), F.col("run_id").cast("string"), F.lit("_"),
-                 F.floor((F.col("step") - 1) / 10).cast("string")).alias("task"),
-        (F.pmod(F.col("step") - 1, F.lit(10)) + 1).alias("step_no"),
-        "predicted_step", "predicted_role",
-        F.col("r_total").alias("reward"),
+    paths = []
+    for run in range(8):
+        paths.append(scratch_path(spark, f"log-{run}"))
+        io.write_log(log.where(F.col("run_id") == run).select(*LOG_LAYOUTS[run % 3]), paths[-1])
+    return G.run_status(io.read_log(spark, *paths, run_ids=range(8)), planned_total=2000)
+
+
+def q_encode_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Action payloads."""
+    return A.encode_action(B.drawn_actions(_bank(spark, sf_dir), SEED)).select("pipeline_id", "payload")
+
+
+def q_decode_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step-result and state payloads built from observations, with keys left
+    out at random, decoded with their defaults."""
+    bank = _bank(spark, sf_dir)
+    pid = F.col("pipeline_id")
+    some = lambda c, tag: F.when(B.draw(SEED, pid, tag, n=3) > 0, c)  # noqa: E731  a null key is not written
+    obs = F.struct(
+        F.col("corrupted_pipeline").alias("pipeline"), some(F.col("task_brief"), "nobrief").alias("task_brief"),
+        some(F.lit(2), "noturn").alias("turn"), some(F.col("curriculum_level"), "nolevel").alias("curriculum_level"), "pipeline_id",
+    )
+    payload = F.to_json(F.struct(obs.alias("observation"), F.lit(0.25).alias("reward"), some(F.lit(True), "nodone").alias("done")))
+    state = F.to_json(F.struct(pid.alias("episode_id"), some(F.col("injected_step"), "nocount").alias("step_count")))
+    got = bank.select("pipeline_id", A.decode_result(payload).alias("r"), A.decode_state(state).alias("s"))
+    return got.select(
+        "pipeline_id", P.render_steps(F.col("r.pipeline")).alias("pipeline_text"), F.col("r.task_brief").alias("task_brief"),
+        F.col("r.turn").alias("turn"), F.col("r.gatekeeper_feedback").alias("gatekeeper_feedback"),
+        F.col("r.curriculum_level").alias("curriculum_level"), F.col("r.done").alias("done"), F.col("r.reward").alias("reward"),
+        F.col("s.episode_id").alias("episode_id"), F.col("s.step_count").alias("step_count"), F.col("s.metadata").alias("metadata"),
     )
-    return format_eval_log(steps, model="baseline_random")
 
 
-def q_parse_eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of S5 parsed back into per-step rows."""
-    from faultlens.sources.evallog import parse_eval_log
+# ---------------------------------------------------------------------------
+# Streams, run to the end of their source into Parquet
+# ---------------------------------------------------------------------------
+
+
+def _stream(df: DataFrame, name: str) -> DataFrame:
+    """A file stream over a stored copy of ``df``."""
+    path = scratch_path(df.sparkSession, f"source-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
 
-    return parse_eval_log(q_eval_log(spark, sf_dir))
+def _drained(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    return run_to_parquet(df, scratch_path(spark, f"sink-{name}"), scratch_path(spark, f"progress-{name}"))
+
+
+def q_score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions stream joined to the static truth."""
+    bank = _bank(spark, sf_dir)
+    answers = _stream(B.drawn_completions(B.drawn_actions(bank, SEED), SEED).select("pipeline_id", "text"), "answers")
+    scored = score_stream(answers, P.truth_view(bank), strict=True, variant="train")
+    return _drained(scored.select("pipeline_id", "fault_step_id", "blame_role", *SCORE_COLS), "scores")
+
+
+def q_curriculum_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of every reward row, and a snapshot flag every 50 rewards."""
+    log = _log(spark, sf_dir).select("run_id", "step", "r_total")
+    return _drained(curriculum_stream(_stream(log, "rewards"), w=100, check_every=1, snapshot_every=50, group=4), "levels")
+
+
+def q_replay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts as a stream."""
+    bank = _bank(spark, sf_dir)
+    return _drained(replay_stream(_stream(B.drawn_attempts(bank, SEED), "attempts"), bank), "replay")
 
 
 REGISTRY = {
@@ -561,4 +710,21 @@ REGISTRY = {
     "messages": q_messages,
     "eval_log": q_eval_log,
     "parse_eval_log": q_parse_eval_log,
+    "score_completions_curriculum": q_score_completions_curriculum,
+    "replay_all": q_replay_all,
+    "assign_episodes": q_assign_episodes,
+    "grade_empty": q_grade_empty,
+    "rolling_curve_a": q_rolling_curve_a,
+    "curriculum_batch": q_curriculum_batch,
+    "best_mean_last": q_best_mean_last,
+    "parse_eval_ends": q_parse_eval_ends,
+    "eval_log_files": q_eval_log_files,
+    "bank_json": q_bank_json,
+    "bank_level": q_bank_level,
+    "reward_log_files": q_reward_log_files,
+    "encode_actions": q_encode_actions,
+    "decode_results": q_decode_results,
+    "score_stream": q_score_stream,
+    "curriculum_stream": q_curriculum_stream,
+    "replay_stream": q_replay_stream,
 }

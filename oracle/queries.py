@@ -117,8 +117,11 @@ def _validate_actions() -> str:
 def _validate_observations() -> str:
     arr = ("list_filter([CASE WHEN turn IS NULL OR turn < 1 THEN 'turn' END, CASE WHEN curriculum_level IS NULL OR "
            "curriculum_level < 1 OR curriculum_level > 3 THEN 'curriculum_level' END], lambda x: x IS NOT NULL)")
-    return W(S.LI_ATT, """obs AS (SELECT a.episode_id, a.attempt_no, a.attempt_no - 1 AS turn, b.curriculum_level
-                               FROM li_att a JOIN li_bank b ON a.episode_id = b.pipeline_id)""") + (
+    bad = S.draw("20", "b.pipeline_id", q("badlevel"))
+    return WB(S.LI_ATT.replace("li_bank", "allbank"),
+              f"""obs AS (SELECT a.episode_id, a.attempt_no, a.attempt_no - 1 AS turn,
+                         CASE WHEN {bad} = 0 THEN 4 ELSE b.curriculum_level END AS curriculum_level
+                  FROM li_att a JOIN allbank b ON a.episode_id = b.pipeline_id)""") + (
         f"\nSELECT episode_id, attempt_no, array_to_string({arr}, ',') AS violations FROM obs")
 
 
@@ -142,13 +145,16 @@ def _pool(level: int) -> str:
 ), pool_n AS (SELECT count(*) AS n FROM pool)"""
 
 
-def _sample_with_replacement() -> str:
-    d = S.draw("(SELECT n FROM pool_n)", "bank_pos", q("wr"))
-    return W(_pool(2), f"dr AS (SELECT bank_pos AS draw_no, {d} AS level_idx FROM li_bank)") + (
+def _draws(level: int, expr: str) -> str:
+    return W(_pool(level), f"dr AS (SELECT range AS draw_no, {expr} AS level_idx FROM range((SELECT count(*) FROM li_bank)))") + (
         "\nSELECT dr.draw_no, dr.level_idx, pool.pipeline_id FROM dr JOIN pool ON dr.level_idx = pool.level_idx")
 
 
-def _sample_cyclic() -> str:
+def _sample_with_replacement() -> str:
+    return _draws(2, S.draw("(SELECT n FROM pool_n)", "range", q("wr")))
+
+
+def _assign_episodes() -> str:
     return W(_pool(3), "dr AS (SELECT bank_pos AS completion_no, (bank_pos + 7) % (SELECT n FROM pool_n) AS level_idx FROM li_bank)") + (
         "\nSELECT dr.completion_no, dr.level_idx, pool.pipeline_id FROM dr JOIN pool ON dr.level_idx = pool.level_idx")
 
@@ -205,7 +211,7 @@ def _grade() -> str:
         act = _baseline(f"({pick})", str(seed), K.BASELINE_FIX_GRADER, "grade")
         S.SEED = saved
         fixs = S.fix_simple("fix_content", "expected_fix_keywords", 0.3, True)
-        sc = (f"SELECT {level} AS level, pipeline_id, {S.loc('fault_step_id', 'injected_step', 'curriculum_level')} AS localization, "
+        sc = (f"SELECT {level} AS level, pipeline_id, {S.loc('fault_step_id', 'injected_step', str(level))} AS localization, "
               f"{S.blame('blame_role', 'injected_role')} AS blame, {fixs} AS fix, {D(K.GRADER_PRECISION)} AS precision "
               f"FROM ({act}) a")
         parts.append(sc)
@@ -230,14 +236,14 @@ ORACLES: dict[str, str] = {
     "verify_documents": _verify_documents(),
     "gate": _gate(),
     "validate_actions": _validate_actions(),
-    "validate_observations": _validate_observations(),
     "parse_strict": _parse(True),
     "parse_lenient": _parse(False),
     "completion_text": _completion_text(),
     "sample_one": _sample_one(),
     "head_per_level": _head_per_level(),
     "sample_with_replacement": _sample_with_replacement(),
-    "sample_cyclic": _sample_cyclic(),
+    "sample_cyclic": _draws(3, "range % (SELECT n FROM pool_n)"),
+    "assign_episodes": _assign_episodes(),
     "grade": _grade(),
     "baseline_report": _baseline_report(),
 }
@@ -291,12 +297,42 @@ def _replay() -> str:
 
 
 def _attempt_history() -> str:
-    return W(*_replay_ctes()) + """
+    entry = "CAST(attempt_no AS VARCHAR) || ':' || CAST(turn AS VARCHAR) || ':' || action_type || ':' || CAST(accepted AS VARCHAR)"
+    return W(*_replay_ctes()) + f"""
 SELECT c.episode_id, c.step_count, e.effective_attempts, c.step_count - coalesce(e.effective_attempts, 0) AS ignored_attempts,
-       e.final_reward, CAST(e.history_len AS INTEGER) AS history_len
+       e.final_reward, e.history
 FROM (SELECT episode_id, CAST(count(*) AS BIGINT) AS step_count FROM li_att GROUP BY episode_id) c
 LEFT JOIN (SELECT episode_id, CAST(count(*) AS BIGINT) AS effective_attempts, max(CASE WHEN done THEN reward END) AS final_reward,
-                  count(*) AS history_len FROM rep GROUP BY episode_id) e ON c.episode_id = e.episode_id"""
+                  string_agg({entry}, ',' ORDER BY attempt_no) AS history FROM rep GROUP BY episode_id) e ON c.episode_id = e.episode_id"""
+
+
+def _replay_all() -> str:
+    kw, c = "expected_fix_keywords", "corrupted_output"
+    rule = S.gate_rule("fault_step_id", "blame_role", "fix_content", "n_steps", c, kw)
+    fb = S.gate_feedback("violated_rule", "fault_step_id", "blame_role", "n_steps", kw)
+    zero = D(0.0)
+    return W(S.LI_ATT, """j AS (SELECT a.*, b.curriculum_level, CAST(len(b.corrupted_pipeline) AS INTEGER) AS n_steps, b.injected_step,
+                b.injected_role, b.original_output, b.corrupted_output, b.expected_fix_keywords
+                FROM li_att a JOIN li_bank b ON a.episode_id = b.pipeline_id)""",
+             f"g0 AS (SELECT *, {rule} AS violated_rule, action_type IN ('propose', 'revise') AS gated, "
+             "row_number() OVER (PARTITION BY episode_id ORDER BY attempt_no) AS rn FROM j)",
+             f"g1 AS (SELECT *, violated_rule IS NULL AS ok, {fb} AS fb FROM g0)",
+             "g2 AS (SELECT *, min(CASE WHEN gated AND NOT ok THEN rn END) OVER (PARTITION BY episode_id) AS r FROM g1)",
+             """g3 AS (SELECT *, coalesce(rn = r, false) AS told, coalesce(rn > r, false) AS past,
+                    max(CASE WHEN rn = r THEN fb END) OVER (PARTITION BY episode_id) AS text,
+                    coalesce(last_value(CASE WHEN gated THEN ok END IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY attempt_no
+                             ROWS UNBOUNDED PRECEDING), false) AS acc FROM g2)""",
+             "g4 AS (SELECT *, CASE WHEN past THEN 2 ELSE 1 END AS turn FROM g3)",
+             f"""g5 AS (SELECT *, {S.loc('fault_step_id', 'injected_step', 'curriculum_level')} AS loc,
+                    {S.blame('blame_role', 'injected_role')} AS bl, {S.fix_score('fix_content', 'original_output', kw, c, True)} AS fx,
+                    {S.precision('turn', 'acc')} AS pr FROM g4)""",
+             f"g6 AS (SELECT *, {S.round4(S.wtotal('loc', 'bl', 'fx', 'pr'))} AS tot FROM g5)") + f"""
+SELECT episode_id, attempt_no, turn, action_type, gated AND ok AS accepted, CASE WHEN gated THEN violated_rule END AS violated_rule,
+       CASE WHEN past OR told THEN text END AS feedback, NOT told AS done,
+       CASE WHEN told THEN {zero} ELSE loc END AS r_loc, CASE WHEN told THEN {zero} ELSE bl END AS r_blame,
+       CASE WHEN told THEN {zero} ELSE fx END AS r_fix, CASE WHEN told THEN {zero} ELSE pr END AS r_prec,
+       CASE WHEN told THEN {zero} ELSE tot END AS reward,
+       rn > CASE WHEN r = 1 THEN 2 ELSE 1 END AS ignored FROM g6"""
 
 
 def _level_or_all() -> str:
@@ -366,12 +402,15 @@ UNION ALL SELECT 'constant_guess', 'step=1', share, CASE WHEN passes THEN 'ok' E
 
 
 def _validate_bank() -> str:
-    return WB() + """
-SELECT pipeline_id, 'empty expected_fix_keywords' AS finding FROM allbank WHERE coalesce(len(expected_fix_keywords), 0) = 0
+    missing = "array_to_string(list_filter([CASE WHEN injected_role IS NULL THEN 'injected_role' END, CASE WHEN error_type IS NULL THEN 'error_type' END], lambda x: x IS NOT NULL), ', ')"
+    return WB(S.planted("allbank")) + f"""
+SELECT pipeline_id, 'missing fields: ' || {missing} AS finding FROM planted WHERE injected_role IS NULL OR error_type IS NULL
+UNION ALL
+SELECT pipeline_id, 'empty expected_fix_keywords' AS finding FROM planted WHERE coalesce(len(expected_fix_keywords), 0) = 0
 UNION ALL
 SELECT NULL AS pipeline_id, 'Duplicate IDs found: ' || CAST(count(*) AS VARCHAR) || ' episodes but ' ||
        CAST(count(DISTINCT pipeline_id) AS VARCHAR) || ' unique IDs' AS finding
-FROM allbank HAVING count(*) <> count(DISTINCT pipeline_id)"""
+FROM planted HAVING count(*) <> count(DISTINCT pipeline_id)"""
 
 
 LOG = S.with_(S.EV_LOG)
@@ -438,11 +477,12 @@ SELECT r.run_id, CAST(sum({S.un('r_total')}) AS DOUBLE) / CAST(count(*) AS DOUBL
 FROM rlog r JOIN nr ON r.run_id = nr.run_id WHERE r.step > nr.n - 50 GROUP BY r.run_id"""
 
 
-def _best_mean() -> str:
+def _best_mean(last: bool = False) -> str:
+    hi = "nr.n" if last else "greatest(least(50, nr.n), nr.n - 1)"
     return L(NRUN, f"""fr AS (SELECT run_id, step, sum({S.un('r_total')}) OVER (PARTITION BY run_id ORDER BY step
                   ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS s FROM rlog)""") + f"""
 SELECT f.run_id, CAST(max(s) AS DOUBLE) / {D(50.0)} / {D(1e12)} AS best_mean FROM fr f JOIN nr ON f.run_id = nr.run_id
-WHERE f.step >= least(50, nr.n) AND f.step <= greatest(least(50, nr.n), nr.n - 1) GROUP BY f.run_id"""
+WHERE f.step >= least(50, nr.n) AND f.step <= {hi} GROUP BY f.run_id"""
 
 
 def _early_late(policy: str) -> str:
@@ -499,43 +539,53 @@ def py_str4(b: str) -> str:
     return f"(CAST({b} // 10000 AS VARCHAR) || '.' || CASE WHEN {frac} = '' THEN '0' ELSE {frac} END)"
 
 
-TASKS = ("tk AS (SELECT 'run' || CAST(run_id AS VARCHAR) || '_' || CAST(CAST(floor((step - 1) / 10) AS BIGINT) AS VARCHAR) AS task, "
-         "(step - 1) % 10 + 1 AS step_no, step, predicted_step, predicted_role, r_total AS reward, "
-         + S.bp("r_total") + " AS b FROM rlog)")
+FAILS = (f"{S.draw('8', 'task', q('fail'))} = 0 AND step_no = {S.draw('3', 'task', q('failat'))} + 1")
+TASKS = [("tk0 AS (SELECT 'run' || CAST(run_id AS VARCHAR) || '_' || CAST(CAST(floor((step - 1) / 10) AS BIGINT) AS VARCHAR) AS task, "
+          "(step - 1) % 10 + 1 AS step_no, step, predicted_step, predicted_role, r_total AS reward, "
+          + S.bp("r_total") + " AS b FROM rlog)"),
+         f"tk AS (SELECT *, CASE WHEN {FAILS} THEN 'model gave no answer at step ' || CAST(step_no AS VARCHAR) END AS error FROM tk0)",
+         f"""per AS (SELECT task, count(*) AS n, sum(b) AS sb, max(step_no) AS last, arg_min(error, step_no) FILTER (WHERE error IS NOT NULL) AS error,
+                 string_agg({fmt4('b')}, ',' ORDER BY step_no) AS rs FROM tk GROUP BY task)"""]
+SCORE_BP = f"floor(CAST(sb AS DOUBLE) / CAST(n AS DOUBLE) + {D(0.5)})"
+
+
+def _task_rows(rewards: bool = True) -> str:
+    return (f"SELECT task, CASE WHEN error IS NULL THEN CAST(n AS BIGINT) ELSE 0 END AS steps, "
+            f"CASE WHEN error IS NULL THEN CAST({SCORE_BP} AS DOUBLE) / {D(10000.0)} ELSE {D(0.0)} END AS score, "
+            f"error IS NULL AS success, " + ("CASE WHEN error IS NULL THEN rs ELSE '' END AS rewards, " if rewards else "") + "error")
 
 
 def _task_score() -> str:
-    return L(TASKS) + f"""
-SELECT task, CAST(count(*) AS BIGINT) AS steps,
-       CAST(floor(CAST(sum(b) AS DOUBLE) / CAST(count(*) AS DOUBLE) + {D(0.5)}) AS DOUBLE) / {D(10000.0)} AS score,
-       true AS success, string_agg({fmt4('b')}, ',' ORDER BY step) AS rewards
-FROM tk GROUP BY task"""
+    return L(*TASKS) + "\n" + _task_rows() + " FROM per"
 
 
-def _eval_ctes() -> list[str]:
-    return [TASKS, f"""per AS (SELECT task, count(*) AS n, sum(b) AS sb, max(step_no) AS last,
-                 string_agg({fmt4('b')}, ',' ORDER BY step_no) AS rs FROM tk GROUP BY task)"""]
+def _parse_eval_ends() -> str:
+    return L(*TASKS) + "\n" + _task_rows() + ", true AS parsed FROM per"
+
+
+def _eval_log_files() -> str:
+    return L(*TASKS) + "\n" + _task_rows(False) + " FROM per"
 
 
 def _eval_log() -> str:
-    sb = f"CAST(floor(CAST(sb AS DOUBLE) / CAST(n AS DOUBLE) + {D(0.5)}) AS BIGINT)"
-    return L(*_eval_ctes()) + f"""
+    sb = f"CAST({SCORE_BP} AS BIGINT)"
+    return L(*TASKS) + f"""
 SELECT task, CAST(0 AS BIGINT) AS seq, '[START] task=' || task || ' env={K.DEFAULT_ENV_NAME} model=baseline_random' AS line FROM per
 UNION ALL
 SELECT tk.task, CAST(tk.step_no AS BIGINT), '[STEP]  step=' || CAST(tk.step_no AS VARCHAR) || ' action=fault_step=' ||
        CAST(tk.predicted_step AS VARCHAR) || ',role=' || tk.predicted_role || ' reward=' || {fmt4('tk.b')} || ' done=' ||
        CASE WHEN tk.step_no = per.last THEN 'true' ELSE 'false' END || ' error=null'
-FROM tk JOIN per ON tk.task = per.task
+FROM tk JOIN per ON tk.task = per.task WHERE per.error IS NULL
 UNION ALL
-SELECT task, CAST(last + 1 AS BIGINT), '[END]   success=true steps=' || CAST(n AS VARCHAR) || ' score=' || {py_str4(sb)} ||
-       ' rewards=' || rs FROM per"""
+SELECT task, CAST(last + 1 AS BIGINT), CASE WHEN error IS NULL THEN '[END]   success=true steps=' || CAST(n AS VARCHAR) || ' score=' ||
+       {py_str4(sb)} || ' rewards=' || rs ELSE '[END]   success=false steps=0 score=0.0 rewards= error=' || error END FROM per"""
 
 
 def _parse_eval_log() -> str:
-    return L(*_eval_ctes()) + f"""
+    return L(*TASKS) + f"""
 SELECT tk.task, CAST(tk.step_no AS BIGINT) AS step_no, CAST(tk.predicted_step AS BIGINT) AS predicted_step, tk.predicted_role,
-       CAST({fmt4('tk.b')} AS DOUBLE) AS reward, tk.step_no = per.last AS done
-FROM tk JOIN per ON tk.task = per.task"""
+       CAST({fmt4('tk.b')} AS DOUBLE) AS reward, tk.step_no = per.last AS done, CAST(NULL AS VARCHAR) AS error, true AS parsed
+FROM tk JOIN per ON tk.task = per.task WHERE per.error IS NULL"""
 
 
 def _steps_text(col: str) -> str:
@@ -561,20 +611,87 @@ def _messages() -> str:
                   f"{_prompt(K.PROMPT_USER_COMPACT)} AS user FROM li_bank")
 
 
-def _score_completions() -> str:
-    p = S.parse_sql("text", True)
-    cols = ", ".join(f"{v} AS {k}" for k, v in p.items())
+def _train_scores(src: str, level: str) -> str:
     fix, o, kw, c = "fix_content", "original_output", "expected_fix_keywords", "corrupted_output"
-    return W(S.LI_ACT, S.LI_COMP, _pool(1),
-             f"pc AS (SELECT bank_pos AS completion_no, {cols} FROM li_comp)",
+    return (f"SELECT *, {S.loc('fault_step_id', 'injected_step', level)} AS loc, {S.blame('blame_role', 'injected_role')} AS bl, "
+            f"{S.fix_score(fix, o, kw, c, False)} AS fx, {D(0.2)} AS pr FROM {src}")
+
+
+LOG_ROW = (f"pipeline_id, loc AS r_loc, bl AS r_blame, fx AS r_fix, pr AS r_prec, {S.wtotal('loc', 'bl', 'fx', 'pr')} AS r_total, "
+           "CAST(fault_step_id AS INTEGER) AS predicted_step, CAST(injected_step AS INTEGER) AS true_step, "
+           "blame_role AS predicted_role, injected_role AS true_role")
+
+
+def _parsed_runs() -> list[str]:
+    cols = ", ".join(f"{v} AS {k}" for k, v in S.parse_sql("text", True).items())
+    return [S.LI_ACT, S.LI_COMP, f"""pc AS (SELECT bank_pos AS completion_no, bank_pos % 4 AS run_id,
+            row_number() OVER (PARTITION BY bank_pos % 4 ORDER BY bank_pos) AS step, {cols} FROM li_comp)"""]
+
+
+def _score_completions() -> str:
+    return W(*_parsed_runs(), _pool(1),
              "a AS (SELECT pc.*, pool.* FROM pc JOIN pool ON pc.completion_no % (SELECT n FROM pool_n) = pool.level_idx)",
-             f"""sc AS (SELECT completion_no, curriculum_level AS level, pipeline_id, {S.loc('fault_step_id', 'injected_step', 'curriculum_level')} AS loc,
-                 {S.blame('blame_role', 'injected_role')} AS bl, {S.fix_score(fix, o, kw, c, False)} AS fx, {D(0.2)} AS pr,
-                 fault_step_id, injected_step, blame_role, injected_role FROM a)""") + f"""
-SELECT CAST(0 AS BIGINT) AS run_id, CAST(row_number() OVER (ORDER BY completion_no) AS BIGINT) AS step, level, pipeline_id,
-       loc AS r_loc, bl AS r_blame, fx AS r_fix, pr AS r_prec, {S.wtotal('loc', 'bl', 'fx', 'pr')} AS r_total,
-       CAST(fault_step_id AS INTEGER) AS predicted_step, CAST(injected_step AS INTEGER) AS true_step,
-       blame_role AS predicted_role, injected_role AS true_role FROM sc"""
+             f"sc AS ({_train_scores('a', '1')})") + f"\nSELECT run_id, step, 1 AS level, {LOG_ROW} FROM sc"
+
+
+def _score_completions_curriculum() -> str:
+    w, t1, t2 = 30, 200_000_000_000 * 30, 250_000_000_000 * 30
+    frame = f"OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+    return W(*_parsed_runs(),
+             "lv AS (SELECT unnest([1, 2, 3]) AS run_level)",
+             """pl AS (SELECT lv.run_level, b.*, row_number() OVER (PARTITION BY lv.run_level ORDER BY bank_pos) - 1 AS level_idx,
+                     count(*) OVER (PARTITION BY lv.run_level) AS size
+                 FROM lv JOIN li_bank b ON b.curriculum_level = lv.run_level
+                   OR NOT EXISTS (SELECT 1 FROM li_bank z WHERE z.curriculum_level = lv.run_level))""",
+             "sz AS (SELECT run_level, max(size) AS size FROM pl GROUP BY run_level)",
+             """a AS (SELECT pc.*, pl.* FROM pc CROSS JOIN sz JOIN pl ON pl.run_level = sz.run_level
+                      AND pl.level_idx = (pc.step - 1) % sz.size)""",
+             f"sc AS ({_train_scores('a', 'run_level')})",
+             f"r AS (SELECT run_id, step, run_level AS level, {LOG_ROW} FROM sc)",
+             f"f1 AS (SELECT run_id, step, sum({S.un('r_total')}) {frame} AS s FROM r WHERE level = 1)",
+             f"k1 AS (SELECT run_id, min(step) AS k1 FROM f1 WHERE step >= {w} AND step % 20 = 0 AND s > {t1} GROUP BY run_id)",
+             """two AS (SELECT r.*, k1.k1 FROM r LEFT JOIN k1 ON r.run_id = k1.run_id
+                  WHERE r.level = CASE WHEN r.step > k1.k1 THEN 2 ELSE 1 END)""",
+             f"f2 AS (SELECT run_id, step, k1, sum({S.un('r_total')}) {frame} AS s FROM two)",
+             f"k2 AS (SELECT run_id, min(step) AS k2 FROM f2 WHERE step >= {w} AND step % 20 = 0 AND step > k1 AND s > {t2} GROUP BY run_id)") + """
+SELECT r.* FROM r LEFT JOIN k1 ON r.run_id = k1.run_id LEFT JOIN k2 ON r.run_id = k2.run_id
+WHERE r.level = CASE WHEN r.step > k2.k2 THEN 3 WHEN r.step > k1.k1 THEN 2 ELSE 1 END"""
+
+
+def _score_stream() -> str:
+    cols = ", ".join(f"{v} AS {k}" for k, v in S.parse_sql("text", True).items())
+    return W(S.LI_ACT, S.LI_COMP, f"pc AS (SELECT pipeline_id, {cols} FROM li_comp)",
+             "a AS (SELECT b.*, pc.* EXCLUDE (pipeline_id) FROM pc JOIN li_bank b ON pc.pipeline_id = b.pipeline_id)",
+             f"sc AS ({_train_scores('a', 'curriculum_level')})") + (
+        f"\nSELECT pipeline_id, fault_step_id, blame_role, loc AS localization, bl AS blame, fx AS fix, pr AS precision, "
+        f"{S.wtotal('loc', 'bl', 'fx', 'pr')} AS total FROM sc")
+
+
+def _curriculum_stream() -> str:
+    sql = _curriculum(100, 1)
+    return sql.replace(" AS curriculum_level\nFROM rlog", " AS curriculum_level, false AS late, "
+                       "r.step >= 50 AND r.step % 50 < 4 AS snapshot\nFROM rlog")
+
+
+def _decode_results() -> str:
+    some = lambda tag: f"{S.draw('3', 'pipeline_id', q(tag))} > 0"
+    return W() + f"""
+SELECT pipeline_id, {_steps_text('corrupted_pipeline')} AS pipeline_text, CASE WHEN {some('nobrief')} THEN task_brief ELSE '' END AS task_brief,
+       CAST(CASE WHEN {some('noturn')} THEN 2 ELSE 1 END AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS gatekeeper_feedback,
+       CAST(CASE WHEN {some('nolevel')} THEN curriculum_level ELSE 1 END AS BIGINT) AS curriculum_level,
+       {some('nodone')} AS done, {D(0.25)} AS reward, pipeline_id AS episode_id,
+       CAST(CASE WHEN {some('nocount')} THEN injected_step ELSE 0 END AS BIGINT) AS step_count, '{{}}' AS metadata FROM li_bank"""
+
+
+def _encode_actions() -> str:
+    return W(S.LI_ACT) + (f"\nSELECT pipeline_id, '{{\"fault_step_id\":' || CAST(fault_step_id AS VARCHAR) || ',\"blame_role\":' || {S.json_str('blame_role')} "
+                          f"|| ',\"fix_content\":' || {S.json_str('fix_content')} || ',\"action_type\":' || {S.json_str('action_type')} || '}}' AS payload FROM li_act")
+
+
+def _grade_empty() -> str:
+    rows = ", ".join(f"({lv}, {D(t)})" for lv, t in K.TARGET_MEAN_BY_LEVEL.items())
+    return (f"SELECT CAST(level AS INTEGER) AS level, CAST(NULL AS VARCHAR) AS pipeline_id, {D(0.0)} AS localization, {D(0.0)} AS blame, {D(0.0)} AS fix, "
+            f"{D(0.5)} AS precision, {D(0.05)} AS total, target, false AS meets_target FROM (VALUES {rows}) t(level, target)")
 
 
 ORACLES.update({
@@ -587,7 +704,7 @@ ORACLES.update({
     "step_uniformity_zero": WB() + "\n" + _uniformity_sql("allbank", True),
     "role_share": W() + "\n" + _role_share_sql("li_bank"),
     "error_mix": W() + "\nSELECT curriculum_level, error_type, CAST(count(*) AS BIGINT) AS n FROM li_bank GROUP BY ALL",
-    "keyword_quality": WB() + "\n" + KWQ.format(src="allbank"),
+    "keyword_quality": WB(S.planted("allbank")) + "\n" + KWQ.format(src="planted"),
     "noop_corruptions": WB() + "\n" + NOOP.format(src="allbank"),
     "constant_guess": W() + "\n" + _guess_sql("li_bank"),
     "audit_bank": _audit_bank(),
@@ -607,10 +724,11 @@ ORACLES.update({
     "early_late_by_level": _early_late_by_level(),
     "run_status": _run_status(),
     "task_score": _task_score(),
-    "observation_view": W() + ("\nSELECT pipeline_id, task_brief, 1 AS turn, CAST(NULL AS VARCHAR) AS gatekeeper_feedback, "
-                               "curriculum_level, CAST(len(corrupted_pipeline) AS INTEGER) AS n_steps FROM li_bank"),
-    "truth_view": W() + ("\nSELECT pipeline_id, curriculum_level, CAST(len(corrupted_pipeline) AS INTEGER) AS n_steps, "
-                         "injected_step, injected_role, error_type FROM li_bank"),
+    "observation_view": W() + (f"\nSELECT pipeline_id, task_brief, 1 AS turn, CAST(NULL AS VARCHAR) AS gatekeeper_feedback, "
+                               f"curriculum_level, {_steps_text('corrupted_pipeline')} AS pipeline_text FROM li_bank"),
+    "truth_view": W() + (f"\nSELECT pipeline_id, curriculum_level, CAST(len(corrupted_pipeline) AS INTEGER) AS n_steps, "
+                         f"injected_step, injected_role, error_type, error_description, original_output, corrupted_output, "
+                         f"array_to_string(expected_fix_keywords, '|') AS keywords, {_steps_text('clean_pipeline')} AS clean_text FROM li_bank"),
     "explode_steps": W() + ("\nSELECT pipeline_id, s.step_id, s.role, s.output FROM "
                             "(SELECT pipeline_id, unnest(corrupted_pipeline) AS s FROM li_bank)"),
     "render_prompt": _render_prompt(),
@@ -618,4 +736,21 @@ ORACLES.update({
     "eval_log": _eval_log(),
     "parse_eval_log": _parse_eval_log(),
     "score_completions": _score_completions(),
+    "score_completions_curriculum": _score_completions_curriculum(),
+    "validate_observations": _validate_observations(),
+    "replay_all": _replay_all(),
+    "grade_empty": _grade_empty(),
+    "rolling_curve_a": _rolling_q(["r_total"], "a"),
+    "curriculum_batch": _curriculum(50, 4),
+    "best_mean_last": _best_mean(True),
+    "parse_eval_ends": _parse_eval_ends(),
+    "eval_log_files": _eval_log_files(),
+    "bank_json": S.bank_query("li"),
+    "bank_level": S.bank_query("li") + " WHERE curriculum_level = 2",
+    "reward_log_files": _run_status(),
+    "encode_actions": _encode_actions(),
+    "decode_results": _decode_results(),
+    "score_stream": _score_stream(),
+    "curriculum_stream": _curriculum_stream(),
+    "replay_stream": _replay(),
 })

@@ -73,9 +73,9 @@ def first_hit(t: str, pairs, pid: str, tag: str, ci: bool = False) -> str:
     hay = f"lower({t})" if ci else t
     needle = "lower(s.find)" if ci else "s.find"
     pm = perm(pid, tag, len(pairs))
-    prio = f"CAST('0x' || substr({pm}, {PRIO_HEX} * s.i + 1, {PRIO_HEX}) AS BIGINT) * 64 + s.i"
+    prio = f"CAST('0x' || substr({pm}, {PRIO_HEX} * s.i + 1, {PRIO_HEX}) AS BIGINT) * 4294967296 + s.i"
     best = f"list_min(list_transform(list_filter({arr}, lambda s: strpos({hay}, {needle}) > 0), lambda s: {prio}))"
-    return f"({arr})[({best}) % 64 + 1]"
+    return f"({arr})[({best}) % 4294967296 + 1]"
 
 
 def inject_sql(t: str, et: str, pid: str) -> str:
@@ -273,7 +273,8 @@ BANK_COLUMNS = """
   bank_pos, pipeline_id, curriculum_level, task_brief, domain, CAST(len(corrupted_pipeline) AS INTEGER) AS n_steps,
   injected_step, injected_role, error_type, error_description, original_output, corrupted_output,
   array_to_string(expected_fix_keywords, '|') AS keywords,
-  array_to_string(list_transform(corrupted_pipeline, lambda x: x.output), '\n<>\n') AS corrupted_text
+  array_to_string(list_transform(corrupted_pipeline, lambda x: x.output), '\n<>\n') AS corrupted_text,
+  array_to_string(list_transform(clean_pipeline, lambda x: x.output), '\n<>\n') AS clean_text
 """
 
 
@@ -282,6 +283,16 @@ def bank_query(src: str) -> str:
     return f"{base}\nSELECT {BANK_COLUMNS} FROM {src}_bank"
 
 
+def planted(src: str) -> str:
+    """A bank with drawn faults: see the plant binding."""
+    return f"""
+pl0 AS (SELECT * EXCLUDE (expected_fix_keywords, error_type, injected_role),
+               {draw('40', 'pipeline_id', q('plant'))} AS fault, expected_fix_keywords AS kw0, error_type AS et0, injected_role AS ir0 FROM {src}),
+pl1 AS (SELECT *, CASE fault WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['a', 'of'] ELSE kw0 END AS expected_fix_keywords,
+               CASE WHEN fault <> 2 THEN et0 END AS error_type, CASE WHEN fault NOT IN (2, 3) THEN ir0 END AS injected_role FROM pl0),
+planted AS (SELECT * FROM pl1 UNION ALL SELECT * FROM pl1 WHERE fault = 4)"""
+
+
 # ---------------------------------------------------------------------------
 # Scoring fragments
 # ---------------------------------------------------------------------------
