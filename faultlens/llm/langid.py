@@ -92,7 +92,7 @@ class Trees:
         self.languages = languages
         counted = [self._levels(*grams[lang]) for lang in languages]
         self.keys, self.cost, self.contexts, self.escape = [], [], [], []
-        for o in range(ORDER + 1):
+        for o in range(ORDER + 1) if languages else ():
             levels = [c[o] for c in counted]
             contexts = np.unique(np.concatenate([ctx for _, _, ctx, _, _ in levels]))
             escape = np.zeros((len(contexts), len(languages)), np.float32)
@@ -145,6 +145,8 @@ class Trees:
 
     def open(self):
         """Hash slots over the highest order, so that a whole text needs no binary search."""
+        if not self.languages:
+            return self
         keys = self.keys[ORDER]
         bits = max(int(np.ceil(np.log2(max(len(keys), 1) * 4))), 8)
         slot = np.full(1 << bits, -1, np.int32)

@@ -31,9 +31,10 @@ from faultlens.llm.common import store
 
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 1024
-#: Lengths up to this share of a sequence are left to the best-fit step.
-SMALL = 1 / 16
+GROUPS = 4096
+#: Lengths up to this share of a sequence are left to the best-fit step; a plan is
+#: made for each share, and the one with the fewest sequences is taken.
+SMALL = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
 
 
 def pieces(docs: DataFrame, encoder, capacity: int = CAPACITY, end_id: int = END_ID, id_col="doc_id", text_col="text"):
@@ -146,10 +147,15 @@ def _configuration(sizes: np.ndarray, left: dict[int, int], first: int, capacity
     return config
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int = GROUPS, small: float = SMALL) -> list[tuple]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int = GROUPS, small=SMALL) -> list[tuple]:
     """``(length, first rank, n, first sequence, offset)``: the pieces of this length
     ranked ``first rank + i``, ``i < n``, start at ``offset`` of sequence
     ``first sequence + i``. Covers every piece in ``counts`` once."""
+    plans = [_plan(counts, capacity, n_groups, share) for share in small]
+    return min(plans, key=lambda rows: max((first + n for _, _, n, first, _ in rows), default=0))
+
+
+def _plan(counts: dict[int, int], capacity: int, n_groups: int, small: float) -> list[tuple]:
     rows: list[tuple] = []
     limit = int(capacity * small)
     stock = _groups({s: n for s, n in counts.items() if n and s > limit}, n_groups)
