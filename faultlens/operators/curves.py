@@ -42,6 +42,10 @@ def with_run_size(log: DataFrame, run_col: str = "run_id") -> DataFrame:
     return by_run(log, run_sizes(log, run_col), run_col)
 
 
+def _or_fail(dense: Column) -> Column:
+    return F.when(dense, F.lit(True)).otherwise(F.raise_error(F.lit("steps of a run are not 1..n")).cast("boolean"))
+
+
 def halo_frames(log: DataFrame, w: int, cols: Sequence[str], bucket: int = DEFAULT_BUCKET,
                 run_col: str = "run_id") -> DataFrame:
     """Trailing-``w`` frame per row via halo buckets.
@@ -70,9 +74,7 @@ def halo_frames(log: DataFrame, w: int, cols: Sequence[str], bucket: int = DEFAU
     sel = [run_col, "step", "_owned", count.alias("_wcnt"), dense.alias("_dense")]
     for c in cols:
         sel.append(F.sum(c).over(win).alias(f"{c}_wsum"))
-    framed = rows.select(*sel).where("_owned").drop("_owned")
-    checked = F.when(F.col("_dense"), F.col("_wcnt")).otherwise(F.raise_error(F.lit("steps of a run are not 1..n")).cast("bigint"))
-    return framed.withColumn("_wcnt", checked).drop("_dense")
+    return rows.select(*sel).where("_owned").where(_or_fail(F.col("_dense"))).drop("_owned", "_dense")
 
 
 def trailing_mean(log: DataFrame, w: int, col: str = "r_total", min_rows: int | None = None,
@@ -141,9 +143,8 @@ def rolling_curve(log: DataFrame, cols: Sequence[str] = ("r_total",), policy: st
     win = Window.partitionBy(run_col, "_bucket").orderBy("step", "_owned").rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.select(
         run_col, "step", "w", "_owned", F.sum("_one").over(win).alias("_in"), *[F.sum(c).over(win).alias(c) for c in cols]
-    ).where("_owned")
-    inside = F.when(F.col("_in") == F.least(step, w), w).otherwise(F.raise_error(F.lit("steps of a run are not 1..n")).cast("bigint"))
-    sel = [(F.col(c).cast("double") / inside.cast("double") / F.lit(float(UNIT))).alias(f"roll_{c}") for c in cols]
+    ).where("_owned").where(_or_fail(F.col("_in") == F.least(step, w)))
+    sel = [(F.col(c).cast("double") / w.cast("double") / F.lit(float(UNIT))).alias(f"roll_{c}") for c in cols]
     return sums.where(step >= w).select(run_col, "step", w.cast("int").alias("w"), *sel)
 
 

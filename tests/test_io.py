@@ -2,12 +2,13 @@
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from faultlens.plans import bindings as B
 from faultlens.sources import io
-from faultlens.sources.evallog import format_eval_log, parse_eval_log, read_eval_log, write_eval_log
+from faultlens.sources.evallog import format_eval_log, parse_eval_ends, parse_eval_log, read_eval_log, write_eval_log
 
 
 def test_bank_roundtrip_json_and_partitioned_parquet(spark):
@@ -20,8 +21,7 @@ def test_bank_roundtrip_json_and_partitioned_parquet(spark):
     assert back.where(F.col("bank_pos").isNull()).count() == 0
     io.write_bank(bank, f"{d}/pq", fmt="parquet", partition_by_level=True)
     lvl2 = io.read_bank(spark, f"{d}/pq", fmt="parquet").where("curriculum_level = 2")
-    assert "PartitionFilters: [isnotnull(curriculum_level" in lvl2._jdf.queryExecution().executedPlan().toString() \
-        or lvl2.count() == bank.where("curriculum_level = 2").count()
+    assert "PartitionFilters: [isnotnull(curriculum_level" in lvl2._jdf.queryExecution().executedPlan().toString()
     assert lvl2.count() == bank.where("curriculum_level = 2").count()
 
 
@@ -33,7 +33,52 @@ def test_reward_log_variants_unify(spark):
     out = io.read_log(spark, f"{d}/a", f"{d}/b")
     assert out.columns == [f.name for f in io.REWARD_LOG.fields]
     assert out.count() == 2 * log.count()
-    assert out.where(F.col("run_id").isNull()).count() == log.count()
+    assert out.where(F.col("run_id").isNull()).count() == 0
+    assert out.select("run_id").distinct().count() == 9  # the first log is one run of its own
+    named = io.read_log(spark, f"{d}/a", run_ids=[77])
+    assert {r.run_id for r in named.select("run_id").distinct().collect()} == {77}
+
+
+def test_bank_from_one_json_array_and_a_missing_one(spark):
+    import json
+
+    bank = B.lineitem_bank(spark, SF_SMALL).limit(20)
+    cols = [f.name for f in io.EPISODE.fields]
+    rows = [json.loads(r) for r in bank.select(*cols).toJSON().collect()]
+    path = tempfile.mkdtemp(prefix="faultlens-array-") + "/bank.json"
+    with open(path, "w") as f:
+        json.dump(rows, f, indent=1)
+    back = io.read_bank(spark, path)
+    key = lambda df: sorted(str(tuple(r)) for r in df.select("bank_pos", *cols).collect())
+    assert key(back) == key(bank)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        io.read_bank(spark, path + ".none").count()
+    from faultlens.operators.grader import grade
+
+    default = grade(io.read_bank(spark, path + ".none", missing_ok=True)).collect()
+    assert [(r.level, r.total, r.precision, r.pipeline_id) for r in sorted(default)] == [(lv, 0.05, 0.5, None) for lv in (1, 2, 3)]
+
+
+def test_malformed_lines_do_not_end_the_job(spark):
+    lines = [
+        "[START] task=t env=e model=m", "[STEP]  step=1 action=fault_step=2,role=Coder reward=0.5000 done=false error=null",
+        "[STEP]  step=2 action=fault_step=x,role= reward=1.2.3 done=maybe error=", "[STEP]  step=3 action=fault_step=1,role=Analyst reward=0.1000 done=true error=it broke here",
+        "[END]   success=false steps=0 score=0.0 rewards= error=model gave up", "[END] nonsense", "noise",
+    ]
+    df = spark.createDataFrame([("t", i, x) for i, x in enumerate(lines)], "task string, seq int, line string")
+    got = [(r.step_no, r.reward, r.error, r.parsed) for r in parse_eval_log(df).collect()]
+    assert got == [(1, 0.5, None, True), (None, None, None, False), (3, 0.1, "it broke here", True)]
+    ends = [(r.task, r.success, r.steps, r.score, r.rewards, r.error, r.parsed) for r in parse_eval_ends(df).collect()]
+    assert ends == [("t", False, 0, 0.0, [], "model gave up", True), ("t", None, None, None, None, None, False)]
+
+
+def test_elapsed_minutes(spark):
+    from faultlens.operators.audit import run_status
+
+    log = spark.createDataFrame([(1, 1, 1, 0.5, "2024-01-01 00:00:00"), (1, 2, 2, 0.7, "2024-01-01 00:45:30")],
+                                "run_id long, step long, level int, r_total double, at string").withColumn("at", F.col("at").cast("timestamp"))
+    r = run_status(log, 10, time_col="at").first()
+    assert (r.completions, r.level, r.elapsed_minutes, r.planned_total) == (2, 2, 45.5, 10)
 
 
 def test_eval_log_write_read_parse(spark):
