@@ -24,13 +24,17 @@ from faultlens.plans import queries as Q  # noqa: E402
 from faultlens.session import get_spark  # noqa: E402
 
 HEADLINE = [
-    "flagship",          # inject -> baseline agent -> reward -> mean by level
+    "flagship",          # stored bank -> baseline agent -> reward -> mean by level
     "score_server",      # gate + server reward on drawn answers joined to truth
     "parse_strict",      # answer parsing (JSON via VARIANT + regex fallback)
     "replay",            # two-turn negotiation replay
     "audit_bank",        # audit bundle
     "rolling_curve",     # rolling curves on the reward log
     "curriculum_env",    # curriculum replay (w = 100)
+    "grade",             # one index over keys, three rows picked
+    "sample_cyclic",     # as many draws as the bank has rows
+    "render_prompt",     # both prompt wordings
+    "score_completions",  # completion texts -> reward log of four runs
 ]
 
 
@@ -40,6 +44,7 @@ def run(df) -> None:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    os.environ.setdefault("FAULTLENS_DRIVER_MEMORY", "8g")
     spark = get_spark()
     timings: dict[str, float] = {}
 
@@ -47,8 +52,6 @@ def main() -> None:
     bank = B.lineitem_bank(spark, sf_dir, Q.SEED)
     n_episodes = bank.count()
     timings["build_bank"] = round(time.time() - t0, 3)
-    Q._BANKS.clear()
-    Q._BANKS[(id(spark), sf_dir)] = bank
 
     for name in HEADLINE:
         fn = Q.REGISTRY[name]

@@ -20,10 +20,6 @@ ERROR_TYPES_BY_LEVEL = {
     3: ["cascade_dependency"],
 }
 
-LENGTHS_BY_LEVEL = {1: [3], 2: [4], 3: [5, 6]}
-
-LEVEL_DISTRIBUTION = {1: 67, 2: 67, 3: 66}
-
 CURRICULUM_THRESHOLDS = {1: 0.4, 2: 0.6}
 
 TARGET_MEAN_BY_LEVEL = {1: 0.4, 2: 0.6, 3: 0.7}
@@ -220,8 +216,6 @@ REPORT_INDICATORS = [".", ":", ",", ";"]
 
 PARSE_FIX_LENIENT = "Unable to parse fix"
 PARSE_FIX_STRICT = "default fix"
-PARSE_ERROR_LENIENT = "Parse error - default fix"
-PARSE_ERROR_STRICT = "parse error"
 ACTION_TYPES = ["propose", "revise", "submit"]
 
 BASELINE_FIX_GRADER = "This is a placeholder fix from the baseline agent."
@@ -235,8 +229,6 @@ GRADER_FALLBACK_TOTAL = 0.05
 # FIXED VALUES — prompt rendering
 # ---------------------------------------------------------------------------
 
-STEP_HEADER = "\n--- Step {step_id} ({role}) ---\n{output}\n"
-
 PROMPT_USER_LENIENT = (
     "Task: {brief}\n\nPipeline output (one step contains a silent error):\n{steps}\n"
     "Find the faulty step, identify the responsible role, and provide the corrected output as JSON."

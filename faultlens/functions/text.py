@@ -86,10 +86,6 @@ def splice_at(s: Column, pos: Column, cut_len: Column, repl: Column) -> Column:
     )
 
 
-def contains_ci(text: Column, term: Column) -> Column:
-    return F.contains(F.lower(text), F.lower(term))
-
-
 def keyword_hits(fix: Column, keywords: Column) -> Column:
     """Number of keywords that are case-insensitive substrings of ``fix``."""
     fix_l = F.lower(F.coalesce(fix, F.lit("")))
@@ -109,16 +105,6 @@ def lit_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def swap_array(pairs: Sequence[tuple[str, str]]) -> Column:
-    """Literal ``ARRAY<STRUCT<i INT, find STRING, repl STRING>>`` (0-based i)."""
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(a).alias("find"), F.lit(b).alias("repl"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-
-
 def element_at1(arr: Column, idx1: Column) -> Column:
     """``element_at`` that is NULL for a NULL index (Spark's own returns the
     last element there), so missing draws stay missing."""

@@ -228,9 +228,36 @@ def test_replay_stream_equals_batch(spark):
     for lo, hi in ((0, 1), (1, 2), (2, 9)):  # attempts arrive turn by turn
         att.where((F.col("attempt_no") > lo) & (F.col("attempt_no") <= hi)).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(att.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = drained(replay_stream(stream, bank, timeout_ms=3_600_000))
+    out = drained(replay_stream(stream, bank))
     batch = replay(att, bank)
     cols = batch.columns
     a = sorted(tuple(r) for r in out.select(*cols).collect())
     b = sorted(tuple(r) for r in batch.collect())
     assert a == b and len(a) > 0
+
+
+def test_replay_state_is_dropped_on_timeout():
+    import pandas as pd
+
+    from faultlens.streaming.stream import _replay_fn
+
+    class State:
+        exists = hasTimedOut = False
+        removed, duration = False, None
+
+        def update(self, value):
+            self.value = value
+
+        def remove(self):
+            self.removed = True
+
+        def setTimeoutDuration(self, ms):
+            self.duration = ms
+
+    row = dict(attempt_no=1, action_type="submit", gated=False, accepted=False, violated_rule=None, feedback=None,
+               loc=1.0, blame=1.0, fix=0.5, tot_t1_acc=0.9, tot_t2_acc=0.8, tot_rej=0.7)
+    state = State()
+    out = next(_replay_fn(("e",), iter([pd.DataFrame([row])]), state, 60_000))
+    assert out.reward.tolist() == [0.7] and state.duration == 60_000 and not state.removed
+    state.hasTimedOut = True
+    assert list(_replay_fn(("e",), iter([]), state, 60_000)) == [] and state.removed
