@@ -10,10 +10,10 @@ scores into probabilities.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.llm.common import store
+from faultlens.llm.common import slices, store, utf8_buffers
+from faultlens.llm.decontaminate import tokenize
 
 # Common insults and slurs of general use, by language.
 LEXICON = frozenset(
@@ -45,47 +46,121 @@ FEATURES = (
     "you_rate", "capitals", "shouted_rate", "exclaims", "questions", "punctuation", "symbols", "digits", "obfuscated_rate", "stretched_rate",
 )
 
-_WORD = re.compile(r"[^\W_]+")
-_MIXED = re.compile(r"[^\W_]+(?:[@$!*.\-_+][^\W_]+)+|[^\W_]*[@$*][^\W_]+|[a-z]+[0-9]+[a-z]*|[0-9]+[a-z]+")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
+# words joined by marks, and letters set apart
+_MARKED = re.compile(r"[^\W_]*+(?:[@$*.\-_!+]{1,2}[^\W_]++)+")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
-_SHOUT = re.compile(r"\b[A-Z]{3,}\b")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "+": "t"})
+_SLICE = 1 << 20
 
 
-def _unmasked(token: str) -> str:
-    return re.sub(r"[^\w]|_", "", token.translate(_LEET))
+def _class_of_bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, z in ranges:
+        out[a : z + 1] = True
+    return out
 
 
-def features(text: str | None) -> list[float]:
-    """The values of ``FEATURES`` for one whole text; all zero when it is null or empty."""
-    if not text:
-        return [0.0] * len(FEATURES)
+UPPER, LETTER, DIGIT = _class_of_bytes((65, 90)), _class_of_bytes((65, 90), (97, 122), (128, 255)), _class_of_bytes((48, 57))
+PUNCT = _class_of_bytes((33, 47), (58, 64), (91, 96), (123, 126))
+SYMBOL = _class_of_bytes((35, 38), (42, 43), (64, 64), (94, 96))
+MARK = _class_of_bytes(*[(ord(c), ord(c)) for c in "@$*.-_!+"])
+
+
+def _is_insult(word: str) -> bool:
+    """Whether a word is of the lexicon once digits and marks are read as letters,
+    marks are dropped, or drawn-out letters are shortened."""
+    plain = re.sub(r"\W|_", "", word.translate(_LEET))
+    return any(w in LEXICON for w in (plain, _STRETCH.sub(r"\1", plain), _STRETCH.sub(r"\1\1", plain)))
+
+
+def _masked(text: str) -> int:
+    """Insults whose letters are set apart or joined by marks."""
     low = text.lower()
-    words = _WORD.findall(low)
-    n = max(len(words), 1)
-    at = [i for i, w in enumerate(words) if w in LEXICON]
-    masks = [m for m in _MIXED.findall(low) if _unmasked(m) in LEXICON]
-    masks += [m for m in _SPACED.findall(low) if _unmasked(m.replace(" ", "")) in LEXICON]
-    stretched = _STRETCH.findall(low)
-    if stretched:
-        masks += [w for w in words if _STRETCH.search(w) and w not in LEXICON and (_STRETCH.sub(r"\1", w) in LEXICON or _STRETCH.sub(r"\1\1", w) in LEXICON)]
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    near = sum(bisect_right(you, i + NEAR) > bisect_left(you, i - NEAR) for i in at)
-    dense = max((bisect_right(at, i + 100) - k for k, i in enumerate(at)), default=0)
-    raw = np.frombuffer(text.encode(), np.uint8)
-    tally = np.bincount(raw, minlength=256)
-    size = float(len(text))
-    upper, lower = float(tally[65:91].sum()), float(tally[97:123].sum())
-    marks = float(tally[33:48].sum() + tally[58:65].sum() + tally[91:97].sum() + tally[123:127].sum())
-    odd = float(tally[35:39].sum() + tally[42] + tally[43] + tally[64] + tally[94:97].sum())
-    mixed = sum(1 for _ in _MIXED.finditer(low))
-    return [
-        float(len(words)), sum(map(len, words)) / n, float(len(at)), len(at) / n, float(len({words[i] for i in at})), float(dense),
-        float(len(masks)), len(masks) / n, float(near), near / max(len(at), 1), len(you) / n,
-        upper / max(upper + lower, 1.0), len(_SHOUT.findall(text)) / n, float(tally[33]) / size, float(tally[63]) / size,
-        marks / size, odd / size, float(tally[48:58].sum()) / size, mixed / n, len(stretched) / n,
-    ]
+    return sum(map(_is_insult, _MARKED.findall(low))) + sum(_is_insult(m.replace(" ", "")) for m in _SPACED.findall(low))
+
+
+def feature_rows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The values of ``FEATURES`` for the texts of a UTF-8 buffer, whole texts; all
+    zero for an empty one. Everything but rare spellings is counted on arrays."""
+    n, size = len(off) - 1, np.diff(off).astype(float)
+    out = np.zeros((n, len(FEATURES)))
+    if not len(data):
+        return out
+    per_byte = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[off])
+    words, firsts = tokenize(data, off)
+    coded = words.dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    listed = lambda terms: pc.is_in(coded.dictionary, value_set=pa.array([t.encode() for t in sorted(terms)], pa.large_binary()))
+    flags = [listed(t).to_numpy(zero_copy_only=False)[codes] for t in (LEXICON, SECOND_PERSON)]
+    hit, you = (np.flatnonzero(f) for f in flags)
+    count = np.diff(firsts).astype(float)
+    doc = np.searchsorted(firsts, hit, side="right") - 1
+    in_doc = lambda at: np.bincount(at, minlength=n).astype(float)
+    # hits close to a second-person word of the same text
+    after = np.searchsorted(you, hit)
+    near = np.zeros(len(hit), bool)
+    for k in (after - 1, after):
+        ok = (k >= 0) & (k < len(you))
+        at = you[np.clip(k, 0, max(len(you) - 1, 0))] if len(you) else hit
+        near |= ok & (np.abs(at - hit) <= NEAR) & (at >= firsts[doc]) & (at < firsts[doc + 1])
+    dense = np.zeros(n)
+    np.maximum.at(dense, doc, np.searchsorted(hit, np.minimum(hit + 100, firsts[doc + 1])) - np.arange(len(hit)))
+    pairs = np.unique(doc * (len(coded.dictionary) + 1) + codes[hit]) // (len(coded.dictionary) + 1)
+    edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    length = np.diff(edges)
+    upper, letter = UPPER[data], LETTER[data]
+    is_word = letter | DIGIT[data]
+    capital = np.add.reduceat(upper[is_word], edges[:-1], dtype=np.int64) if len(words) else np.zeros(0, int)
+    shouted = np.flatnonzero((length >= 3) & (capital == length))
+    low = np.where(upper, data | 32, data)
+    triple = np.zeros(len(data), bool)
+    if len(data) > 2:
+        triple[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:]
+        triple[3:] &= low[3:] != low[:-3]  # once a run
+    begin, end = off[:-1][size > 0], off[1:][size > 0]
+    triple[begin] = triple[np.minimum(begin + 1, len(data) - 1)] = False  # letters of the text before
+    stretched = per_byte(triple)
+    # odd spellings within a word are looked up once for each distinct word
+    digits = np.add.reduceat(DIGIT[data][is_word], edges[:-1], dtype=np.int64) if len(words) else np.zeros(0, int)
+    drawn = np.add.reduceat(triple[is_word], edges[:-1], dtype=np.int64) if len(words) else np.zeros(0, int)
+    mixed = (digits > 0) & (digits < length)
+    asked = np.unique(codes[(mixed | (drawn > 0)) & ~flags[0]])
+    found = np.zeros(len(coded.dictionary), bool)
+    found[asked] = [_is_insult(w.decode("utf-8", "replace")) for w in coded.dictionary.take(pa.array(asked)).to_pylist()]
+    masked = in_doc(np.searchsorted(firsts, np.flatnonzero(found[codes]), side="right") - 1)
+    # those across words need the text, where marks stand between word characters or single letters follow each other
+    marks = MARK[data]
+    inner = np.zeros(len(data), bool)
+    inner[1:-1] = marks[1:-1] & is_word[:-2] & is_word[2:]
+    inner[1:-2] |= marks[1:-2] & marks[2:-1] & is_word[:-3] & is_word[3:]
+    inner[begin] = inner[end - 1] = inner[np.maximum(end - 2, 0)] = False  # no marks between two texts
+    single = np.concatenate((length == 1, [False]))
+    spaced = np.flatnonzero(single[:-4] & single[1:-3] & single[2:-2] & single[3:-1]) if len(single) > 4 else np.zeros(0, int)
+    joined = per_byte(inner)
+    for i in np.flatnonzero((joined > 0) | (in_doc(np.searchsorted(firsts, spaced, side="right") - 1) > 0)):
+        masked[i] += _masked(data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"))
+    obscured = joined + in_doc(np.searchsorted(firsts, np.flatnonzero(mixed), side="right") - 1)
+    share = lambda x, of: x / np.maximum(of, 1)
+    hits, close = in_doc(doc), in_doc(doc[near])
+    chars = np.maximum(per_byte((data & 0xC0) != 0x80), 1)
+    columns = (
+        count, share(per_byte(is_word), count), hits, share(hits, count), in_doc(pairs), dense,
+        masked, share(masked, count), close, share(close, hits), share(in_doc(np.searchsorted(firsts, you, side="right") - 1), count),
+        share(per_byte(upper), per_byte(letter)), share(in_doc(np.searchsorted(firsts, shouted, side="right") - 1), count),
+        per_byte(data == 33) / chars, per_byte(data == 63) / chars, per_byte(PUNCT[data]) / chars, per_byte(SYMBOL[data]) / chars,
+        per_byte(DIGIT[data]) / chars, share(obscured, count), share(stretched, count),
+    )
+    for k, c in enumerate(columns):
+        out[:, k] = c
+    out[size == 0] = 0
+    return out
+
+
+def features(text: str | None) -> list[float]:
+    """``feature_rows`` of one text; null counts as empty."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return feature_rows(raw, np.array([0, len(raw)])).tolist()[0]
 
 
 def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,8 +169,11 @@ def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def run(batches):
         for b in batches:
-            rows = pa.array([features(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), rows], names=[id_col, "f"])
+            data, off = utf8_buffers(b.column(1))
+            for lo, hi in slices(off, _SLICE):
+                rows = feature_rows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                values = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, len(FEATURES), dtype=np.int32), pa.array(rows.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), values], names=[id_col, "f"])
 
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -122,6 +200,8 @@ class Model:
 
 
 BINS = 1000
+#: Rows in a leaf at least; a twentieth of the training rows, if that is fewer.
+LEAF = 10
 
 
 def fit(trees_on: DataFrame, curve_on: DataFrame, rounds: int = 20, depth: int = 2) -> Model:
@@ -133,7 +213,8 @@ def fit(trees_on: DataFrame, curve_on: DataFrame, rounds: int = 20, depth: int =
     share = n.get(1, 0) / max(sum(n.values()), 1)
     if len(n) < 2:
         return Model(None, None, float(share))
-    gbt = GBTClassifier(featuresCol="x_all", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.2, minInstancesPerNode=10, seed=7)
+    least = max(1, min(LEAF, sum(n.values()) // 20))
+    gbt = GBTClassifier(featuresCol="x_all", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.2, minInstancesPerNode=least, seed=7)
     trees = gbt.fit(_assembled(trees_on).select("x_all", F.col("label").cast("double").alias("label")))
     raw = trees.transform(_assembled(curve_on)).select(vector_to_array("probability")[1].alias("raw"), "label")
     points = (
