@@ -43,7 +43,7 @@ from faultlens.llm.common import partitions, scratch_dir, slices, utf8_buffers
 
 LENGTH = 50
 ANCHOR = 24
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 _SLICE = 1 << 18
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FINAL = np.uint64(0x9E3779B97F4A7C15)
@@ -130,16 +130,25 @@ def anchors(data: np.ndarray, off: np.ndarray, live: np.ndarray, codes: np.ndarr
     return {"a": a, "b": b, "row": row[a], "anchor": short[at], "factor": factor, "prefix": prefix}
 
 
-def _block_anchors(data, off, live, codes):
-    """``anchors`` over a whole block, slice by slice."""
-    parts = []
+def _slice_anchors(data, off, live, codes):
+    """``anchors`` of a block, slice by slice, in the block's positions; with each
+    slice its prefix hashes and where they start. Only one slice is held at a time."""
     for lo, hi in slices(off, _SLICE):
         base = off[lo]
         found = anchors(data[base : off[hi]], off[lo : hi + 1] - base, live[lo:hi], codes)
         prefix = found.pop("prefix")
         found["a"], found["b"], found["row"] = found["a"] + base, found["b"] + base, found["row"] + lo
-        parts.append((found, prefix, base))
-    return parts
+        yield found, prefix, base
+
+
+def _rows(batch: pa.RecordBatch):
+    """Rows of a batch as dicts; binary values are views, not copies."""
+    for i in range(batch.num_rows):
+        row = {}
+        for name, col in zip(batch.schema.names, batch.columns, strict=True):
+            cell = col[i]
+            row[name] = (cell.as_buffer() if cell.is_valid else b"") if pa.types.is_binary(col.type) else cell.as_py()
+        yield row
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -166,10 +175,10 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
                 block += 1
 
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, _ROW)
-    buckets = partitions(spark)
+    buckets = 2 * partitions(spark)
     name = f"llm_blocks_{uuid.uuid4().hex}"
-    writer = rows.write.bucketBy(buckets, "block").option("parquet.page.size.row.check.min", "1")
-    writer.option("path", f"{scratch_dir(spark)}/{name}").option("parquet.block.size", str(32 << 20)).saveAsTable(name)
+    writer = rows.write.bucketBy(buckets, "block").option("parquet.page.size.row.check.min", "1").option("compression", "zstd")
+    writer.option("path", f"{scratch_dir(spark)}/{name}").option("parquet.block.size", str(8 << 20)).saveAsTable(name)
     return spark.table(name), buckets
 
 
@@ -182,19 +191,36 @@ def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return ids, ~nulls, off, np.frombuffer(row["data"], np.uint8)
 
 
-def _dealt(block: int, group: np.ndarray, value: np.ndarray, ids: np.ndarray, n_buckets: int):
+def _short_ids(ids: np.ndarray) -> bytes:
+    """Ids as the first one and 16-bit steps, where the steps are that small."""
+    step = np.diff(ids)
+    if len(step) and (step.min() < -(1 << 15) or step.max() >= 1 << 15):
+        return b"\x08" + ids.tobytes()
+    return b"\x02" + ids[:1].tobytes() + step.astype(np.int16).tobytes()
+
+
+def _long_ids(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"\x08":
+        return np.frombuffer(raw, np.int64, offset=1)
+    step = np.frombuffer(raw, np.int16, offset=9).astype(np.int64)
+    return np.concatenate((np.frombuffer(raw, np.int64, 1, offset=1), step)).cumsum()
+
+
+def _dealt(block: int, group: np.ndarray | None, value: np.ndarray, ids: np.ndarray, n_buckets: int):
     """Rows ``(bucket, block, groups, vals, ids)`` of one block: its entries in
-    position order, dealt by their group, of which 32 further bits are sent."""
-    route = _mix(group + _STEP)  # anchors are minima: their own high bits are not even
+    position order, dealt by their group, of which 32 further bits are sent.
+    Without groups, entries are dealt by value."""
+    route = _mix((value if group is None else group) + _STEP)  # anchors are minima: their own high bits are not even
     bucket = ((route >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-    low = route.astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
     full = np.flatnonzero(edges[1:] > edges[:-1])
-    part = lambda x, b: x[order[edges[b] : edges[b + 1]]].tobytes()
+    low = route.astype(np.uint32) if group is not None else None
+    at = [order[edges[b] : edges[b + 1]] for b in full]
+    groups = [b"" if low is None else low[i].tobytes() for i in at]
     return pa.RecordBatch.from_arrays(
-        [pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64())]
-        + [pa.array([part(x, b) for b in full], pa.binary()) for x in (low, value, ids)],
+        [pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array(groups, pa.binary())]
+        + [pa.array([value[i].tobytes() for i in at], pa.binary()), pa.array([_short_ids(ids[i]) for i in at], pa.binary())],
         names=["bucket", "block", "groups", "vals", "ids"],
     )
 
@@ -211,14 +237,14 @@ def _first_of(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
 _DEALT = "bucket bigint, block bigint, groups binary, vals binary, ids binary"
 
 
-def _least_by(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted-group use: order by key, and the smallest id of each entry's key."""
-    order = np.argsort(keys, kind="stable")
-    head = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) if len(keys) else np.zeros(0, int)
+def _least_by(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id among the entries of each entry's key."""
     least = np.empty(len(keys), ids.dtype)
     if len(keys):
+        order = np.argsort(keys, kind="stable")
+        head = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
         least[order] = np.repeat(np.minimum.reduceat(ids[order], head), np.diff(np.append(head, len(keys))))
-    return order, least
+    return least
 
 
 def previous_smaller(run: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -235,7 +261,8 @@ def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
     """The entries of a bucket: groups, values, ids, and their row in the frame."""
     size = [len(x) // 8 for x in frame["vals"]]
     cat = lambda c, t: np.frombuffer(b"".join(frame[c]), t)
-    return cat("groups", np.uint32), cat("vals", np.uint64), cat("ids", np.int64), np.repeat(np.arange(len(frame)), size)
+    ids = np.concatenate([_long_ids(x) for x in frame["ids"]])
+    return cat("groups", np.uint32), cat("vals", np.uint64), ids, np.repeat(np.arange(len(frame)), size)
 
 
 _ANSWER = "block bigint, gone binary, split binary"
@@ -277,11 +304,20 @@ def _by_block(answers: DataFrame) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list("gone").alias("gone"), F.collect_list("split").alias("split"))
 
 
-def _member(values: np.ndarray, found) -> np.ndarray:
-    known = np.frombuffer(b"".join(found or ()), np.uint64)
+def _spread(raw) -> np.ndarray:
+    """The positions of ranges."""
+    ranges = np.frombuffer(raw, np.int32).reshape(-1, 2).astype(np.int64)
+    size = ranges[:, 1] - ranges[:, 0]
+    return np.repeat(ranges[:, 0] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _sorted_answers(found) -> np.ndarray:
+    return np.sort(np.frombuffer(b"".join(found or ()), np.uint64))
+
+
+def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(values), bool)
-    known = np.sort(known)
     at = np.minimum(np.searchsorted(known, values), len(known) - 1)
     return known[at] == values
 
@@ -297,9 +333,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send_factors(batches):
         codes = _byte_codes()
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 ids, live, off, data = _opened(r)
-                parts = [f for f, _, _ in _block_anchors(data, off, live, codes)]
+                parts = [f for f, _, _ in _slice_anchors(data, off, live, codes)]
                 if not parts:
                     continue
                 anchor, factor, row = (np.concatenate([p[k] for p in parts]) for k in ("anchor", "factor", "row"))
@@ -314,28 +350,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Applies the factors' answers: runs that go, and the prefixes still open."""
         codes = _byte_codes()
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 ids, live, off, data = _opened(r)
-                parts = _block_anchors(data, off, live, codes)
+                known_gone, known_split = _sorted_answers(r["gone"]), _sorted_answers(r["split"])
+                kept, opened = [], []
+                for p, prefix, base in _slice_anchors(data, off, live, codes):
+                    split = _member(p["factor"], known_split)
+                    size = np.where(split, p["b"] - p["a"] + 1, 0)
+                    at = np.repeat(p["a"] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    opened.append((np.repeat(np.arange(len(size)), size), prefix[at - base]))
+                    kept.append(p)
                 runs, open_at, open_hash = [], [], []
-                if parts:
-                    factor, row = (np.concatenate([p[0][k] for p in parts]) for k in ("factor", "row"))
-                    _, least = _least_by(factor, ids[row])
-                    gone = (ids[row] > least) | _member(factor, r["gone"])
-                    split = ~gone & _member(factor, r["split"])
+                if kept:
+                    factor, row = (np.concatenate([p[k] for p in kept]) for k in ("factor", "row"))
+                    gone = (ids[row] > _least_by(factor, ids[row])) | _member(factor, known_gone)
                     n = 0
-                    for p, prefix, base in parts:
-                        g, s = gone[n : n + len(p["a"])], split[n : n + len(p["a"])]
-                        n += len(p["a"])
+                    for p, (of, prefix) in zip(kept, opened, strict=True):
+                        g = gone[n : n + len(p["a"])]
+                        n += len(g)
                         runs.append(np.stack((p["a"][g], p["b"][g] + LENGTH), axis=1))
-                        size = p["b"][s] - p["a"][s] + 1
-                        at = np.repeat(p["a"][s] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                        open_at.append(at)
-                        open_hash.append(prefix[at - base])
+                        keep = ~g & _member(p["factor"], known_split)
+                        open_at.append(np.stack((p["a"][keep], p["b"][keep] + 1), axis=1))
+                        open_hash.append(prefix[~g[of]])
                 cat = lambda x, t: np.concatenate(x).astype(t).tobytes() if x else b""
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["block"]], pa.int64()), pa.array([r["ids"]], pa.binary()), pa.array([r["off"]], pa.binary())]
-                    + [pa.array([x], pa.binary()) for x in (cat(runs, np.int64), cat(open_at, np.int64), cat(open_hash, np.uint64))],
+                    [pa.array([r["block"]], pa.int64())]
+                    + [pa.array([memoryview(r[c]).tobytes()], pa.binary()) for c in ("ids", "off")]
+                    + [pa.array([x], pa.binary()) for x in (cat(runs, np.int32), cat(open_at, np.int32), cat(open_hash, np.uint64))],
                     names=["block", "ids", "off", "runs", "at", "hash"],
                 )
 
@@ -346,34 +387,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         state_rows.write.bucketBy(n_buckets, "block")
         .option("path", f"{scratch_dir(spark)}/{name}")
         .option("parquet.page.size.row.check.min", "1")
+        .option("compression", "zstd")
         .saveAsTable(name)
     )
     state = spark.table(name)
 
     def send_prefixes(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                at, prefix = np.frombuffer(r["at"], np.int64), np.frombuffer(r["hash"], np.uint64)
+            for r in _rows(batch):
+                at, prefix = _spread(r["at"]), np.frombuffer(r["hash"], np.uint64)
                 if not len(at):
                     continue
                 off = np.frombuffer(r["off"], np.int64)
                 ids = np.frombuffer(r["ids"], np.int64, len(off) - 1)
                 doc = ids[np.searchsorted(off, at, side="right") - 1]
                 pick = _first_of(prefix, doc)
-                yield _dealt(r["block"], prefix[pick], prefix[pick], doc[pick], n_buckets)
+                yield _dealt(r["block"], None, prefix[pick], doc[pick], n_buckets)
 
     second = _by_block(state.select("block", "ids", "off", "at", "hash").mapInArrow(send_prefixes, _DEALT).groupBy("bucket").applyInPandas(_prefixes_of_bucket, _ANSWER))
     schema = f"{id_col} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep_bytes else "")
 
     def cut(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 ids, live, off, data = _opened(r)
-                at, prefix = np.frombuffer(r["at"] or b"", np.int64), np.frombuffer(r["hash"] or b"", np.uint64)
-                runs = np.frombuffer(r["runs"] or b"", np.int64).reshape(-1, 2)
+                at, prefix = _spread(r["at"] or b""), np.frombuffer(r["hash"] or b"", np.uint64)
+                runs = np.frombuffer(r["runs"] or b"", np.int32).reshape(-1, 2)
                 doc = ids[np.searchsorted(off, at, side="right") - 1] if len(at) else np.zeros(0, np.int64)
-                _, least = _least_by(prefix, doc)
-                dup = at[(doc > least) | _member(prefix, r["gone"])]
+                dup = at[(doc > _least_by(prefix, doc)) | _member(prefix, _sorted_answers(r["gone"]))]
                 edge = np.bincount(np.concatenate((runs[:, 0], dup)), minlength=len(data) + 1) - np.bincount(
                     np.concatenate((runs[:, 1], dup + LENGTH)), minlength=len(data) + 1
                 )
