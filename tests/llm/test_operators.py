@@ -252,6 +252,18 @@ def test_html(spark):
     assert got == want
 
 
+def test_html_templates_are_counted_over_the_whole_page(spark, monkeypatch):
+    """On a host with enough pages recurrence decides, not the markup: recurring furniture
+    goes whatever it is called, and what is on one page stays even if called an advert."""
+    monkeypatch.setattr(html_text, "FEW_PAGES", 40)
+    page = "<body><nav><ul><li>Menu</ul></nav><div class='ad'>Only here {n}</div><article><p>Same<p>Own {n}</article><div><p>Rotating {v}</div><footer>All rights</footer>"
+    rows = [(i, f"http://hot.example/{i}", page.format(n=i, v=i % 4)) for i in range(48)]
+    rows += [(100 + i, f"http://small.example/{i}", page.format(n=i, v=i % 4)) for i in range(3)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {i: f"Only here {i} Same Own {i}" for i in range(48)}  # 12 of 48 pages hold a rotating one
+    assert got == want | {100 + i: f"Same Own {i}" for i in range(3)}
+
+
 def test_token_trees_and_edits(spark, mixed):
     from tokenizers import Tokenizer
 
