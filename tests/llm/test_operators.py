@@ -264,6 +264,24 @@ def test_html_templates_are_counted_over_the_whole_page(spark, monkeypatch):
     assert got == want | {100 + i: f"Same Own {i}" for i in range(3)}
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<script>var a='<article>'</script><main><p>Main text</main><p>Outside", "Main text"),
+        ("<!-- <article> --><div><p>Body text</div>", "Body text"),
+        ("<article-list></article-list><mainmenu></mainmenu><div>Body text</div>", "Body text"),
+        ("<main><p>Main text of some length</main><aside><article>A card</article></aside>", "Main text of some length"),
+        ("<article>x</article><div><p>All of the text stands in here</div>", "x All of the text stands in here"),
+        ("<article><svg class='i' d=\"a>b\"/><p>After</p><svg><text>no</text></svg><p>End</article>", "After End"),
+        ("<title-bar>Bar</title-bar><style-guide>Guide</style-guide><p>Text", "Bar Guide Text"),
+        ("<article><h2 id='related-work'>Related work</h2><section class='social-history'><p>Own</section><div class='share'>no</div></article>", "Related work Own"),
+    ],
+)
+def test_html_main_text_of_ordinary_markup(page, want):
+    blocks, own, _ = html_text.parse(page)
+    assert " ".join(b for i, b in enumerate(blocks) if not any(a <= i < z for a, z in own)) == want
+
+
 def test_token_trees_and_edits(spark, mixed):
     from tokenizers import Tokenizer
 
