@@ -48,7 +48,18 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, "AKIA[A-Z0-9]{16}"),
     # runs of under 24 cannot count, and longer ones are taken from their start
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, "[0-9a-f]{24}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN [A-Z ]*PRIVATE KEY"),
+    # from BEGIN to END; without one, to the end of the headers and base64 lines
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:"
+        r"(?:[\x20\t\r\n]*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n){0,9}[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+        r"|(?:[\x20\t\r\n]*(?:Proc-Type|DEK-Info|Comment|Subject|Version):[^\n]*\n){0,9}"
+        r"""(?:[\x20\t\r\n\\"']*[A-Za-z0-9+/]{16,}={0,2})*(?:[\x20\t\r\n]*[A-Za-z0-9+/]{1,15}={1,2})?)""",
+        0,
+        1,
+        "-----BEGIN [A-Z ]*PRIVATE KEY",
+        version=2,
+    ),
     Rule("hosted", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh[pousr]_[A-Za-z0-9]{36}"),
 )
 BASE = 3
