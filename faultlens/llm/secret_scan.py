@@ -64,7 +64,7 @@ RULES = (
 )
 BASE = 3
 _MARK, _OTHER = "\x01", "\x02"
-_NONE = "array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
+_NONE = "array<struct<start:bigint,ord:int,end:bigint,kind:string,rule:string>>"
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -77,8 +77,9 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
         n = F.length(piece).cast("bigint")
         counts = F.length(F.regexp_extract(piece, rule.pattern, rule.group)) >= rule.least
         span = F.struct(
-            acc["at"].alias("start"), F.lit(order).alias("ord"), (acc["at"] + n).alias("end"), F.lit(rule.kind).alias("kind")
-        )
+            acc["at"].alias("start"), F.lit(order).alias("ord"), (acc["at"] + n).alias("end"), F.lit(rule.kind).alias("kind"),
+            F.lit(rule.key).alias("rule"),
+        )
         return F.struct(
             (acc["at"] + n).alias("at"),
             (~acc["match"]).alias("match"),
@@ -143,8 +144,10 @@ def scan(
             .agg(F.flatten(F.collect_list("rules")).alias("rules"), F.flatten(F.collect_list("spans")).alias("spans"))
         )
     ledger = store(new, "ledger")
-    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i + 1))])
-    current = F.filter("spans", lambda s: order[s["kind"]].isNotNull())
+    # spans of other versions stay behind, and the order is that of these rules
+    order = F.create_map(*[x for i, k in enumerate(keys) for x in (F.lit(k), F.lit(i + 1))])
+    current = F.filter("spans", lambda s: F.array_contains(every, s["rule"]))
+    current = F.transform(current, lambda s: s.withField("ord", order[s["rule"]]))
     hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("of"), F.array_sort(current).alias("spans"))
     findings = addressed.join(hits, F.col("blob") == F.col("of"), "left").select(
         F.col("path").alias(path_col), "blob", F.coalesce("spans", F.array().cast(_NONE)).alias("spans")

@@ -214,6 +214,19 @@ def test_secret_scan_and_ledger(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_ledger_keeps_rule_versions_apart(spark):
+    first = (secret_scan.Rule("key", "k[0-9]+", 0, 1, "k"), secret_scan.Rule("word", "token", 0, 1, "token"))
+    second = (first[1], secret_scan.Rule("key", "k[0-9]{2,}", 0, 1, "k", version=2))
+    spans = lambda found: {r.doc_id: r.spans for r in found.select("doc_id", secret_scan.joined("spans").alias("spans")).collect()}
+    docs = docs_of(spark, [(1, "k1 k22 token"), (2, "k3")])
+    found, ledger = secret_scan.scan(docs, rules=first)
+    assert spans(found) == {1: "key:0:2,key:3:6,word:7:12", 2: "key:0:2"}
+    found, ledger = secret_scan.scan(docs, ledger, rules=second)
+    assert spans(found) == {1: "key:3:6,word:7:12", 2: ""}
+    assert [[s.ord for s in r.spans] for r in found.where("doc_id = 1").collect()] == [[2, 1]]
+    assert spans(secret_scan.scan(docs, ledger, rules=first)[0]) == {1: "key:0:2,key:3:6,word:7:12", 2: "key:0:2"}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 20)).round(2)
