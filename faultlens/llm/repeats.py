@@ -6,8 +6,10 @@ documents, has that length or more. In suffix order the suffixes that share a
 ``LENGTH``-byte prefix stand next to each other, and the nearest one of a
 smaller document before or after a suffix (previous and next smaller value)
 gives its longest previous factor. Whether that reaches ``LENGTH`` needs only
-suffixes cut to that length, so the order is built in pieces: equal prefixes
-meet in one bucket, by hash.
+suffixes cut to that length, and only equal ones matter, so the order is that of
+their hashes, built in pieces: equal prefixes meet in one bucket. Hashes only
+propose; before anything goes, its bytes are compared with those of the nearest
+smaller document.
 
 Not every suffix travels. A prefix is represented by its anchor, the 24-byte
 string in it of least hash, which equal prefixes share at the same offset; all
@@ -21,10 +23,15 @@ prefixes on one anchor occurrence form a factor of at most 76 bytes.
    their anchor with a different factor.
 3. Only for the latter, the prefixes themselves are sent, once a block, and
    ordered likewise.
-4. Blocks apply the answers, cut the bytes and hash what is left.
-
-A passage that a third of all documents share is sent once a block. Hashes of
-prefixes have 64 bits, of factors 64 bits besides those of their anchor.
+4. With each answer a bucket tells the block of the nearest smaller document, which
+   sends the bytes asked of it, overlapping ones once, to the block that asks.
+5. Blocks compare bytes. Where hashes agree and bytes do not, the strings in
+   question, which are few, are looked up in all blocks as they are.
+6. Blocks cut what is confirmed and hash what is left.
+
+A passage that a third of all documents share is sent once a block, and its bytes
+go from block to block. Hashes of prefixes have 64 bits, of factors 64 bits
+besides those of their anchor.
 """
 
 from __future__ import annotations
@@ -39,20 +46,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import partitions, scratch_dir, slices, utf8_buffers
+from faultlens.llm.common import partitions, scratch_dir, slices, store, utf8_buffers
 
 LENGTH = 50
 ANCHOR = 24
 BLOCK_BYTES = 1 << 20
 _SLICE = 1 << 18
+CODES = 256  # fewer make hashes collide
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FINAL = np.uint64(0x9E3779B97F4A7C15)
 _ROW = "block bigint, ids binary, off binary, data binary"
 
 
-def _byte_codes() -> np.ndarray:
-    """Fixed 64-bit codes of the 256 bytes."""
-    codes = [int.from_bytes(hashlib.sha256(bytes([b])).digest()[:8], "little") | 1 for b in range(256)]
+def _byte_codes(n: int) -> np.ndarray:
+    """Fixed 64-bit codes of the 256 bytes, ``n`` different ones."""
+    codes = [int.from_bytes(hashlib.sha256(bytes([b % n])).digest()[:8], "little") | 1 for b in range(256)]
     return np.array(codes, np.uint64)
 
 
@@ -151,9 +159,17 @@ def _rows(batch: pa.RecordBatch):
         yield row
 
 
+def _bucketed(rows: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Rows of a block each as a table bucketed by block."""
+    spark = rows.sparkSession
+    name = f"llm_{name}_{uuid.uuid4().hex}"
+    writer = rows.write.bucketBy(buckets, "block").option("parquet.page.size.row.check.min", "1").option("compression", "zstd")
+    writer.option("path", f"{scratch_dir(spark)}/{name}").option("parquet.block.size", str(8 << 20)).saveAsTable(name)
+    return spark.table(name)
+
+
 def _packed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """Blocks of about ``BLOCK_BYTES`` as rows of a table bucketed by block."""
-    spark = docs.sparkSession
 
     def run(batches):
         block = TaskContext.get().partitionId() << 32
@@ -175,11 +191,8 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
                 block += 1
 
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, _ROW)
-    buckets = 2 * partitions(spark)
-    name = f"llm_blocks_{uuid.uuid4().hex}"
-    writer = rows.write.bucketBy(buckets, "block").option("parquet.page.size.row.check.min", "1").option("compression", "zstd")
-    writer.option("path", f"{scratch_dir(spark)}/{name}").option("parquet.block.size", str(8 << 20)).saveAsTable(name)
-    return spark.table(name), buckets
+    buckets = 2 * partitions(docs.sparkSession)
+    return _bucketed(rows, "blocks", buckets), buckets
 
 
 def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -248,13 +261,15 @@ def _least_by(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def previous_smaller(run: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether, within its run of equal prefixes, an entry has a neighbour in suffix
-    order (previous or next smaller value) of a smaller document. Runs are
-    contiguous; the nearest smaller values of a run's entries exist on either side
-    exactly where the entry is above the run's minimum."""
-    head = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-    least = np.repeat(np.minimum.reduceat(doc, head), np.diff(np.append(head, len(run))))
-    return doc > least
+    """For each entry the nearest one before it, within its run of equal prefixes, of a
+    smaller document, or -1. Runs are contiguous and ordered by document, so a next
+    smaller value never comes within a run."""
+    head = np.concatenate(([True], run[1:] != run[:-1]))
+    fresh = head.copy()
+    fresh[1:] |= doc[1:] != doc[:-1]
+    at = np.arange(len(run))
+    first = np.maximum.accumulate(np.where(fresh, at, 0))
+    return np.where(first > np.maximum.accumulate(np.where(head, at, 0)), first - 1, -1)
 
 
 def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -265,43 +280,109 @@ def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return cat("groups", np.uint32), cat("vals", np.uint64), ids, np.repeat(np.arange(len(frame)), size)
 
 
-_ANSWER = "block bigint, gone binary, split binary"
+_ANSWER = "block bigint, gone binary, split binary, need binary, ask binary, who binary"
+
 
+def _answers(frame: pd.DataFrame, smaller: np.ndarray, split: np.ndarray, value: np.ndarray, row: np.ndarray) -> pd.DataFrame:
+    """Per block, the values that are gone, and those to be split further; and the values
+    whose bytes it is to send (``need``), with the number in ``who`` of the block that asks."""
 
-def _answers(frame: pd.DataFrame, gone: np.ndarray, split: np.ndarray, value: np.ndarray, row: np.ndarray) -> pd.DataFrame:
-    """Per block, the values that are gone, and those to be split further."""
-    out = []
-    for flags in (gone, split):
-        at = np.flatnonzero(flags)
-        at = at[np.argsort(row[at], kind="stable")]
-        edges = np.searchsorted(row[at], np.arange(len(frame) + 1))
-        out.append([value[at[edges[i] : edges[i + 1]]].tobytes() for i in range(len(frame))])
-    found = pd.DataFrame({"block": frame["block"], "gone": out[0], "split": out[1]})
-    return found[(found["gone"].str.len() > 0) | (found["split"].str.len() > 0)]
+    def dealt(at, by):
+        at = at[np.argsort(by, kind="stable")]
+        edges = np.searchsorted(np.sort(by), np.arange(len(frame) + 1))
+        return [at[edges[i] : edges[i + 1]] for i in range(len(frame))]
+
+    gone, split, blocks = np.flatnonzero(smaller >= 0), np.flatnonzero(split), frame["block"].to_numpy(np.int64)
+    asked = dealt(gone, row[smaller[gone]])
+    who = [np.unique(row[x], return_inverse=True) for x in asked]
+    found = pd.DataFrame(
+        {
+            "block": blocks,
+            "gone": [value[x].tobytes() for x in dealt(gone, row[gone])],
+            "split": [value[x].tobytes() for x in dealt(split, row[split])],
+            "need": [value[x].tobytes() for x in asked],
+            "ask": [i.astype(np.uint32).tobytes() for _, i in who],
+            "who": [blocks[w].tobytes() for w, _ in who],
+        }
+    )
+    return found[(found["gone"].str.len() > 0) | (found["split"].str.len() > 0) | (found["need"].str.len() > 0)]
 
 
 def _factors_of_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     anchor, factor, doc, row = _gathered(frame)
-    order = np.lexsort((doc, factor, anchor))  # suffix order by anchor, then factor
+    order = np.lexsort((doc, factor, anchor))  # equal factors next to each other, by document
     anchor, factor, doc, row = anchor[order], factor[order], doc[order], row[order]
     new = np.concatenate(([True], (factor[1:] != factor[:-1]) | (anchor[1:] != anchor[:-1])))
-    gone = previous_smaller(np.cumsum(new), doc)
+    smaller = previous_smaller(np.cumsum(new), doc)
     group = np.cumsum(np.concatenate(([True], anchor[1:] != anchor[:-1]))) - 1
     several = np.bincount(group, weights=new) > 1
-    return _answers(frame, gone, ~gone & several[group], factor, row)
+    return _answers(frame, smaller, (smaller < 0) & several[group], factor, row)
 
 
 def _prefixes_of_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     _, prefix, doc, row = _gathered(frame)
     order = np.lexsort((doc, prefix))
     prefix, doc, row = prefix[order], doc[order], row[order]
-    gone = previous_smaller(prefix, doc)
-    return _answers(frame, gone, np.zeros(len(gone), bool), prefix, row)
+    smaller = previous_smaller(prefix, doc)
+    return _answers(frame, smaller, np.zeros(len(smaller), bool), prefix, row)
 
 
 def _by_block(answers: DataFrame) -> DataFrame:
     """One row per block: the concatenated answers of all buckets."""
-    return answers.groupBy("block").agg(F.collect_list("gone").alias("gone"), F.collect_list("split").alias("split"))
+    asks = F.when(F.length("need") > 0, F.struct("need", "ask", "who"))
+    return answers.groupBy("block").agg(F.collect_list("gone").alias("gone"), F.collect_list("split").alias("split"), F.collect_list(asks).alias("asks"))
+
+
+_PIECES = "asker bigint, docs binary, sizes binary, data binary"
+
+
+def _pieces(asks, known: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, data: np.ndarray) -> list[dict]:
+    """The bytes of the values asked for, by asker: pieces that do not overlap, each with
+    its document and size. ``known`` are the values of a block, at ``begin`` to ``end``."""
+    if not asks:
+        return []
+    value = np.concatenate([np.frombuffer(x["need"], np.uint64) for x in asks])
+    asker = np.concatenate([np.frombuffer(x["who"], np.int64)[np.frombuffer(x["ask"], np.uint32)] for x in asks])
+    by = np.argsort(known)
+    at = by[np.searchsorted(known, value, sorter=by)]
+    order = np.lexsort((begin[at], asker))
+    at, asker = at[order], asker[order]
+    a, e = begin[at], end[at]
+    head = np.flatnonzero(np.concatenate(([True], (asker[1:] != asker[:-1]) | (a[1:] >= e[:-1]))))
+    a, e, doc, asker = a[head], e[np.append(head[1:], len(e)) - 1], doc[at[head]], asker[head]
+    edges = np.append(np.flatnonzero(np.concatenate(([True], asker[1:] != asker[:-1]))), len(asker))
+    return [
+        {
+            "asker": int(asker[i]), "docs": doc[i:j].tobytes(), "sizes": (e[i:j] - a[i:j]).astype(np.int32).tobytes(),
+            "data": b"".join(data[x:y].tobytes() for x, y in zip(a[i:j], e[i:j], strict=True)),
+        }
+        for i, j in zip(edges[:-1], edges[1:], strict=True)
+    ]
+
+
+def _all_prefixes(data: np.ndarray, off: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``LENGTH`` bytes from each position on, and whether these are in one row."""
+    out = np.zeros(len(data), np.uint64)
+    for lo, hi in slices(off, _SLICE):
+        part = data[off[lo] : off[hi]]
+        if len(part) >= LENGTH:
+            out[off[lo] : off[hi] - LENGTH + 1] = _hashes(part, codes)[1]
+    ends = np.repeat(off[1:], np.diff(off))
+    whole = np.arange(len(data)) + LENGTH <= ends
+    return out, whole
+
+
+def _confirmed(at, want, doc, data, source, source_at, source_hash, source_doc) -> np.ndarray:
+    """Which of the strings at ``at`` the bytes at the positions of ``source`` repeat, by
+    the one of the smallest document for each hash."""
+    if not len(at) or not len(source_at):
+        return np.zeros(len(at), bool)
+    order = np.lexsort((source_doc, source_hash))
+    i = order[np.minimum(np.searchsorted(source_hash, want, sorter=order), len(order) - 1)]
+    ok = (source_hash[i] == want) & (source_doc[i] < doc)
+    window = np.lib.stride_tricks.sliding_window_view
+    ok[ok] = (window(data, LENGTH)[at[ok]] == window(source, LENGTH)[source_at[i[ok]]]).all(axis=1)
+    return ok
 
 
 def _spread(raw) -> np.ndarray:
@@ -327,11 +408,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``keep_bytes`` the remaining bytes as ``kept``. Null text is empty; ids are
     whole numbers; rows of one id never remove from each other; a row with a null
     id neither removes nor loses anything."""
-    spark = docs.sparkSession
     blocks, n_buckets = _packed(docs, id_col, text_col)
 
     def send_factors(batches):
-        codes = _byte_codes()
+        codes = _byte_codes(CODES)
         for batch in batches:
             for r in _rows(batch):
                 ids, live, off, data = _opened(r)
@@ -346,9 +426,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     answers = sent.groupBy("bucket").applyInPandas(_factors_of_bucket, _ANSWER)
     first = _by_block(answers)
 
+    given = pa.list_(pa.struct([("asker", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]))
+
     def resolve(batches):
         """Applies the factors' answers: runs that go, and the prefixes still open."""
-        codes = _byte_codes()
+        codes = _byte_codes(CODES)
         for batch in batches:
             for r in _rows(batch):
                 ids, live, off, data = _opened(r)
@@ -360,7 +442,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     at = np.repeat(p["a"] - np.cumsum(size) + size, size) + np.arange(size.sum())
                     opened.append((np.repeat(np.arange(len(size)), size), prefix[at - base]))
                     kept.append(p)
-                runs, open_at, open_hash = [], [], []
+                runs, open_at, open_hash, give = [], [], [], []
                 if kept:
                     factor, row = (np.concatenate([p[k] for p in kept]) for k in ("factor", "row"))
                     gone = (ids[row] > _least_by(factor, ids[row])) | _member(factor, known_gone)
@@ -372,25 +454,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         keep = ~g & _member(p["factor"], known_split)
                         open_at.append(np.stack((p["a"][keep], p["b"][keep] + 1), axis=1))
                         open_hash.append(prefix[~g[of]])
+                    pick = _first_of(factor, ids[row])
+                    a, b = (np.concatenate([p[k] for p in kept])[pick] for k in ("a", "b"))
+                    give = _pieces(r["asks"], factor[pick], a, b + LENGTH, ids[row[pick]], data)
                 cat = lambda x, t: np.concatenate(x).astype(t).tobytes() if x else b""
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["block"]], pa.int64())]
                     + [pa.array([memoryview(r[c]).tobytes()], pa.binary()) for c in ("ids", "off")]
-                    + [pa.array([x], pa.binary()) for x in (cat(runs, np.int32), cat(open_at, np.int32), cat(open_hash, np.uint64))],
-                    names=["block", "ids", "off", "runs", "at", "hash"],
+                    + [pa.array([x], pa.binary()) for x in (cat(runs, np.int32), cat(open_at, np.int32), cat(open_hash, np.uint64))]
+                    + [pa.array([give], given)],
+                    names=["block", "ids", "off", "runs", "at", "hash", "give"],
                 )
 
     joined = blocks.join(first, "block", "left")
-    name = f"llm_runs_{uuid.uuid4().hex}"
-    state_rows = joined.mapInArrow(resolve, "block bigint, ids binary, off binary, runs binary, at binary, hash binary")
-    (
-        state_rows.write.bucketBy(n_buckets, "block")
-        .option("path", f"{scratch_dir(spark)}/{name}")
-        .option("parquet.page.size.row.check.min", "1")
-        .option("compression", "zstd")
-        .saveAsTable(name)
-    )
-    state = spark.table(name)
+    give = _PIECES.replace(" ", ":").replace(",:", ",")
+    state_rows = joined.mapInArrow(resolve, f"block bigint, ids binary, off binary, runs binary, at binary, hash binary, give array<struct<{give}>>")
+    state = _bucketed(state_rows, "runs", n_buckets)
 
     def send_prefixes(batches):
         for batch in batches:
@@ -404,19 +483,73 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 pick = _first_of(prefix, doc)
                 yield _dealt(r["block"], None, prefix[pick], doc[pick], n_buckets)
 
-    second = _by_block(state.select("block", "ids", "off", "at", "hash").mapInArrow(send_prefixes, _DEALT).groupBy("bucket").applyInPandas(_prefixes_of_bucket, _ANSWER))
-    schema = f"{id_col} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep_bytes else "")
+    prefixes = state.select("block", "ids", "off", "at", "hash").mapInArrow(send_prefixes, _DEALT)
+    second = _by_block(store(prefixes.groupBy("bucket").applyInPandas(_prefixes_of_bucket, _ANSWER), "prefixes"))
 
-    def cut(batches):
+    def send_bytes(batches):
+        for batch in batches:
+            for r in _rows(batch):
+                ids, _, off, data = _opened(r)
+                at, prefix = _spread(r["at"]), np.frombuffer(r["hash"], np.uint64)
+                doc = ids[np.searchsorted(off, at, side="right") - 1]
+                pick = _first_of(prefix, doc)
+                give = _pieces(r["asks"], prefix[pick], at[pick], at[pick] + LENGTH, doc[pick], data)
+                yield pa.RecordBatch.from_pylist(give, schema=pa.schema(given.value_type.fields))
+
+    asked = second.where(F.size("asks") > 0).select("block", "asks")
+    sent = blocks.join(state.select("block", "at", "hash"), "block").join(asked, "block").mapInArrow(send_bytes, _PIECES)
+    pieces = state.select(F.explode("give").alias("g")).select("g.*").union(sent)
+    pieces = pieces.groupBy(F.col("asker").alias("block")).agg(F.collect_list(F.struct("docs", "sizes", "data")).alias("pieces"))
+
+    def compare(batches):
+        """Starts of strings that go, as ranges, and those whose hashes agree with other bytes only."""
+        codes = _byte_codes(CODES)
         for batch in batches:
             for r in _rows(batch):
                 ids, live, off, data = _opened(r)
                 at, prefix = _spread(r["at"] or b""), np.frombuffer(r["hash"] or b"", np.uint64)
-                runs = np.frombuffer(r["runs"] or b"", np.int32).reshape(-1, 2)
                 doc = ids[np.searchsorted(off, at, side="right") - 1] if len(at) else np.zeros(0, np.int64)
                 dup = at[(doc > _least_by(prefix, doc)) | _member(prefix, _sorted_answers(r["gone"]))]
+                runs = np.frombuffer(r["runs"] or b"", np.int32).reshape(-1, 2) - np.array([0, LENGTH - 1], np.int32)
+                claimed = np.zeros(len(data), bool)
+                claimed[_spread(runs.tobytes())] = True
+                claimed[dup] = True
+                at, row = np.flatnonzero(claimed), np.repeat(np.arange(len(ids)), np.diff(off))
+                ok = np.zeros(len(at), bool)
+                if len(at):
+                    prefix, whole = _all_prefixes(data, off, codes)
+                    doc, found = ids[row[at]], r["pieces"] or []
+                    if found:
+                        size = np.concatenate([np.frombuffer(x["sizes"], np.int32) for x in found]).astype(np.int64)
+                        ends, other = np.cumsum(size), np.frombuffer(b"".join(x["data"] for x in found), np.uint8)
+                        other_hash, other_whole = _all_prefixes(other, np.concatenate(([0], ends)), codes)
+                        other_doc = np.repeat(np.concatenate([np.frombuffer(x["docs"], np.int64) for x in found]), size)
+                        starts = np.flatnonzero(other_whole)
+                        ok = _confirmed(at, prefix[at], doc, data, other, starts, other_hash[starts], other_doc[starts])
+                    # others repeat a document of this block
+                    rest = np.flatnonzero(~ok)
+                    own = np.flatnonzero(whole & live[row] & _member(prefix, np.unique(prefix[at[rest]]))) if len(rest) else rest
+                    ok[rest] = _confirmed(at[rest], prefix[at[rest]], doc[rest], data, data, own, prefix[own], ids[row[own]])
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], np.bincount(at[ok], minlength=len(data) + 1), [0]))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["block"]], pa.int64())] + [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (edge, at[~ok])],
+                    names=["block", "runs", "open"],
+                )
+
+    claims = blocks.join(state.select("block", "runs", "at", "hash"), "block", "left").join(second.select("block", "gone"), "block", "left")
+    checked = _bucketed(claims.join(pieces, "block", "left").mapInArrow(compare, "block bigint, runs binary, open binary"), "checked", n_buckets)
+    least = _least_documents(blocks, checked)
+    schema = f"{id_col} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep_bytes else "")
+
+    def cut(batches):
+        for batch in batches:
+            for r in _rows(batch):
+                ids, live, off, data = _opened(r)
+                runs, open_at = np.frombuffer(r["runs"] or b"", np.int32).reshape(-1, 2), np.frombuffer(r["open"] or b"", np.int32)
+                dup = [p for p in open_at if least[data[p : p + LENGTH].tobytes()] < ids[np.searchsorted(off, p, side="right") - 1]]
+                dup = np.array(dup, np.int64)
                 edge = np.bincount(np.concatenate((runs[:, 0], dup)), minlength=len(data) + 1) - np.bincount(
-                    np.concatenate((runs[:, 1], dup + LENGTH)), minlength=len(data) + 1
+                    np.concatenate((runs[:, 1] + LENGTH - 1, dup + LENGTH)), minlength=len(data) + 1
                 )
                 removed = np.cumsum(edge[:-1]) > 0
                 start = removed.copy()
@@ -433,5 +566,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns += [pa.array(kept, pa.binary())] if keep_bytes else []
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes)
 
-    final = blocks.join(state.select("block", "runs", "at", "hash"), "block", "left").join(second, "block", "left")
-    return final.select("block", "ids", "off", "data", "runs", "at", "hash", "gone").mapInArrow(cut, schema)
+    final = blocks.join(checked, "block", "left")
+    return final.select("block", "ids", "off", "data", "runs", "open").mapInArrow(cut, schema)
+
+
+def _least_documents(blocks: DataFrame, checked: DataFrame) -> dict[bytes, int]:
+    """The smallest document of each string whose hash agreed with other bytes only: with
+    64 bits a handful at most, so they are held on the driver and sent to every task."""
+    left = checked.where(F.length("open") > 0).select("block", "open")
+    if left.isEmpty():
+        return {}
+
+    def strings(batches):
+        for batch in batches:
+            for r in _rows(batch):
+                data = _opened(r)[3]
+                found = {data[p : p + LENGTH].tobytes() for p in np.frombuffer(r["open"], np.int32)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary())], names=["s"])
+
+    wanted = {bytes(r.s) for r in blocks.join(left, "block").mapInArrow(strings, "s binary").distinct().collect()}
+
+    def search(batches):
+        codes = _byte_codes(CODES)
+        known = np.unique(_hashes(np.frombuffer(b"".join(wanted), np.uint8), codes)[1][::LENGTH])
+        for batch in batches:
+            for r in _rows(batch):
+                ids, live, off, data = _opened(r)
+                prefix, whole = _all_prefixes(data, off, codes)
+                row, least = np.repeat(np.arange(len(ids)), np.diff(off)), {}
+                for p in np.flatnonzero(whole & live[row] & _member(prefix, known)):
+                    x, doc = data[p : p + LENGTH].tobytes(), int(ids[row[p]])
+                    if x in wanted:
+                        least[x] = min(doc, least.get(x, doc))
+                yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.binary()), pa.array(list(least.values()), pa.int64())], names=["s", "doc"])
+
+    found = blocks.mapInArrow(search, "s binary, doc bigint").groupBy("s").agg(F.min("doc").alias("doc"))
+    return {bytes(r.s): r.doc for r in found.collect()}

@@ -77,6 +77,19 @@ def test_repeats(spark, mixed, monkeypatch, block):
     assert sum(r.n_removed for r in got.collect()) > 500
 
 
+@pytest.mark.parametrize("block", [300, 1 << 20])
+def test_repeats_compare_bytes_where_hashes_collide(spark, monkeypatch, block):
+    """With one code for all bytes every two strings have the same hash."""
+    monkeypatch.setattr(repeats, "CODES", 1)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+    same = "the very same passage of more than fifty bytes, twice."
+    unlike = "".join(chr(65 + i % 57) for i in range(120))
+    rows = [(1, unlike), (2, "x" + same), (3, unlike[::-1]), (4, "ab" + same + "cd"), (5, same[::-1] + unlike[30:90]), (None, same)]
+    got = by_id(repeats.remove_repeats(docs_of(spark, rows), keep_bytes=True), "kept")
+    want = {i: t for i, t in rows} | {4: "abcd", 5: same[::-1]}
+    assert got == {i: [(bytearray(t.encode()),)] for i, t in want.items()}
+
+
 def test_repeats_returns_kept_bytes(spark):
     same = "the very same passage of more than fifty bytes, twice."
     got = by_id(repeats.remove_repeats(docs_of(spark, [(1, same), (2, "a" + same + "b")]), keep_bytes=True), "kept")
