@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import decontaminate, html_text, langid, packing, repeats, secret_scan, simhash, token_counts, topk, toxicity
+from faultlens.llm import (
+    decontaminate, hard_negatives, html_text, langid, mixing, packing, repeats, secret_scan, simhash, spelling, token_counts, topk, toxicity,
+)
 from faultlens.llm.common import table
 from faultlens.llm.tokenizer import byte_bpe, counting
 
@@ -105,11 +107,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), encoder()))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_toxicity, op2_repeats, op3_langid, op4_topk, op5_secrets,
         op6_decontaminate, op7_html, op8_token_counts, op9_simhash, op10_packing,
+        op11_hard_negatives, op12_mixing, op13_spelling,
     )
 }
 
@@ -125,4 +143,22 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
     "op5_secrets": secret_scan.oracle_sql(),
+    "op11_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q, count(*) AS n FROM embeddings
+                   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY ALL),
+             e AS (SELECT vec_id, label, q, unnest(range(n)) AS copy FROM v),
+             a AS (SELECT vec_id, label, q, row_number() OVER (ORDER BY vec_id, label, q) AS a FROM v WHERE vec_id % 50 = 0),
+             s AS (SELECT a.a, a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS same,
+                          list_sum(list_transform(list_zip(a.q, e.q), lambda z: z[1] * z[2]))::BIGINT AS score
+                   FROM a JOIN e ON a.vec_id <> e.vec_id),
+             p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) AS nth FROM s WHERE same),
+             r AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                          row_number() OVER (PARTITION BY p.a, p.nth ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+                   FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+                   WHERE p.nth <= 5)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3
+    """,
+    "op13_spelling": spelling.oracle_sql(),
 }
