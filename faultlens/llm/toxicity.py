@@ -1,10 +1,12 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated.
 
-Features come from the whole text: densities of an insult lexicon in its plain
-and obfuscated spellings, hits near second-person words, capitals, punctuation
-and obfuscation rates, and lengths. Spark ML fits boosted trees on labelled
-rows of one part and an isotonic curve on rows of another, which turns raw
-scores into probabilities.
+Features come from the whole text: densities of two lexicons, hits near
+second-person words, capitals, punctuation and obfuscation rates, and lengths.
+One lexicon is a fixed list of insults, in plain and obfuscated spellings. The
+other is learned: words, and beginnings of words, that mark labelled toxic
+documents, whatever the language. Spark ML fits boosted trees on labelled rows
+that the lexicon was not learned from, and an isotonic curve on rows that
+neither has seen, which turns raw scores into probabilities.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +43,18 @@ LEXICON = frozenset(
 )
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi ton vous votre tú ti usted ustedes".split())
 NEAR = 6
+#: Labelled documents of either label that the lexicon is learned from at most, drawn by hash.
+LEXICON_DOCS = 4000
+#: Entries of the learned lexicon at most, and the labelled documents that an entry occurs in at least.
+ENTRIES, SEEN = 4096, 8
+#: Bytes of the word beginnings that are entries beside whole words.
+STARTS = range(3, 11)
+#: Weights (a lower bound of the log odds) from which a word counts as a mild or strong sign.
+MILD, STRONG = 1.0, 2.5
 FEATURES = (
     "words", "mean_word", "hits", "hit_rate", "distinct_hits", "hits_in_100", "masked", "masked_rate", "near_you", "near_share",
     "you_rate", "capitals", "shouted_rate", "exclaims", "questions", "punctuation", "symbols", "digits", "obfuscated_rate", "stretched_rate",
+    "learned_max", "learned_hits", "learned_rate", "learned_distinct", "learned_near", "mild_rate", "learned_mean",
 )
 
 # words joined by marks, and letters set apart
@@ -80,7 +91,37 @@ def _masked(text: str) -> int:
     return sum(map(_is_insult, _MARKED.findall(low))) + sum(_is_insult(m.replace(" ", "")) for m in _SPACED.findall(low))
 
 
-def feature_rows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+class Lexicon:
+    """Weights of whole words and of word beginnings, as bytes with A-Z in lower case.
+    ``entries`` are (length, term, weight); length 0 is a whole word."""
+
+    def __init__(self, entries=()):
+        by_length: dict[int, list[tuple[bytes, float]]] = {}
+        for k, term, weight in entries:
+            by_length.setdefault(int(k), []).append((bytes(term), float(weight)))
+        self.parts = {k: ([t for t, _ in e], np.array([w for _, w in e])) for k, e in by_length.items()}
+
+    def weights(self, words: pa.Array) -> np.ndarray:
+        """The largest weight of an entry that each word is or begins with; 0 without."""
+        out = np.zeros(len(words))
+        for k, (terms, weights) in self.parts.items():
+            at = pc.index_in(_starts(words, k), value_set=pa.array(terms, pa.large_binary()))
+            at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
+            out = np.maximum(out, np.where(at >= 0, weights[at], 0.0))
+        return out
+
+
+def _starts(words: pa.Array, k: int) -> pa.Array:
+    """The first ``k`` bytes of words that are longer, null for others; all of every
+    word for 0."""
+    if not k:
+        return words
+    edges = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    cut = pc.binary_slice(words.cast(pa.large_binary()), 0, k)
+    return pc.if_else(pa.array(np.diff(edges) > k), cut, pa.scalar(None, cut.type))
+
+
+def feature_rows(data: np.ndarray, off: np.ndarray, lexicon: Lexicon | None = None) -> np.ndarray:
     """The values of ``FEATURES`` for the texts of a UTF-8 buffer, whole texts; all
     zero for an empty one. Everything but rare spellings is counted on arrays."""
     n, size = len(off) - 1, np.diff(off).astype(float)
@@ -97,13 +138,24 @@ def feature_rows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     count = np.diff(firsts).astype(float)
     doc = np.searchsorted(firsts, hit, side="right") - 1
     in_doc = lambda at: np.bincount(at, minlength=n).astype(float)
-    # hits close to a second-person word of the same text
-    after = np.searchsorted(you, hit)
-    near = np.zeros(len(hit), bool)
-    for k in (after - 1, after):
-        ok = (k >= 0) & (k < len(you))
-        at = you[np.clip(k, 0, max(len(you) - 1, 0))] if len(you) else hit
-        near |= ok & (np.abs(at - hit) <= NEAR) & (at >= firsts[doc]) & (at < firsts[doc + 1])
+
+    def close_to_you(hit, doc):  # within NEAR words of a second-person word of the same text
+        after = np.searchsorted(you, hit)
+        near = np.zeros(len(hit), bool)
+        for k in (after - 1, after):
+            ok = (k >= 0) & (k < len(you))
+            at = you[np.clip(k, 0, max(len(you) - 1, 0))] if len(you) else hit
+            near |= ok & (np.abs(at - hit) <= NEAR) & (at >= firsts[doc]) & (at < firsts[doc + 1])
+        return near
+
+    near = close_to_you(hit, doc)
+    weight = (lexicon or Lexicon()).weights(coded.dictionary)[codes]
+    sign = np.flatnonzero(weight >= STRONG)
+    sign_doc = np.searchsorted(firsts, sign, side="right") - 1
+    word_doc = np.repeat(np.arange(n), np.diff(firsts))
+    strongest = np.zeros(n)
+    np.maximum.at(strongest, word_doc, weight)
+    signs = np.unique(sign_doc * (len(coded.dictionary) + 1) + codes[sign]) // (len(coded.dictionary) + 1)
     dense = np.zeros(n)
     np.maximum.at(dense, doc, np.searchsorted(hit, np.minimum(hit + 100, firsts[doc + 1])) - np.arange(len(hit)))
     pairs = np.unique(doc * (len(coded.dictionary) + 1) + codes[hit]) // (len(coded.dictionary) + 1)
@@ -150,6 +202,8 @@ def feature_rows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         share(per_byte(upper), per_byte(letter)), share(in_doc(np.searchsorted(firsts, shouted, side="right") - 1), count),
         per_byte(data == 33) / chars, per_byte(data == 63) / chars, per_byte(PUNCT[data]) / chars, per_byte(SYMBOL[data]) / chars,
         per_byte(DIGIT[data]) / chars, share(obscured, count), share(stretched, count),
+        strongest, in_doc(sign_doc), share(in_doc(sign_doc), count), in_doc(signs), in_doc(sign_doc[close_to_you(sign, sign_doc)]),
+        share(in_doc(word_doc[weight >= MILD]), count), share(np.bincount(word_doc, weights=weight, minlength=n), count),
     )
     for k, c in enumerate(columns):
         out[:, k] = c
@@ -157,13 +211,55 @@ def feature_rows(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(text: str | None) -> list[float]:
+def features(text: str | None, lexicon: Lexicon | None = None) -> list[float]:
     """``feature_rows`` of one text; null counts as empty."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    return feature_rows(raw, np.array([0, len(raw)])).tolist()[0]
+    return feature_rows(raw, np.array([0, len(raw)]), lexicon).tolist()[0]
+
+
+def learn_lexicon(labelled: DataFrame) -> Lexicon:
+    """Learn from ``(id, text, label)`` rows with label 0 or 1.
+
+    Of either label the ``LEXICON_DOCS`` rows of smallest id hash are used. A term's
+    weight is the log ratio of its smoothed document shares, toxic over clean,
+    less its standard error; the ``ENTRIES`` largest from ``MILD`` on are kept, of
+    terms in at least ``SEEN`` documents."""
+    draw = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    drawn = store(labelled.withColumn("nth", F.row_number().over(draw)).where(F.col("nth") <= LEXICON_DOCS).select("text", "label"), "lexicon")
+
+    def run(batches):
+        for b in batches:
+            data, off = utf8_buffers(b.column(0))
+            label = b.column(1).to_numpy()
+            for lo, hi in slices(off, _SLICE):
+                words, firsts = tokenize(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                coded = words.dictionary_encode()
+                width = max(len(coded.dictionary), 1)
+                doc = np.repeat(np.arange(hi - lo), np.diff(firsts))
+                once = np.unique(doc * width + coded.indices.to_numpy(zero_copy_only=False))
+                doc, code = once // width, once % width
+                for k in (0, *STARTS):
+                    terms = _starts(coded.dictionary, k).dictionary_encode()
+                    of = pc.fill_null(terms.indices, -1).to_numpy(zero_copy_only=False)[code]
+                    size = max(len(terms.dictionary), 1)
+                    pairs = np.unique(doc[of >= 0] * size + of[of >= 0])
+                    toxic = label[lo:hi][pairs // size] == 1
+                    n = [np.bincount((pairs % size)[side], minlength=len(terms.dictionary)) for side in (~toxic, toxic)]
+                    columns = [pa.array(np.full(len(terms.dictionary), k, np.int32)), terms.dictionary.cast(pa.binary()), *map(pa.array, n)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k", "term", "clean", "toxic"])
+
+    counts = drawn.mapInArrow(run, "k int, term binary, clean bigint, toxic bigint")
+    n = {r["label"]: r["n"] for r in drawn.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if len(n) < 2:
+        return Lexicon()
+    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    weight = F.log(a / (n[1] + 1)) - F.log(b / (n[0] + 1)) - F.sqrt(1 / a + 1 / b)
+    terms = counts.groupBy("k", "term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    kept = terms.where(F.col("clean") + F.col("toxic") >= SEEN).select("k", "term", weight.alias("weight")).where(F.col("weight") >= MILD)
+    return Lexicon(tuple(r) for r in kept.orderBy(F.desc("weight"), "k", "term").limit(ENTRIES).collect())
 
 
-def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
     """``(id, f array<double>)`` of every row."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("f", T.ArrayType(T.DoubleType()))])
 
@@ -171,7 +267,7 @@ def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         for b in batches:
             data, off = utf8_buffers(b.column(1))
             for lo, hi in slices(off, _SLICE):
-                rows = feature_rows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                rows = feature_rows(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], lexicon)
                 values = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, len(FEATURES), dtype=np.int32), pa.array(rows.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), values], names=[id_col, "f"])
 
@@ -229,8 +325,8 @@ def fit(trees_on: DataFrame, curve_on: DataFrame, rounds: int = 20, depth: int =
 
 
 def part_of(id_col: str = "doc_id"):
-    """crc32 of the id as text, modulo 5: 0 is held out (as are null ids), 1 to 3
-    train the trees, 4 the curve."""
+    """crc32 of the id as text, modulo 5: 0 is held out (as are null ids), 1 and 2
+    give the lexicon, 3 trains the trees, 4 the curve."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5, F.lit(0)).cast("int")
 
 
@@ -239,16 +335,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     ``labels`` has the id and ``toxic``; null labels teach nothing, repeated rows
     count as often as they occur. Null and empty texts are scored like any other.
-    ``key_col``: a further column of ``docs`` to return with the row."""
+    Without labelled rows of both kinds every score is the share of label 1. An
+    empty table gives an empty one. ``key_col``: a further column of ``docs`` to
+    return with the row."""
     key = key_col or id_col
     named = docs.select(F.struct(F.col(id_col).alias("id"), F.col(key).alias("key")).alias("row"), F.col(text_col).alias("text"))
-    feats = store(featurize(named, "row", "text"), "features")
     marked = labels.select(F.col(id_col).alias("lid"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1)")
+    train = named.where(part_of("row.id") > 0).join(marked, F.col("row.id") == F.col("lid"))
+    lexicon = learn_lexicon(train.where(part_of("row.id") < 3).select("row.id", "text", "label"))
+    feats = store(featurize(named, "row", "text", lexicon), "features")
     train = store(
-        feats.where(part_of("row.id") > 0).join(marked, F.col("row.id") == F.col("lid")).select("f", "label", part_of("row.id").alias("part")),
+        feats.where(part_of("row.id") > 2).join(marked, F.col("row.id") == F.col("lid")).select("f", "label", part_of("row.id").alias("part")),
         "labelled",
     )
-    model = fit(train.where("part < 4"), train.where("part = 4"))
+    model = fit(train.where("part = 3"), train.where("part = 4"))
     scored = model.score(feats, "row")
     score = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
     return scored.select(
