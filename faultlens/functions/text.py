@@ -56,9 +56,10 @@ def utrim(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    """Python ``not s or not s.strip()``; NULL counts as blank."""
+    """Python ``not s or not s.strip()``; NULL counts as blank. The search ends at
+    the first character that is no white space."""
     c = col_(c)
-    return c.isNull() | (utrim(c) == "")
+    return c.isNull() | ~c.rlike(f"[^{PY_SPACE[1:]}")
 
 
 def tokens(c: Column | str) -> Column:
@@ -86,9 +87,10 @@ def splice_at(s: Column, pos: Column, cut_len: Column, repl: Column) -> Column:
     )
 
 
-def keyword_hits(fix: Column, keywords: Column) -> Column:
-    """Number of keywords that are case-insensitive substrings of ``fix``."""
-    fix_l = F.lower(F.coalesce(fix, F.lit("")))
+def keyword_hits(fix: Column, keywords: Column, low: Column | None = None) -> Column:
+    """Number of keywords that are case-insensitive substrings of ``fix``; ``low`` is
+    the lower-cased fix, if there is one, else it is formed for every keyword."""
+    fix_l = low if low is not None else F.lower(F.coalesce(fix, F.lit("")))
     return F.size(F.filter(keywords, lambda k: F.contains(fix_l, F.lower(k))))
 
 

@@ -47,19 +47,23 @@ def _or_fail(dense: Column) -> Column:
 
 
 def halo_frames(log: DataFrame, w: int, cols: Sequence[str], bucket: int = DEFAULT_BUCKET,
-                run_col: str = "run_id") -> DataFrame:
+                run_col: str = "run_id", own: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Trailing-``w`` frame per row via halo buckets.
 
     Returns ``run_col, step`` plus for each value column ``c``:
     ``{c}_wsum`` (sum in units over the last ``w`` rows incl. this one) and
     ``_wcnt`` (rows in that frame). Steps must be 1..n in every run (number them
     with ``plans.dense.dense_index`` otherwise): a gap or a repeat fails the job.
+
+    ``own``: rows for which it does not hold are only context, at least the ``w`` - 1
+    rows before a run's first own one; so a piece of a log can be framed. ``keep``:
+    further columns to return.
     """
     if bucket < w:
         raise ValueError("a bucket must hold at least one window")
-    base = log.select(run_col, "step", *[units(F.col(c)).alias(c) for c in cols])
+    base = log.select(run_col, "step", *keep, (F.lit(True) if own is None else own).alias("_owned"), *[units(F.col(c)).alias(c) for c in cols])
     b = F.floor((F.col("step") - 1) / F.lit(bucket)).cast("bigint")
-    owned = base.withColumn("_bucket", b).withColumn("_owned", F.lit(True))
+    owned = base.withColumn("_bucket", b)
     pos = F.pmod(F.col("step") - 1, F.lit(bucket))
     halo = (
         base.where(pos >= bucket - (w - 1))
@@ -71,7 +75,7 @@ def halo_frames(log: DataFrame, w: int, cols: Sequence[str], bucket: int = DEFAU
     count = F.count(F.lit(1)).over(win)
     wanted = F.least(F.col("step"), F.lit(w).cast("bigint"))
     dense = (count == wanted) & (F.col("step") - F.min("step").over(win) == wanted - 1)
-    sel = [run_col, "step", "_owned", count.alias("_wcnt"), dense.alias("_dense")]
+    sel = [run_col, "step", *keep, "_owned", count.alias("_wcnt"), dense.alias("_dense")]
     for c in cols:
         sel.append(F.sum(c).over(win).alias(f"{c}_wsum"))
     return rows.select(*sel).where("_owned").where(_or_fail(F.col("_dense"))).drop("_owned", "_dense")

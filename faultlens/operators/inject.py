@@ -28,6 +28,7 @@ from faultlens.functions.text import (
     replace_first,
     splice_at,
 )
+from faultlens.operators.banks import match
 
 Pairs = Sequence[tuple[str, str]]
 
@@ -206,7 +207,7 @@ def inject(error_type: Column, text: Column, hit: Column, low: Column, nums: Col
 
 
 def inject_column(df: DataFrame, error_type: str, text: str, pid: str, out: str, seed: int = 42,
-                  keywords_out: str | None = None, swaps: Banks | None = None) -> DataFrame:
+                  keywords_out: str | None = None, swaps: Banks | DataFrame | None = None) -> DataFrame:
     """Inject one fault into ``text`` by ``error_type`` (and optionally
     extract the fix keywords of the clean text) as a narrow map.
 
@@ -214,21 +215,29 @@ def inject_column(df: DataFrame, error_type: str, text: str, pid: str, out: str,
     winning priority, the hit and the number list - are materialized in
     their own projections: each is referenced several times downstream, so
     the optimizer keeps them instead of inlining (and re-evaluating) them.
-    ``swaps`` replaces the swap banks of some error types, of any size.
+    ``swaps`` replaces the swap banks of some error types: a few hundred pairs as
+    lists, any number as a bank table (see ``banks``), which may hold the
+    keyword terms too.
     """
-    banks = {**SWAP_BANKS, **(swaps or {})}
     et, t, p = F.col(error_type), F.col(text), F.col(pid)
-    d = df.withColumn("_low", F.lower(t)).withColumn("_perm", swap_perm(et, seed, p, banks))
-    d = d.withColumn("_best", swap_priority(et, t, seed, p, F.col("_low"), F.col("_perm"), banks)).withColumn(
-        "_nums", F.when(et == "off_by_one", whole_numbers(t))
-    )
-    d = d.withColumn("_hit", swap_hit(et, F.col("_best"), banks)).withColumn(
+    from_table = isinstance(swaps, DataFrame)
+    banks = {**SWAP_BANKS, **({} if from_table else swaps or {})}
+    d = df.withColumn("_low", F.lower(t))
+    if from_table:
+        d = match(d, swaps, error_type, text, "_low", pid, seed)
+    else:
+        d = d.withColumn("_perm", swap_perm(et, seed, p, banks))
+        d = d.withColumn("_best", swap_priority(et, t, seed, p, F.col("_low"), F.col("_perm"), banks))
+        d = d.withColumn("_hit", swap_hit(et, F.col("_best"), banks))
+    d = d.withColumn("_nums", F.when(et == "off_by_one", whole_numbers(t))).withColumn(
         "_k", draw(seed, p, "num", n=F.size("_nums"))
     ).withColumn("_delta", F.when(draw(seed, p, "sign", n=2) == 0, F.lit(-1)).otherwise(F.lit(1)))
     d = d.withColumn(out, inject(et, t, F.col("_hit"), F.col("_low"), F.col("_nums"), F.col("_k"), F.col("_delta")))
-    if keywords_out:
+    if keywords_out and from_table:
+        d = d.withColumn(keywords_out, keywords_of_terms(et, F.col("_terms"), keywords_numeric(t, F.col("_nums"))))
+    elif keywords_out:
         d = d.withColumn(keywords_out, fix_keywords(et, t, F.col("_low"), F.col("_nums"), banks["factual_error"]))
-    return d.drop("_low", "_perm", "_best", "_nums", "_hit", "_k", "_delta")
+    return d.drop("_low", "_perm", "_best", "_nums", "_hit", "_terms", "_k", "_delta")
 
 
 def error_description(error_type: Column, step_id: Column, role: Column) -> Column:
@@ -284,6 +293,17 @@ def fix_keywords(error_type: Column, original: Column, low: Column | None = None
     )
 
 
+def keywords_of_terms(error_type: Column, found: Column, numeric: Column) -> Column:
+    """K1-K5 with the terms already found in the banks of the error types."""
+    return (
+        F.when(error_type == "wrong_type", lit_array(K.KEYWORDS_WRONG_TYPE))
+        .when(error_type == "factual_error", _or_default(found, K.KEYWORDS_FACTUAL_DEFAULT))
+        .when(error_type == "off_by_one", numeric)
+        .when(error_type == "logic_inversion", _or_default(found, K.KEYWORDS_LOGIC_DEFAULT))
+        .when(error_type == "cascade_dependency", _or_default(found, K.KEYWORDS_DEPENDENCY_DEFAULT))
+    )
+
+
 # ---------------------------------------------------------------------------
 # Episode assembly
 # ---------------------------------------------------------------------------
@@ -317,7 +337,7 @@ def patch_step(steps: Column, step_id: Column, text: Column) -> Column:
 
 
 def build_episodes(traces: DataFrame, per_trace: int = 5, seed: int = 42, prefix: str = "pipe",
-                   swaps: Banks | None = None) -> DataFrame:
+                   swaps: Banks | DataFrame | None = None) -> DataFrame:
     """One episode per (trace, k), k in 0..per_trace-1.
 
     ``traces``: nested form ``trace_id, curriculum_level, task_brief, domain,

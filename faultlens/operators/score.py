@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions import constants as K
 from faultlens.functions.text import PY_SPACE, is_blank, keyword_hits, lit_array, round4, safe_size, tokens
+from faultlens.operators.traces import kept_words
 
 D = F.lit  # DOUBLE literal helper: Python floats become DOUBLE literals
 
@@ -32,16 +33,16 @@ def score_blame(pred: Column, true: Column) -> Column:
     return F.when(pred == true, D(1.0)).otherwise(D(0.0))
 
 
-def keyword_share(fix: Column, keywords: Column, empty: float = 0.5) -> Column:
+def keyword_share(fix: Column, keywords: Column, empty: float = 0.5, low: Column | None = None) -> Column:
     """Share of keywords found (case-insensitive); ``empty`` when none."""
     n = safe_size(keywords)
-    return F.when(n > 0, keyword_hits(fix, keywords).cast("double") / n.cast("double")).otherwise(D(empty))
+    return F.when(n > 0, keyword_hits(fix, keywords, low).cast("double") / n.cast("double")).otherwise(D(empty))
 
 
-def not_corrupt(fix: Column, corrupted: Column) -> Column:
+def not_corrupt(fix: Column, corrupted: Column, low: Column | None = None) -> Column:
     """0 when the fix equals the corrupted text ignoring case (no trim)."""
     c = F.coalesce(corrupted, F.lit(""))
-    return F.when((c != "") & (F.lower(fix) == F.lower(c)), D(0.0)).otherwise(D(1.0))
+    return F.when((c != "") & ((low if low is not None else F.lower(fix)) == F.lower(c)), D(0.0)).otherwise(D(1.0))
 
 
 def length_fit(fix: Column, original: Column) -> Column:
@@ -57,34 +58,40 @@ def length_fit(fix: Column, original: Column) -> Column:
     )
 
 
-def word_overlap(fix: Column, original: Column) -> Column:
+def distinct_words(original: Column) -> Column:
+    """Distinct lower-cased whitespace tokens of an original text."""
+    return F.array_distinct(tokens(F.lower(F.coalesce(original, F.lit("")))))
+
+
+def word_overlap(fix: Column, original: Column, low: Column | None = None, words: Column | None = None) -> Column:
     """R3d: distinct whitespace tokens of the original found in the fix,
-    over distinct tokens of the original (hash-based set intersection)."""
-    o = F.coalesce(original, F.lit(""))
-    ow = F.array_distinct(tokens(F.lower(o)))
-    fw = tokens(F.lower(fix))
+    over distinct tokens of the original (hash-based set intersection). ``words``:
+    the original's, if kept with the bank."""
+    ow = words if words is not None else distinct_words(original)
+    fw = tokens(low if low is not None else F.lower(fix))
     n = F.size(ow)
     return F.when(n > 0, F.size(F.array_intersect(ow, fw)).cast("double") / n.cast("double")).otherwise(D(0.0))
 
 
-def score_fix(fix: Column, original: Column, keywords: Column, corrupted: Column, rounded: bool = True) -> Column:
+def score_fix(fix: Column, original: Column, keywords: Column, corrupted: Column, rounded: bool = True,
+              low: Column | None = None, words: Column | None = None) -> Column:
     """R3 (server, rounded) / R3t (training, unrounded): weighted sum of
     R3a-R3d clipped to [0, 1]; 0 for a NULL or blank fix."""
     total = (
-        D(K.FIX_W_KEYWORD) * keyword_share(fix, keywords)
-        + D(K.FIX_W_NOT_CORRUPT) * not_corrupt(fix, corrupted)
+        D(K.FIX_W_KEYWORD) * keyword_share(fix, keywords, low=low)
+        + D(K.FIX_W_NOT_CORRUPT) * not_corrupt(fix, corrupted, low)
         + D(K.FIX_W_LENGTH) * length_fit(fix, original)
-        + D(K.FIX_W_OVERLAP) * word_overlap(fix, original)
+        + D(K.FIX_W_OVERLAP) * word_overlap(fix, original, low, words)
     )
     clipped = F.least(F.greatest(total, D(0.0)), D(1.0))
     value = round4(clipped) if rounded else clipped
     return F.when(is_blank(fix), D(0.0)).otherwise(value)
 
 
-def score_fix_simple(fix: Column, keywords: Column, empty: float = 0.3, blank_zero: bool = True) -> Column:
+def score_fix_simple(fix: Column, keywords: Column, empty: float = 0.3, blank_zero: bool = True, low: Column | None = None) -> Column:
     """R3g (grader: blank -> 0, no keywords -> 0.3) and R3i (inference:
     share over max(n, 1), no blank check, no keywords -> 0)."""
-    share = keyword_share(fix, keywords, empty=empty)
+    share = keyword_share(fix, keywords, empty=empty, low=low)
     return F.when(is_blank(fix), D(0.0)).otherwise(share) if blank_zero else share
 
 
@@ -121,22 +128,25 @@ def score_total(
     pred, true = F.col("fault_step_id"), F.col("injected_step")
     r1 = score_localization(pred, true, F.col(level_col))
     r2 = score_blame(F.col("blame_role"), F.col("injected_role"))
-    fix, kw = F.col("fix_content"), F.col("expected_fix_keywords")
+    fix, kw, low = F.col("fix_content"), F.col("expected_fix_keywords"), F.col("_fix_low")
+    words = F.col("original_words") if kept_words(df) else None
     if variant == "server":
-        r3 = score_fix(fix, F.col("original_output"), kw, F.col("corrupted_output"), rounded=True)
+        r3 = score_fix(fix, F.col("original_output"), kw, F.col("corrupted_output"), True, low, words)
         r4 = score_precision(turn if turn is not None else F.lit(1), accepted if accepted is not None else F.lit(False))
     elif variant == "train":
-        r3 = score_fix(fix, F.col("original_output"), kw, F.col("corrupted_output"), rounded=False)
+        r3 = score_fix(fix, F.col("original_output"), kw, F.col("corrupted_output"), False, low, words)
         r4 = D(0.2)
     elif variant == "grade":
-        r3 = score_fix_simple(fix, kw, empty=0.3, blank_zero=True)
+        r3 = score_fix_simple(fix, kw, empty=0.3, blank_zero=True, low=low)
         r4 = D(K.GRADER_PRECISION)
     elif variant == "infer":
-        r3 = score_fix_simple(fix, kw, empty=0.0, blank_zero=False)
+        r3 = score_fix_simple(fix, kw, empty=0.0, blank_zero=False, low=low)
         r4 = D(K.INFERENCE_PRECISION)
     else:
         raise ValueError(f"unknown variant {variant!r}")
-    out = df.withColumn("localization", r1).withColumn("blame", r2).withColumn("fix", r3).withColumn("precision", r4)
+    # lower-cased once in a projection of its own, not once a keyword
+    out = df.withColumn("_fix_low", F.lower(F.coalesce(fix, F.lit(""))))
+    out = out.withColumn("localization", r1).withColumn("blame", r2).withColumn("fix", r3).withColumn("precision", r4).drop("_fix_low")
     total = weighted_total(F.col("localization"), F.col("blame"), F.col("fix"), F.col("precision"))
     if variant in ("server", "infer"):
         total = round4(total)

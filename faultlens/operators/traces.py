@@ -20,6 +20,16 @@ TRUTH_COLUMNS = [
 ]
 
 
+def trace_length(df: DataFrame) -> Column:
+    """Steps of an episode's trace: the stored number, where there is one."""
+    return F.col("n_steps") if "n_steps" in df.columns else F.size("corrupted_pipeline")
+
+
+def kept_words(df: DataFrame) -> list[str]:
+    """The column of the original's distinct words, where the bank keeps it."""
+    return [c for c in df.columns if c == "original_words"]
+
+
 def role_for_step(idx0: Column) -> Column:
     """Cyclic role for a 0-based step index (Researcher, Coder, Analyst)."""
     return element(K.ROLES, F.pmod(idx0, F.lit(len(K.ROLES))))
@@ -56,7 +66,7 @@ def observation_view(bank: DataFrame, turn: Column | int = 1, feedback: Column |
 
 def truth_view(bank: DataFrame) -> DataFrame:
     """Ground truth per episode, joined only where scoring needs it."""
-    return bank.select("pipeline_id", "curriculum_level", F.size("corrupted_pipeline").alias("n_steps"), *TRUTH_COLUMNS)
+    return bank.select("pipeline_id", "curriculum_level", trace_length(bank).alias("n_steps"), *TRUTH_COLUMNS, *kept_words(bank))
 
 
 def render_steps(steps: Column) -> Column:

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from faultlens.functions import constants as K
 from faultlens.functions.text import draw, element
-from faultlens.operators.traces import nest_steps, role_for_step
+from faultlens.operators.banks import reference_banks
+from faultlens.operators.score import distinct_words
+from faultlens.operators.traces import nest_steps, role_for_step, trace_length
 from faultlens.plans.dense import dense_index
 from faultlens.plans.materialize import kept
 
@@ -145,7 +147,10 @@ def conversation_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bank(spark: SparkSession, sf_dir: str, seed: int, source: str, traces, materialized: bool) -> DataFrame:
     """Episodes of a trace table. The stored copy holds each trace once per episode;
-    the corrupted trace is the clean one with one step patched, formed on read."""
+    the corrupted trace is the clean one with one step patched, formed on read.
+    It is bucketed by episode, so the truth meets answers without an exchange, and
+    keeps what every score needs of the texts: the trace's length and the
+    original's distinct words."""
     from faultlens.operators.inject import build_episodes, patch_step
 
     def built() -> DataFrame:
@@ -153,7 +158,8 @@ def _bank(spark: SparkSession, sf_dir: str, seed: int, source: str, traces, mate
 
     if not materialized:
         return built()
-    stored = kept(spark, f"bank-{source}", (sf_dir, seed), lambda: built().drop("corrupted_pipeline"))
+    more = {"n_steps": F.size("clean_pipeline").cast("int"), "original_words": distinct_words(F.col("original_output"))}
+    stored = kept(spark, f"bank-{source}", (sf_dir, seed), lambda: built().drop("corrupted_pipeline").withColumns(more), by="pipeline_id")
     corrupted = patch_step(F.col("clean_pipeline"), F.col("injected_step"), F.col("corrupted_output"))
     columns = stored.columns
     at = columns.index("clean_pipeline") + 1
@@ -170,6 +176,26 @@ def conversation_bank(spark: SparkSession, sf_dir: str, seed: int = SEED, materi
     return _bank(spark, sf_dir, seed, "cv", conversation_traces, materialized)
 
 
+def part_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bank table that grows with the data: the built-in factual swaps, then one
+    pair a part, which turns its number into the next one."""
+    parts = table(spark, sf_dir, "part").select("p_partkey").where("p_partkey IS NOT NULL").distinct()
+    first = len(K.FACTUAL_SWAPS)
+    name = lambda c: F.concat(F.lit("part "), c.cast("string"))
+    pairs = dense_index(parts, [], ["p_partkey"], "_n").select(
+        F.lit("factual_error").alias("bank"), (F.col("_n") + first - 1).alias("pos"),
+        name(F.col("p_partkey")).alias("find"), name(F.col("p_partkey") + 1).alias("repl"),
+    )
+    return pairs.unionByName(reference_banks(spark).where("bank = 'factual_error'"))
+
+
+def lineitem_bank_of_tables(spark: SparkSession, sf_dir: str, seed: int = SEED) -> DataFrame:
+    """Episodes from B1 traces, with the factual swaps of ``part_swaps``."""
+    from faultlens.operators.inject import build_episodes
+
+    return build_episodes(lineitem_traces(spark, sf_dir), seed=seed, prefix="li", swaps=part_swaps(spark, sf_dir))
+
+
 def planted_bank(bank: DataFrame, seed: int = SEED) -> DataFrame:
     """A bank with drawn faults for the checks to find: empty or trivial keyword
     lists, missing fields, and episodes that occur twice."""
@@ -206,7 +232,7 @@ def drawn_actions(bank: DataFrame, seed: int = SEED) -> DataFrame:
     """One action per episode; step may fall outside 1..n, role may be
     invalid, the fix is one of five kinds."""
     pid = F.col("pipeline_id")
-    n = F.size("corrupted_pipeline")
+    n = trace_length(bank)
     roles = K.ROLES + [BAD_ROLE]
     return bank.select(
         "pipeline_id",
@@ -222,7 +248,7 @@ def drawn_attempts(bank: DataFrame, seed: int = SEED) -> DataFrame:
     """1-3 attempts per episode, each drawn independently, including
     rows after the one that ends the negotiation."""
     pid = F.col("pipeline_id")
-    n = F.size("corrupted_pipeline")
+    n = trace_length(bank)
     roles = K.ROLES + [BAD_ROLE]
     att = bank.withColumn(
         "attempt_no", F.explode(F.sequence(F.lit(1), (draw(seed, pid, "n_att", n=3) + 1).cast("int")))

@@ -34,6 +34,14 @@ from pyspark.sql import functions as F
 from faultlens.plans.materialize import materialize
 
 
+def ranged(df: DataFrame, keys: Sequence[str], n_ranges: int | None = None) -> DataFrame:
+    """``df`` in ranges of ``keys``, sorted and stored: ``_rp`` is the range, ``_mid``
+    ascends with the keys within it."""
+    n = n_ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return materialize(dealt.withColumn("_rp", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()), "ranged")
+
+
 def dense_index(
     df: DataFrame,
     part_cols: Sequence[str],
@@ -41,17 +49,8 @@ def dense_index(
     out: str = "idx",
     n_ranges: int | None = None,
 ) -> DataFrame:
-    spark = df.sparkSession
-    n = n_ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keys = [*part_cols, *order_cols]
-    ranged = materialize(
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_rp", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id()),
-        "ranged",
-    )
-    pieces = ranged.groupBy("_rp", *part_cols).agg(
+    rows = ranged(df, [*part_cols, *order_cols], n_ranges)
+    pieces = rows.groupBy("_rp", *part_cols).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first")
     )
     w = Window.partitionBy(*part_cols).orderBy("_rp").rowsBetween(Window.unboundedPreceding, -1)
@@ -62,7 +61,7 @@ def dense_index(
     same = F.col("_rp") == F.col("_orp")
     for c in part_cols:
         same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    joined = ranged.join(offsets, same)
+    joined = rows.join(offsets, same)
     return joined.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint")).select(
         *df.columns, out
     )

@@ -17,6 +17,7 @@ Every table written here is deleted when the driver's JVM ends.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -41,13 +42,28 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept(spark: SparkSession, name: str, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+def buckets(spark: SparkSession) -> int:
+    """Buckets of a stored table: two for each task of a shuffle."""
+    return 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def materialize_bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
+    """A stored copy in buckets of ``by``, one sorted file each: joins, windows and
+    aggregates on ``by`` over it need no exchange. Rows are shuffled once, here."""
+    spark = df.sparkSession
+    path, n = scratch_path(spark, name), buckets(spark)
+    table = re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    df.repartition(n, by).write.mode("error").format("parquet").option("path", path).bucketBy(n, by).sortBy(by).saveAsTable(table)
+    return spark.table(table)
+
+
+def kept(spark: SparkSession, name: str, key: tuple, make: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
     """One materialized copy of ``make()`` per session and key (its inputs and
-    parameters). A new session starts with none."""
+    parameters), in buckets of ``by`` if named. A new session starts with none."""
     session = spark._jsparkSession.sessionUUID()
     for k in [k for k in _KEPT if k[0] != session]:
         del _KEPT[k]
     k = (session, name, *key)
     if k not in _KEPT:
-        _KEPT[k] = materialize(make(), name)
+        _KEPT[k] = materialize_bucketed(make(), name, by) if by else materialize(make(), name)
     return _KEPT[k]

@@ -82,6 +82,12 @@ def q_bank_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bank_columns(B.conversation_bank(spark, sf_dir, SEED))
 
 
+def q_bank_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I3-I9, K2-K5 with swap banks read from a table that has a pair for every part."""
+    bank = B.lineitem_bank_of_tables(spark, sf_dir, SEED)
+    return bank.select("pipeline_id", "error_type", "corrupted_output", F.array_join("expected_fix_keywords", "|").alias("keywords"))
+
+
 # ---------------------------------------------------------------------------
 # Scoring
 # ---------------------------------------------------------------------------
@@ -654,6 +660,7 @@ def q_replay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "bank_lineitem": q_bank_lineitem,
     "bank_conversations": q_bank_conversations,
+    "bank_of_tables": q_bank_of_tables,
     "flagship": q_flagship,
     "score_server": _score_query("server"),
     "score_train": _score_query("train"),

@@ -114,14 +114,41 @@ def _validate_actions() -> str:
     return W(S.LI_ACT) + f"\nSELECT pipeline_id, array_to_string({arr}, ',') AS violations FROM li_act"
 
 
+def _bank_of_tables() -> str:
+    base = ", ".join(f"({i}, {q(a)}, {q(b)})" for i, (a, b) in enumerate(K.FACTUAL_SWAPS))
+    first = len(K.FACTUAL_SWAPS)
+    digits = "6 * CAST(h.pos AS BIGINT)"
+    md5s = " || ".join(f"md5(concat_ws(':', '42', h.pipeline_id, 'fact', CAST({digits} // 32 + {j} AS VARCHAR)))" for j in (0, 1))
+    prio = f"CAST('0x' || substr({md5s}, {digits} % 32 + 1, 6) AS BIGINT) * 4294967296 + h.pos"
+    at = "strpos(lower(e.original_output), lower(b.find))"
+    return W(f"""tb AS (SELECT * FROM (VALUES {base}) t(pos, find, repl) UNION ALL
+              SELECT row_number() OVER (ORDER BY p_partkey) + {first - 1}, 'part ' || CAST(p_partkey AS VARCHAR), 'part ' || CAST(p_partkey + 1 AS VARCHAR)
+              FROM (SELECT DISTINCT p_partkey FROM part WHERE p_partkey IS NOT NULL)),
+        fe AS (SELECT pipeline_id, original_output, lower(original_output) AS low FROM li_e3 WHERE error_type = 'factual_error'),
+        h AS (SELECT fe.pipeline_id, tb.* FROM fe JOIN (SELECT *, lower(find) AS lowfind FROM tb) tb ON contains(fe.low, tb.lowfind)),
+        best AS (SELECT h.pipeline_id, arg_min(struct_pack(find := h.find, repl := h.repl), {prio}) AS b,
+                        list(h.find ORDER BY h.pos)[1:{K.MAX_KEYWORDS}] AS kw FROM h GROUP BY h.pipeline_id)""") + f"""
+SELECT pipeline_id, error_type, corrupted_output, array_to_string(expected_fix_keywords, '|') AS keywords FROM li_bank WHERE error_type <> 'factual_error'
+UNION ALL
+SELECT e.pipeline_id, 'factual_error',
+       CASE WHEN b.find IS NULL THEN e.original_output || {q(K.FACTUAL_FALLBACK)}
+            ELSE substr(e.original_output, 1, {at} - 1) || b.repl || substr(e.original_output, {at} + length(b.find)) END,
+       CASE WHEN b.find IS NULL THEN {q('|'.join(K.KEYWORDS_FACTUAL_DEFAULT))} ELSE array_to_string(kw, '|') END
+FROM fe e LEFT JOIN best ON e.pipeline_id = best.pipeline_id"""
+
+
 def _validate_observations() -> str:
     arr = ("list_filter([CASE WHEN turn IS NULL OR turn < 1 THEN 'turn' END, CASE WHEN curriculum_level IS NULL OR "
            "curriculum_level < 1 OR curriculum_level > 3 THEN 'curriculum_level' END], lambda x: x IS NOT NULL)")
-    bad = S.draw("20", "b.pipeline_id", q("badlevel"))
-    return WB(S.LI_ATT.replace("li_bank", "allbank"),
-              f"""obs AS (SELECT a.episode_id, a.attempt_no, a.attempt_no - 1 AS turn,
-                         CASE WHEN {bad} = 0 THEN 4 ELSE b.curriculum_level END AS curriculum_level
-                  FROM li_att a JOIN allbank b ON a.episode_id = b.pipeline_id)""") + (
+    bad, n_att = S.draw("20", "pipeline_id", q("badlevel")), S.draw("3", "pipeline_id", q("n_att"))
+    # neither ids, levels nor the number of attempts need any text
+    ids = lambda src, prefix: (f"SELECT {q(prefix + '_')} || CAST(trace_id AS VARCHAR) || '_err_' || CAST(k AS VARCHAR) AS pipeline_id, "
+                               f"curriculum_level FROM (SELECT DISTINCT trace_id, curriculum_level, unnest(range(0, 5)) AS k FROM {src}_steps)")
+    return S.with_(S.LI_STEPS, S.CV_STEPS, f"""
+ids AS ({ids('li', 'li')} UNION ALL {ids('cv', 'cv')}),
+obs AS (SELECT pipeline_id AS episode_id, CAST(attempt_no AS INTEGER) AS attempt_no, CAST(attempt_no - 1 AS INTEGER) AS turn,
+               CASE WHEN {bad} = 0 THEN 4 ELSE curriculum_level END AS curriculum_level
+        FROM (SELECT *, unnest(range(1, CAST({n_att} + 2 AS BIGINT))) AS attempt_no FROM ids))""") + (
         f"\nSELECT episode_id, attempt_no, array_to_string({arr}, ',') AS violations FROM obs")
 
 
@@ -639,13 +666,15 @@ def _score_completions_curriculum() -> str:
     frame = f"OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
     return W(*_parsed_runs(),
              "lv AS (SELECT unnest([1, 2, 3]) AS run_level)",
-             """pl AS (SELECT lv.run_level, b.*, row_number() OVER (PARTITION BY lv.run_level ORDER BY bank_pos) - 1 AS level_idx,
-                     count(*) OVER (PARTITION BY lv.run_level) AS size
-                 FROM lv JOIN li_bank b ON b.curriculum_level = lv.run_level
-                   OR NOT EXISTS (SELECT 1 FROM li_bank z WHERE z.curriculum_level = lv.run_level))""",
-             "sz AS (SELECT run_level, max(size) AS size FROM pl GROUP BY run_level)",
-             """a AS (SELECT pc.*, pl.* FROM pc CROSS JOIN sz JOIN pl ON pl.run_level = sz.run_level
-                      AND pl.level_idx = (pc.step - 1) % sz.size)""",
+             "held AS (SELECT curriculum_level, count(*) AS n FROM li_bank GROUP BY curriculum_level)",
+             # an empty level stands for the whole bank
+             """pk AS (SELECT curriculum_level AS run_level, pipeline_id, bank_pos FROM li_bank WHERE curriculum_level IN (1, 2, 3)
+                  UNION ALL SELECT lv.run_level, pipeline_id, bank_pos FROM lv, li_bank WHERE lv.run_level NOT IN (SELECT curriculum_level FROM held))""",
+             "pl AS (SELECT *, row_number() OVER (PARTITION BY run_level ORDER BY bank_pos) - 1 AS level_idx FROM pk)",
+             "sz AS (SELECT run_level, count(*) AS size FROM pk GROUP BY run_level)",
+             "pcl AS (SELECT pc.*, sz.run_level, (pc.step - 1) % sz.size AS level_idx FROM pc, sz)",
+             """a AS (SELECT pcl.* EXCLUDE (level_idx), b.* FROM pcl JOIN pl ON pl.run_level = pcl.run_level AND pl.level_idx = pcl.level_idx
+                  JOIN li_bank b ON b.pipeline_id = pl.pipeline_id)""",
              f"sc AS ({_train_scores('a', 'run_level')})",
              f"r AS (SELECT run_id, step, run_level AS level, {LOG_ROW} FROM sc)",
              f"f1 AS (SELECT run_id, step, sum({S.un('r_total')}) {frame} AS s FROM r WHERE level = 1)",
@@ -738,6 +767,7 @@ ORACLES.update({
     "score_completions": _score_completions(),
     "score_completions_curriculum": _score_completions_curriculum(),
     "validate_observations": _validate_observations(),
+    "bank_of_tables": _bank_of_tables(),
     "replay_all": _replay_all(),
     "grade_empty": _grade_empty(),
     "rolling_curve_a": _rolling_q(["r_total"], "a"),
