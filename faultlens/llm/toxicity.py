@@ -341,8 +341,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     key = key_col or id_col
     named = docs.select(F.struct(F.col(id_col).alias("id"), F.col(key).alias("key")).alias("row"), F.col(text_col).alias("text"))
     marked = labels.select(F.col(id_col).alias("lid"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1)")
-    train = named.where(part_of("row.id") > 0).join(marked, F.col("row.id") == F.col("lid"))
-    lexicon = learn_lexicon(train.where(part_of("row.id") < 3).select("row.id", "text", "label"))
+    # the labels of a bounded sample are sent to the texts, so no text is shuffled to meet them
+    draw = Window.partitionBy("label").orderBy(F.xxhash64("lid"), "lid")
+    chosen = marked.where(part_of("lid").isin(1, 2)).distinct().withColumn("nth", F.row_number().over(draw)).where(F.col("nth") <= LEXICON_DOCS)
+    sample = named.join(F.broadcast(chosen.drop("nth")), F.col("row.id") == F.col("lid"))  # 2 * LEXICON_DOCS rows sent
+    lexicon = learn_lexicon(sample.select("row.id", "text", "label"))
     feats = store(featurize(named, "row", "text", lexicon), "features")
     train = store(
         feats.where(part_of("row.id") > 2).join(marked, F.col("row.id") == F.col("lid")).select("f", "label", part_of("row.id").alias("part")),
