@@ -25,6 +25,7 @@ from faultlens.plans import bindings as B
 from faultlens.plans.materialize import scratch_path
 from faultlens.sources import evallog as E
 from faultlens.sources import io
+from faultlens.streaming.events import CurriculumBatches, replay_events, rocksdb, score_as_truth_comes
 from faultlens.streaming.stream import curriculum_stream, replay_stream, run_to_parquet, score_stream
 
 SEED = 42
@@ -657,6 +658,51 @@ def q_replay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(replay_stream(_stream(B.drawn_attempts(bank, SEED), "attempts"), bank), "replay")
 
 
+TRUTH_DELAYS = (-1800, 600, 3600, 7200)  # seconds after the answer; a fifth draw never comes
+ANSWERS_FROM = 1_700_000_000
+
+
+def _answers_and_truth(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """B6 completions with a time, and the truth of most of them, known before, soon
+    after, just in time or too late. One last row on either side, far ahead, lets
+    the watermark pass all others."""
+    bank = _bank(spark, sf_dir)
+    at = F.timestamp_seconds(F.col("bank_pos") + ANSWERS_FROM)
+    comp = B.drawn_completions(B.drawn_actions(bank, SEED), SEED).select("pipeline_id", "text", at.alias("answered_at"))
+    last = F.timestamp_seconds(F.lit(4_000_000_000))
+    end = spark.range(1)
+    answers = comp.unionByName(end.select(F.lit(None).cast("string").alias("pipeline_id"), F.lit(None).cast("string").alias("text"), last.alias("answered_at")))
+    delay = F.element_at(F.array(*[F.lit(d) for d in (*TRUTH_DELAYS, None)]), (B.draw(SEED, F.col("pipeline_id"), "truthdelay", n=5) + 1).cast("int"))
+    known = F.timestamp_seconds(F.col("bank_pos") + ANSWERS_FROM + delay)
+    timed = bank.withColumn("known_at", known).where("known_at IS NOT NULL")
+    truth = timed.select("pipeline_id", "known_at", *[c for c in P.truth_view(bank).columns if c not in ("pipeline_id", "clean_pipeline")])
+    return answers, truth.unionByName(end.select(last.alias("known_at")), allowMissingColumns=True)
+
+
+def q_score_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1, both sides streams: answers score when their truth comes within an hour."""
+    answers, truth = _answers_and_truth(spark, sf_dir)
+    scored = score_as_truth_comes(_stream(answers, "answers"), _stream(truth, "truth"), patience="1 hour")
+    rows = scored.select("pipeline_id", "fault_step_id", "blame_role", "scored", *SCORE_COLS)
+    return _drained(rows, "late-scores").where("pipeline_id IS NOT NULL")
+
+
+def q_curriculum_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2/T4 by batch jobs over a small state: the rows of ``curriculum_stream``."""
+    log = _log(spark, sf_dir).select("run_id", "step", "r_total")
+    batches = CurriculumBatches(scratch_path(spark, "curriculum-batches"), w=100, check_every=1, snapshot_every=50, group=4)
+    return batches.run(_stream(log, "rewards"))
+
+
+def q_replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T3 by event time: an attempt a minute, state dropped after an idle hour."""
+    bank = _bank(spark, sf_dir)
+    at = F.timestamp_seconds(F.lit(ANSWERS_FROM) + F.col("attempt_no") * 60)
+    attempts = _stream(B.drawn_attempts(bank, SEED).withColumn("at", at), "attempts")
+    with rocksdb(spark):
+        return _drained(replay_events(attempts, bank), "replay-events")
+
+
 REGISTRY = {
     "bank_lineitem": q_bank_lineitem,
     "bank_conversations": q_bank_conversations,
@@ -734,4 +780,7 @@ REGISTRY = {
     "score_stream": q_score_stream,
     "curriculum_stream": q_curriculum_stream,
     "replay_stream": q_replay_stream,
+    "score_stream_late": q_score_stream_late,
+    "curriculum_batches": q_curriculum_batches,
+    "replay_events": q_replay_events,
 }

@@ -696,6 +696,17 @@ def _score_stream() -> str:
         f"{S.wtotal('loc', 'bl', 'fx', 'pr')} AS total FROM sc")
 
 
+def _score_stream_late() -> str:
+    cols = ", ".join(f"{v} AS {k}" for k, v in S.parse_sql("text", True).items())
+    kind = S.draw("5", "pipeline_id", q("truthdelay"))  # known before, soon, just in time, too late, never
+    when = lambda x: f"CASE WHEN known THEN {x} END"
+    return W(S.LI_ACT, S.LI_COMP, f"pc AS (SELECT pipeline_id, {kind} <= 2 AS known, {cols} FROM li_comp)",
+             "a AS (SELECT b.*, pc.* EXCLUDE (pipeline_id) FROM pc JOIN li_bank b ON pc.pipeline_id = b.pipeline_id)",
+             f"sc AS ({_train_scores('a', 'curriculum_level')})") + (
+        f"\nSELECT pipeline_id, fault_step_id, blame_role, known AS scored, {when('loc')} AS localization, {when('bl')} AS blame, {when('fx')} AS fix, "
+        f"{when('pr')} AS precision, {when(S.wtotal('loc', 'bl', 'fx', 'pr'))} AS total FROM sc")
+
+
 def _curriculum_stream() -> str:
     sql = _curriculum(100, 1)
     return sql.replace(" AS curriculum_level\nFROM rlog", " AS curriculum_level, false AS late, "
@@ -783,4 +794,7 @@ ORACLES.update({
     "score_stream": _score_stream(),
     "curriculum_stream": _curriculum_stream(),
     "replay_stream": _replay(),
+    "score_stream_late": _score_stream_late(),
+    "curriculum_batches": _curriculum_stream(),
+    "replay_events": _replay(),
 })
