@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultlens.session import delete_at_exit
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``. Where it is unset, a
@@ -24,10 +26,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{scratch_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return path
+
+
 def store(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: cuts
     lineage, and a lost executor re-reads the table instead of recomputing it."""
-    path = f"{scratch_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.options(**{k: str(v) for k, v in (options or {}).items()}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,13 +74,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_name(df: DataFrame, want: str) -> str:
-    """A column name that ``df`` does not have."""
-    while want.lower() in {c.lower() for c in df.columns}:
-        want += "_"
-    return want
-
-
 def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, key, text)``: the key is the id and a hash of the text, so rows that
     share an id but not the text are decided apart."""

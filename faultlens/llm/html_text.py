@@ -1,13 +1,21 @@
 """Main text of web pages by site template removal.
 
 Every page is parsed once, whole, into blocks of text and the element subtrees
-above them, each with a hash of its tag, class and content. Spark counts the
-pages of a host that hold a subtree; subtrees that recur across many of them
-are templates and are deleted, with all text below. Hosts with too few pages
-for their furniture to recur also lose what the markup itself names: text
-outside the article, navigation, adverts, forms, comment sections and so on.
+above them. A subtree has two hashes: of its content (tags, classes and text) and
+of its shape (tags and classes alone, runs of equal children as one, digits
+alike). Spark counts the pages of a host that hold each, and subtrees that recur
+are templates and are deleted, with all text below:
+
+* outside the content root (``article``, else ``main``, where it holds enough of the
+  text), if its content is on ``REPEATED`` pages of the host, or its shape on
+  ``MIN_SHARE`` of them: menus, adverts and footers rotate, but keep their shape;
+* in the root, or on a page without one, if its content is on ``MIN_PAGES`` and
+  ``MIN_SHARE`` of the host's pages; no shape counts there, as paragraphs are alike.
+
 Paragraphs inside the article are never taken for a template: copies of an
-article on one host keep their text.
+article on one host keep their text. What the markup itself names (forms, reader
+comments, ...) goes too, and on a host of a single page, where nothing can recur,
+the text outside the root.
 
 Parsed pages are stored in rows of many pages, a table bucketed by row, so that
 the answers are brought to the text and the text is never shuffled.
@@ -28,16 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.llm.common import partitions, scratch_dir, store
+from faultlens.llm.common import partitions, scratch_path, store
 
-#: A subtree is a template if this many pages of the host hold it, and this share of them,
-#: or as many as are enough on a host of any size.
+#: Pages of a host, and share of them, that make a subtree a template; outside the content
+#: root REPEATED pages with the same content do.
 MIN_PAGES = 5
 MIN_SHARE = 0.3
-ENOUGH = 10
-#: Hosts with fewer pages follow their markup too. Furniture may rotate: the given tables
-#: deal 60 menus, adverts and footers each to a host, and each is on ENOUGH pages from here on.
-FEW_PAGES = 1000
+REPEATED = 2
+#: Kinds of a hash, its last two bits: content in the root (or without one), content and shape outside it.
+IN_ROOT, CONTENT, SHAPE = 0, 1, 2
 ROW_BYTES = 1 << 20
 
 # Fixed values of HTML and of common page markup.
@@ -82,6 +89,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s"'=<>/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|([^\s"'=<>/]+)""")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)")
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 #: Content roots, and what is kept whatever the root is.
@@ -93,11 +101,11 @@ PAGE = 0
 
 
 class _Node:
-    __slots__ = ("tag", "drop", "hint", "digest", "first", "keep", "root")
+    __slots__ = ("tag", "drop", "hint", "digest", "shape", "child", "first", "keep", "root", "inside")
 
-    def __init__(self, tag: str, drop: bool, hint: bool, first: int, keep: int, root: int):
-        self.tag, self.drop, self.hint, self.first, self.keep, self.root = tag, drop, hint, first, keep, root
-        self.digest = xxhash.xxh64()
+    def __init__(self, tag: str, drop: bool, hint: bool, first: int, keep: int, root: int, inside: int):
+        self.tag, self.drop, self.hint, self.first, self.keep, self.root, self.inside = tag, drop, hint, first, keep, root, inside
+        self.digest, self.shape, self.child = xxhash.xxh64(), xxhash.xxh64(), 0
 
 
 def _named(tag: str, raw: str, in_main: bool) -> tuple[str, bool, bool]:
@@ -123,15 +131,19 @@ def _ranges(flags: list[bool]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int, int]]]:
+def _signed(h: int, kind: int) -> int:
+    return ((h & ~3) | kind) - (1 << 63)
+
+
+def parse(page: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[int, int]], list[tuple[int, int, int]]]:
     """Blocks of text in page order; the ranges of them that the markup names as no
-    content or that stand outside the ``article`` (or else ``main``) where that holds
-    enough of the text; and the subtrees that may be templates, each as (hash, first
-    block, block after the last)."""
+    content; those that stand outside the ``article`` (or else ``main``) where that
+    holds enough of the text; and the subtrees that may be templates, each as (hash,
+    first block, block after the last)."""
     blocks: list[str] = []
     hints: list[bool] = []
     roots: list[int] = []
-    nodes: list[tuple[int, int, int, int]] = []
+    nodes: list[tuple[int, int, int, int, int, int]] = []
     buffer: list[str] = []
     stack: list[_Node] = []
     hidden = 0  # open elements that are not shown
@@ -152,8 +164,12 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[int,
                 blocks.append(text)
                 hints.append(hinted > 0)
                 roots.append(within())
+                raw = text.encode("utf-8", "surrogatepass")
                 if stack:
-                    stack[-1].digest.update(text.encode("utf-8", "surrogatepass"))
+                    stack[-1].digest.update(raw)
+                if not stack or stack[-1].tag in ("html", "body"):  # text of no element of its own
+                    h = xxhash.xxh64_intdigest(raw)
+                    nodes.append((h, len(blocks) - 1, len(blocks), 0, 0, 0))
 
     def close():
         nonlocal hidden, hinted
@@ -164,13 +180,16 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[int,
         hinted -= node.hint
         if node.root:
             inside[node.root] -= 1
-        h = node.digest.intdigest() - (1 << 63)
+        h, shape = node.digest.intdigest(), node.shape.intdigest()
         held = len(blocks) > node.first
         # an element around one subtree and nothing else recurs no more often than that
         if held and node.tag not in INLINE and (not nodes or nodes[-1][1:3] != (node.first, len(blocks))):
-            nodes.append((h, node.first, len(blocks), node.keep))
+            nodes.append((h, node.first, len(blocks), node.keep, node.inside, shape))
         if stack:
             stack[-1].digest.update(b"<%d>" % h)
+            if node.tag not in INLINE and shape != stack[-1].child:  # a run of equal children is one
+                stack[-1].child = shape
+                stack[-1].shape.update(b"<%d>" % shape)
             # what holds paragraphs of the article is no template either
             stack[-1].keep |= node.keep & ~ALWAYS if held else 0
 
@@ -221,12 +240,14 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[int,
             flush()
         hidden += drop
         hinted += hint
+        around = within()
         own_root = {"article": ARTICLE, "main": MAIN}.get(tag, 0) if not hinted and not hidden else 0
         if own_root:
             inside[own_root] += 1
         keep = ALWAYS if tag in ("html", "body") else within() if tag in PROSE and not hinted else 0
-        stack.append(_Node(tag, drop, hint, len(blocks), keep, own_root))
+        stack.append(_Node(tag, drop, hint, len(blocks), keep, own_root, around))
         stack[-1].digest.update(f"{tag}|{label}".encode("utf-8", "surrogatepass"))
+        stack[-1].shape.update(f"{tag}|{_DIGITS.sub('0', label)}".encode("utf-8", "surrogatepass"))
     text(page[at:])
     flush()
     while stack:
@@ -234,14 +255,25 @@ def parse(page: str) -> tuple[list[str], list[tuple[int, int]], list[tuple[int,
     size = [0 if h else len(b) for b, h in zip(blocks, hints, strict=True)]
     share = {r: sum(n for n, x in zip(size, roots, strict=True) if x & r) for r in (ARTICLE, MAIN)}
     root = next((r for r, n in share.items() if n and n >= MOST * sum(size)), 0)
-    own = _ranges([h or bool(root and not r & root) for h, r in zip(hints, roots, strict=True)])
-    return blocks, own, [(h, a, b) for h, a, b, keep in nodes if not keep & (root | ALWAYS)]
+    out = _ranges([bool(root and not r & root) for r in roots])
+    found = []
+    for h, a, b, keep, inside, shape in nodes:
+        if keep & (root | ALWAYS):
+            continue
+        if not root or inside & root:
+            found.append((_signed(h, IN_ROOT), a, b))
+        else:
+            found.append((_signed(h, CONTENT), a, b))
+            if shape:
+                found.append((_signed(shape, SHAPE), a, b))
+    return blocks, _ranges(hints), out, found
 
 
 def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_col: str = "html") -> DataFrame:
     """Rows of about ``ROW_BYTES`` of pages, stored in a table bucketed by ``row``: ids,
     urls, hosts and numbers of blocks by page, the blocks of all, and by page (``i``)
-    and block of the row what the markup names (``own``) and the subtrees (``nodes``)."""
+    and block of the row what the markup names (``own``), what stands outside the root
+    (``out``) and the subtrees (``nodes``)."""
     spark = pages.sparkSession
     kind = pages.select(page_id).schema[0].dataType
     span = [T.StructField("i", T.IntegerType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]
@@ -249,7 +281,7 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_co
     schema = T.StructType(
         [T.StructField("row", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("urls", strings)]
         + [T.StructField("hosts", strings), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("blocks", strings)]
-        + [T.StructField("own", T.ArrayType(T.StructType(span))), T.StructField("nodes", T.ArrayType(T.StructType([*span, T.StructField("hash", T.LongType())])))]
+        + [T.StructField(n, T.ArrayType(T.StructType(span))) for n in ("own", "out")] + [T.StructField("nodes", T.ArrayType(T.StructType([*span, T.StructField("hash", T.LongType())])))]
     )
 
     def spans(columns: list[list], names: tuple[str, ...]):
@@ -262,16 +294,17 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_co
             lo = 0
             while lo < b.num_rows:
                 hosts, sizes, blocks, held = [], [], [], 0
-                own, nodes = ([], [], []), ([], [], [], [])
+                own, out, nodes = ([], [], []), ([], [], []), ([], [], [], [])
                 i = lo
                 while i < b.num_rows and (i == lo or held < ROW_BYTES):
                     page = b.column(2)[i].as_py() or ""
                     found = _HOST.match(b.column(1)[i].as_py() or "")
                     hosts.append(found[1].lower() if found else "")
-                    text, hints, trees = parse(page)
-                    for x, y in hints:
-                        for c, v in zip(own, (i - lo, x + len(blocks), y + len(blocks)), strict=True):
-                            c.append(v)
+                    text, hints, outside, trees = parse(page)
+                    for to, ranges in ((own, hints), (out, outside)):
+                        for x, y in ranges:
+                            for c, v in zip(to, (i - lo, x + len(blocks), y + len(blocks)), strict=True):
+                                c.append(v)
                     for h, x, y in trees:
                         for c, v in zip(nodes, (i - lo, x + len(blocks), y + len(blocks), h), strict=True):
                             c.append(v)
@@ -280,7 +313,7 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_co
                     held += len(page)
                     i += 1
                 cells = [b.column(0).slice(lo, i - lo), b.column(1).slice(lo, i - lo), pa.array(hosts, pa.string()), pa.array(sizes, pa.int32())]
-                cells += [pa.array(blocks, pa.string()), spans(own, ("i", "a", "b")), spans(nodes, ("i", "a", "b", "hash"))]
+                cells += [pa.array(blocks, pa.string()), spans(own, ("i", "a", "b")), spans(out, ("i", "a", "b")), spans(nodes, ("i", "a", "b", "hash"))]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in cells]
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *lists], names=schema.names)
                 row += 1
@@ -289,21 +322,23 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_co
     rows = pages.select(page_id, F.col(url).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, schema)
     name = f"llm_pages_{uuid.uuid4().hex}"
     writer = rows.write.bucketBy(2 * partitions(spark), "row").option("parquet.page.size.row.check.min", "1").option("compression", "zstd")
-    writer.option("path", f"{scratch_dir(spark)}/{name}").option("parquet.block.size", str(8 << 20)).saveAsTable(name)
+    writer.option("path", scratch_path(spark, "pages")).option("parquet.block.size", str(8 << 20)).saveAsTable(name)
     return spark.table(name)
 
 
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``(host, hash)`` of subtrees that recur across many pages of their host, and
-    ``PAGE`` as the hash of hosts with few pages."""
+    """``(host, hash)`` of subtrees that recur across pages of their host, and ``PAGE`` as
+    the hash of hosts with a single page."""
     once = F.array_distinct(F.concat(F.transform("nodes", lambda n: F.struct(n["i"].alias("i"), n["hash"].alias("hash"))), _pages()))
     own = rows.select("hosts", F.explode(once).alias("n")).select(F.get("hosts", F.col("n.i")).alias("host"), "n.hash")
-    counted = own.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_pages) | (F.col("hash") == PAGE))
+    counted = own.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= REPEATED) | (F.col("hash") == PAGE))
     counted = store(counted, "subtrees")
     hosts = counted.where(F.col("hash") == PAGE).select("host", F.col("n").alias("pages"))
-    least = F.greatest(F.lit(min_pages), F.least(F.lit(min_share) * F.col("pages"), F.lit(max(ENOUGH, min_pages))))
+    kind = F.col("hash").bitwiseAND(F.lit(3))
+    share = F.lit(min_share) * F.col("pages")
+    least = F.when(kind == CONTENT, F.lit(float(REPEATED))).when(kind == SHAPE, share).otherwise(F.greatest(F.lit(float(min_pages)), share))
     known = counted.where(F.col("hash") != PAGE).join(hosts, "host").where(F.col("n") >= least).select("host", "hash")
-    return known.union(hosts.where(F.col("pages") < FEW_PAGES).select("host", F.lit(PAGE).cast("bigint")))
+    return known.union(hosts.where("pages = 1").select("host", F.lit(PAGE).cast("bigint")))
 
 
 def _pages():
@@ -335,17 +370,17 @@ def main_text(
             for r in range(batch.num_rows):
                 cell = {n: c[r].values for n, c in zip(batch.schema.names, batch.columns, strict=True)}
                 blocks, off = cell["blocks"], np.concatenate(([0], np.cumsum(cell["sizes"].to_numpy(zero_copy_only=False).astype(np.int64))))
-                own = [column(cell["own"], c) for c in ("i", "a", "b")]
+                own, out = ([column(cell[x], c) for c in ("i", "a", "b")] for x in ("own", "out"))
                 spans = [column(cell["gone"], c) if cell["gone"] is not None else np.zeros(0, np.int64) for c in ("i", "a", "b")]
-                marked = spans[1] < 0  # pages of hosts with few
-                follow = np.isin(own[0], spans[0][marked])
-                begin = np.concatenate((spans[1][~marked], own[1][follow]))
-                end = np.concatenate((spans[2][~marked], own[2][follow]))
+                marked = spans[1] < 0  # the only pages of their hosts
+                follow = np.isin(out[0], spans[0][marked])
+                begin = np.concatenate((spans[1][~marked], own[1], out[1][follow]))
+                end = np.concatenate((spans[2][~marked], own[2], out[2][follow]))
                 edge = np.bincount(begin, minlength=len(blocks) + 1) - np.bincount(end, minlength=len(blocks) + 1)
                 keep = np.cumsum(edge[:-1]) == 0
                 left = np.concatenate(([0], np.cumsum(keep)))[off]
                 lists = pa.ListArray.from_arrays(pa.array(left, pa.int32()), blocks.filter(pa.array(keep)))
                 yield pa.RecordBatch.from_arrays([cell["ids"], cell["urls"], pc.binary_join(lists, " ")], names=schema.names)
 
-    final = rows.select("row", "ids", "urls", "sizes", "blocks", "own").join(gone, "row", "left")
+    final = rows.select("row", "ids", "urls", "sizes", "blocks", "own", "out").join(gone, "row", "left")
     return final.drop("row").mapInArrow(cut, schema)

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import partitions, scratch_dir, slices, store, utf8_buffers
+from faultlens.llm.common import partitions, scratch_path, slices, store, utf8_buffers
 
 LENGTH = 50
 ANCHOR = 24
@@ -164,7 +164,7 @@ def _bucketed(rows: DataFrame, name: str, buckets: int) -> DataFrame:
     spark = rows.sparkSession
     name = f"llm_{name}_{uuid.uuid4().hex}"
     writer = rows.write.bucketBy(buckets, "block").option("parquet.page.size.row.check.min", "1").option("compression", "zstd")
-    writer.option("path", f"{scratch_dir(spark)}/{name}").option("parquet.block.size", str(8 << 20)).saveAsTable(name)
+    writer.option("path", scratch_path(spark, "blocks")).option("parquet.block.size", str(8 << 20)).saveAsTable(name)
     return spark.table(name)
 
 

@@ -245,16 +245,21 @@ def test_top_k(spark):
     base = rng.normal(size=(60, 20)).round(2)
     base[7] = base[8] = base[9]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
-    rows += [(100, None), (101, [1.0, None] + [0.0] * 18), (102, [float("nan")] + [0.0] * 19), (103, [1.0, 2.0]), (None, rows[0][1]), (5, rows[5][1]), (104, [])]
+    rows += [(100, None), (101, [1.0, None] + [0.0] * 18), (102, [float("nan")] + [0.0] * 19), (103, [1.0, 2.0]), (None, rows[0][1]), (5, rows[5][1]), (104, []), (14, rows[14][1]), (30, rows[9][1])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(frame, frame.where("vec_id % 7 = 0"), candidates=16, query_rows=3)
     q = np.floor(base * 256).astype(int)
     want = []
+    held = [(i, q[i]) for i in range(60)] + [(5, q[5]), (14, q[14]), (30, q[9])]  # repeated rows are candidates each
     for i in range(0, 60, 7):
-        best = sorted((-int(q[i] @ q[j]), j) for j in range(60) if j != i)[:5]
+        own = [v for j, v in held if j == i]  # a query that occurs twice has every candidate twice
+        best = sorted((-int(v @ w), j) for v in own for j, w in held if j != i)[:5]
         want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
+    clash = frame.withColumns({c: F.lit(1) for c in ("block", "dims", "ids", "n", "v", "score", "rank")})
+    again = topk.top_k(clash, clash.where("vec_id % 7 = 0"))
+    assert sorted(tuple(r) for r in again.collect()) == sorted(want)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body>
@@ -278,16 +283,73 @@ def test_html(spark):
     assert got == want
 
 
-def test_html_templates_are_counted_over_the_whole_page(spark, monkeypatch):
-    """On a host with enough pages recurrence decides, not the markup: recurring furniture
-    goes whatever it is called, and what is on one page stays even if called an advert."""
-    monkeypatch.setattr(html_text, "FEW_PAGES", 40)
-    page = "<body><nav><ul><li>Menu</ul></nav><div class='ad'>Only here {n}</div><article><p>Same<p>Own {n}</article><div><p>Rotating {v}</div><footer>All rights</footer>"
-    rows = [(i, f"http://hot.example/{i}", page.format(n=i, v=i % 4)) for i in range(48)]
-    rows += [(100 + i, f"http://small.example/{i}", page.format(n=i, v=i % 4)) for i in range(3)]
-    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
-    want = {i: f"Only here {i} Same Own {i}" for i in range(48)}  # 12 of 48 pages hold a rotating one
-    assert got == want | {100 + i: f"Same Own {i}" for i in range(3)}
+UNNAMED = """<html><body>Top of site<div class="x{n}"><span>Menu {v}</span><p>Item {v}<p>Item {n}</div>{odd}
+<article><h1>Title {n}</h1><p>Same<p>Own {n}<br>line</article><section><p>Rotating {v}</section>Bottom {v}</body></html>"""
+
+
+def unnamed_pages():
+    """Pages whose furniture has no telling name: menus and ends rotate, and differ on each page."""
+    odd = lambda i: f"<table><tr><td>Odd {i}</table>" if i == 7 else ""
+    rows = [(i, f"http://hot.example/{i}", UNNAMED.format(n=i, v=i % 9, odd=odd(i))) for i in range(48)]
+    rows += [(100 + i, f"http://small.example/{i}", UNNAMED.format(n=i, v=0, odd="")) for i in range(3)]
+    return rows + [(200, "http://one.example/", UNNAMED.format(n=1, v=0, odd="<table><tr><td>Odd</table>"))]
+
+
+def test_html_templates_are_counted_on_every_host(spark):
+    """Recurring content and shapes outside the article go whatever they are called and
+    however many pages the host has; on a host of one page all that is outside goes."""
+    frame = spark.createDataFrame(unnamed_pages(), "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html_text.main_text(frame).collect()}
+    own = {r[0]: f"Title {i} Same Own {i} line" for r in unnamed_pages() for i in [1 if r[0] == 200 else r[0] % 100]}
+    assert got == own | {7: "Odd 7 " + own[7]}  # what is on one page only, in a shape of its own, is no template
+
+
+def test_html_equals_a_plain_count(spark):
+    """Random pages: subtrees counted and deleted one by one, page by page."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta"])
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return word()
+        tag = rng.choice(["div", "section", "p", "ul", "span"])
+        label = rng.choice(["", " class='a'", " class='b7'", " id='c'"])
+        return f"<{tag}{label}>" + " ".join(tree(depth - 1) for _ in range(rng.randint(1, 3))) + f"</{tag}>"
+
+    pages = []
+    for i in range(60):
+        root = f"<article><p>{word()} {i}<p>{tree(2)}</article>" if i % 3 else tree(3)
+        pages.append((i, f"http://h{i % 5}.example/{i}" if i != 59 else "http://alone.example", f"<body>{tree(3)}{root}{tree(2)}</body>"))
+    pages.append(pages[4])
+    parsed, counts, sizes = [], {}, {}
+    for i, url, page in pages:
+        host = url.split("/")[2]
+        blocks, own, out, nodes = html_text.parse(page)
+        parsed.append((i, host, blocks, own, out, nodes))
+        sizes[host] = sizes.get(host, 0) + 1
+        for h in {n[0] for n in nodes}:
+            counts[host, h] = counts.get((host, h), 0) + 1
+    want = {}
+    for i, host, blocks, own, out, nodes in parsed:
+        gone = list(own) + (list(out) if sizes[host] == 1 else [])
+        for h, a, z in nodes:
+            n, share = counts[host, h], html_text.MIN_SHARE * sizes[host]
+            least = {html_text.CONTENT: 2, html_text.SHAPE: max(2, share), html_text.IN_ROOT: max(html_text.MIN_PAGES, share)}[h & 3]
+            if n >= least:
+                gone.append((a, z))
+        want.setdefault(i, []).append(" ".join(b for k, b in enumerate(blocks) if not any(a <= k < z for a, z in gone)))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {}
+    for r in html_text.main_text(frame).collect():
+        got.setdefault(r.page_id, []).append(r.text)
+    assert got == want and len({t for x in want.values() for t in x}) > 40
+
+
+def test_html_of_an_empty_table_and_clashing_columns(spark):
+    schema = "page_id long, url string, html string, row long, hosts string, nodes int, text string, hash long"
+    assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
+    one = spark.createDataFrame([(1, "http://a.example", "<p>x", 1, "h", 2, "t", 3)], schema)
+    assert [tuple(r) for r in html_text.main_text(one).collect()] == [(1, "http://a.example", "x")]
 
 
 @pytest.mark.parametrize(
@@ -304,7 +366,8 @@ def test_html_templates_are_counted_over_the_whole_page(spark, monkeypatch):
     ],
 )
 def test_html_main_text_of_ordinary_markup(page, want):
-    blocks, own, _ = html_text.parse(page)
+    blocks, own, out, _ = html_text.parse(page)
+    own += out
     assert " ".join(b for i, b in enumerate(blocks) if not any(a <= i < z for a, z in own)) == want
 
 
