@@ -31,9 +31,10 @@ from faultlens.llm.common import store
 
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 4096
-#: Lengths up to this share of a sequence are left to the best-fit step; a plan is
-#: made for each share, and the one with the fewest sequences is taken.
+#: Groups of equal cardinality, so large pieces have that many sizes at most.
+GROUPS = (16, 64, 256)
+#: Lengths up to this share of a sequence are left to the best-fit step. A plan is made
+#: for each number of groups and share, and the one with the fewest sequences is taken.
 SMALL = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
 
 
@@ -147,11 +148,12 @@ def _configuration(sizes: np.ndarray, left: dict[int, int], first: int, capacity
     return config
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int = GROUPS, small=SMALL) -> list[tuple]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int | tuple[int, ...] = GROUPS, small=SMALL) -> list[tuple]:
     """``(length, first rank, n, first sequence, offset)``: the pieces of this length
     ranked ``first rank + i``, ``i < n``, start at ``offset`` of sequence
     ``first sequence + i``. Covers every piece in ``counts`` once."""
-    plans = [_plan(counts, capacity, n_groups, share) for share in small]
+    groups = (n_groups,) if isinstance(n_groups, int) else n_groups
+    plans = [_plan(counts, capacity, n, share) for n in groups for share in small]
     return min(plans, key=lambda rows: max((first + n for _, _, n, first, _ in rows), default=0))
 
 
