@@ -7,13 +7,11 @@ return the columns of their input.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.llm import decontaminate, packing, secret_scan, simhash, toxicity
-from faultlens.llm.common import scratch_dir, store, table, with_key, without
+from faultlens.llm.common import scratch_path, store, table, with_key, without
 from faultlens.llm.queries import encoder
 
 REDACTED = "[REDACTED]"
@@ -96,7 +94,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages in order to `documents`; each result is written as Parquet
     and read again as the next stage's documents."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")

@@ -676,7 +676,8 @@ def _answers_and_truth(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     known = F.timestamp_seconds(F.col("bank_pos") + ANSWERS_FROM + delay)
     timed = bank.withColumn("known_at", known).where("known_at IS NOT NULL")
     truth = timed.select("pipeline_id", "known_at", *[c for c in P.truth_view(bank).columns if c not in ("pipeline_id", "clean_pipeline")])
-    return answers, truth.unionByName(end.select(last.alias("known_at")), allowMissingColumns=True)
+    # a join drops truths without an id before their times are seen, so the last one has an id of its own
+    return answers, truth.unionByName(end.select(F.lit("").alias("pipeline_id"), last.alias("known_at")), allowMissingColumns=True)
 
 
 def q_score_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
