@@ -23,6 +23,7 @@ prefixes on one anchor occurrence form a factor of at most 76 bytes.
    their anchor with a different factor.
 3. Only for the latter, the prefixes themselves are sent, once a block, and
    ordered likewise.
+   An answer is a bit an entry, in the order in which the block sent them.
 4. With each answer a bucket tells the block of the nearest smaller document, which
    sends the bytes asked of it, overlapping ones once, to the block that asks.
 5. Blocks compare bytes. Where hashes agree and bytes do not, the strings in
@@ -36,7 +37,9 @@ besides those of their anchor.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import uuid
 
 import numpy as np
@@ -51,10 +54,12 @@ from faultlens.llm.common import partitions, scratch_path, slices, store, utf8_b
 LENGTH = 50
 ANCHOR = 24
 BLOCK_BYTES = 1 << 20
-_SLICE = 1 << 18
+BUCKET_BYTES = 64 << 20  # of text for each bucket of hashes
+_SLICE = 1 << 16
 CODES = 256  # fewer make hashes collide
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FINAL = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95
 _ROW = "block bigint, ids binary, off binary, data binary"
 
 
@@ -66,8 +71,18 @@ def _byte_codes(n: int) -> np.ndarray:
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
-    x = x * _FINAL
-    return x ^ (x >> np.uint64(29))
+    x *= _FINAL
+    x ^= x >> np.uint64(29)
+    return x
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    down = np.full((2, n), 1, np.uint64)
+    down[:, 1:] = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+    np.multiply.accumulate(down, axis=1, out=down)
+    return down[0], down[1]
 
 
 def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -78,21 +93,16 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _hashes(data: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``ANCHOR`` and of the ``LENGTH`` bytes from each position on."""
-    levels, m = {1: codes[data]}, 1
-    while 2 * m <= LENGTH:
-        cur = levels[m]
-        levels[2 * m] = _pair(cur[:-m], cur[m:])
-        m *= 2
+    """Hashes of the ``ANCHOR`` and of the ``LENGTH`` bytes from each position on:
+    polynomials in the base, as differences of running sums."""
+    n = len(data)
+    up, down = _powers(max(1 << (n - 1).bit_length(), _SLICE))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(codes[data] * up[:n], out=total[1:])
 
     def of(length: int) -> np.ndarray:
-        out, have = None, 0
-        for m in sorted(levels, reverse=True):
-            if length & m:
-                part = levels[m]
-                n = len(data) - length + 1
-                out = part[:n] if out is None else _pair(out[:n], part[have : have + n])
-                have += m
+        out = total[length:] - total[: n - length + 1]
+        out *= down[: n - length + 1]
         return _mix(out)
 
     return of(ANCHOR), of(LENGTH)
@@ -115,27 +125,29 @@ def anchors(data: np.ndarray, off: np.ndarray, live: np.ndarray, codes: np.ndarr
     short, prefix = _hashes(data, codes)
     width = LENGTH - ANCHOR + 1
     least = _slide(short, width, np.minimum)  # one per prefix start
-    starts = np.arange(len(least))
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(least)]
-    ok = live[row] & (starts + LENGTH <= off[row + 1])
-    starts = starts[ok]
+    size = np.diff(off)
+    last = np.repeat(np.where(live, off[1:] - LENGTH, -1), size)[: len(least)]
+    starts = np.flatnonzero(np.arange(len(least)) <= last)
     if not len(starts):
         return none | {"prefix": prefix}
     want = least[starts]
     pad = np.zeros(width - 1, np.uint64)
-    picked = np.flatnonzero(_slide(np.concatenate((pad, least, pad)), width, np.maximum) == short)
-    j = np.searchsorted(picked, starts)
-    late = np.flatnonzero(short[picked[j]] != want)
+    mark = _slide(np.concatenate((pad, least, pad)), width, np.maximum) == short
+    picked = np.flatnonzero(mark)
+    hashes = short[picked]
+    j = (np.cumsum(mark) - mark)[starts]  # the first one at or after each start
+    late = np.flatnonzero(hashes[j] != want)
     while len(late):
         j[late] += 1
-        late = late[short[picked[j[late]]] != want[late]]
+        late = late[hashes[j[late]] != want[late]]
+    row = np.repeat(np.arange(len(size)), size)[starts]
     at = picked[j]
-    cut = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (row[starts[1:]] != row[starts[:-1]]))))
+    cut = np.flatnonzero(np.concatenate(([True], (j[1:] != j[:-1]) | (row[1:] != row[:-1]))))
     a, b = starts[cut], starts[np.append(cut[1:] - 1, len(starts) - 1)]
     at = at[cut]
     shape = ((at - a) * 64 + (b - a)).astype(np.uint64)
     factor = _mix(_pair(_pair(prefix[a], prefix[b]), shape))
-    return {"a": a, "b": b, "row": row[a], "anchor": short[at], "factor": factor, "prefix": prefix}
+    return {"a": a, "b": b, "row": row[cut], "anchor": short[at], "factor": factor, "prefix": prefix}
 
 
 def _slice_anchors(data, off, live, codes):
@@ -168,11 +180,12 @@ def _bucketed(rows: DataFrame, name: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def _packed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Blocks of about ``BLOCK_BYTES`` as rows of a table bucketed by block."""
+def _packed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """Blocks of about ``BLOCK_BYTES`` as rows of a table bucketed by block, its number of
+    buckets, and that of the buckets of hashes, which follows the bytes of text."""
 
     def run(batches):
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 24  # 16 TB a partition
         for batch in batches:
             data, off = utf8_buffers(batch.column(1))
             for lo, hi in slices(off, BLOCK_BYTES):
@@ -192,7 +205,8 @@ def _packed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
 
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).mapInArrow(run, _ROW)
     buckets = 2 * partitions(docs.sparkSession)
-    return _bucketed(rows, "blocks", buckets), buckets
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return _bucketed(rows, "blocks", buckets), buckets, max(buckets, math.ceil(size / BUCKET_BYTES))
 
 
 def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,18 +233,35 @@ def _long_ids(raw: bytes) -> np.ndarray:
     return np.concatenate((np.frombuffer(raw, np.int64, 1, offset=1), step)).cumsum()
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in the narrowest type that holds them, which comes first."""
+    top = int(x.max()) if len(x) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _large(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _dealing(key: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries ordered by bucket, where each bucket begins, and 32 further bits of each key."""
+    route = _mix(key + _STEP)  # anchors are minima: their own high bits are not even
+    bucket = ((route >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+    if n_buckets <= 1 << 16:
+        bucket = bucket.astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.concatenate(([0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=n_buckets)))), route.astype(np.uint32)
+
+
 def _dealt(block: int, group: np.ndarray | None, value: np.ndarray, ids: np.ndarray, n_buckets: int):
     """Rows ``(bucket, block, groups, vals, ids)`` of one block: its entries in
     position order, dealt by their group, of which 32 further bits are sent.
     Without groups, entries are dealt by value."""
-    route = _mix((value if group is None else group) + _STEP)  # anchors are minima: their own high bits are not even
-    bucket = ((route >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
+    order, edges, low = _dealing(value if group is None else group, n_buckets)
     full = np.flatnonzero(edges[1:] > edges[:-1])
-    low = route.astype(np.uint32) if group is not None else None
     at = [order[edges[b] : edges[b + 1]] for b in full]
-    groups = [b"" if low is None else low[i].tobytes() for i in at]
+    groups = [b"" if group is None else low[i].tobytes() for i in at]
     return pa.RecordBatch.from_arrays(
         [pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array(groups, pa.binary())]
         + [pa.array([value[i].tobytes() for i in at], pa.binary()), pa.array([_short_ids(ids[i]) for i in at], pa.binary())],
@@ -238,28 +269,27 @@ def _dealt(block: int, group: np.ndarray | None, value: np.ndarray, ids: np.ndar
     )
 
 
-def _first_of(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Entries with the smallest document of each value, one each, in position order."""
-    if not len(values):
-        return np.zeros(0, np.int64)
-    order = np.lexsort((doc, values))
-    sorted_values = values[order]
-    return np.sort(order[np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))])
+def _firsts(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each value the first entry of its smallest document, in position order; for each
+    entry the number of its value's one there, and whether it is of a later document."""
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    order = np.argsort(values, kind="stable")
+    new = np.concatenate(([True], values[order[1:]] != values[order[:-1]]))
+    head, group, by = np.flatnonzero(new), np.cumsum(new) - 1, doc[order]
+    above = by > np.minimum.reduceat(by, head)[group]
+    first = order[np.minimum.reduceat(np.where(above, n, np.arange(n)), head)]
+    rank = np.argsort(first)
+    place, number, later = np.empty(len(rank), np.int64), np.empty(n, np.int64), np.empty(n, bool)
+    place[rank] = np.arange(len(rank))
+    number[order], later[order] = place[group], above
+    return first[rank], number, later
 
 
 _DEALT = "bucket bigint, block bigint, groups binary, vals binary, ids binary"
 
 
-def _least_by(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id among the entries of each entry's key."""
-    least = np.empty(len(keys), ids.dtype)
-    if len(keys):
-        order = np.argsort(keys, kind="stable")
-        head = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
-        least[order] = np.repeat(np.minimum.reduceat(ids[order], head), np.diff(np.append(head, len(keys))))
-    return least
-
-
 def previous_smaller(run: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each entry the nearest one before it, within its run of equal prefixes, of a
     smaller document, or -1. Runs are contiguous and ordered by document, so a next
@@ -280,71 +310,87 @@ def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return cat("groups", np.uint32), cat("vals", np.uint64), ids, np.repeat(np.arange(len(frame)), size)
 
 
-_ANSWER = "block bigint, gone binary, split binary, need binary, ask binary, who binary"
-
-
-def _answers(frame: pd.DataFrame, smaller: np.ndarray, split: np.ndarray, value: np.ndarray, row: np.ndarray) -> pd.DataFrame:
-    """Per block, the values that are gone, and those to be split further; and the values
-    whose bytes it is to send (``need``), with the number in ``who`` of the block that asks."""
+_ANSWER = "bucket bigint, block bigint, gone binary, split binary, need binary, ask binary, who binary"
+
+
+def _answers(frame: pd.DataFrame, order: np.ndarray, smaller: np.ndarray, split: np.ndarray, row: np.ndarray) -> pd.DataFrame:
+    """Per block, a bit for each of its entries that is gone, and to be split further; and
+    which entries' bytes it is to send (``need``): ``ask`` of them to each block in ``who``,
+    given as steps. Entries stand in ``order``."""
+    n = len(order)
+    flags = np.zeros((2, n), bool)
+    flags[0, order], flags[1, order] = smaller >= 0, split
+    gone = np.flatnonzero(smaller >= 0)
+    blocks = frame["block"].to_numpy(np.int64)
+    start = np.searchsorted(row, np.arange(len(frame) + 1))
+    source, asker = order[smaller[gone]], row[order[gone]]
+    by = np.lexsort((source, asker, row[source]))
+    source, asker = source[by], asker[by]
+    edges = np.searchsorted(row[source], np.arange(len(frame) + 1))
+    out = []
+    for i in range(len(frame)):
+        who, ask = np.unique(asker[edges[i] : edges[i + 1]], return_counts=True)
+        need = source[edges[i] : edges[i + 1]] - start[i]
+        bits = [np.packbits(f[start[i] : start[i + 1]]).tobytes() if f[start[i] : start[i + 1]].any() else b"" for f in flags]
+        asks = [_small(need), _small(ask), _small(np.diff(blocks[who], prepend=0))] if len(need) else [b"", b"", b""]
+        if bits[0] or bits[1] or asks[0]:
+            out.append((int(frame["bucket"].iat[0]), int(blocks[i]), *bits, *asks))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _ANSWER.split(", ")])
+
+
+def _told(found, order: np.ndarray, edges: np.ndarray, column: str) -> np.ndarray:
+    """The bits of all buckets, for the entries that a block sent."""
+    out = np.zeros(len(order), bool)
+    for x in found or ():
+        at = order[edges[x["bucket"]] : edges[x["bucket"] + 1]]
+        if x[column]:
+            out[at] = np.unpackbits(np.frombuffer(x[column], np.uint8), count=len(at)).astype(bool)
+    return out
 
-    def dealt(at, by):
-        at = at[np.argsort(by, kind="stable")]
-        edges = np.searchsorted(np.sort(by), np.arange(len(frame) + 1))
-        return [at[edges[i] : edges[i + 1]] for i in range(len(frame))]
 
-    gone, split, blocks = np.flatnonzero(smaller >= 0), np.flatnonzero(split), frame["block"].to_numpy(np.int64)
-    asked = dealt(gone, row[smaller[gone]])
-    who = [np.unique(row[x], return_inverse=True) for x in asked]
-    found = pd.DataFrame(
-        {
-            "block": blocks,
-            "gone": [value[x].tobytes() for x in dealt(gone, row[gone])],
-            "split": [value[x].tobytes() for x in dealt(split, row[split])],
-            "need": [value[x].tobytes() for x in asked],
-            "ask": [i.astype(np.uint32).tobytes() for _, i in who],
-            "who": [blocks[w].tobytes() for w, _ in who],
-        }
-    )
-    return found[(found["gone"].str.len() > 0) | (found["split"].str.len() > 0) | (found["need"].str.len() > 0)]
+def _asked(asks, order: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries whose bytes are asked for, and the blocks that ask."""
+    if not asks:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = [order[edges[x["bucket"]] + _large(x["need"])] for x in asks]
+    return np.concatenate(at), np.concatenate([np.repeat(np.cumsum(_large(x["who"])), _large(x["ask"])) for x in asks])
 
 
 def _factors_of_bucket(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("block")
     anchor, factor, doc, row = _gathered(frame)
     order = np.lexsort((doc, factor, anchor))  # equal factors next to each other, by document
-    anchor, factor, doc, row = anchor[order], factor[order], doc[order], row[order]
+    anchor, factor, doc = anchor[order], factor[order], doc[order]
     new = np.concatenate(([True], (factor[1:] != factor[:-1]) | (anchor[1:] != anchor[:-1])))
     smaller = previous_smaller(np.cumsum(new), doc)
     group = np.cumsum(np.concatenate(([True], anchor[1:] != anchor[:-1]))) - 1
     several = np.bincount(group, weights=new) > 1
-    return _answers(frame, smaller, (smaller < 0) & several[group], factor, row)
+    return _answers(frame, order, smaller, (smaller < 0) & several[group], row)
 
 
 def _prefixes_of_bucket(frame: pd.DataFrame) -> pd.DataFrame:
+    frame = frame.sort_values("block")
     _, prefix, doc, row = _gathered(frame)
     order = np.lexsort((doc, prefix))
-    prefix, doc, row = prefix[order], doc[order], row[order]
-    smaller = previous_smaller(prefix, doc)
-    return _answers(frame, smaller, np.zeros(len(smaller), bool), prefix, row)
+    smaller = previous_smaller(prefix[order], doc[order])
+    return _answers(frame, order, smaller, np.zeros(len(smaller), bool), row)
 
 
 def _by_block(answers: DataFrame) -> DataFrame:
     """One row per block: the concatenated answers of all buckets."""
-    asks = F.when(F.length("need") > 0, F.struct("need", "ask", "who"))
-    return answers.groupBy("block").agg(F.collect_list("gone").alias("gone"), F.collect_list("split").alias("split"), F.collect_list(asks).alias("asks"))
+    asks = F.when(F.length("need") > 0, F.struct("bucket", "need", "ask", "who"))
+    told = F.when(F.length("gone") + F.length("split") > 0, F.struct("bucket", "gone", "split"))
+    return answers.groupBy("block").agg(F.collect_list(told).alias("found"), F.collect_list(asks).alias("asks"))
 
 
 _PIECES = "asker bigint, docs binary, sizes binary, data binary"
 
 
-def _pieces(asks, known: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, data: np.ndarray) -> list[dict]:
-    """The bytes of the values asked for, by asker: pieces that do not overlap, each with
-    its document and size. ``known`` are the values of a block, at ``begin`` to ``end``."""
-    if not asks:
+def _pieces(at: np.ndarray, asker: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, data: np.ndarray) -> list[dict]:
+    """The bytes of the entries ``at`` that are asked for, by asker: pieces that do not
+    overlap, each with its document and size. Entries reach from ``begin`` to ``end``."""
+    if not len(at):
         return []
-    value = np.concatenate([np.frombuffer(x["need"], np.uint64) for x in asks])
-    asker = np.concatenate([np.frombuffer(x["who"], np.int64)[np.frombuffer(x["ask"], np.uint32)] for x in asks])
-    by = np.argsort(known)
-    at = by[np.searchsorted(known, value, sorter=by)]
     order = np.lexsort((begin[at], asker))
     at, asker = at[order], asker[order]
     a, e = begin[at], end[at]
@@ -360,28 +406,36 @@ def _pieces(asks, known: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np
     ]
 
 
-def _all_prefixes(data: np.ndarray, off: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``LENGTH`` bytes from each position on, and whether these are in one row."""
+def _all_prefixes(data: np.ndarray, off: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of the ``LENGTH`` bytes from each position on, where there are so many."""
     out = np.zeros(len(data), np.uint64)
     for lo, hi in slices(off, _SLICE):
         part = data[off[lo] : off[hi]]
         if len(part) >= LENGTH:
             out[off[lo] : off[hi] - LENGTH + 1] = _hashes(part, codes)[1]
-    ends = np.repeat(off[1:], np.diff(off))
-    whole = np.arange(len(data)) + LENGTH <= ends
-    return out, whole
-
-
-def _confirmed(at, want, doc, data, source, source_at, source_hash, source_doc) -> np.ndarray:
-    """Which of the strings at ``at`` the bytes at the positions of ``source`` repeat, by
-    the one of the smallest document for each hash."""
-    if not len(at) or not len(source_at):
-        return np.zeros(len(at), bool)
-    order = np.lexsort((source_doc, source_hash))
-    i = order[np.minimum(np.searchsorted(source_hash, want, sorter=order), len(order) - 1)]
-    ok = (source_hash[i] == want) & (source_doc[i] < doc)
+    return out
+
+
+def _confirmed(at, extra, want, doc, data, source, hashes, docs, ends) -> np.ndarray:
+    """Which of the strings at ``at``, of ``extra`` bytes over ``LENGTH``, the bytes of
+    ``source`` repeat, at the position with that hash in the smallest document. Its
+    positions have ``hashes``, ``docs`` and the ends of their rows."""
+    ok = np.zeros(len(at), bool)
+    if not len(at) or len(source) < LENGTH:
+        return ok
+    low = np.uint64((1 << 20) - 1)
+    wanted = np.zeros(1 << 20, bool)
+    wanted[want & low] = True
+    near = np.flatnonzero(wanted[hashes & low] & (np.arange(len(source)) + LENGTH <= ends))
+    if not len(near):
+        return ok
+    near = near[np.lexsort((docs[near], hashes[near]))]
+    here = near[np.minimum(np.searchsorted(hashes[near], want), len(near) - 1)]
+    ok = (hashes[here] == want) & (docs[here] < doc) & (here + extra + LENGTH <= ends[here])
     window = np.lib.stride_tricks.sliding_window_view
-    ok[ok] = (window(data, LENGTH)[at[ok]] == window(source, LENGTH)[source_at[i[ok]]]).all(axis=1)
+    for step in (np.zeros_like(extra), extra):  # the extra bytes are fewer than LENGTH
+        go = np.flatnonzero(ok)
+        ok[go] = (window(data, LENGTH)[at[go] + step[go]] == window(source, LENGTH)[here[go] + step[go]]).all(axis=1)
     return ok
 
 
@@ -392,23 +446,12 @@ def _spread(raw) -> np.ndarray:
     return np.repeat(ranges[:, 0] - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def _sorted_answers(found) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(found or ()), np.uint64))
-
-
-def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return known[at] == values
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256)`` of every row, and with
     ``keep_bytes`` the remaining bytes as ``kept``. Null text is empty; ids are
     whole numbers; rows of one id never remove from each other; a row with a null
     id neither removes nor loses anything."""
-    blocks, n_buckets = _packed(docs, id_col, text_col)
+    blocks, n_tables, n_buckets = _packed(docs, id_col, text_col)
 
     def send_factors(batches):
         codes = _byte_codes(CODES)
@@ -419,10 +462,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if not parts:
                     continue
                 anchor, factor, row = (np.concatenate([p[k] for p in parts]) for k in ("anchor", "factor", "row"))
-                first = _first_of(factor, ids[row])
+                first = _firsts(factor, ids[row])[0]
                 yield _dealt(r["block"], anchor[first], factor[first], ids[row[first]], n_buckets)
 
-    sent = blocks.mapInArrow(send_factors, _DEALT)
+    sent = blocks.mapInArrow(send_factors, _DEALT).repartition(n_buckets, "bucket")
     answers = sent.groupBy("bucket").applyInPandas(_factors_of_bucket, _ANSWER)
     first = _by_block(answers)
 
@@ -434,34 +477,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for r in _rows(batch):
                 ids, live, off, data = _opened(r)
-                known_gone, known_split = _sorted_answers(r["gone"]), _sorted_answers(r["split"])
-                kept, opened = [], []
+                kept, hashes = [], np.zeros(len(data), np.uint64)
                 for p, prefix, base in _slice_anchors(data, off, live, codes):
-                    split = _member(p["factor"], known_split)
-                    size = np.where(split, p["b"] - p["a"] + 1, 0)
-                    at = np.repeat(p["a"] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    opened.append((np.repeat(np.arange(len(size)), size), prefix[at - base]))
+                    hashes[base : base + len(prefix)] = prefix
                     kept.append(p)
-                runs, open_at, open_hash, give = [], [], [], []
+                runs = open_at = np.zeros((0, 2), np.int32)
+                give = []
                 if kept:
-                    factor, row = (np.concatenate([p[k] for p in kept]) for k in ("factor", "row"))
-                    gone = (ids[row] > _least_by(factor, ids[row])) | _member(factor, known_gone)
-                    n = 0
-                    for p, (of, prefix) in zip(kept, opened, strict=True):
-                        g = gone[n : n + len(p["a"])]
-                        n += len(g)
-                        runs.append(np.stack((p["a"][g], p["b"][g] + LENGTH), axis=1))
-                        keep = ~g & _member(p["factor"], known_split)
-                        open_at.append(np.stack((p["a"][keep], p["b"][keep] + 1), axis=1))
-                        open_hash.append(prefix[~g[of]])
-                    pick = _first_of(factor, ids[row])
-                    a, b = (np.concatenate([p[k] for p in kept])[pick] for k in ("a", "b"))
-                    give = _pieces(r["asks"], factor[pick], a, b + LENGTH, ids[row[pick]], data)
-                cat = lambda x, t: np.concatenate(x).astype(t).tobytes() if x else b""
+                    a, b, row, anchor, factor = (np.concatenate([p[k] for p in kept]) for k in ("a", "b", "row", "anchor", "factor"))
+                    first, number, later = _firsts(factor, ids[row])
+                    order, edges, _ = _dealing(anchor[first], n_buckets)
+                    gone = later | _told(r["found"], order, edges, "gone")[number]
+                    split = ~gone & _told(r["found"], order, edges, "split")[number]
+                    runs, open_at = (np.stack((a[x], b[x] + n), axis=1).astype(np.int32) for x, n in ((gone, LENGTH), (split, 1)))
+                    at, asker = _asked(r["asks"], first[order], edges)
+                    give = _pieces(at, asker, a, b + LENGTH, ids[row], data)
+                open_hash = hashes[_spread(open_at.tobytes())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["block"]], pa.int64())]
                     + [pa.array([memoryview(r[c]).tobytes()], pa.binary()) for c in ("ids", "off")]
-                    + [pa.array([x], pa.binary()) for x in (cat(runs, np.int32), cat(open_at, np.int32), cat(open_hash, np.uint64))]
+                    + [pa.array([x], pa.binary()) for x in (runs.tobytes(), open_at.tobytes(), open_hash.tobytes())]
                     + [pa.array([give], given)],
                     names=["block", "ids", "off", "runs", "at", "hash", "give"],
                 )
@@ -469,7 +504,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = blocks.join(first, "block", "left")
     give = _PIECES.replace(" ", ":").replace(",:", ",")
     state_rows = joined.mapInArrow(resolve, f"block bigint, ids binary, off binary, runs binary, at binary, hash binary, give array<struct<{give}>>")
-    state = _bucketed(state_rows, "runs", n_buckets)
+    state = _bucketed(state_rows, "runs", n_tables)
 
     def send_prefixes(batches):
         for batch in batches:
@@ -480,10 +515,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 off = np.frombuffer(r["off"], np.int64)
                 ids = np.frombuffer(r["ids"], np.int64, len(off) - 1)
                 doc = ids[np.searchsorted(off, at, side="right") - 1]
-                pick = _first_of(prefix, doc)
+                pick = _firsts(prefix, doc)[0]
                 yield _dealt(r["block"], None, prefix[pick], doc[pick], n_buckets)
 
-    prefixes = state.select("block", "ids", "off", "at", "hash").mapInArrow(send_prefixes, _DEALT)
+    prefixes = state.select("block", "ids", "off", "at", "hash").mapInArrow(send_prefixes, _DEALT).repartition(n_buckets, "bucket")
     second = _by_block(store(prefixes.groupBy("bucket").applyInPandas(_prefixes_of_bucket, _ANSWER), "prefixes"))
 
     def send_bytes(batches):
@@ -492,8 +527,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ids, _, off, data = _opened(r)
                 at, prefix = _spread(r["at"]), np.frombuffer(r["hash"], np.uint64)
                 doc = ids[np.searchsorted(off, at, side="right") - 1]
-                pick = _first_of(prefix, doc)
-                give = _pieces(r["asks"], prefix[pick], at[pick], at[pick] + LENGTH, doc[pick], data)
+                pick = _firsts(prefix, doc)[0]
+                order, edges, _ = _dealing(prefix[pick], n_buckets)
+                give = _pieces(*_asked(r["asks"], pick[order], edges), at, at + LENGTH, doc, data)
                 yield pa.RecordBatch.from_pylist(give, schema=pa.schema(given.value_type.fields))
 
     asked = second.where(F.size("asks") > 0).select("block", "asks")
@@ -509,35 +545,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ids, live, off, data = _opened(r)
                 at, prefix = _spread(r["at"] or b""), np.frombuffer(r["hash"] or b"", np.uint64)
                 doc = ids[np.searchsorted(off, at, side="right") - 1] if len(at) else np.zeros(0, np.int64)
-                dup = at[(doc > _least_by(prefix, doc)) | _member(prefix, _sorted_answers(r["gone"]))]
-                runs = np.frombuffer(r["runs"] or b"", np.int32).reshape(-1, 2) - np.array([0, LENGTH - 1], np.int32)
-                claimed = np.zeros(len(data), bool)
-                claimed[_spread(runs.tobytes())] = True
-                claimed[dup] = True
-                at, row = np.flatnonzero(claimed), np.repeat(np.arange(len(ids)), np.diff(off))
-                ok = np.zeros(len(at), bool)
-                if len(at):
-                    prefix, whole = _all_prefixes(data, off, codes)
-                    doc, found = ids[row[at]], r["pieces"] or []
-                    if found:
-                        size = np.concatenate([np.frombuffer(x["sizes"], np.int32) for x in found]).astype(np.int64)
-                        ends, other = np.cumsum(size), np.frombuffer(b"".join(x["data"] for x in found), np.uint8)
-                        other_hash, other_whole = _all_prefixes(other, np.concatenate(([0], ends)), codes)
-                        other_doc = np.repeat(np.concatenate([np.frombuffer(x["docs"], np.int64) for x in found]), size)
-                        starts = np.flatnonzero(other_whole)
-                        ok = _confirmed(at, prefix[at], doc, data, other, starts, other_hash[starts], other_doc[starts])
-                    # others repeat a document of this block
-                    rest = np.flatnonzero(~ok)
-                    own = np.flatnonzero(whole & live[row] & _member(prefix, np.unique(prefix[at[rest]]))) if len(rest) else rest
-                    ok[rest] = _confirmed(at[rest], prefix[at[rest]], doc[rest], data, data, own, prefix[own], ids[row[own]])
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], np.bincount(at[ok], minlength=len(data) + 1), [0]))))
+                pick, number, later = _firsts(prefix, doc)
+                order, edges, _ = _dealing(prefix[pick], n_buckets)
+                dup = at[later | _told(r["found"], order, edges, "gone")[number]]
+                runs = np.frombuffer(r["runs"] or b"", np.int32).reshape(-1, 2).astype(np.int64)
+                sure, left = np.zeros(len(data), bool), np.zeros(0, np.int64)
+                if len(runs) or len(dup):
+                    at, extra = np.concatenate((runs[:, 0], dup)), np.concatenate((runs[:, 1] - LENGTH - runs[:, 0], np.zeros(len(dup), np.int64)))
+                    size, found = np.diff(off), r["pieces"] or []
+                    # sources are the bytes sent here, and the rows of this block
+                    sizes = [np.frombuffer(x["sizes"], np.int32).astype(np.int64) for x in found]
+                    other_off = np.concatenate(([0], np.cumsum(np.concatenate(sizes) if sizes else np.zeros(0, np.int64))))
+                    other = np.frombuffer(b"".join(x["data"] for x in found), np.uint8)
+                    other_ids = np.concatenate([np.frombuffer(x["docs"], np.int64) for x in found] or [np.zeros(0, np.int64)])
+                    hashes, docs = _all_prefixes(data, off, codes), np.repeat(ids, size)
+                    ends = np.repeat(np.where(live, off[1:], 0), size)
+                    source = (
+                        np.concatenate((data, other)), np.concatenate((hashes, _all_prefixes(other, other_off, codes))),
+                        np.concatenate((docs, np.repeat(other_ids, np.diff(other_off)))),
+                        np.concatenate((ends, np.repeat(other_off[1:], np.diff(other_off)) + len(data))),
+                    )
+                    ok = _confirmed(at, extra, hashes[at], docs[at], data, *source)
+                    # where the smallest document goes on in another way, each string for itself
+                    single = np.unique(_spread(np.stack((at[~ok], at[~ok] + extra[~ok] + 1), axis=1).astype(np.int32).tobytes()))
+                    fine = _confirmed(single, np.zeros_like(single), hashes[single], docs[single], data, *source)
+                    sure[_spread(np.stack((at[ok], at[ok] + extra[ok] + 1), axis=1).astype(np.int32).tobytes())] = True
+                    sure[single[fine]] = True
+                    left = single[~sure[single]]
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], sure.view(np.int8), [0]))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["block"]], pa.int64())] + [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (edge, at[~ok])],
+                    [pa.array([r["block"]], pa.int64())] + [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (edge, left)],
                     names=["block", "runs", "open"],
                 )
 
-    claims = blocks.join(state.select("block", "runs", "at", "hash"), "block", "left").join(second.select("block", "gone"), "block", "left")
-    checked = _bucketed(claims.join(pieces, "block", "left").mapInArrow(compare, "block bigint, runs binary, open binary"), "checked", n_buckets)
+    claims = blocks.join(state.select("block", "runs", "at", "hash"), "block", "left").join(second.select("block", "found"), "block", "left")
+    checked = _bucketed(claims.join(pieces, "block", "left").mapInArrow(compare, "block bigint, runs binary, open binary"), "checked", n_tables)
     least = _least_documents(blocks, checked)
     schema = f"{id_col} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep_bytes else "")
 
@@ -592,9 +634,9 @@ def _least_documents(blocks: DataFrame, checked: DataFrame) -> dict[bytes, int]:
         for batch in batches:
             for r in _rows(batch):
                 ids, live, off, data = _opened(r)
-                prefix, whole = _all_prefixes(data, off, codes)
                 row, least = np.repeat(np.arange(len(ids)), np.diff(off)), {}
-                for p in np.flatnonzero(whole & live[row] & _member(prefix, known)):
+                whole = np.arange(len(data)) + LENGTH <= off[1:][row]
+                for p in np.flatnonzero(whole & live[row] & np.isin(_all_prefixes(data, off, codes), known)):
                     x, doc = data[p : p + LENGTH].tobytes(), int(ids[row[p]])
                     if x in wanted:
                         least[x] = min(doc, least.get(x, doc))
