@@ -30,16 +30,16 @@ _SUM = "decimal(38,0)"
 
 
 class CurveStore:
-    """``append`` takes ``(run_id, step, <cols>)`` whose steps go on where each run ends;
+    """``append`` takes ``(run_id, step, <cols>)``, run ids of ``run_type``, whose steps go on where each run ends;
     a gap or a repeat fails the append. A NULL run is a run like any other."""
 
     def __init__(self, spark: SparkSession, path: str, cols: Sequence[str] = ("r_total",), widths: Sequence[int] = (30, 50, 100),
-                 bucket: int = W.DEFAULT_BUCKET, level_col: str = "r_total", level_width: int = 100,
+                 bucket: int = W.DEFAULT_BUCKET, run_type: str = "long", level_col: str = "r_total", level_width: int = 100,
                  thresholds: Sequence[float] = (K.CURRICULUM_THRESHOLDS[1], K.CURRICULUM_THRESHOLDS[2])):
         if bucket < max(widths) or level_width not in widths or level_col not in cols:
             raise ValueError("a bucket must hold the widest window, and the curriculum's width and column must be stored")
         self.spark, self.path, self.cols, self.widths, self.bucket = spark, path.rstrip("/"), list(cols), sorted(widths), bucket
-        self.level_col, self.level_width = level_col, level_width
+        self.run_type, self.level_col, self.level_width = run_type, level_col, level_width
         self.limits = [int(round(t * UNIT)) * level_width for t in thresholds]
 
     # -- what is stored ----------------------------------------------------
@@ -64,19 +64,19 @@ class CurveStore:
         return self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.path}/{kind}").where(F.col("batch") <= done)
 
     def _row_schema(self) -> str:
-        return "run_id long, step long, " + ", ".join(f"{c} double" for c in self.cols)
+        return f"run_id {self.run_type}, step long, " + ", ".join(f"{c} double" for c in self.cols)
 
     def rows(self) -> DataFrame:
         return self._stored("rows", f"{self._row_schema()}, bucket long")
 
     def sums(self) -> DataFrame:
-        return self._stored("sums", "run_id long, bucket long, n long, " + ", ".join(f"{c} {_SUM}" for c in self.cols))
+        return self._stored("sums", f"run_id {self.run_type}, bucket long, n long, " + ", ".join(f"{c} {_SUM}" for c in self.cols))
 
     def frames(self, w: int) -> DataFrame:
         if w not in self.widths:
             raise ValueError(f"width {w} is not stored")
         sums = ", ".join(f"{c}_wsum {_SUM}" for c in self.cols)
-        return self._stored(f"frames/w{w}", f"run_id long, step long, _wcnt long, {sums}")
+        return self._stored(f"frames/w{w}", f"run_id {self.run_type}, step long, _wcnt long, {sums}")
 
     def _state(self, kind: str, schema: str, done: int) -> DataFrame:
         if done < 0:
@@ -85,7 +85,7 @@ class CurveStore:
 
     def runs(self, done: int | None = None) -> DataFrame:
         """``(run_id, n, k1, k2)``: length, and the steps after which a run is on level 2 and 3."""
-        return self._state("runs", "run_id long, n long, k1 long, k2 long", self.last() if done is None else done)
+        return self._state("runs", f"run_id {self.run_type}, n long, k1 long, k2 long", self.last() if done is None else done)
 
     def tail(self, done: int | None = None) -> DataFrame:
         """The last rows of each run, one fewer than the widest window."""
@@ -98,7 +98,7 @@ class CurveStore:
         done = self.last()
         i = done + 1
         bucket = F.floor((F.col("step") - 1) / F.lit(self.bucket)).cast("bigint")
-        given = log.select(F.col("run_id").cast("bigint"), F.col("step").cast("bigint"), *[F.col(c).cast("double") for c in self.cols])
+        given = log.select(F.col("run_id").cast(self.run_type), F.col("step").cast("bigint"), *[F.col(c).cast("double") for c in self.cols])
         placed = given.withColumn("bucket", bucket).repartition("run_id", "bucket")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/rows/batch={i}")
         new = self.spark.read.schema(f"{self._row_schema()}, bucket long").parquet(f"{self.path}/rows/batch={i}")

@@ -20,6 +20,7 @@ from faultlens.operators import sampling as X
 from faultlens.operators import score as R
 from faultlens.operators import traces as P
 from faultlens.operators.grader import grade
+from faultlens.operators.incremental import CurveStore
 from faultlens.operators.training import score_with_curriculum
 from faultlens.plans import bindings as B
 from faultlens.plans.materialize import scratch_path
@@ -695,6 +696,35 @@ def q_curriculum_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batches.run(_stream(log, "rewards"))
 
 
+def _grown(spark: SparkSession, sf_dir: str, cols: list[str], widths: list[int]) -> CurveStore:
+    """The log stored in two appends, the second with the last hundredth of each run."""
+    log = _log(spark, sf_dir)
+    correct = F.when(F.col("predicted_step") == F.col("true_step"), 1.0).otherwise(0.0)
+    log = W.with_run_size(log.withColumn("correct", correct))
+    old = F.col("step") <= F.col("n") - F.floor(F.col("n") / 100)
+    kind = log.schema["run_id"].dataType.simpleString()
+    store = CurveStore(spark, scratch_path(spark, "curves"), cols, widths, run_type=kind, level_width=widths[-1])
+    store.append(log.where(old))
+    store.append(log.where(~old))
+    return store
+
+
+def q_rolling_curve_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2/W3 of a log that grew: the rows of ``rolling_curve``."""
+    cols = ["r_total", "r_loc", "r_blame", "r_fix", "r_prec"]
+    return _grown(spark, sf_dir, cols, [50]).rolling_curve(cols, "c")
+
+
+def q_curriculum_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W5 of a log that grew: the rows of ``curriculum_env``."""
+    return _grown(spark, sf_dir, ["r_total"], [100]).curriculum()
+
+
+def q_early_late_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W8/W9 of a log that grew, from bucket sums: the rows of ``early_late``."""
+    return _grown(spark, sf_dir, ["r_total", "correct"], [50]).early_late()
+
+
 def q_replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3 by event time: an attempt a minute, state dropped after an idle hour."""
     bank = _bank(spark, sf_dir)
@@ -784,4 +814,7 @@ REGISTRY = {
     "score_stream_late": q_score_stream_late,
     "curriculum_batches": q_curriculum_batches,
     "replay_events": q_replay_events,
+    "rolling_curve_appended": q_rolling_curve_appended,
+    "curriculum_appended": q_curriculum_appended,
+    "early_late_appended": q_early_late_appended,
 }

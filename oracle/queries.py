@@ -797,4 +797,7 @@ ORACLES.update({
     "score_stream_late": _score_stream_late(),
     "curriculum_batches": _curriculum_stream(),
     "replay_events": _replay(),
+    "rolling_curve_appended": _rolling_q(["r_total", "r_loc", "r_blame", "r_fix", "r_prec"], "c"),
+    "curriculum_appended": _curriculum(100, 1),
+    "early_late_appended": _early_late("floor_ceil"),
 })
