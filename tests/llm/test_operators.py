@@ -90,6 +90,20 @@ def test_repeats_compare_bytes_where_hashes_collide(spark, monkeypatch, block):
     assert got == {i: [(bytearray(t.encode()),)] for i, t in want.items()}
 
 
+@pytest.mark.parametrize("block", [40, 1 << 20])
+@pytest.mark.parametrize("buckets", [1 << 30, 16])
+def test_repeats_where_the_smallest_document_goes_on_otherwise(spark, monkeypatch, block, buckets):
+    """A string of document 1 whose longer forms are first in documents 2 and 3."""
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", buckets)
+    same = "".join(chr(33 + (7 * i * i + 3 * i) % 89) for i in range(55))
+    ends = ["".join(chr(97 + (i * k + k) % 26) for i in range(30)) for k in (3, 5, 7)]
+    rows = [(1, same + ends[0]), (2, same + ends[1]), (3, same + ends[2]), (4, same + ends[1]), (5, "-" + same + ends[2] + "+")]
+    got = by_id(repeats.remove_repeats(docs_of(spark, rows), keep_bytes=True), "kept")
+    want = {1: rows[0][1], 2: ends[1], 3: ends[2], 4: "", 5: "-+"}
+    assert got == {i: [(bytearray(t.encode()),)] for i, t in want.items()}
+
+
 def test_repeats_returns_kept_bytes(spark):
     same = "the very same passage of more than fifty bytes, twice."
     got = by_id(repeats.remove_repeats(docs_of(spark, [(1, same), (2, "a" + same + "b")]), keep_bytes=True), "kept")
