@@ -96,14 +96,14 @@ END_RE = r"^\[END\]\s+success=(true|false) steps=(\d+) score=([0-9.]+) rewards=(
 def _with_task(lines: DataFrame, group_col: str, seq_col: str, line_col: str) -> DataFrame:
     """Lines with the task of the last START line before them in their group."""
     w = Window.partitionBy(group_col).orderBy(seq_col).rowsBetween(Window.unboundedPreceding, 0)
-    named = F.when(F.col("_l").rlike(START_RE), F.regexp_extract("_l", START_RE, 1))
+    named = F.when(F.col("_l").startswith("[START]") & F.col("_l").rlike(START_RE), F.regexp_extract("_l", START_RE, 1))
     lines = lines.select(group_col, seq_col, F.col(line_col).alias("_l"))
     return lines.withColumn("_task", F.last(named, ignorenulls=True).over(w))
 
 
 def _field(pattern: str, i: int, kind: str = "string") -> Column:
-    """Group ``i`` of the line, NULL where the line or the value is malformed."""
-    return F.when(F.col("_l").rlike(pattern), F.regexp_extract("_l", pattern, i)).try_cast(kind)
+    """Group ``i`` of the line, NULL where the line (``_ok`` tells) or the value is malformed."""
+    return F.when(F.col("_ok"), F.regexp_extract("_l", pattern, i)).try_cast(kind)
 
 
 def parse_eval_log(lines: DataFrame, group_col: str = "task", seq_col: str = "seq", line_col: str = "line") -> DataFrame:
@@ -114,7 +114,7 @@ def parse_eval_log(lines: DataFrame, group_col: str = "task", seq_col: str = "se
 
     ``lines`` needs a group column and a sequence inside it (for files: the
     source and the position in it, see ``read_eval_log``)."""
-    st = _with_task(lines, group_col, seq_col, line_col).where(F.col("_l").startswith("[STEP]"))
+    st = _with_task(lines, group_col, seq_col, line_col).where(F.col("_l").startswith("[STEP]")).withColumn("_ok", F.col("_l").rlike(STEP_RE))
     step, reward = _field(STEP_RE, 1, "bigint"), _field(STEP_RE, 4, "double")
     return st.select(
         F.col("_task").alias("task"),
@@ -132,7 +132,7 @@ def parse_eval_log(lines: DataFrame, group_col: str = "task", seq_col: str = "se
 def parse_eval_ends(lines: DataFrame, group_col: str = "task", seq_col: str = "seq", line_col: str = "line") -> DataFrame:
     """END lines -> ``(task, success, steps, score, rewards, error, parsed)``, with
     rewards as an array of DOUBLE; malformed lines as in ``parse_eval_log``."""
-    ends = _with_task(lines, group_col, seq_col, line_col).where(F.col("_l").startswith("[END]"))
+    ends = _with_task(lines, group_col, seq_col, line_col).where(F.col("_l").startswith("[END]")).withColumn("_ok", F.col("_l").rlike(END_RE))
     listed = _field(END_RE, 4)
     rewards = F.when(listed == "", F.array().cast("array<double>")).otherwise(
         F.transform(F.split(listed, ","), lambda x: x.try_cast("double"))
