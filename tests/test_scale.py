@@ -124,3 +124,43 @@ def test_stored_columns_equal_their_definition(spark):
     bank = B.lineitem_bank(spark, SF_MID)
     wrong = bank.where((F.col("n_steps") != F.size("corrupted_pipeline")) | ~F.col("original_words").eqNullSafe(distinct_words(F.col("original_output"))))
     assert wrong.count() == 0 and bank.where("n_steps is null").count() == 0
+
+
+def test_the_bank_is_stored_as_numbers_and_its_sources_go(spark):
+    import os
+
+    from faultlens.plans.materialize import materialize, passing
+    from faultlens.session import ensure_checkpoint_dir
+
+    bank = B.lineitem_bank(spark, SF_SMALL, seed=4711)
+    plan = bank.select("clean_pipeline", "corrupted_pipeline", "original_output")._jdf.queryExecution().executedPlan().toString()
+    schema = plan[plan.index("ReadSchema"):]
+    assert "lines:" in schema and "clean_pipeline" not in schema and "original_output" not in schema
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert not [f for f in os.listdir(folder) if f.startswith("faultlens-lines-")]
+    with passing(spark) as made:
+        path = materialize(spark.range(3), "gone").inputFiles()[0].removeprefix("file:")
+        assert len(made) == 1 and os.path.exists(path)
+    assert not os.path.exists(path)
+    whole = B.lineitem_bank(spark, SF_SMALL, seed=4711, materialized=False)
+    cols = [c for c in whole.columns]
+    assert sorted(map(repr, bank.select(cols).collect())) == sorted(map(repr, whole.select(cols).collect()))
+
+
+def test_traces_are_formed_once_for_their_steps(spark):
+    plan = Q.REGISTRY["explode_steps"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "size(" not in plan
+    empty = spark.createDataFrame([("a", [(1, "r", "t")]), ("b", []), ("c", None)], "pipeline_id string, corrupted_pipeline array<struct<step_id:int,role:string,output:string>>")
+    from faultlens.operators.traces import explode_steps
+
+    assert [tuple(r) for r in explode_steps(empty).collect()] == [("a", 1, "r", "t")]
+
+
+def test_a_line_of_a_log_is_matched_once(spark):
+    plan = Q.REGISTRY["parse_eval_log"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"RLIKE \^\\+\[STEP", plan)) == 1
+
+
+def test_a_document_is_lowered_once(spark):
+    plan = Q.REGISTRY["verify_documents"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"lower\((?:coalesce\()?text", plan)) == 1
