@@ -147,6 +147,21 @@ def test_the_bank_is_stored_as_numbers_and_its_sources_go(spark):
     assert sorted(map(repr, bank.select(cols).collect())) == sorted(map(repr, whole.select(cols).collect()))
 
 
+def test_a_trace_is_stored_once_and_answers_meet_two_of_its_lines(spark):
+    from faultlens.plans import materialize as M
+
+    bank, truth = B.lineitem_bank(spark, SF_SMALL, seed=4712), B.lineitem_truth(spark, SF_SMALL, seed=4712)
+    stored = {k[1]: df for k, df in M._KEPT.items() if k[-1] == 4712}
+    assert stored["bank-li"].count() == bank.select("clean_pipeline", "task_brief", F.floor(F.col("bank_pos") / 5)).distinct().count() < bank.count()
+    assert "lines" not in stored["truth-li"].columns and "corrupted_output" not in stored["bank-li"].columns + stored["truth-li"].columns
+    cols = [c for c in truth.columns if c != "first_output"]
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert set(bank.columns) - set(cols) == {"clean_pipeline", "corrupted_pipeline"}
+    first = F.col("clean_pipeline")[0]["output"].alias("first_output")
+    assert key(truth.select(*cols, "first_output")) == key(bank.select(*cols, first))
+    assert key(B.drawn_attempts(truth)) == key(B.drawn_attempts(bank))
+
+
 def test_traces_are_formed_once_for_their_steps(spark):
     plan = Q.REGISTRY["explode_steps"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "size(" not in plan
