@@ -80,3 +80,18 @@ def test_only_the_automaton_runs_python(spark):
     df = rows_of(spark, ["a"]).withColumn("l", F.lower("t"))
     plan = lambda limit: T.match(df, T.reference_banks(spark), "e", "t", "l", "p", 42, limit)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan(T.AUTOMATON_BYTES) and "Python" not in plan(0)
+
+
+def test_substrings_are_cut_where_an_entry_starts(spark, monkeypatch):
+    monkeypatch.setattr(T.match, "__defaults__", (0,))
+    key = lambda df: sorted((r.pipeline_id, r.corrupted_output, tuple(r.expected_fix_keywords)) for r in df.collect())
+    monkeypatch.setattr(B, "table", lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet").where("l_orderkey < 300" if name == "lineitem" else "true"))
+    df = rows_of(spark, ["part 12 of apart"], ("factual_error",)).withColumn("l", F.lower("t"))
+    plan = lambda: T.match(df, B.part_swaps(spark, SF_SMALL), "e", "t", "l", "p", 42)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(sequence(" in plan()
+    some = key(B.lineitem_bank_of_tables(spark, SF_SMALL))
+    monkeypatch.setattr(T, "PREFIXES", 0)
+    assert key(B.lineitem_bank_of_tables(spark, SF_SMALL)) == some and some
+    monkeypatch.setattr(T.match, "__defaults__", (T.AUTOMATON_BYTES,))
+    bank = B.lineitem_bank_of_tables(spark, SF_SMALL)
+    assert key(bank) == some and not {"clean_pipeline", "corrupted_pipeline"} & set(bank.columns)
