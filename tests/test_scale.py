@@ -179,3 +179,28 @@ def test_a_line_of_a_log_is_matched_once(spark):
 def test_a_document_is_lowered_once(spark):
     plan = Q.REGISTRY["verify_documents"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"lower\((?:coalesce\()?text", plan)) == 1
+
+
+def test_answers_are_scored_and_replayed_by_shares(spark):
+    from faultlens.operators import sampling as X
+    from faultlens.operators import score as R
+    from faultlens.operators import traces as P
+
+    key = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    bank = Q._bank(spark, SF_SMALL)
+    replayed, rewards = (Q.REGISTRY[q](spark, SF_SMALL) for q in ("replay_all", "score_completions"))
+    for df in (replayed, rewards):  # what was shuffled for them is gone
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert key(replayed) == key(N.replay_all(B.drawn_attempts(bank), bank))
+    parsed = Q._run_completions(spark, SF_SMALL).withColumn("level", F.lit(1))
+    assert key(rewards) == key(P.to_reward_log(R.score_total(X.assign_episodes(parsed, bank, level=1), "train", level_col="level")))
+
+
+@pytest.mark.parametrize("name", ["sample_cyclic", "sample_with_replacement", "assign_episodes"])
+def test_sampled_keys_do_not_meet_the_bank_again(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q.REGISTRY[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"Join Inner, \(pipeline_id#\d+ = pipeline_id", plan)
