@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,7 +273,7 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_co
     """Rows of about ``ROW_BYTES`` of pages, stored in a table bucketed by ``row``: ids,
     urls, hosts and numbers of blocks by page, the blocks of all, and by page (``i``)
     and block of the row what the markup names (``own``), what stands outside the root
-    (``out``) and the subtrees (``nodes``)."""
+    (``out``) and the subtrees (``nodes``; ``once``: the first of its hash on its page)."""
     spark = pages.sparkSession
     kind = pages.select(page_id).schema[0].dataType
     span = [T.StructField("i", T.IntegerType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]
@@ -281,11 +281,13 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_co
     schema = T.StructType(
         [T.StructField("row", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("urls", strings)]
         + [T.StructField("hosts", strings), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("blocks", strings)]
-        + [T.StructField(n, T.ArrayType(T.StructType(span))) for n in ("own", "out")] + [T.StructField("nodes", T.ArrayType(T.StructType([*span, T.StructField("hash", T.LongType())])))]
+        + [T.StructField(n, T.ArrayType(T.StructType(span))) for n in ("own", "out")] + [T.StructField("nodes", T.ArrayType(T.StructType([*span, T.StructField("hash", T.LongType()), T.StructField("once", T.BooleanType())])))]
     )
 
+    kinds = {"hash": pa.int64(), "once": pa.bool_()}
+
     def spans(columns: list[list], names: tuple[str, ...]):
-        values = [pa.array(x, pa.int64() if n == "hash" else pa.int32()) for x, n in zip(columns, names, strict=True)]
+        values = [pa.array(x, kinds.get(n, pa.int32())) for x, n in zip(columns, names, strict=True)]
         return pa.StructArray.from_arrays(values, names=list(names))
 
     def run(batches):
@@ -294,7 +296,7 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_co
             lo = 0
             while lo < b.num_rows:
                 hosts, sizes, blocks, held = [], [], [], 0
-                own, out, nodes = ([], [], []), ([], [], []), ([], [], [], [])
+                own, out, nodes = ([], [], []), ([], [], []), ([], [], [], [], [])
                 i = lo
                 while i < b.num_rows and (i == lo or held < ROW_BYTES):
                     page = b.column(2)[i].as_py() or ""
@@ -305,15 +307,17 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_co
                         for x, y in ranges:
                             for c, v in zip(to, (i - lo, x + len(blocks), y + len(blocks)), strict=True):
                                 c.append(v)
+                    seen = set()
                     for h, x, y in trees:
-                        for c, v in zip(nodes, (i - lo, x + len(blocks), y + len(blocks), h), strict=True):
+                        for c, v in zip(nodes, (i - lo, x + len(blocks), y + len(blocks), h, h not in seen), strict=True):
                             c.append(v)
+                        seen.add(h)
                     sizes.append(len(text))
                     blocks += text
                     held += len(page)
                     i += 1
                 cells = [b.column(0).slice(lo, i - lo), b.column(1).slice(lo, i - lo), pa.array(hosts, pa.string()), pa.array(sizes, pa.int32())]
-                cells += [pa.array(blocks, pa.string()), spans(own, ("i", "a", "b")), spans(out, ("i", "a", "b")), spans(nodes, ("i", "a", "b", "hash"))]
+                cells += [pa.array(blocks, pa.string()), spans(own, ("i", "a", "b")), spans(out, ("i", "a", "b")), spans(nodes, ("i", "a", "b", "hash", "once"))]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in cells]
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *lists], names=schema.names)
                 row += 1
@@ -329,8 +333,9 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_co
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``(host, hash)`` of subtrees that recur across pages of their host, and ``PAGE`` as
     the hash of hosts with a single page."""
-    once = F.array_distinct(F.concat(F.transform("nodes", lambda n: F.struct(n["i"].alias("i"), n["hash"].alias("hash"))), _pages()))
-    own = rows.select("hosts", F.explode(once).alias("n")).select(F.get("hosts", F.col("n.i")).alias("host"), "n.hash")
+    # the parser marks the first of a hash: array_distinct compares structs pair by pair
+    held = F.transform(F.filter("nodes", lambda n: n["once"]), lambda n: _of_host(n["i"], n["hash"]))
+    own = rows.select(F.explode(F.concat(held, _pages())).alias("n")).select("n.host", "n.hash")
     counted = own.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= REPEATED) | (F.col("hash") == PAGE))
     counted = store(counted, "subtrees")
     hosts = counted.where(F.col("hash") == PAGE).select("host", F.col("n").alias("pages"))
@@ -341,9 +346,20 @@ def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     return known.union(hosts.where("pages = 1").select("host", F.lit(PAGE).cast("bigint")))
 
 
-def _pages():
-    """One ``(i, PAGE)`` for every page of a row."""
-    return F.transform("hosts", lambda _, i: F.struct(i.alias("i"), F.lit(PAGE).cast("bigint").alias("hash")))
+def _of_host(i: Column, h: Column, *more: Column) -> Column:
+    """A hash on page ``i`` of a row. Hosts are looked up in the row: exploded beside it,
+    the list of all would be copied with each hash."""
+    return F.struct(F.get("hosts", i).alias("host"), h.alias("hash"), *more)
+
+
+def _span(i: Column, a: Column, b: Column) -> Column:
+    return F.struct(i.alias("i"), a.alias("a"), b.alias("b")).alias("span")
+
+
+def _pages(spans: bool = False) -> Column:
+    """``PAGE`` for every page of a row."""
+    none = F.lit(-1)
+    return F.transform("hosts", lambda _, i: _of_host(i, F.lit(PAGE).cast("bigint"), *([_span(i, none, none)] if spans else [])))
 
 
 def main_text(
@@ -355,10 +371,8 @@ def main_text(
     pages each and are all returned."""
     rows = parsed(pages, page_id, url, html_col)
     known = templates(rows, min_pages, min_share)
-    none = F.lit(-1)
-    few = F.transform(_pages(), lambda p: F.struct(p["i"].alias("i"), none.alias("a"), none.alias("b"), p["hash"].alias("hash")))
-    asked = rows.select("row", "hosts", F.explode(F.concat("nodes", few)).alias("n"))
-    asked = asked.select("row", F.get("hosts", F.col("n.i")).alias("host"), "n.hash", F.struct("n.i", "n.a", "n.b").alias("span"))
+    held = F.transform("nodes", lambda n: _of_host(n["i"], n["hash"], _span(n["i"], n["a"], n["b"])))
+    asked = rows.select("row", F.explode(F.concat(held, _pages(spans=True))).alias("n")).select("row", "n.host", "n.hash", "n.span")
     gone = asked.join(known, ["host", "hash"]).groupBy("row").agg(F.collect_list("span").alias("gone"))  # subtrees of one row's pages
     schema = T.StructType([pages.select(page_id).schema[0], T.StructField(url, T.StringType()), T.StructField("text", T.StringType())])
 

@@ -359,6 +359,19 @@ def test_html_equals_a_plain_count(spark):
     assert got == want and len({t for x in want.values() for t in x}) > 40
 
 
+def test_html_subtrees_are_marked_once_a_page(spark, monkeypatch):
+    """Subtrees of a row are not compared pair by pair, nor exploded beside the row's hosts."""
+    page = "<html><body>" + "<div><b>Menu</b></div>" * 3 + "<div><b>Other</b></div></body></html>"
+    frame = spark.createDataFrame([(i, f"http://h{i % 2}.example/{i}", page) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    rows = html_text.parsed(frame)
+    nodes = rows.select(F.explode("nodes").alias("n")).select("n.*").collect()
+    assert len({(r.i, r.hash) for r in nodes}) == sum(r.once for r in nodes) < len(nodes)
+    plans, store = [], html_text.store
+    monkeypatch.setattr(html_text, "store", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df, name))
+    html_text.templates(rows)
+    assert "array_distinct" not in plans[0] and "explode" in plans[0]
+
+
 def test_html_of_an_empty_table_and_clashing_columns(spark):
     schema = "page_id long, url string, html string, row long, hosts string, nodes int, text string, hash long"
     assert html_text.main_text(spark.createDataFrame([], schema)).count() == 0
