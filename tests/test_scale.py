@@ -162,6 +162,35 @@ def test_a_trace_is_stored_once_and_answers_meet_two_of_its_lines(spark):
     assert key(B.drawn_attempts(truth)) == key(B.drawn_attempts(bank))
 
 
+def test_lines_are_numbered_by_shares_of_the_orders(spark, monkeypatch):
+    from faultlens.plans import dense
+
+    orders = [None, None, None, *[7] * 400, *[k for k in range(60) for _ in range(k % 9)], -5]
+    rows = [(o, i % 4, i % 11, i % 3, "2020-01-01", float(i % 5), float(i % 6)) for i, o in enumerate(orders)]  # equal lines too
+    li = spark.createDataFrame(rows, ["l_orderkey", *B.LINE_ORDER]).repartition(5)
+    want = B.lineitem_lines(B.lineitem_numbered(li))
+    sizes, ranged = [], dense.ranged
+    monkeypatch.setattr(dense, "ranged", lambda df, *a: sizes.append(df.count()) or ranged(df, *a))
+    got = B.by_orders(li, "numbered", lambda traces: traces, bucket="trace_id")
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(got.select(*want.columns)) == key(want) and want.where("order is null").count() == 1
+    assert sum(sizes) == len(rows) and len(sizes) > 2 and sorted(sizes)[-2] < len(rows) / 3  # but for the share of the large order
+
+
+def test_answers_meet_the_bank_without_a_second_store(spark):
+    from faultlens.operators.traces import truth_view
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Q.REGISTRY["fix_components"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and plan.count("faultlens_bank_li") >= 2 and "truth_li" not in plan
+    truth = B.lineitem_truth(spark, SF_SMALL)
+    want, got = B.drawn_actions(truth).join(truth_view(truth), "pipeline_id"), Q._acted(spark, SF_SMALL)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_traces_are_formed_once_for_their_steps(spark):
     plan = Q.REGISTRY["explode_steps"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "size(" not in plan
