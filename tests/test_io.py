@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from faultlens.plans import bindings as B
+from faultlens.plans import queries as Q
 from faultlens.sources import io
 from faultlens.sources.evallog import format_eval_log, parse_eval_ends, parse_eval_log, read_eval_log, write_eval_log
 
@@ -141,3 +142,35 @@ def test_a_log_without_a_header_fails(spark, tmp_path):
     (tmp_path / "a.csv").write_text("1,2,3\n")
     with pytest.raises(Exception, match="no header"):
         io.read_log(spark, f"{tmp_path}/a.csv").collect()
+
+
+def test_a_packed_bank_holds_the_same_rows(spark):
+    step = lambda i, t: (i, ["Researcher", "Coder", None][i % 3], t)
+    clean, odd = [step(1, "a b"), step(2, "c < d"), step(3, None)], [(2, "Coder", "x"), (1, None, "y")]
+    told = "Inverted logic at step 2 (Analyst)"
+    rows = [
+        ("p_1_err_0", 1, "t", "d", clean, [clean[0], step(2, "c > d"), clean[2]], 2, clean[1][1], "logic_inversion", told, "c < d", "c > d", ["c"]),
+        ("p_1_err_1", 1, "t", "d", clean, odd, 2, "Nobody", "logic_inversion", None, "other", "c > d", []),
+        ("p_1_err_2", None, None, None, clean, clean, 0, None, "unknown", "", None, None, None),
+        ("p_1_err_3", 3, "t", "d", clean, None, 9, "Coder", "wrong_type", told, "", "z", [None]),
+        ("odd", 3, "t", "d", None, [], None, None, None, None, None, "z", ["", "z"]),
+    ]
+    bank = spark.createDataFrame(rows, io.EPISODE)
+    packed = io.pack_bank(bank)
+    key = lambda df: sorted(map(repr, df.collect()))
+    assert key(io.unpack_bank(packed)) == key(bank) and io.unpack_bank(packed).columns == bank.columns
+    good = B.lineitem_bank(spark, SF_SMALL).select(*bank.columns)
+    follows = ("original_output", "injected_role", "error_description", "corrupted_pipeline")
+    assert io.pack_bank(good).where(" OR ".join(f"{c} IS NOT NULL" for c in follows)).count() == 0
+    assert key(io.unpack_bank(io.pack_bank(good))) == key(good)
+
+
+def test_a_share_of_the_bank_is_json_at_a_time(spark):
+    import os
+
+    from faultlens.session import ensure_checkpoint_dir
+
+    back = Q.REGISTRY["bank_json"](spark, SF_SMALL)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert not [f for f in os.listdir(folder) if f.startswith("faultlens-bank-json")]  # gone when its rows are read
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, Q.bank_columns(Q._bank(spark, SF_SMALL)).collect()))
