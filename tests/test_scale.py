@@ -233,3 +233,71 @@ def test_sampled_keys_do_not_meet_the_bank_again(spark, name):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not re.search(r"Join Inner, \(pipeline_id#\d+ = pipeline_id", plan)
+
+
+# --- time -------------------------------------------------------------------
+
+
+def test_words_and_numbers_are_those_of_python(spark):
+    from faultlens.functions import text as T
+
+    spaces = [c for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and c.isspace()]
+    texts = ["", " ", "a", "  one two\n", "\x1cx\x85y\u3000", "été\u00a0 12 a3 _4 5é 007", *[f"{c}a{c}{c}b {c}" for c in spaces]]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = df.select("t", T.tokens("t").alias("w"), T.utrim("t").alias("s"), F.regexp_extract_all("t", F.lit(T.WHOLE_NUMBER), 0).alias("n")).collect()
+    assert len(got) == len(texts) + 1 > 25 and set(T.SPACES) == set(spaces)
+    for r in got:
+        assert (r.w, r.s, r.n) == ((None,) * 3 if r.t is None else (r.t.split(), r.t.strip(), re.findall(r"\b\d+\b", r.t)))
+    plan = df.select(T.tokens("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # its pattern is compiled for every row
+
+
+def test_code_too_long_to_be_compiled_is_not_generated(spark):
+    Q._bank(spark, SF_SMALL)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+
+
+def test_steps_of_a_trace_are_formed_once_for_its_episodes(spark):
+    plan = Q.REGISTRY["render_prompt"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    explode = plan.index("Generate explode")
+    assert "transform(lines" not in plan[:explode] and plan.count("transform(lines") == 1
+
+
+def test_parts_of_a_fix_are_scored_once(spark):
+    plan = Q.REGISTRY["fix_components"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1
+
+
+def test_lengths_are_counted_without_texts(spark):
+    for name in ("step_uniformity", "step_uniformity_zero"):
+        plan = Q.REGISTRY[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "transform(lines" not in plan and "Score for supplier" not in plan
+
+
+def test_fields_are_formed_once_for_their_checks(spark):
+    from faultlens.operators import audit as G
+
+    plan = Q.REGISTRY["validate_bank"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(lines") == 2  # the bank, and the episodes that come twice
+    whole = {"pipeline_id": "a", "curriculum_level": 1, "task_brief": "t", "clean_pipeline": ["x"], "corrupted_pipeline": ["x"], "injected_step": 1, "injected_role": "r", "error_type": "e",
+             "error_description": "d", "original_output": "o", "corrupted_output": "c", "expected_fix_keywords": ["k"]}
+    rows = [whole, whole | {"pipeline_id": None, "error_type": None, "injected_role": None}, whole | {"pipeline_id": "b", "expected_fix_keywords": []}, whole | {"pipeline_id": "c", "expected_fix_keywords": None}]
+    types = {"clean_pipeline": "array<string>", "corrupted_pipeline": "array<string>", "expected_fix_keywords": "array<string>", "curriculum_level": "int", "injected_step": "int"}
+    bank = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{c} {types.get(c, 'string')}" for c in whole))
+    want = [("UNKNOWN", "missing fields: pipeline_id, injected_role, error_type"), ("b", "empty expected_fix_keywords"), ("c", "empty expected_fix_keywords"), ("c", "missing fields: expected_fix_keywords"),
+            (None, "Duplicate IDs found: 4 episodes but 3 unique IDs")]
+    assert sorted(map(tuple, G.validate_bank(bank).collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("most", [0, 20, 10_000])
+def test_only_long_episodes_are_replayed_by_ranges(spark, most, monkeypatch):
+    bank = B.lineitem_bank(spark, SF_SMALL)
+    att = attempts(spark, bank, 900, 400)
+    cut, ranged = [], N.ranged
+    monkeypatch.setattr(N, "ranged", lambda df, *a: cut.append(df.select("episode_id").distinct().count()) or ranged(df, *a))
+    key = lambda df: sorted(map(repr, df.collect()))
+    got = key(N.replay_all(att, bank, most=most))
+    n = att.select("episode_id").distinct().count()
+    long = att.groupBy("episode_id").count().where(F.col("count") > most).count()
+    assert cut == ([] if most == 10_000 else [long]) and (most != 20 or 0 < long < n)
+    assert got == key(N.replay_all(att, bank, n_ranges=7)) and len(got) == 900
