@@ -301,3 +301,20 @@ def test_only_long_episodes_are_replayed_by_ranges(spark, most, monkeypatch):
     long = att.groupBy("episode_id").count().where(F.col("count") > most).count()
     assert cut == ([] if most == 10_000 else [long]) and (most != 20 or 0 < long < n)
     assert got == key(N.replay_all(att, bank, n_ranges=7)) and len(got) == 900
+
+
+def test_answers_meet_numbers_and_texts_are_formed_of_what_was_met(spark, monkeypatch):
+    from faultlens.operators import sampling as X
+
+    key = lambda df: sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+    numbers, comp = B.lineitem_truth_numbers(spark, SF_SMALL), Q._run_completions(spark, SF_SMALL)
+    assert not {"original_output", "corrupted_output", "first_output", "expected_fix_keywords"} & set(numbers.columns)
+    kwargs = dict(w=30, check_every=20, thresholds=(0.2, 0.25), lookahead=256, most=512)
+    met = []
+    got = score_with_curriculum(comp, numbers, **kwargs, finish=lambda df: met.append(df.columns) or B.truth_texts(df))
+    assert key(got) == key(score_with_curriculum(comp, B.lineitem_truth(spark, SF_SMALL), **kwargs))
+    assert met and all("terms" in c and "corrupted_output" not in c for c in met)
+    pools, pool = [], X._pool
+    monkeypatch.setattr(X, "_pool", lambda *a: pools.append(a[1]) or pool(*a))
+    Q.REGISTRY["score_completions"](spark, SF_SMALL)
+    assert pools == [1]  # not once a share
