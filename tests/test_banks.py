@@ -95,3 +95,17 @@ def test_substrings_are_cut_where_an_entry_starts(spark, monkeypatch):
     monkeypatch.setattr(T.match, "__defaults__", (T.AUTOMATON_BYTES,))
     bank = B.lineitem_bank_of_tables(spark, SF_SMALL)
     assert key(bank) == some and not {"clean_pipeline", "corrupted_pipeline"} & set(bank.columns)
+
+
+def test_only_the_md5_values_that_are_needed_are_formed(monkeypatch):
+    import hashlib
+
+    from faultlens.operators import banks
+
+    whole = "".join(hashlib.md5(f"7:p_1:fact:{j}".encode()).hexdigest() for j in range(40))  # noqa: S324
+    asked, md5 = [], hashlib.md5
+    monkeypatch.setattr(banks.hashlib, "md5", lambda b: asked.append(b) or md5(b))
+    places = set(range(0, 200, 16))  # at the first digits of a value
+    assert banks.priority(7, "p_1", "fact", places) == {p: int(whole[6 * p : 6 * p + 6], 16) for p in places}
+    assert len(asked) == len(places)
+    assert banks.priority(7, "p_1", "fact", {5}) == {5: int(whole[30:36], 16)}
